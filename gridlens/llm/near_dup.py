@@ -9,7 +9,8 @@ whole shingle sets, and classes are the connected components of confirmed links.
 Work is spent where it can still join classes. Neighbours in the sorted orders are confirmed
 first (the most similar one of each text); only regions that then still hold texts of several
 classes are compared text by text, and there only across classes and only against texts outside
-the region's main class. That second pass has no cap, so a region of any size is settled.
+the region's main class. That second pass has no cap, so a region of any size is settled; pairs
+are left out only where the shingles that no other text has already rule a link out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from gridlens.llm.components import connected_components
 from gridlens.llm.shared import Scratch
 
 _U32 = np.uint32
+#: Hash classes of the profiles that bound an intersection from above.
+CLASSES = 64
 
 
 def _minhash_factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +141,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _shared_profiles(sets: DataFrame) -> DataFrame:
+    """(id, n, shared): the size of each set, and by hash class how many of its shingles another of these sets has too.
+
+    The sum over classes of the smaller count is never less than two sets' intersection.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column("id").to_numpy(), batch.column("items"), strict=True):
+                g = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i)), pa.array(g)], names=["id", "g"])
+
+    rows = sets.mapInArrow(run, "id long, g long")
+    alone = rows.groupBy("g").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    alone = alone.groupBy("id").agg(F.collect_list(F.pmod("g", F.lit(CLASSES)).cast("int")).alias("alone"))
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for x, gone in zip(batch.column("items"), batch.column("alone"), strict=True):
+                g = np.frombuffer(x.as_buffer(), np.int64)
+                n.append(len(g))
+                out.append((np.bincount(g % CLASSES, minlength=CLASSES) - np.bincount(np.array(gone.as_py() or [], dtype=np.int64), minlength=CLASSES)).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["id", "n", "shared"])
+
+    return sets.join(alone, "id", "left").select("id", "items", "alone").mapInArrow(profile, "id long, n long, shared array<int>")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, least_depth: int = 4, crowd: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row, by the forest described above.
 
@@ -205,10 +236,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     per = placed.groupBy("region", "c").agg(F.count("*").alias("m"))
     mixed = scratch.write(per.groupBy("region").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("region", "main"), "mixed")
     inner = scratch.write(placed.join(mixed, "region"), "inner")
-    stray = inner.where("c <> main").select("region", F.col("id").alias("s"), F.col("c").alias("sc"))
+    # What a text shares with no other of these texts bounds its similarity to all of them.
+    shared = scratch.write(_shared_profiles(sets.join(inner.select("id").distinct(), "id", "left_semi")), "shared")
+    inner = inner.join(shared, "id").withColumn("m", F.aggregate("shared", F.lit(0), lambda t, x: t + x))
+    stray = inner.where("c <> main").select("region", F.col("id").alias("s"), F.col("c").alias("sc"), F.col("n").alias("sn"), F.col("shared").alias("ss"), F.col("m").alias("sm"))
+    most_common = F.aggregate(F.zip_with("ss", "shared", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    possible = lambda common: 100 * common >= percent * (F.col("sn") + F.col("n") - common)
     across = (
-        stray.join(inner.select("region", "id", "c", "main"), "region")
-        .where((F.col("c") != F.col("sc")) & ((F.col("c") == F.col("main")) | (F.col("s") < F.col("id"))))
+        stray.join(inner.select("region", "id", "c", "main", "n", "shared", "m"), "region")
+        .where((F.col("c") != F.col("sc")) & ((F.col("c") == F.col("main")) | (F.col("s") < F.col("id"))) & possible(F.least("sm", "m")) & possible(most_common))
         .select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b"))
         .distinct()
     )
