@@ -1,6 +1,6 @@
 """Array kernels over Arrow string batches: words, word hashes, shingles.
 
-They run inside Spark tasks on slices of about a megabyte of text, so a worker's memory does not
+They run inside Spark tasks on slices of about a quarter of a megabyte of text, so a worker's memory does not
 depend on how many rows or how long a document a batch holds (a document longer than a slice is
 a slice of its own). All hashes are 64-bit and depend on content alone.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -82,11 +82,14 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased before hashing unless told otherwise."""
+def words(texts: pa.Array, latin: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z (``latin``: and the capitals from U+00C0 to U+00DE) lower-cased before hashing."""
     data, offsets = raw_bytes(texts)
-    if lower:
-        data = _LOWER[data]
+    data = _LOWER[data]
+    if latin:
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        low = data[after]
+        data[after] = np.where((low >= 0x80) & (low <= 0x9E) & (low != 0x97), low + 0x20, low)
     n = len(data)
     inside = ~_IS_SPACE[data]
     first = np.zeros(n + 1, dtype=bool)
