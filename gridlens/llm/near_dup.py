@@ -251,20 +251,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = _estimated(across.join(first.select("a", "b"), ["a", "b"], "left_anti"), sigs, cut)
     open_pairs = scratch.write(first.join(tested, ["a", "b"], "left_anti").union(rest), "open0")
 
-    # Ever more pairs per text, the most similar first; the last round takes all that are left.
-    for k, most in enumerate((2, 16, None), start=1):
-        apart = with_class(with_class(open_pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "est")
-        open_pairs = scratch.write(apart, f"open{k}")
-        if open_pairs.isEmpty():
-            break
-        now = open_pairs
-        if most is not None:
-            ranked = open_pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a")))
-            now = scratch.write(ranked.where((F.col("ra") <= most) | (F.col("rb") <= most)).select("a", "b"), f"tested{k}")
-        links = scratch.write(links.union(_confirmed(now, sets, percent)), f"links{k}")
-        classes = connected_components(links, scratch, f"cc{k}")
-        if most is not None:
-            open_pairs = open_pairs.join(now, ["a", "b"], "left_anti")
+    apart = with_class(with_class(open_pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    links = scratch.write(links.union(_confirmed(apart, sets, percent)), "links1")
+    classes = connected_components(links, scratch, "cc1")
 
     named = texts.join(classes, texts["id"] == classes["node"], "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = scratch.write(
