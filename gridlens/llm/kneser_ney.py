@@ -103,11 +103,10 @@ class Model:
         """Ids of sorted distinct word hashes; -1 where training text has no such word."""
         out = np.full(len(hashes), -1, dtype=np.int64)
         cuts = np.searchsorted(hashes >> _U(64 - self.bits), np.arange(2**self.bits + 1, dtype=_U)) if self.bits else np.array([0, len(hashes)])
-        for k in np.flatnonzero(np.diff(cuts)):
+        for k in np.flatnonzero(np.diff(cuts) * np.diff(self.offsets)):  # a shard without words has no file
             there, ask = self._shard("word", k, _U), hashes[cuts[k] : cuts[k + 1]]
-            if len(there):
-                at = np.minimum(np.searchsorted(there, ask), len(there) - 1)
-                out[cuts[k] : cuts[k + 1]] = np.where(there[at] == ask, at + self.offsets[k], -1)
+            at = np.minimum(np.searchsorted(there, ask), len(there) - 1)
+            out[cuts[k] : cuts[k + 1]] = np.where(there[at] == ask, at + self.offsets[k], -1)
         return out
 
     def values(self, kind: str, ids: np.ndarray, dtype: type) -> np.ndarray:
