@@ -87,7 +87,8 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, share: float) -> np.n
             low = mid
         else:
             high = mid
-    return np.minimum(1, high * ratio)
+    chance = high * ratio
+    return np.where(chance > 1 - 1e-9, 1.0, chance)  # rounding must not leave a whole cell at a hair below 1
 
 
 def tempered(tokens: np.ndarray, power: float) -> np.ndarray:
