@@ -99,14 +99,14 @@ def _watts(c):
     return F.round(c.cast("decimal(18,4)"), 1).cast("double")
 
 
-@query("""WITH v AS (SELECT list_sort(list(DISTINCT event_type)) AS v FROM events) SELECT rid, win, round(sum(p)::DECIMAL(18, 4), 1)::DOUBLE AS total, round(max(CASE WHEN family = v[1] THEN prob END), 3) AS prob_1, round(coalesce(sum(CASE WHEN family = v[1] THEN p END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS p_1,
-    round(max(CASE WHEN family = v[2] THEN prob END), 3) AS prob_2, round(coalesce(sum(CASE WHEN family = v[2] THEN p END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS p_2 FROM predictions, v GROUP BY rid, win""")
+@query("""WITH v AS (SELECT list_sort(list(DISTINCT event_type)) AS v FROM events) SELECT rid, win, round(sum(p)::DECIMAL(18, 4), 1)::DOUBLE AS total, round(max(CASE WHEN family = v[1] THEN prob END)::DECIMAL(18, 6), 3)::DOUBLE AS prob_1, round(coalesce(sum(CASE WHEN family = v[1] THEN p END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS p_1,
+    round(max(CASE WHEN family = v[2] THEN prob END)::DECIMAL(18, 6), 3)::DOUBLE AS prob_2, round(coalesce(sum(CASE WHEN family = v[2] THEN p END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS p_2 FROM predictions, v GROUP BY rid, win""")
 def h13_timeline(spark, sf):
     names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
     p = predictions(spark, sf)
     wide = p.groupBy("rid", "win").pivot("family", names).agg(F.max("prob").alias("prob"), F.sum("p").alias("p"))
     total = p.groupBy("rid", "win").agg(_watts(F.sum("p")).alias("total"))
-    cols = [c for k, n in enumerate(names, start=1) for c in (F.round(F.col(f"`{n}_prob`"), 3).alias(f"prob_{k}"), _watts(F.coalesce(F.col(f"`{n}_p`"), F.lit(0.0))).alias(f"p_{k}"))]
+    cols = [c for k, n in enumerate(names, start=1) for c in (F.round(F.col(f"`{n}_prob`").cast("decimal(18,6)"), 3).cast("double").alias(f"prob_{k}"), _watts(F.coalesce(F.col(f"`{n}_p`"), F.lit(0.0))).alias(f"p_{k}"))]
     return wide.join(total, ["rid", "win"]).select("rid", "win", "total", *cols)
 
 
