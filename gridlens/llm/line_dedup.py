@@ -42,7 +42,8 @@ def _chunks(chunked: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least_lines: int = LEAST_LINES, scratch: Scratch | None = None) -> DataFrame:
     """``(doc_id, n_lines, n_chunks, n_removed, n_removed_lines, text)`` for every row.
 
-    Chunk hashes are counted first; only chunks whose hash repeats are compared, byte for byte,
+    None of the joined sides is bounded, so all joins are sort-merge joins at any size. Chunk
+    hashes are counted first; only chunks whose hash repeats are compared, byte for byte,
     as join keys. Null texts stay null with no lines; empty texts are one empty line. Rows that
     share an id count as one document, so a chunk which all of them have is removed from none of
     them for that reason alone. Rows with a null id are returned unchanged and compared with
@@ -51,14 +52,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     scratch = scratch or Scratch(docs.sparkSession, "line_dedup")
     chunks = _chunks(_chunked(docs.where(F.col(id_col).isNotNull()), id_col, text_col, divisor, least_lines))
     hashes = scratch.write(chunks.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "hashes")
-    again = scratch.write(chunks.join(hashes, "h"), "again")
+    again = scratch.write(chunks.join(hashes.hint("merge"), "h"), "again")
     groups = again.groupBy("h", "chunk").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "start")).alias("first")).where("k > 1")
     groups = scratch.write(groups.select("h", "chunk", "first"), "groups")
-    removed = again.join(groups, ["h", "chunk"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "n").distinct()
+    removed = again.join(groups.hint("merge"), ["h", "chunk"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "n").distinct()
     spans = scratch.write(removed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone")), "spans")
     scratch.drop("again", "groups", "hashes")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).join(spans, "doc_id", "left")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).join(spans.hint("merge"), "doc_id", "left")
     # What stays lies between the removed spans: from the end of one to the start of the next.
     gone = F.coalesce("gone", F.expr("cast(array() as array<struct<start:int,n:int>>)"))
     lines = texts.select("doc_id", F.split("t", "\n").alias("lines"), gone.alias("gone"))
