@@ -16,7 +16,7 @@ EDGE_W, SETTLED_W, SETTLED_SHARE = 8.0, 6.0, 0.05
 
 
 def edges(df: DataFrame, side: int, span: int, key: str = "rid", order: str = "i", least_w: float = EDGE_W) -> DataFrame:
-    """Settled steps: medians of the first and last ``side`` of ``span`` samples, with the largest jump between them.
+    """Settled steps: medians of the first and last ``side`` of ``span`` samples, at the sample before the largest jump between them.
 
     Evaluated at every sample that ends a whole span; both sides must be settled.
     """
@@ -24,7 +24,7 @@ def edges(df: DataFrame, side: int, span: int, key: str = "rid", order: str = "i
     last, first = w.rowsBetween(-(side - 1), 0), w.rowsBetween(-(span - 1), -(span - side))
     half = lambda c, f: F.percentile(F.col(c), F.lit(0.5)).over(f)
     jump = F.abs(F.col("p") - F.lag("p").over(w))
-    df = df.withColumn("_jump", F.struct(jump.alias("d"), (-F.col(order)).alias("o")))
+    df = df.withColumn("_jump", F.struct(jump.alias("d"), (-F.lag(order).over(w)).alias("o")))
     out = df.withColumns({
         "n": F.count("*").over(w.rowsBetween(-(span - 1), 0)),
         "p0": half("p", first), "p1": half("p", last), "q0": half("q", first), "q1": half("q", last),

@@ -19,9 +19,9 @@ def phase_sums(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def harmonic_sums(parts: DataFrame, keys: list[str], mag: str = "mag", ang: str = "ang") -> DataFrame:
     """Spectra added as complex vectors by order: magnitude and angle arrays."""
-    rows = parts.select(*keys, F.posexplode(F.arrays_zip(F.col(mag).alias("m"), F.col(ang).alias("a"))).alias("k", "h"))
-    sums = rows.groupBy(*keys, "k").agg(F.sum(F.col("h.m") * F.cos("h.a")).alias("re"), F.sum(F.col("h.m") * F.sin("h.a")).alias("im"))
-    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", F.hypot("re", "im").alias("m"), F.atan2("im", "re").alias("a")))).alias("_h"))
+    rows = parts.select(*keys, F.posexplode(F.arrays_zip(F.col(mag).alias("m"), F.col(ang).alias("a"))).alias("_k", "_h"))
+    sums = rows.groupBy(*keys, "_k").agg(F.sum(F.col("_h.m") * F.cos("_h.a")).alias("_re"), F.sum(F.col("_h.m") * F.sin("_h.a")).alias("_im"))
+    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", F.hypot("_re", "_im").alias("m"), F.atan2("_im", "_re").alias("a")))).alias("_h"))
     return packed.select(*keys, F.transform("_h", lambda h: h["m"]).alias("mag"), F.transform("_h", lambda h: h["a"]).alias("ang"))
 
 

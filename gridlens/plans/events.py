@@ -13,9 +13,9 @@ from gridlens.plans.fixtures import contributions, predictions, readings
 from gridlens.plans.registry import query
 
 SIDE, SPAN = 2, 6
-_EDGES = f"""x AS (SELECT *, abs(p - lag(p) OVER (PARTITION BY rid ORDER BY i)) AS jump FROM readings),
+_EDGES = f"""x AS (SELECT *, abs(p - lag(p) OVER (PARTITION BY rid ORDER BY i)) AS jump, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM readings),
     y AS (SELECT *, count(*) OVER w AS n, quantile_cont(p, 0.5) OVER a AS p0, quantile_cont(p, 0.5) OVER b AS p1, quantile_cont(q, 0.5) OVER a AS q0, quantile_cont(q, 0.5) OVER b AS q1,
-    stddev_pop(p) OVER a AS s0, stddev_pop(p) OVER b AS s1, max(struct_pack(d := jump, o := -i)) OVER m AS j FROM x WINDOW w AS (PARTITION BY rid ORDER BY i ROWS BETWEEN {SPAN - 1} PRECEDING AND CURRENT ROW),
+    stddev_pop(p) OVER a AS s0, stddev_pop(p) OVER b AS s1, max(struct_pack(d := jump, o := -before)) OVER m AS j FROM x WINDOW w AS (PARTITION BY rid ORDER BY i ROWS BETWEEN {SPAN - 1} PRECEDING AND CURRENT ROW),
     a AS (PARTITION BY rid ORDER BY i ROWS BETWEEN {SPAN - 1} PRECEDING AND {SPAN - SIDE} PRECEDING), b AS (PARTITION BY rid ORDER BY i ROWS BETWEEN {SIDE - 1} PRECEDING AND CURRENT ROW),
     m AS (PARTITION BY rid ORDER BY i ROWS BETWEEN {SPAN - SIDE - 2} PRECEDING AND {SIDE} PRECEDING)),
     edges AS (SELECT rid, i, -(j.o) AS "at", p1 - p0 AS dp, q1 - q0 AS dq, p1 AS p_after FROM y WHERE n = {SPAN} AND (abs(p1 - p0) >= 8 OR abs(q1 - q0) >= 16) AND s0 <= greatest(6, 0.05 * abs(p0)) AND s1 <= greatest(6, 0.05 * abs(p1)))"""

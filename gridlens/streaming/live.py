@@ -39,10 +39,8 @@ def settled_step(p: np.ndarray, q: np.ndarray, side: int) -> tuple[int, float, f
         return None
     if np.std(p[:side]) > max(SETTLED_W, SETTLED_SHARE * abs(p0)) or np.std(p[-side:]) > max(SETTLED_W, SETTLED_SHARE * abs(p1)):
         return None
-    jump = np.abs(np.diff(p))[1 : len(p) - side]
-    if not len(jump):
-        return None
-    return int(np.argmax(jump)) + 2, float(dp), float(dq), float(p1)
+    jump = np.abs(np.diff(p))[side : len(p) - side - 1]
+    return side + (int(np.argmax(jump)) if len(jump) else 0), float(dp), float(dq), float(p1)
 
 
 class EdgeTracker(StatefulProcessor):

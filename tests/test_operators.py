@@ -1,13 +1,12 @@
 """Operators against hand-made rows, NumPy, and their stated properties."""
 
 import math
+from datetime import datetime
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlens.functions import electrical as E
@@ -275,6 +274,6 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_late_rows_are_dropped(spark):
-    w = live.windowed(spark.createDataFrame([(1, pd.Timestamp("2026-01-01"), 1.0), (1, pd.Timestamp("2026-01-01 00:00:05"), 3.0)], "rid long, ts timestamp, p double"), "10 seconds", None, "1 minute")
+    w = live.windowed(spark.createDataFrame([(1, datetime(2026, 1, 1), 1.0), (1, datetime(2026, 1, 1, 0, 0, 5), 3.0)], "rid long, ts timestamp, p double"), "10 seconds", None, "1 minute")
     r = w.first()
     assert (r["n"], r["p_mean"], r["p_max"]) == (2, 2.0, 3.0)
