@@ -165,7 +165,8 @@ def i5_variant(spark, sf):
     return _chosen(spark, sf)
 
 
-@query("""WITH n AS (SELECT rid, count(*) AS n FROM readings GROUP BY rid) SELECT n.rid, s.sample, r.p FROM n, (SELECT unnest(range(0, 120)) AS sample) s JOIN readings r ON r.rid = n.rid AND r.i = s.sample % n.n""")
+@query("""WITH n AS (SELECT rid, count(*) AS n FROM readings GROUP BY rid), s AS (SELECT rid, n, unnest(range(0, 120)) AS sample FROM n)
+    SELECT s.rid, s.sample, r.p FROM s JOIN readings r ON r.rid = s.rid AND r.i = s.sample % s.n""")
 def i6_looped(spark, sf):
     r = readings(spark, sf).select("rid", "i", "p")
     chosen = r.select("rid").distinct().withColumn("scenario", F.lit(0))
