@@ -40,7 +40,7 @@ def _chunks(chunked: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least_lines: int = LEAST_LINES, scratch: Scratch | None = None) -> DataFrame:
-    """``(doc_id, n_lines, n_chunks, n_removed, n_removed_lines, text)`` for every row.
+    """``(doc_id, n_lines, n_removed (chunks), n_removed_lines, text)`` for every row.
 
     None of the joined sides is bounded, so all joins are sort-merge joins at any size. Chunk
     hashes are counted first; only chunks whose hash repeats are compared, byte for byte,
