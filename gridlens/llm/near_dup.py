@@ -10,7 +10,8 @@ Work is spent where it can still join classes. Neighbours in the sorted orders a
 first (the most similar one of each text); only regions that then still hold texts of several
 classes are compared text by text, and there only across classes and only against texts outside
 the region's main class. That second pass has no cap, so a region of any size is settled; pairs
-are left out only where the shingles that no other text has already rule a link out.
+are left out only where the shingles that no other text has already rule a link out. The joins
+that carry texts, signatures or sets are sort-merge joins at any size, as no side is bounded.
 """
 
 from __future__ import annotations
@@ -110,8 +111,8 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, cut: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(share[share >= cut])], names=["a", "b", "est"])
 
     return (
-        pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a")
+        .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
         .select("a", "b", "sa", "sb")
         .mapInArrow(run, "a long, b long, est double")
     )
@@ -134,8 +135,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     return (
         pairs.select("a", "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
+        .join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")).hint("merge"), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")).hint("merge"), "b")
         .select("a", "b", "xa", "xb")
         .mapInArrow(run, "a long, b long")
     )
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     base = scratch.write(_described(docs, id_col, text_col, size, trees * depth), "base")
     texts = scratch.write(base.where("k1 is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("id")), "texts")
-    sigs = scratch.write(base.where("k1 is not null").dropDuplicates(["id"]).join(texts.select("id"), "id", "left_semi").select("id", "sig"), "sigs")
+    sigs = scratch.write(base.where("k1 is not null").dropDuplicates(["id"]).join(texts.select("id").hint("merge"), "id", "left_semi").select("id", "sig"), "sigs")
 
     regions = _prefixes(sigs, trees, depth, least_depth)
     levels = [f"p{d}" for d in range(least_depth, depth + 1)]
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = scratch.write(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         .where("text is not null")
-        .join(inside, "id", "left_semi")
+        .join(inside.hint("merge"), "id", "left_semi")
         .mapInArrow(items, "id long, items binary")
         .dropDuplicates(["id"]),
         "sets",
