@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -36,6 +37,22 @@ def test_reworded_passages_and_odd_rows(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_paraphrases_at_the_least_coverage_are_found(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng, rows, want = random.Random(3), [], set()
+    vocab = [t for r in docs.orderBy("doc_id").limit(200).collect() for t in words(r["text"])]
+    for item in decontaminate.read_items(items, "item_id", "text"):
+        text = words(items.where(F.col("item_id") == item.item_id).first()["text"])
+        for share in (0.62, 0.66, 0.7, 0.74, 0.78):
+            # Words before the answer are replaced, so the rule of coverage and answer holds.
+            gone = set(rng.sample(range(len(text) - len(item.answer)), min(len(text) - len(item.answer), int(len(text) * (1 - share)))))
+            doc = 10**9 + len(rows)
+            rows.append((doc, " ".join([*rng.choices(vocab, k=rng.randrange(60, 140)), *(rng.choice(vocab) if k in gone else x for k, x in enumerate(text)), *rng.choices(vocab, k=100)])))
+            want.add((doc, item.item_id))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs.union(spark.createDataFrame(rows, docs.schema)), items).collect()}
+    assert len(want & got) >= 0.98 * len(want)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
