@@ -1,10 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides a block by where it stands
-(menus, headers, footers, asides, forms and boxes named as adverts, notices or comments are out;
-inside an article or main element it is in), and elsewhere by link density, length and stop-word
-density. Blocks too short or too plain to decide are left open; the second pass gives each the
-label of its nearest decided neighbour, kept on a tie between kept and dropped.
+(menus, headers, footers, asides, forms and boxes named as adverts, notices or comments are out),
+by link density, length and stop-word density. Standing in an article or main element is a strong
+feature beside these: it halves the stop-word density asked for, and where such elements hold most
+of the text, blocks elsewhere have to be long. A short article with a link in it is a card that
+leads to another page. Blocks too short or too plain to decide are left open; the second pass gives
+each the label of its nearest decided neighbour, in its own article if one is decided there, kept
+on a tie between kept and dropped.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 LEAST_CHARS, MOST_LINKS, LEAST_STOP = 60, 0.5, 0.12
+#: Characters of a long block.
+LONG = 5 * LEAST_CHARS
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -48,18 +53,19 @@ def _outside(tag: str, attributes: str) -> bool:
     return bool(names and not OUTSIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", names))) and tag not in ("html", "body") or bool(_HIDDEN.search(attributes))
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, stands outside, stands inside an article) of each block with text."""
+def blocks(page: str) -> Iterator[tuple[str, int, bool, int]]:
+    """(text, characters inside links, stands outside, number of the innermost article around it or 0) of each block with text."""
     open_tags: list[tuple[str, bool]] = []  # element, whether it stands outside
-    out_depth = in_depth = links = 0
+    out_depth = links = opened = 0
+    articles: list[int] = []
     parts: list[str] = []
     linked = at = 0
 
-    def close() -> Iterator[tuple[str, int, bool, bool]]:
+    def close() -> Iterator[tuple[str, int, bool, int]]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            yield text, linked, out_depth > 0, in_depth > 0
+            yield text, linked, out_depth > 0, articles[-1] if articles else 0
         parts, linked = [], 0
 
     def add(raw: str) -> None:
@@ -91,7 +97,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 if open_tags[k][0] == tag:
                     for name, outside in open_tags[k:]:
                         out_depth -= outside
-                        in_depth -= name in INSIDE
+                        if name in INSIDE:
+                            articles.pop()
                         links -= name == "a"
                     del open_tags[k:]
                     break
@@ -108,7 +115,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 if name == tag:
                     for other, outside in open_tags[k:]:
                         out_depth -= outside
-                        in_depth -= other in INSIDE
+                        if other in INSIDE:
+                            articles.pop()
                         links -= other == "a"
                     del open_tags[k:]
                     break
@@ -117,25 +125,38 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         outside = _outside(tag, m[3] or "")
         open_tags.append((tag, outside))
         out_depth += outside
-        in_depth += tag in INSIDE
+        if tag in INSIDE:
+            opened += 1
+            articles.append(opened)
         links += tag == "a"
     yield from close()
 
 
-def decide(text: str, linked: int, outside: bool, inside: bool, whole: bool) -> bool | None:
-    """First pass: in, out, or None where the block alone does not tell. ``whole``: the page marks its article."""
-    if outside:
+def decide(text: str, linked: int, outside: bool, article: bool, whole: bool) -> bool | None:
+    """First pass: in, out, or None where the block alone does not tell. ``whole``: articles hold most of the page's text."""
+    if outside or linked > MOST_LINKS * len(text):
         return False
-    if whole:
-        return inside
-    if linked > MOST_LINKS * len(text):
+    if whole and not article and len(text) < LONG:
         return False
     if len(text) < LEAST_CHARS:
         return None
     tokens = text.lower().split()
-    if sum(t.strip(".,;:!?") in _STOP for t in tokens) >= LEAST_STOP * len(tokens):
+    if sum(t.strip(".,;:!?") in _STOP for t in tokens) >= (LEAST_STOP / 2 if article else LEAST_STOP) * len(tokens):
         return True
-    return True if len(text) >= 5 * LEAST_CHARS and not linked else None
+    return True if len(text) >= LONG and not linked else None
+
+
+def cards(found: list[tuple[str, int, bool, int]]) -> set[int]:
+    """Numbers of short articles with a link in them, on pages that have a longer text."""
+    sizes: dict[int, int] = {}
+    linking = set()
+    for text, linked, outside, article in found:
+        if not outside:
+            sizes[article] = sizes.get(article, 0) + len(text) - linked
+            if linked:
+                linking.add(article)
+    most = max(sizes.values(), default=0)
+    return {k for k, n in sizes.items() if k and k in linking and n < LONG and n < most}
 
 
 def inherit(labels: list[bool | None]) -> list[bool]:
@@ -160,8 +181,22 @@ def inherit(labels: list[bool | None]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The main text of one page; blocks in page order, two line ends between them."""
     found = list(blocks(page or ""))
-    whole = any(inside and not outside for _, _, outside, inside in found)
-    kept = inherit([decide(*b, whole) for b in found])
+    card = cards(found)
+    found = [(text, linked, outside or article in card, article) for text, linked, outside, article in found]
+    first = [decide(text, linked, outside, article > 0, False) for text, linked, outside, article in found]
+    inside = sum(len(b[0]) for b in found if b[3] and not b[2])
+    elsewhere = sum(len(b[0]) for b, label in zip(found, first, strict=True) if label and not b[3])
+    if inside and inside >= elsewhere:
+        first = [decide(text, linked, outside, article > 0, True) for text, linked, outside, article in found]
+    if not any(first):  # nothing is sure: what stands open in an article stays
+        first = [True if label is None and b[3] else label for b, label in zip(found, first, strict=True)]
+    # An open block looks at its own article first, then at the whole page.
+    kept = inherit(first)
+    for k in {b[3] for b in found if b[3]}:
+        own = [i for i, b in enumerate(found) if b[3] == k and not b[2]]
+        if any(first[i] is not None for i in own):
+            for i, label in zip(own, inherit([first[i] for i in own]), strict=True):
+                kept[i] = label
     return "\n\n".join(text for (text, *_), keep in zip(found, kept, strict=True) if keep)
 
 

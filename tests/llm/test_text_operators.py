@@ -208,6 +208,17 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_main_text_weighs_articles_beside_links_and_length():
+    text = "The main text of the page stands here and it is as long as a paragraph that was written by one of us for all of you. " * 3
+    text = text.strip()
+    card = '<article><h2><a href="/x">Another story</a></h2><p>It is about the sea and the ships that were in the harbour.</p></article>'
+    assert html_extract.main_text(f"<div><p>{text}</p><p>Short end.</p></div><section>{card * 3}</section>") == f"{text}\n\nShort end."
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Story number {k} of the list</a></li>' for k in range(4)) + "</ul>"
+    assert html_extract.main_text(f"<article><h1>Title</h1><p>{text}</p><p>Short end.</p>{links}<p>{text}</p></article>") == f"Title\n\n{text}\n\nShort end.\n\n{text}"
+    assert html_extract.main_text(f"<p>{text}</p>{links}") == text
+    assert html_extract.main_text(f"<main><h1>Title</h1><article><p>{text}</p></article></main><div>Posted at noon</div>") == f"Title\n\n{text}"
+
+
 def test_extraction_of_all_pages(spark):
     import html
 
