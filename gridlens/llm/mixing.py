@@ -12,16 +12,17 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gridlens.llm import kernels as K
+from gridlens.llm.shared import Scratch
 
 TOPICS = 8
-#: Levels of source and language that are raked by name; all others are raked together as one level.
-LEVELS = {"source": 1023, "lang": 31}
-OTHER = "\x00other"
+AXES = ("source", "lang", "topic")
+#: Cells (present or not) that are fitted on the driver at most; more are fitted as tables, by the same arithmetic.
+DRIVER_CELLS = 1 << 18
 
 
 def with_topic(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> DataFrame:
@@ -44,11 +45,6 @@ def with_topic(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) ->
     return docs.mapInArrow(run, StructType([*schema.fields, StructField("mix_tokens", LongType()), StructField("mix_topic", IntegerType())]))
 
 
-def _named(col: str, levels: list[str]) -> Column:
-    plain = F.coalesce(F.col(col).cast("string"), F.lit(""))
-    return F.when(plain.isin(levels), plain).otherwise(F.lit(OTHER)) if levels else F.lit(OTHER)
-
-
 def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, close: float = 1e-9) -> np.ndarray:
     """Iterative proportional fitting of a non-negative table to one marginal of shares for each axis.
 
@@ -97,45 +93,98 @@ def tempered(tokens: np.ndarray, power: float) -> np.ndarray:
     return t / t.sum() if t.sum() else t
 
 
-def mix(docs: DataFrame, *, share: float = 0.5, powers: Mapping[str, float] | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, counted: DataFrame | None = None) -> DataFrame:
-    """All rows and columns, then ``mix_tokens``, ``mix_topic``, ``mix_chance`` and ``mix_drawn``.
-
-    Marginal targets are given by level in ``targets`` (``source``, ``lang``, ``topic``; levels
-    not named get none), or else are the present token shares to the power in ``powers`` (0.7,
-    0.5 and 0: topics even). Null source or language is the level ''. Levels beyond the 1,023
-    sources and 31 languages with the most tokens are raked together, so there are at most
-    1,024 * 32 * 8 cells, which is all that leaves Spark. A row is drawn by a hash of its id and
-    the seed, so equal ids are drawn alike and reruns agree.
-    """
-    powers = {"source": 0.7, "lang": 0.5, "topic": 0.0} | dict(powers or {})
-    described = with_topic(docs, text_col)
-    small = counted if counted is not None else described.select("source", "lang", "mix_topic", "mix_tokens")
-    cells = small.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("n"))
-    cells = cells.persist()
-    levels: dict[str, list[str]] = {}
-    for name, most in LEVELS.items():
-        ranked = cells.groupBy(name).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), name).limit(most)
-        levels[name] = sorted(r[name] for r in ranked.collect())
-    rows = cells.groupBy(_named("source", levels["source"]).alias("source"), _named("lang", levels["lang"]).alias("lang"), "topic").agg(F.sum("n").alias("n")).collect()
-    cells.unpersist()
-    names = [[*levels["source"], OTHER], [*levels["lang"], OTHER], list(range(TOPICS))]
+def rake_tables(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], powers: Mapping[str, float], share: float, scratch: Scratch, rounds: int = 500, close: float = 1e-9) -> DataFrame:
+    """(source, lang, topic, mix_chance): ``rake`` and ``probabilities`` for any number of cells, as grouped sums and joins."""
+    spark = cells.sparkSession
+    total = cells.agg(F.sum("n")).first()[0]
+    cells = cells.withColumn("w", F.col("n") / F.lit(float(total)))
+    for axis in AXES:
+        now = cells.groupBy(axis).agg(F.sum("n").alias("has"))
+        if targets.get(axis):
+            given = spark.createDataFrame([(str(k), float(v)) for k, v in targets[axis].items()], "level string, goal double")
+            goal = now.join(given, F.col(axis).cast("string") == F.col("level"), "left").select(axis, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        else:
+            goal = now.select(axis, F.pow(F.col("has").cast("double"), F.lit(float(powers[axis]))).alias("goal"))
+        goal = scratch.write(goal, f"goal_{axis}")
+        whole = goal.agg(F.sum("goal")).first()[0]
+        cells = cells.join(goal.select(axis, (F.col("goal") / F.lit(whole or 1.0)).alias(f"goal_{axis}")), axis)
+    at = scratch.write(cells, "round0")
+    for k in range(1, rounds + 1):
+        step = at.withColumn("far", F.lit(0.0))
+        for axis in AXES:
+            now = step.groupBy(axis).agg(F.sum("w").alias("now"))
+            step = step.join(now, axis)
+            step = step.withColumn("far", F.greatest("far", F.abs(F.col("now") - F.col(f"goal_{axis}")))).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col(f"goal_{axis}") / F.col("now")).otherwise(F.lit(0.0))).drop("now")
+            step = scratch.write(step, f"round{k}_{axis}")
+        scratch.drop(*([f"round{k - 1}_topic"] if k > 1 else ["round0"]), f"round{k}_source", f"round{k}_lang")
+        at = step.drop("far")
+        if step.agg(F.max("far")).first()[0] < close:
+            break
+    ratio = F.col("w") / F.col("n")
+    least = at.where("w > 0").agg(F.min(ratio)).first()[0]
+    if least is None or share <= 0:
+        return at.select(*AXES, F.lit(0.0).alias("mix_chance"))
+    low, high = 0.0, 1 / least
+    for _ in range(16):  # 32 steps at a time
+        steps = [low + (high - low) * (i + 1) / 32 for i in range(32)]
+        drawn = at.agg(*[F.sum(F.least(F.lit(1.0), F.lit(m) * ratio) * F.col("n")).alias(f"s{i}") for i, m in enumerate(steps)]).first()
+        i = next((i for i in range(32) if drawn[i] >= share * total), 31)
+        low, high = (steps[i - 1] if i else low), steps[i]
+    chance = F.lit(high) * ratio
+    return at.select(*AXES, F.when(chance > 1 - 1e-9, F.lit(1.0)).otherwise(chance).alias("mix_chance"))
+
+
+def rake_on_driver(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], powers: Mapping[str, float], share: float) -> DataFrame:
+    """As ``rake_tables``, for cells that are proven few."""
+    rows = cells.collect()
+    names = [sorted({r[axis] for r in rows}) for axis in AXES]
     index = [{x: i for i, x in enumerate(axis)} for axis in names]
     tokens = np.zeros([len(axis) for axis in names])
     for r in rows:
         tokens[index[0][r["source"]], index[1][r["lang"]], index[2][r["topic"]]] = r["n"]
     goals = []
-    for axis, name in enumerate(("source", "lang", "topic")):
+    for axis, name in enumerate(AXES):
         now = tokens.sum(axis=tuple(k for k in range(3) if k != axis))
-        given = (targets or {}).get(name)
+        given = targets.get(name)
         goals.append(np.array([float(given.get(str(x), 0)) for x in names[axis]]) if given else tempered(now, powers[name]))
     chance = probabilities(tokens, rake(tokens, goals), share)
     table = [(names[0][i], names[1][j], names[2][k], float(chance[i, j, k])) for i, j, k in zip(*np.nonzero(tokens), strict=True)]
-    chances = docs.sparkSession.createDataFrame(table, "mix_s string, mix_l string, mix_t int, mix_chance double")
+    return cells.sparkSession.createDataFrame(table, "source string, lang string, topic int, mix_chance double")
+
+
+def mix(docs: DataFrame, *, share: float = 0.5, powers: Mapping[str, float] | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, counted: DataFrame | None = None) -> DataFrame:
+    """All rows and columns, then ``mix_tokens``, ``mix_topic``, ``mix_chance`` and ``mix_drawn``.
+
+    Marginal targets are given by level in ``targets`` (``source``, ``lang``, ``topic``; levels
+    not named get none; a name that is no level of the rows is an error, unless there are no rows),
+    or else are the present token shares to the power in ``powers`` (0.7, 0.5 and 0: topics even).
+    Null source or language is the level ''. Every level has its own target, however many there
+    are: up to ``DRIVER_CELLS`` cells are fitted on the driver, more as tables. A row is drawn by a
+    hash of its id and the seed, so equal ids are drawn alike and reruns agree.
+    """
+    powers = {"source": 0.7, "lang": 0.5, "topic": 0.0} | dict(powers or {})
+    described = with_topic(docs, text_col)
+    small = counted if counted is not None else described.select("source", "lang", "mix_topic", "mix_tokens")
+    plain = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    cells = scratch.write(small.groupBy(plain("source").alias("source"), plain("lang").alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("n")), "cells")
+    targets = dict(targets or {})
+    if unknown := set(targets) - set(AXES):
+        raise ValueError(f"targets for no axis: {sorted(unknown)}")
+    axes = [cells.select(axis).distinct().count() for axis in AXES]
+    for axis, given in targets.items():
+        names = docs.sparkSession.createDataFrame([(str(x),) for x in given], "level string")
+        unknown = [r["level"] for r in names.join(cells.select(F.col(axis).cast("string").alias("level")).distinct(), "level", "left_anti").collect()] if axes[0] else []
+        if unknown:
+            raise ValueError(f"targets for no {axis} of the rows: {sorted(unknown)}")
+    few = int(np.prod(axes, dtype=object)) <= DRIVER_CELLS
+    chances = F.broadcast(rake_on_driver(cells, targets, powers, share)) if few else rake_tables(cells, targets, powers, share, scratch)
+    chances = chances.select(F.col("source").alias("mix_s"), F.col("lang").alias("mix_l"), F.col("topic").alias("mix_topic"), "mix_chance")
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return (
-        described.withColumn("mix_s", _named("source", levels["source"]))
-        .withColumn("mix_l", _named("lang", levels["lang"]))
-        .join(F.broadcast(chances.withColumnRenamed("mix_t", "mix_topic")), ["mix_s", "mix_l", "mix_topic"], "left")
+        described.withColumn("mix_s", plain("source"))
+        .withColumn("mix_l", plain("lang"))
+        .join(chances, ["mix_s", "mix_l", "mix_topic"], "left")
         .withColumn("mix_drawn", draw < F.coalesce("mix_chance", F.lit(0.0)))
         .select(*docs.columns, "mix_tokens", "mix_topic", "mix_chance", "mix_drawn")
     )

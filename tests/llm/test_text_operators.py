@@ -337,3 +337,23 @@ def test_mixture_draws_what_it_says(documents, odd, empty):
     assert abs((got.mix_tokens * got.mix_chance).sum() / got.mix_tokens.sum() - 0.5) < 1e-6
     assert mixing.mix(odd, share=0.5).count() == 11 and mixing.mix(empty, share=0.5).count() == 0
     assert mixing.mix(documents, share=1.0).where("not mix_drawn").count() == 0
+
+
+def test_every_source_has_its_own_target(spark):
+    rows = [(k, "a b " * (1 + k % 7), "en", f"site{k:04}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, share=0.1, powers={"source": 0.5}).toPandas()
+    drawn, want = got.mix_tokens * got.mix_chance, got.mix_tokens**0.5
+    assert np.allclose(drawn / drawn.sum(), want / want.sum(), atol=1e-7)
+    named = mixing.mix(docs, share=0.0002, targets={"source": {"site0000": 3.0, "site1199": 1.0}}).toPandas().set_index("source")
+    drawn = named.mix_tokens * named.mix_chance
+    assert np.isclose(drawn["site0000"], 3 * drawn["site1199"]) and np.isclose(drawn.sum(), 0.0002 * named.mix_tokens.sum())
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"source": {"nowhere": 1.0}})
+
+
+def test_tables_rake_as_the_driver_does(documents, monkeypatch):
+    want = mixing.mix(documents, share=0.5).toPandas().set_index("doc_id").mix_chance
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    got = mixing.mix(documents, share=0.5).toPandas().set_index("doc_id").mix_chance
+    assert np.allclose(got.sort_index(), want.sort_index(), atol=1e-6)
