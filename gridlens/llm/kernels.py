@@ -1,8 +1,9 @@
 """Array kernels over Arrow string batches: words, word hashes, shingles.
 
-They run inside Spark tasks on slices of about a quarter of a megabyte of text, so a worker's memory does not
-depend on how many rows or how long a document a batch holds (a document longer than a slice is
-a slice of its own). All hashes are 64-bit and depend on content alone.
+They run inside Spark tasks on slices of about a quarter of a megabyte of text, so a worker's memory
+does not depend on how many rows a batch holds. A document longer than a slice is a slice of its own,
+and its bytes are worked through in blocks of a megabyte: what is kept of it is its text and 16 bytes
+for each word. All hashes are 64-bit and depend on content alone.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 18
+SLICE_BYTES, BLOCK_BYTES = 1 << 18, 1 << 20
 
 _U = np.uint64
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -35,12 +36,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, dtype=_U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse; tables of the usual block size are kept, longer ones (for a longer word) are not."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(max(n, BLOCK_BYTES // 2), base, dtype=_U)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= 2 * BLOCK_BYTES:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 @dataclass
@@ -82,31 +88,61 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches of about ``BLOCK_BYTES`` that cut no word."""
+    at = 0
+    while at < len(data):
+        end = at + BLOCK_BYTES
+        if end < len(data):
+            next_text = int(offsets[np.searchsorted(offsets, end)])
+            while end < next_text:
+                gap = np.flatnonzero(_IS_SPACE[data[end : min(end + 4096, next_text)]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(end + 4096, next_text)
+        end = min(end, len(data))
+        yield at, end
+        at = end
+
+
 def words(texts: pa.Array, latin: bool = False) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z (``latin``: and the capitals from U+00C0 to U+00DE) lower-cased before hashing."""
-    data, offsets = raw_bytes(texts)
-    data = _LOWER[data]
-    if latin:
-        after = np.flatnonzero(data[:-1] == 0xC3) + 1
-        low = data[after]
-        data[after] = np.where((low >= 0x80) & (low <= 0x9E) & (low != 0x97), low + 0x20, low)
-    n = len(data)
-    inside = ~_IS_SPACE[data]
-    first = np.zeros(n + 1, dtype=bool)
-    first[offsets] = True
-    before = np.empty(n, dtype=bool)
-    before[1:] = inside[:-1]
-    before[:1] = False
-    starts = np.flatnonzero(inside & (~before | first[:n]))
-    after = np.empty(n, dtype=bool)
-    after[:-1] = inside[1:]
-    after[n - 1 :] = False
-    ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum(_BYTE_CODE[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets, hashes)
+    raw, offsets = raw_bytes(texts)
+    whole = np.empty_like(raw)
+    kind = np.int32 if len(raw) < 2**31 else np.int64
+    parts: tuple[list, list, list] = ([], [], [])
+    for low_end, high_end in _blocks(raw, offsets):
+        data = _LOWER[raw[low_end:high_end]]
+        if latin:
+            after = np.flatnonzero(data[:-1] == 0xC3) + 1
+            low = data[after]
+            data[after] = np.where((low >= 0x80) & (low <= 0x9E) & (low != 0x97), low + 0x20, low)
+        whole[low_end:high_end] = data
+        n = len(data)
+        inside = ~_IS_SPACE[data]
+        first = np.zeros(n + 1, dtype=bool)
+        first[offsets[np.searchsorted(offsets, low_end) : np.searchsorted(offsets, high_end, "right")] - low_end] = True
+        before = np.empty(n, dtype=bool)
+        before[1:] = inside[:-1]
+        before[:1] = False
+        starts = np.flatnonzero(inside & (~before | first[:n]))
+        after = np.empty(n, dtype=bool)
+        after[:-1] = inside[1:]
+        after[n - 1 :] = False
+        ends = np.flatnonzero(inside & (~after | first[1:])) + 1
+        up, down = _power_tables(n + 1)
+        sums = np.zeros(n + 1, dtype=_U)
+        np.cumsum(_BYTE_CODE[data] * up[:n], out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+        for held, found in zip(parts, ((starts + low_end).astype(kind), (ends + low_end).astype(kind), hashes), strict=True):
+            held.append(found)
+    joined = []
+    for held, t in zip(parts, (kind, kind, _U), strict=True):
+        joined.append(held[0] if len(held) == 1 else np.concatenate(held) if held else np.zeros(0, t))
+        held.clear()
+    starts, ends, hashes = joined
+    return Words(whole, starts, ends, np.searchsorted(starts, offsets), offsets, hashes)
 
 
 def shingles(w: Words, size: int) -> list[np.ndarray]:
