@@ -280,38 +280,47 @@ def test_rules_match_brute_force(spark, documents, odd, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
-def test_kneser_ney_matches_brute_force(spark, odd, empty):
+def test_kneser_ney_matches_brute_force(spark, odd, empty, monkeypatch):
     from collections import Counter, defaultdict
     from math import isclose, log10
 
+    monkeypatch.setattr(kneser_ney, "RANGE", 5_000)  # many ranges, and pairs that spread over several
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    text = {r["doc_id"]: words(r["text"]) + ["\0"] for r in docs.collect()}
+    text = {r["doc_id"]: ["<s>", "<s>", *words(r["text"]), "\0"] for r in docs.collect()}
     train = [i for i in text if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni = Counter(w for i in train for w in text[i])
-    pairs = Counter(p for i in train for p in zip(["<s>", *text[i][:-1]], text[i], strict=True))
+    uni = Counter(w for i in train for w in text[i][2:])
+    triples = Counter(t for i in train for t in zip(text[i], text[i][1:], text[i][2:], strict=False))
+    pairs = Counter((y, z) for _, y, z in triples)  # words before a pair
+    left = Counter(z for _, z in pairs)
     n, v, types = sum(uni.values()), len(uni), len(pairs)
-    context, left = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (a, w), c in pairs.items():
-        context[a][0] += c
-        context[a][min(c, 3)] += 1
-        left[w] += 1
-    d, e = (kneser_ney.discounts([sum(c == j for c in x.values()) for j in (1, 2, 3, 4)]) for x in (pairs, left))
-    mass = sum(e[min(c, 3)] for c in left.values()) / types
-
-    def chance(a, w):
-        one = (left[w] - e[min(left[w], 3)]) / types + mass / (v + 1)
-        if a not in context:
-            return one
-        c, x = pairs[a, w], context[a]
-        return (c - d[min(c, 3)]) / x[0] + (d[1:] @ x[1:]) / x[0] * one
+
+    def follows(counts):
+        out = defaultdict(lambda: [0, 0, 0, 0])
+        for key, c in counts.items():
+            out[key[:-1]][0] += c
+            out[key[:-1]][min(c, 3)] += 1
+        return out
+
+    after_two, after_one = follows(triples), follows(pairs)
+    d1, d2, d3 = (kneser_ney.discounts([sum(c == j for c in x.values()) for j in (1, 2, 3, 4)]) for x in (left, pairs, triples))
+    mass = sum(d1[min(c, 3)] for c in left.values()) / types
+
+    def step(c, d, context, lower):
+        return (c - d[min(c, 3)]) / context[0] + (d[1:] @ context[1:]) / context[0] * lower
+
+    def chance(x, y, z):
+        p = (left[z] - d1[min(left[z], 3)]) / types + mass / (v + 1)
+        if (y,) in after_one:
+            p = step(pairs[y, z], d2, after_one[y,], p)
+        return step(triples[x, y, z], d3, after_two[x, y], p) if (x, y) in after_two else p
 
     for r in kneser_ney.corpus_scores(docs).collect():
         t = text[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in uni for w in t), n)
-        assert isclose(r["base_score"], sum(log10((uni[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert isclose(r["score"], sum(log10(chance(a, w)) for a, w in zip(["<s>", *t[:-1]], t, strict=True)), rel_tol=1e-9)
-    some = "the"
-    assert isclose(sum(chance(some, w) for w in uni) + chance(some, "never seen"), 1.0, rel_tol=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t) - 2, sum(w in uni for w in t[2:]), n)
+        assert isclose(r["base_score"], sum(log10((uni[w] + 1) / (n + v + 1)) for w in t[2:]), rel_tol=1e-9)
+        assert isclose(r["score"], sum(log10(chance(*g)) for g in zip(t, t[1:], t[2:], strict=False)), rel_tol=1e-9)
+    for x, y in (("<s>", "<s>"), next((x, y) for x, y, _ in triples), ("<s>", "never seen")):
+        assert isclose(sum(chance(x, y, w) for w in uni) + chance(x, y, "never seen"), 1.0, rel_tol=1e-9)
     got = kneser_ney.corpus_scores(odd).collect()
     assert len(got) == 11 and {r["n_tokens"] for r in got if r["doc_id"] in (3, 4, 5)} == {1} and all(np.isfinite(r["score"]) for r in got)
     assert kneser_ney.corpus_scores(empty).count() == 0
