@@ -40,8 +40,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> Data
         )
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    scratch.drop(*(f"{label}_{kind}{k}" for k in range(len(maps)) for kind in "eh"), f"{label}_e{len(maps)}")
     found = maps[0].select("node", F.col("to").alias("component"))
     for at in maps[1:]:
         later = at.select(F.col("node").alias("mid"), F.col("to").alias("next"))
         found = found.join(later, found["component"] == later["mid"], "left").select("node", F.coalesce("next", "component").alias("component"))
-    return scratch.write(found, f"{label}_done")
+    done = scratch.write(found, f"{label}_done")
+    scratch.drop(*(f"{label}_m{k}" for k in range(len(maps))))
+    return done
