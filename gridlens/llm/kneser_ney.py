@@ -31,7 +31,7 @@ _U = np.uint64
 #: Hashes that stand for the beginning and the end of a text; no word is empty, so none has the hash of no bytes by construction.
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5BD1E9955BD1E995)
 #: Distinct words a task holds before it hands them on, tokens whose trigrams it sorts at a time, tokens of a range.
-HELD, STREAM, RANGE = 3_000_000, (1 << 21) - 2, 3_000_000
+HELD, STREAM, RANGE = 1_000_000, (1 << 20) - 2, 1_500_000
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -280,7 +280,7 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", shard_bits:
             s = np.concatenate(held)
             held.clear()
             for at in range(0, len(s) - 2, STREAM):
-                distinct, local = np.unique(s[at : at + STREAM + 2], return_inverse=True)  # 21 bits at most
+                distinct, local = np.unique(s[at : at + STREAM + 2], return_inverse=True)  # at most 21 bits
                 local = local.astype(_U)
                 key = (local[1:-1] << _U(42) | local[:-2] << _U(21) | local[2:])[s[at + 2 : at + STREAM + 2] != begin]
                 key.sort()
