@@ -236,13 +236,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = scratch.write(_confirmed(tested, sets, percent), "links0")
     classes = connected_components(links, scratch, "cc0")
 
-    def with_class(df: DataFrame, col: str, out: str) -> DataFrame:
+    def with_class(df: DataFrame, classes: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(classes.select(F.col("node").alias(col), F.col("component").alias(out)).hint("merge"), col, "left").withColumn(out, F.coalesce(out, col))
 
-    placed = with_class(members.select("id", "base"), "id", "c")
+    def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        return with_class(with_class(pairs, classes, "a", "ca"), classes, "b", "cb").where("ca <> cb").select("a", "b")
+
+    # All other neighbours that still stand in different classes, before anything larger is asked.
+    more = apart(first.join(tested.hint("merge"), ["a", "b"], "left_anti"), classes)
+    links = scratch.write(links.union(_confirmed(more, sets, percent)), "links1")
+    classes = connected_components(links, scratch, "cc1")
+
+    placed = with_class(members.select("id", "base"), classes, "id", "c")
     mixed = placed.groupBy("base").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("base")
     open_texts = scratch.write(members.select("id", "base").join(mixed.hint("merge"), "base", "left_semi").select("id").distinct(), "open")
-    rare = scratch.write(with_class(_rare_shingles(sets.join(open_texts.hint("merge"), "id", "left_semi"), percent), "id", "c"), "rare")
+    rare = scratch.write(with_class(_rare_shingles(sets.join(open_texts.hint("merge"), "id", "left_semi"), percent), classes, "id", "c"), "rare")
     per = rare.groupBy("g", "c").agg(F.count("*").alias("m"))
     mixed = per.groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("g", "main")
     inner = scratch.write(rare.join(mixed.hint("merge"), "g"), "inner")
@@ -254,13 +262,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b"))
         .distinct()
     )
-    rest = _estimated(across.join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), sigs, cut)
-    open_pairs = scratch.write(first.join(tested.hint("merge"), ["a", "b"], "left_anti").union(rest), "pairs")
-
-    apart = with_class(with_class(open_pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    links = scratch.write(links.union(_confirmed(apart, sets, percent)), "links1")
-    scratch.drop("sets", "sigs", "members", "rare", "inner", "first", "pairs", "open", "tested", "links0")
-    classes = connected_components(links, scratch, "cc1")
+    rest = scratch.write(_estimated(across.join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), sigs, cut), "rest")
+    links = scratch.write(links.union(_confirmed(rest, sets, percent)), "links2")
+    scratch.drop("sets", "sigs", "members", "rare", "inner", "first", "rest", "open", "tested", "links0", "links1")
+    classes = connected_components(links, scratch, "cc2")
 
     named = scratch.write(texts.join(classes.withColumnRenamed("node", "k1").hint("merge"), "k1", "left").select("k1", "k2", "doc", F.coalesce("component", "k1").alias("class")), "named")
     least = named.groupBy("class").agg(F.min("doc").alias("component"))
@@ -271,5 +276,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")),
         "result",
     )
-    scratch.drop("base", "texts", "named", "links1")
+    scratch.drop("base", "texts", "named", "links2")
     return spark.read.schema(out.schema).parquet(scratch.path("result"))
