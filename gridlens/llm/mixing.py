@@ -1,14 +1,18 @@
 """Mixing to target weights: rake token weights to source, language and topic marginals, then sample.
 
-Token counts are added up for each cell (source, language, topic). Iterative proportional fitting
-scales the cells until every marginal has its target share; a document of a cell is then drawn
-with the cell's fitted tokens over its present ones. Cells that would need more than they have
-are taken whole, and the others are raised until the drawn tokens reach the wanted share.
+Topics are classes of documents by their words: each text's words of six bytes or more are summed
+into a signed sketch, weighted by how rare they are, and the sketches of all documents are put
+into classes by k-means on the sphere. Token counts are added up for each cell (source, language,
+topic). Iterative proportional fitting scales the cells until every marginal has its target share;
+a document of a cell is then drawn with the cell's fitted tokens over its present ones. Cells that
+would need more than they have are taken whole, and the others are raised until the drawn tokens
+reach the wanted share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,30 +23,118 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from gridlens.llm import kernels as K
 from gridlens.llm.shared import Scratch
 
-TOPICS = 8
+#: Topics, and the places of a text's sketch.
+TOPICS, PLACES = 8, 128
 AXES = ("source", "lang", "topic")
 #: Cells (present or not) that are fitted on the driver at most; more are fitted as tables, by the same arithmetic.
 DRIVER_CELLS = 1 << 18
 
 
-def with_topic(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> DataFrame:
-    """All columns, then ``mix_tokens`` (words and the end) and ``mix_topic``.
+@dataclass
+class Topics:
+    """Weights of the sketch's places, and the unit vector of each topic."""
 
-    The topic is the class, of ``topics`` hash classes, which most of the text's words of six
-    bytes or more fall into (the first on a tie, 0 without such words).
+    weights: np.ndarray
+    centres: np.ndarray
+
+    def of(self, sums: np.ndarray) -> np.ndarray:
+        """Topic of each sketch: the nearest by cosine, the first on a tie, 0 without words."""
+        return (sums * self.weights @ self.centres.T).round(9).argmax(axis=1).astype(np.int32)
+
+
+def _sketches(w: K.Words) -> np.ndarray:
+    """For each text, the signed counts of its words of six bytes or more by hash place."""
+    long = (w.ends - w.starts) >= 6
+    h = w.hashes[long]
+    place = w.text_of[long] * PLACES + (h >> np.uint64(40)).astype(np.int64) % PLACES
+    sign = 1.0 - 2.0 * ((h >> np.uint64(39)) & np.uint64(1)).astype(np.float64)
+    texts = len(w.bounds) - 1
+    return np.bincount(place, sign, texts * PLACES).reshape(texts, PLACES)
+
+
+def fresh(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """The names, each with as many underscores after it as make it a new one."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def learn_topics(docs: DataFrame, scratch: Scratch, text_col: str = "text", topics: int = TOPICS, rounds: int = 8) -> Topics:
+    """K-means over the sketches of all rows, by sums of whole numbers, so that reruns agree.
+
+    The sketches are written once (a byte a place); each round reads them and adds up one row for
+    each topic and task.
     """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch):
+                sums = _sketches(K.words(part.column("text")))
+                size = np.maximum(np.abs(sums).max(axis=1, keepdims=True), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.round(sums * (127 / np.maximum(size, 127))).astype(np.int8)], pa.binary())], names=["v"])
+
+    held = scratch.write(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(sketch, "v binary"), "sketches")
+
+    def rows(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("v").to_pylist()), np.int8).reshape(batch.num_rows, PLACES).astype(np.float64)
+
+    def added(step) -> list:
+        """The sums of ``step``'s (key, whole numbers) over all rows: as many keys as topics at most."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if batch.num_rows:
+                    for key, v in step(rows(batch)):
+                        total[key] = total.get(key, 0) + v
+            for key, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([v.tolist()], pa.list_(pa.int64()))], names=["key", "v"])
+
+        parts = held.mapInArrow(run, "key int, v array<long>").select("key", F.posexplode("v").alias("k", "x")).groupBy("key", "k").agg(F.sum("x").alias("x"))
+        out: dict[int, np.ndarray] = {}
+        for r in parts.collect():  # topics * PLACES rows
+            out.setdefault(r["key"], np.zeros(PLACES))[r["k"]] = r["x"]
+        return sorted(out.items())
+
+    found = dict(added(lambda x: [(0, (x != 0).sum(axis=0)), (1, np.full(PLACES, len(x)))]))
+    if not found:
+        return Topics(np.zeros(PLACES), np.zeros((topics, PLACES)))
+    weights = np.log((found[1] + 1) / (found[0] + 1)) + 0.1
+    model = None
+    for _ in range(rounds + 1):
+
+        def step(x: np.ndarray, model: Topics | None = model) -> list[tuple[int, np.ndarray]]:
+            v = x * weights
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            kind = np.abs(v).argmax(axis=1) % topics if model is None else model.of(x)
+            whole = np.round(v / np.maximum(norm, 1e-12) * (1 << 20)).astype(np.int64)
+            return [(int(k), whole[(kind == k) & (norm[:, 0] > 0)].sum(axis=0)) for k in np.unique(kind)]
+
+        centres = np.zeros((topics, PLACES))
+        for k, v in added(step):
+            centres[k] = v / max(float(np.sqrt((v * v).sum())), 1e-12)
+        if model is not None and np.abs(centres - model.centres).max() < 1e-6:
+            break
+        model = Topics(weights, centres)
+    scratch.drop("sketches")
+    return model
+
+
+def with_topic(docs: DataFrame, model: Topics, tokens: str, topic: str, text_col: str = "text") -> DataFrame:
+    """All columns, then the tokens (words and the end) and the topic."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, text_col):
                 w = K.words(part.column(text_col))
-                long = (w.ends - w.starts) >= 6
-                kind = (w.hashes[long] >> np.uint64(40)).astype(np.int64) % topics
-                votes = np.bincount(w.text_of[long] * topics + kind, minlength=part.num_rows * topics).reshape(-1, topics)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w.counts + 1), pa.array(votes.argmax(axis=1).astype(np.int32))], names=[*part.schema.names, "mix_tokens", "mix_topic"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w.counts + 1), pa.array(model.of(_sketches(w)))], names=[*part.schema.names, tokens, topic])
 
-    return docs.mapInArrow(run, StructType([*schema.fields, StructField("mix_tokens", LongType()), StructField("mix_topic", IntegerType())]))
+    return docs.mapInArrow(run, StructType([*schema.fields, StructField(tokens, LongType()), StructField(topic, IntegerType())]))
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, close: float = 1e-9) -> np.ndarray:
@@ -152,22 +244,26 @@ def rake_on_driver(cells: DataFrame, targets: Mapping[str, Mapping[str, float]],
     return cells.sparkSession.createDataFrame(table, "source string, lang string, topic int, mix_chance double")
 
 
-def mix(docs: DataFrame, *, share: float = 0.5, powers: Mapping[str, float] | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, counted: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, share: float = 0.5, powers: Mapping[str, float] | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
     """All rows and columns, then ``mix_tokens``, ``mix_topic``, ``mix_chance`` and ``mix_drawn``.
 
-    Marginal targets are given by level in ``targets`` (``source``, ``lang``, ``topic``; levels
-    not named get none; a name that is no level of the rows is an error, unless there are no rows),
-    or else are the present token shares to the power in ``powers`` (0.7, 0.5 and 0: topics even).
-    Null source or language is the level ''. Every level has its own target, however many there
+    Where the rows have a column of such a name already, it stays, and the new one gets an
+    underscore at its end. Marginal targets are given by level in ``targets`` (``source``,
+    ``lang``, ``topic``; levels not named get none; a name that is no level of the rows is an
+    error, unless there are no rows), or else are the present token shares to the power in
+    ``powers`` (0.7, 0.5 and 0: topics even). Null source or language is the level ''. Null and
+    empty texts have one token and topic 0. Every level has its own target, however many there
     are: up to ``DRIVER_CELLS`` cells are fitted on the driver, more as tables. A row is drawn by a
     hash of its id and the seed, so equal ids are drawn alike and reruns agree.
     """
     powers = {"source": 0.7, "lang": 0.5, "topic": 0.0} | dict(powers or {})
-    described = with_topic(docs, text_col)
-    small = counted if counted is not None else described.select("source", "lang", "mix_topic", "mix_tokens")
+    scratch = scratch or Scratch(docs.sparkSession, "mixing")
+    tokens, topic, chance, drawn, source, lang = fresh(["mix_tokens", "mix_topic", "mix_chance", "mix_drawn", "mix_s", "mix_l"], docs.columns)
     plain = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    scratch = Scratch(docs.sparkSession, "mixing")
-    cells = scratch.write(small.groupBy(plain("source").alias("source"), plain("lang").alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("n")), "cells")
+    model = learn_topics(docs, scratch, text_col)
+    described = with_topic(docs, model, tokens, topic, text_col)
+    small = with_topic(docs.select("source", "lang", F.col(text_col).alias("text")), model, "n", "topic")
+    cells = scratch.write(small.groupBy(plain("source").alias("source"), plain("lang").alias("lang"), "topic").agg(F.sum("n").alias("n")), "cells")
     targets = dict(targets or {})
     if unknown := set(targets) - set(AXES):
         raise ValueError(f"targets for no axis: {sorted(unknown)}")
@@ -179,12 +275,17 @@ def mix(docs: DataFrame, *, share: float = 0.5, powers: Mapping[str, float] | No
             raise ValueError(f"targets for no {axis} of the rows: {sorted(unknown)}")
     few = int(np.prod(axes, dtype=object)) <= DRIVER_CELLS
     chances = F.broadcast(rake_on_driver(cells, targets, powers, share)) if few else rake_tables(cells, targets, powers, share, scratch)
-    chances = chances.select(F.col("source").alias("mix_s"), F.col("lang").alias("mix_l"), F.col("topic").alias("mix_topic"), "mix_chance")
+    chances = chances.select(F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic), F.col("mix_chance").alias(chance))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return (
-        described.withColumn("mix_s", plain("source"))
-        .withColumn("mix_l", plain("lang"))
-        .join(chances, ["mix_s", "mix_l", "mix_topic"], "left")
-        .withColumn("mix_drawn", draw < F.coalesce("mix_chance", F.lit(0.0)))
-        .select(*docs.columns, "mix_tokens", "mix_topic", "mix_chance", "mix_drawn")
+        described.withColumns({source: plain("source"), lang: plain("lang")})
+        .join(chances, [source, lang, topic], "left")
+        .withColumn(drawn, draw < F.coalesce(F.col(chance), F.lit(0.0)))
+        .select(*docs.columns, tokens, topic, chance, drawn)
     )
+
+
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """The rows that ``mix`` draws, with their own columns."""
+    mixed = mix(docs, **options)
+    return mixed.where(F.col(mixed.columns[-1])).select(*docs.columns)

@@ -398,6 +398,43 @@ def test_every_source_has_its_own_target(spark):
         mixing.mix(docs, targets={"source": {"nowhere": 1.0}})
 
 
+def test_topics_come_from_the_words(spark):
+    rng = np.random.default_rng(4)
+    themes = [[f"theme{t}word{k}" for k in range(40)] for t in range(4)]
+    rows = [(i, " ".join([*rng.choice(themes[i % 4], 60), *(f"common{k}" for k in rng.integers(0, 30, 20))]), "en", "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, share=0.5).toPandas()
+    of = got.assign(theme=got.doc_id % 4).groupby("theme").mix_topic.agg(lambda x: x.value_counts(normalize=True).iloc[0])
+    main = got.assign(theme=got.doc_id % 4).groupby("mix_topic").theme.agg(lambda x: x.value_counts(normalize=True).iloc[0])
+    assert main.min() > 0.95 and of.min() > 0.3
+    again = mixing.mix(docs.repartition(7), share=0.5).toPandas().set_index("doc_id").mix_topic
+    assert (again.sort_index() == got.set_index("doc_id").mix_topic.sort_index()).all()
+
+
+def test_mixture_matches_brute_force_and_keeps_clashing_columns(spark, documents):
+    docs = documents.withColumn("mix_tokens", F.lit("mine")).withColumn("MIX_drawn", F.lit(3)).withColumn("n", F.lit(1))
+    got = mixing.mix(docs, share=0.3).toPandas()
+    assert list(got.columns[-4:]) == ["mix_tokens_", "mix_topic", "mix_chance", "mix_drawn_"] and set(got.mix_tokens) == {"mine"} and set(got.MIX_drawn) == {3}
+    cells = got.groupby(["source", "lang", "mix_topic"]).mix_tokens_.sum()
+    share = cells / cells.sum()
+    goals = []
+    for level, power in (("source", 0.7), ("lang", 0.5), ("mix_topic", 0.0)):
+        g = cells.groupby(level).sum() ** power
+        goals.append((level, g / g.sum()))
+    for _ in range(500):
+        for level, goal in goals:
+            share = share * (goal / share.groupby(level).sum()).reindex(share.index, level=level)
+    ratio, low, high = share / cells, 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (np.minimum(1, mid * ratio) * cells).sum() < 0.3 * cells.sum() else (low, mid)
+    want = got.set_index(["source", "lang", "mix_topic"]).index.map(np.minimum(1, high * ratio))
+    assert np.allclose(np.minimum(got.mix_chance, 1), want, atol=1e-6)
+    draw = np.array([(_x64((17).to_bytes(4, "little"), _x64(int(i).to_bytes(8, "little")) % 2**64)) % (1 << 30) / (1 << 30) for i in got.doc_id])
+    assert (got.mix_drawn_ == (draw < got.mix_chance)).all()
+    assert mixing.drawn(docs, share=0.3).columns == docs.columns
+
+
 def test_tables_rake_as_the_driver_does(documents, monkeypatch):
     want = mixing.mix(documents, share=0.5).toPandas().set_index("doc_id").mix_chance
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
