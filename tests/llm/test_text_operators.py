@@ -137,13 +137,55 @@ def test_quotes(spark):
     by = {(r["conv_id"], r["turn"]): r for r in got}
     assert len(got) == len(rows)
     assert by[1, 1]["parent_turn"] == 0 and by[1, 1]["text"] == "Fine." and by[1, 1]["n_passages"] == 1
-    assert by[1, 2]["parent_turn"] == 1 and by[1, 2]["depth"] == 2 and by[1, 2]["reply_path"] == "000000/000001/000002" and by[1, 2]["max_level"] == 2
+    assert by[1, 2]["parent_turn"] == 1 and by[1, 2]["depth"] == 2 and by[1, 2]["reply_path"] == "/".join(f"{k:019}" for k in (0, 1, 2)) and by[1, 2]["max_level"] == 2
     assert by[1, 2]["n_linked"] == 2 and by[1, 2]["n_quoted_lines"] == 3 and by[1, 2]["text"] == "Good!"
     assert by[1, 3]["parent_turn"] is None and by[1, 3]["depth"] == 0
     assert by[2, 0]["text"] is None and by[2, 1]["text"] == "" and by[3, 5]["n_linked"] == 0 and by[None, 0]["n_linked"] == 0
     assert quotes.quote_threads(df.limit(0)).count() == 0
 
 
+def test_quotes_of_the_given_conversations(spark, tmp_path):
+    """Replies made of the given turns: three levels, wrapped anew, 7-digit turns, a hot conversation; against DuckDB and the known parent."""
+    import textwrap
+
+    from compare import assert_same
+
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    given = [r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()]
+    rows, parent = [], {}
+    for conv, size in ((1, 60), (2, 5), (3, 4)):
+        said: list[str] = []
+        for k in range(size):
+            turn, own = 999_990 + k, given[len(rows)] if k != 3 else "Thanks a lot.\nI agree."
+            text = own
+            if k and rng.random() < 0.8:
+                up = int(rng.integers(0, k))
+                parent[conv, turn] = 999_990 + up
+                wrapped = [y for x in said[up].split("\n") for y in (textwrap.wrap(x, 50) if not x.startswith(">") and x.strip() else [x])]
+                kept = [x for x in wrapped if not x.startswith(">>>")]
+                text = "On Monday somebody wrote:\n" + "\n".join(f">{x}" if x.startswith(">") else f"> {x}" for x in kept) + "\n" + own
+            said.append("\n".join(x for x in text.split("\n") if not x.startswith("On Monday")))
+            rows.append((conv, turn, "user", text))
+    rows.append(rows[5])
+    path = str(tmp_path / "conversations.parquet")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(path)
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.quote_threads(df).collect()}
+    assert max(r["max_level"] for r in got.values()) >= 3 and sum(got[k]["parent_turn"] == up for k, up in parent.items()) >= 0.95 * len(parent)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    assert_same(quotes.quote_threads(df), con, quotes.SQL)
+
+
+def test_the_parent_is_the_message_that_holds_most_of_a_quote(spark):
+    greeting, b, c = "hello dear all of you in the group today and tomorrow", "the plan is to meet at noon by the old bridge then", "and bring a coat because the evening will be cold outside"
+    rows = [(1, 1, "a", f"{greeting}\n{b}"), (1, 5, "b", f"{greeting}\n{b}\n{c}"), (1, 7, "c", "> " + " ".join((greeting, b, c)) + "\nYes.")]
+    got = {r["turn"]: r for r in quotes.quote_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[7]["parent_turn"] == 5 and got[7]["n_passages"] == got[7]["n_linked"] == 1
+
+
 def _x64(data, seed=42):
     v = xxhash.xxh64_intdigest(data, seed)
     return v - 2**64 if v >= 2**63 else v
