@@ -6,8 +6,8 @@ by link density, length and stop-word density. Standing in an article or main el
 feature beside these: it halves the stop-word density asked for, and where such elements hold most
 of the text, blocks elsewhere have to be long. A short article with a link in it is a card that
 leads to another page. Blocks too short or too plain to decide are left open; the second pass gives
-each the label of its nearest decided neighbour, in its own article if one is decided there, kept
-on a tie between kept and dropped.
+each the label of its nearest decided neighbour, in the innermost box around it that has a decided
+block, kept on a tie between kept and dropped.
 """
 
 from __future__ import annotations
@@ -27,9 +27,17 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title".split())
+#: Of these the rest of the page is content where the end tag is missing; any other without one is ignored.
+RAW = frozenset("script style textarea title".split())
 OUTSIDE = frozenset("nav header footer aside form menu head dialog button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INSIDE = frozenset("article main".split())
+#: Elements whose blocks belong together.
+BOXES = frozenset("article body center div main section td".split())
+#: Elements that hold the page or the article: their names say what else stands there, not what they are.
+HOLDERS = frozenset("html body article main".split())
+#: First parts of names that say what is missing or beside: ``no-comments``, ``with-sidebar``.
+BESIDE = frozenset("no non not with without has have is hide hidden".split())
 #: Class, id or role words of boxes outside the main text.
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
@@ -49,23 +57,43 @@ def _outside(tag: str, attributes: str) -> bool:
         return True
     if not attributes.strip():
         return False
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-    return bool(names and not OUTSIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", names))) and tag not in ("html", "body") or bool(_HIDDEN.search(attributes))
+    if _HIDDEN.search(attributes):
+        return True
+    if tag in HOLDERS:
+        return False
+    for name in " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if parts and parts[0] not in BESIDE and not OUTSIDE_NAMES.isdisjoint(parts):
+            return True
+    return False
+
+
+def _after(page: str, tag: str, at: int) -> int:
+    """Where the content of an element without text ends: after its own end tag, those of elements of its kind inside it passed over."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif not m[2] and tag not in RAW:
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page) if tag in RAW else at
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool, int]]:
-    """(text, characters inside links, stands outside, number of the innermost article around it or 0) of each block with text."""
-    open_tags: list[tuple[str, bool]] = []  # element, whether it stands outside
+def blocks(page: str) -> Iterator[tuple[str, int, bool, int, tuple[int, ...]]]:
+    """(text, characters inside links, stands outside, number of the innermost article around it or 0, numbers of the boxes around it) of each block with text."""
+    open_tags: list[tuple[str, bool, int]] = []  # element, whether it stands outside, number if it is a box
     out_depth = links = opened = 0
     articles: list[int] = []
     parts: list[str] = []
     linked = at = 0
 
-    def close() -> Iterator[tuple[str, int, bool, int]]:
+    def close() -> Iterator[tuple[str, int, bool, int, tuple[int, ...]]]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            yield text, linked, out_depth > 0, articles[-1] if articles else 0
+            yield text, linked, out_depth > 0, articles[-1] if articles else 0, tuple(x for _, _, x in open_tags if x)
         parts, linked = [], 0
 
     def add(raw: str) -> None:
@@ -95,7 +123,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, int]]:
         if m[1]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
-                    for name, outside in open_tags[k:]:
+                    for name, outside, _ in open_tags[k:]:
                         out_depth -= outside
                         if name in INSIDE:
                             articles.pop()
@@ -104,8 +132,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, int]]:
                     break
             continue
         if tag in NO_TEXT:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if not (m[3] or "").endswith("/") or tag in RAW:
+                at = _after(page, tag, at)
             continue
         if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK_TAGS:
             continue
@@ -113,7 +141,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, int]]:
             for k in range(len(open_tags) - 1, -1, -1):
                 name = open_tags[k][0]
                 if name == tag:
-                    for other, outside in open_tags[k:]:
+                    for other, outside, _ in open_tags[k:]:
                         out_depth -= outside
                         if other in INSIDE:
                             articles.pop()
@@ -123,10 +151,10 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, int]]:
                 if name in BLOCK_TAGS and name != "p":
                     break
         outside = _outside(tag, m[3] or "")
-        open_tags.append((tag, outside))
+        opened += 1
+        open_tags.append((tag, outside, opened if tag in BOXES else 0))
         out_depth += outside
         if tag in INSIDE:
-            opened += 1
             articles.append(opened)
         links += tag == "a"
     yield from close()
@@ -146,11 +174,11 @@ def decide(text: str, linked: int, outside: bool, article: bool, whole: bool) ->
     return True if len(text) >= LONG and not linked else None
 
 
-def cards(found: list[tuple[str, int, bool, int]]) -> set[int]:
+def cards(found: list[tuple]) -> set[int]:
     """Numbers of short articles with a link in them, on pages that have a longer text."""
     sizes: dict[int, int] = {}
     linking = set()
-    for text, linked, outside, article in found:
+    for text, linked, outside, article, _ in found:
         if not outside:
             sizes[article] = sizes.get(article, 0) + len(text) - linked
             if linked:
@@ -182,21 +210,31 @@ def main_text(page: str | None) -> str:
     """The main text of one page; blocks in page order, two line ends between them."""
     found = list(blocks(page or ""))
     card = cards(found)
-    found = [(text, linked, outside or article in card, article) for text, linked, outside, article in found]
-    first = [decide(text, linked, outside, article > 0, False) for text, linked, outside, article in found]
+    found = [(text, linked, outside or article in card, article, boxes) for text, linked, outside, article, boxes in found]
+    first = [decide(text, linked, outside, article > 0, False) for text, linked, outside, article, _ in found]
     inside = sum(len(b[0]) for b in found if b[3] and not b[2])
     elsewhere = sum(len(b[0]) for b, label in zip(found, first, strict=True) if label and not b[3])
     if inside and inside >= elsewhere:
-        first = [decide(text, linked, outside, article > 0, True) for text, linked, outside, article in found]
-    if not any(first):  # nothing is sure: what stands open in an article stays
-        first = [True if label is None and b[3] else label for b, label in zip(found, first, strict=True)]
-    # An open block looks at its own article first, then at the whole page.
+        first = [decide(text, linked, outside, article > 0, True) for text, linked, outside, article, _ in found]
+    if not any(first):  # nothing is sure: what stands open in an article stays, or anywhere where no article does
+        marked = any(label is None and b[3] for b, label in zip(found, first, strict=True))
+        first = [True if label is None and (b[3] or not marked) else label for b, label in zip(found, first, strict=True)]
     kept = inherit(first)
-    for k in {b[3] for b in found if b[3]}:
-        own = [i for i, b in enumerate(found) if b[3] == k and not b[2]]
-        if any(first[i] is not None for i in own):
-            for i, label in zip(own, inherit([first[i] for i in own]), strict=True):
-                kept[i] = label
+    members: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if not b[2]:
+            for box in b[4]:
+                members.setdefault(box, []).append(i)
+    labels: dict[int, dict[int, bool]] = {}
+    for i, b in enumerate(found):
+        for box in reversed(b[4]) if first[i] is None else ():
+            if box not in labels:
+                own = members[box]
+                decided = any(first[k] is not None for k in own)
+                labels[box] = dict(zip(own, inherit([first[k] for k in own]), strict=True)) if decided else {}
+            if labels[box]:
+                kept[i] = labels[box][i]
+                break
     return "\n\n".join(text for (text, *_), keep in zip(found, kept, strict=True) if keep)
 
 
@@ -204,7 +242,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """``(page_id, url, text, n_chars)`` for every page; null and empty pages give an empty text.
 
     Pages are independent, so there is no shuffle. Broken markup never fails: unclosed elements
-    end with the page, stray end tags are ignored, a cut-off tag or comment ends the page.
+    end with the page (of those without text, only scripts, styles, titles and text areas; others
+    are ignored), stray end tags are ignored, a cut-off tag or comment ends the page.
     Repeated rows are extracted each; other columns are not read.
     """
 
