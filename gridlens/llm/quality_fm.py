@@ -165,11 +165,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, metadata: Sequence[str] = (), i
         .orderBy(F.xxhash64("id"), "id")
         .limit(max_labelled)
     )
-    rows = _selected(docs, id_col, "text", metadata).join(F.broadcast(chosen), "id").mapInArrow(run, "id long, y int, buckets binary, stats binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["buckets"])))
-    sets = [np.frombuffer(r["buckets"], np.uint16) for r in rows[:max_labelled]]
-    stats = np.array([np.frombuffer(r["stats"]) for r in rows[:max_labelled]]).reshape(len(sets), len(STATISTICS) + width)
-    return fit(sets, stats, np.array([float(r["y"] > 0) for r in rows[:max_labelled]]))
+    labelled = _selected(docs, id_col, "text", metadata).join(F.broadcast(chosen), "id").mapInArrow(run, "id long, y int, buckets binary, stats binary")
+    rows = labelled.orderBy(F.xxhash64("id"), "id", "buckets", "stats").limit(max_labelled).collect()  # ids may repeat among the documents
+    sets = [np.frombuffer(r["buckets"], np.uint16) for r in rows]
+    stats = np.array([np.frombuffer(r["stats"]) for r in rows]).reshape(len(sets), len(STATISTICS) + width)
+    return fit(sets, stats, np.array([float(r["y"] > 0) for r in rows]))
 
 
 def score(docs: DataFrame, machine: Machine, *, metadata: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
