@@ -170,6 +170,8 @@ def minimax_shards(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id",
     )
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in slot order within each file."""
-    sharded.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str) -> DataFrame:
+    """Cut the shards: one folder for each, rows in the order of their slots within each file. Returns the rows as they lie there."""
+    sharded.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sharded.schema if f.name != "shard")
+    return sharded.sparkSession.read.schema(f"{rest}, shard int").parquet(path).select(*sharded.columns)

@@ -298,6 +298,36 @@ def test_main_text_weighs_articles_beside_links_and_length():
     assert html_extract.main_text(f"<main><h1>Title</h1><article><p>{text}</p></article></main><div>Posted at noon</div>") == f"Title\n\n{text}"
 
 
+LONG_TEXT = ("It was the first of the days that they had all been waiting for in the house by the sea. " * 4).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<main class="content with-sidebar"><p>{LONG_TEXT}</p></main>', f'<article class="post no-comments"><p>{LONG_TEXT}</p></article>',
+        f"<article><svg/><p>{LONG_TEXT}</p></article>", f"<article><canvas id=c><p>{LONG_TEXT}</p></article>", f"<article><video src=x><p>{LONG_TEXT}</p></article>",
+        f"<article><svg><svg><text>label</text></svg><text>more</text></svg><p>{LONG_TEXT}</p></article>",
+        f'<body class="has-sidebar"><div class="body"><p>{LONG_TEXT}</p></div><div><article><a href=x>Another story</a></article></div></body>',
+        f'<article><p>{LONG_TEXT}</p></article><div class="ad-banner"><p>{LONG_TEXT}</p></div><script>x = "<p>{LONG_TEXT}</p>"',
+    ],
+)
+def test_nothing_else_is_dropped(page):
+    assert html_extract.main_text(page) == LONG_TEXT
+
+
+def test_pages_give_the_same_text_without_article_tags(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for r in pages:
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"])
+        assert html_extract.main_text(plain) == html_extract.main_text(r["html"])
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", f"<p>{LONG_TEXT}</p>"), (3, "u", f"<p>{LONG_TEXT}</p>" * 3000), (4, "u", "<p>" + "x" * 2_000_000)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))).collect()
+    assert sorted(r["n_chars"] for r in got) == sorted([0, 0, 0, len(LONG_TEXT), 3000 * (len(LONG_TEXT) + 2) - 2, 2_000_000])
+
+
 def test_extraction_of_all_pages(spark):
     import html
 
