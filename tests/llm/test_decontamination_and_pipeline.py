@@ -76,3 +76,24 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 def test_registered():
     assert sum(name.startswith("op") for name in queries.QUERIES) == 10 and set(queries.SQL) < set(queries.QUERIES)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, shared ids and clashing names pass every stage."""
+    text = " ".join(f"word{k} of the text" for k in range(40))
+    rows = [(1, text, "en", "a", 10), (1, text, "en", "a", 10), (1, text + " and more of it", "en", "a", 10), (2, None, None, None, None), (None, text, "en", "a", 5), (3, "", "", "b", 0), (4, text, "de", "a", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("mix_tokens", "shard", "number", "id", "kept", "size"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        if name != "mixture":
+            docs = stage(spark, docs, folder)
+        else:
+            assert stage(spark, docs, folder).columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in docs.collect()) == sorted([(1, text), (1, text + " and more of it"), (-1, text), (2, ""), (3, "")])
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and 0 < out.count() <= 5
