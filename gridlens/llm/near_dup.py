@@ -31,8 +31,8 @@ from gridlens.llm.components import connected_components
 from gridlens.llm.shared import Scratch
 
 _U32 = np.uint32
-#: Texts that one task orders together; larger regions are ordered in parts.
-BLOCK = 4096
+#: Texts that one task orders together; larger regions are ordered in parts. Hash classes of the profiles that bound an intersection from above.
+BLOCK, CLASSES = 4096, 64
 
 
 def _minhash_factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +167,12 @@ def _regions(sigs: DataFrame, trees: int, depth: int, least: int, crowd: int) ->
 
 
 def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, g, n, i): of each set the shingles g that a near one must share one of, with their place i in the order by rarity, and its size n.
+    """(id, g, n, i, profile): of each set the shingles g that a near one must share one of, with their place i in the order by rarity, and its size n.
 
     A near set lacks at most n - ceil(percent * n / 100) of the n. Shingles that no other set has
-    come first and are never shared, so sets with too many of them have no row.
+    come first and are never shared, so sets with too many of them have no row. The profile
+    counts the shared ones by hash class: the sum over classes of two sets' smaller counts is
+    never less than their intersection.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +183,28 @@ def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
                     part = g[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(np.full(len(part), len(g))), pa.array(part)], names=["id", "n", "g"])
 
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                s, n = part.column("s"), part.column("n").to_numpy()
+                sizes = np.diff(s.offsets.to_numpy())
+                row = np.repeat(np.arange(len(n)), sizes)
+                k, g = (s.flatten().field(c).to_numpy() for c in ("k", "g"))
+                profile = np.bincount(row * CLASSES + g % CLASSES, minlength=len(n) * CLASSES).reshape(len(n), CLASSES)
+                order = np.lexsort((g, k, row))
+                place = (n - sizes)[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                most = n - (n * percent + 99) // 100 + 1
+                kept = np.flatnonzero(place < most[row])
+                of = row[kept]
+                flat = pa.array(profile[of].ravel().astype(np.int32))
+                profiles = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * CLASSES), flat)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(of)), pa.array(g[order][kept]), pa.array(n[of]), pa.array(place[kept]), profiles], names=["id", "g", "n", "i", "profile"])
+
     rows = sets.mapInArrow(run, "id long, n long, g long")
     often = rows.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    shared = rows.join(often.hint("merge"), "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "g"))).alias("s"))
-    alone = F.col("n") - F.size("s")
-    most = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - alone
-    return shared.where(most > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("s", 1, most.cast("int"))).alias("k", "x")).select("id", F.col("x.g").alias("g"), "n", (F.col("k") + F.col("alone")).alias("i"))
+    shared = rows.join(often.hint("merge"), "g").groupBy("id", "n").agg(F.collect_list(F.struct("k", "g")).alias("s"))
+    return shared.mapInArrow(chosen, "id long, g long, n long, i long, profile array<int>")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, least_depth: int = 4, crowd: int = 16, scratch: Scratch | None = None) -> DataFrame:
@@ -254,11 +272,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     per = rare.groupBy("g", "c").agg(F.count("*").alias("m"))
     mixed = per.groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("g", "main")
     inner = scratch.write(rare.join(mixed.hint("merge"), "g"), "inner")
-    stray = inner.where("c <> main").select("g", F.col("id").alias("s"), F.col("c").alias("sc"), F.col("n").alias("sn"), F.col("i").alias("si"))
+    stray = inner.where("c <> main").select("g", F.col("id").alias("s"), F.col("c").alias("sc"), F.col("n").alias("sn"), F.col("i").alias("si"), F.col("profile").alias("sp"))
+    possible = lambda common: 100 * common >= percent * (F.col("sn") + F.col("n") - common)
+    common = F.aggregate(F.zip_with("sp", "profile", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
     most = F.least(F.col("sn") - F.col("si"), F.col("n") - F.col("i"))
     across = (
         stray.join(inner.hint("merge"), "g")
-        .where((F.col("c") != F.col("sc")) & ((F.col("c") == F.col("main")) | (F.col("s") < F.col("id"))) & (100 * most >= percent * (F.col("sn") + F.col("n") - most)))
+        .where((F.col("c") != F.col("sc")) & ((F.col("c") == F.col("main")) | (F.col("s") < F.col("id"))) & possible(most) & possible(common))
         .select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b"))
         .distinct()
     )
