@@ -16,6 +16,15 @@ def by_sample(key: str = KEY, order: str = ORDER) -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
+def _before(key: str, order: str) -> WindowSpec:
+    return by_sample(key, order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _after(key: str, order: str) -> WindowSpec:
+    """All later rows, walked from the last one back: a frame that only grows costs one step a row, one that shrinks all of them."""
+    return Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def with_halo(df: DataFrame, halo: int, size: int, order: str = ORDER) -> DataFrame:
     """Rows with ``chunk``, and copies of rows within ``halo`` of a chunk's edge in the chunk beside it (``extra``).
 
@@ -59,10 +68,9 @@ def impute_short_gaps(df: DataFrame, channel: str, out: str = "filled", max_gap:
 
     Adds ``out`` and ``gap`` (0: present, 1: filled, 2: left missing).
     """
-    back = by_sample(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = by_sample(key, order).rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = _before(key, order), _after(key, order)
     v, at = F.col(channel), F.when(F.col(channel).isNotNull(), F.col(order))
-    df = df.withColumns({"_v0": F.last(v, True).over(back), "_i0": F.last(at, True).over(back), "_v1": F.first(v, True).over(ahead), "_i1": F.first(at, True).over(ahead)})
+    df = df.withColumns({"_v0": F.last(v, True).over(back), "_i0": F.last(at, True).over(back), "_v1": F.last(v, True).over(ahead), "_i1": F.last(at, True).over(ahead)})
     short = v.isNull() & (F.col("_i1") - F.col("_i0") - 1 <= max_gap)
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(order) - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
     gap = F.when(v.isNotNull(), 0).when(F.coalesce(short, F.lit(False)), 1).otherwise(2)
@@ -106,11 +114,10 @@ def quality_report(df: DataFrame, channel: str, low: float, high: float, max_gap
 
 def estimated_times(df: DataFrame, good: Column, step_us: int, ts_us: str = "ts_us", key: str = KEY, order: str = ORDER) -> DataFrame:
     """Time of a failed poll: the nearest earlier good one plus whole steps, else the nearest later one minus them."""
-    back = by_sample(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = by_sample(key, order).rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = _before(key, order), _after(key, order)
     t, at = F.when(good, F.col(ts_us)), F.when(good, F.col(order))
     before = F.last(t, True).over(back) + (F.col(order) - F.last(at, True).over(back)) * step_us
-    after = F.first(t, True).over(ahead) - (F.first(at, True).over(ahead) - F.col(order)) * step_us
+    after = F.last(t, True).over(ahead) - (F.last(at, True).over(ahead) - F.col(order)) * step_us
     return df.withColumn("ts_est_us", F.coalesce(before, after))
 
 

@@ -92,7 +92,7 @@ class Claims:
 
     def edge(self, t: float, dp: float, family: str | None, confidence: float | None) -> str | None:
         """Apply an edge; the device that it switched, if any."""
-        if dp >= 0:
+        if dp > 0:
             if family is None or confidence is None or confidence < self.least:
                 return None
             self.on[family] = (abs(dp), confidence, t)
@@ -100,25 +100,28 @@ class Claims:
             return family
         name = family if family in self.on else None
         if name is None:
-            fits = [(abs(w - abs(dp)), f) for f, (w, _, _) in self.on.items() if abs(w - abs(dp)) <= 0.35 * max(w, 20.0)]
-            name = min(fits)[1] if fits else None
+            # The claim whose watts explain the step best, in relation to them; the older one on a tie.
+            fits = {f: abs(abs(dp) - w) / max(w, 20.0) for f, (w, _, _) in self.on.items()}
+            best = min(fits, key=fits.get, default=None)
+            name = best if best is not None and fits[best] < 0.35 else None
         if name is not None:
             del self.on[name]
             self.held[name] = t + self.hold
+        elif family is not None:  # on before the first sample seen: kept off while the window still shows it
+            self.held[family] = t + self.hold
         return name
 
     def reconcile(self, t: float, power: float) -> list[str]:
-        """Drop the least certain older claims while they exceed the power; forget past holds."""
-        dropped = []
-        while sum(w for w, _, _ in self.on.values()) > power + max(30.0, 0.1 * abs(power)):
-            old = [(c, f) for f, (_, c, since) in self.on.items() if t - since > 6]
-            if not old:
-                break
-            name = min(old)[1]
-            del self.on[name]
-            dropped.append(name)
+        """Forget past holds; drop the least certain claims of 6 s or older while all claims exceed the power."""
         self.held = {f: until for f, until in self.held.items() if until > t}
-        return dropped
+        dropped = []
+        while True:
+            claimed = sum(w for w, _, _ in self.on.values())
+            old = {f: c for f, (_, c, since) in self.on.items() if t - since >= 6}
+            if not old or claimed <= power + max(30.0, 0.1 * claimed):
+                return dropped
+            dropped.append(min(old, key=old.get))
+            del self.on[dropped[-1]]
 
 
 def claims(matched: DataFrame, key: str = "rid", at: str = "at") -> DataFrame:
@@ -131,7 +134,7 @@ def claims(matched: DataFrame, key: str = "rid", at: str = "at") -> DataFrame:
             name = state.edge(float(getattr(r, at)), r.dp, family, r.confidence if family else None)
             dropped = state.reconcile(float(getattr(r, at)), r.p_after)
             if name:
-                rows.append((getattr(r, key), getattr(r, at), "on" if r.dp >= 0 else "off", name, abs(r.dp)))
+                rows.append((getattr(r, key), getattr(r, at), "on" if r.dp > 0 else "off", name, abs(r.dp)))
             rows += [(getattr(r, key), getattr(r, at), "dropped", f, 0.0) for f in dropped]
         return pd.DataFrame(rows, columns=[key, at, "kind", "device", "watts"])
 
@@ -192,13 +195,77 @@ def islands(df: DataFrame, condition: Column, keys: list[str], order: str, at: s
     return runs.where(F.col("end") - F.col("start") >= least)
 
 
-def segments(df: DataFrame, off_w: float = 5.0, on_w: float = 8.0, key: str = "rid", order: str = "i") -> DataFrame:
-    """Lead, run and tail of a recording: before the first, between, and after the last sample above ``on_w``."""
-    whole = Window.partitionBy(key)
-    hot = F.when(F.abs("p") > on_w, F.col(order))
-    first, last = F.min(hot).over(whole), F.max(hot).over(whole)
+def segments(df: DataFrame, off_w: float = 5.0, on_w: float = 8.0, off_hold: int = 1, on_hold: int = 1, tail_hold: int = 1, key: str = "rid", order: str = "i") -> DataFrame:
+    """Lead, run and tail of a recording, each told by a power that holds.
+
+    The lead ends, and the run begins, at the first sample after at least ``off_hold`` quiet ones
+    (below ``off_w``) from which ``on_hold`` samples in a row are above ``on_w``; the tail begins
+    at the first of ``tail_hold`` quiet samples in a row after that. Without a run all is lead.
+    """
+    whole, w = Window.partitionBy(key), by_sample(key, order)
+    held = lambda c, n, ahead: F.min(c.cast("int")).over(w.rowsBetween(0, n - 1) if ahead else w.rowsBetween(-n, -1)) == 1
+    enough = lambda n, ahead: F.count("*").over(w.rowsBetween(0, n - 1) if ahead else w.rowsBetween(-n, -1)) == n
+    on, off = F.coalesce(F.abs("p") > on_w, F.lit(False)), F.coalesce(F.abs("p") < off_w, F.lit(False))
+    begins = held(on, on_hold, True) & enough(on_hold, True)
+    if off_hold:
+        quiet = F.max(F.when(held(off, off_hold, True) & enough(off_hold, True), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -off_hold))
+        begins = begins & (F.coalesce(quiet, F.lit(0)) == 1)
+    df = df.withColumn("_b", F.when(begins, F.col(order))).withColumn("_q", F.when(held(off, tail_hold, True) & enough(tail_hold, True), F.col(order)))
+    df = df.withColumn("_first", F.min("_b").over(whole))
+    df = df.withColumn("_tail", F.min(F.when(F.col("_q") > F.col("_first"), F.col("_q"))).over(whole))
+    first, last = F.col("_first"), F.coalesce(F.col("_tail") - 1, F.max(F.col(order)).over(whole))
     part = F.when(first.isNull() | (F.col(order) < first), "lead").when(F.col(order) > last, "tail").otherwise("run")
-    return df.withColumn("part", part).withColumn("quiet", F.abs("p") < off_w)
+    return df.withColumn("part", part).withColumn("quiet", F.abs("p") < off_w).drop("_b", "_q", "_first", "_tail")
+
+
+def switch_times(df: DataFrame, found: DataFrame, window: float, key: str = "rid", device: str = "device", at: str = "at", last: int = 12) -> DataFrame:
+    """On and off events of (key, device, at, state, claimed since): when each switched.
+
+    On: the claim's time; else the latest matching on-edge within ``window`` + 6 before, if it is
+    among the meter's last ``last`` events; else half a window before. Off: half a window before.
+    ``found`` holds on-edges (key, device, at). As-of by one union and one window.
+    """
+    moves = transitions(df, "state", [key, device], at).select(key, device, at, "state", "since")
+    marks = found.select(key, device, at).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(at, device)))
+    total = marks.select(key, F.lit(None).cast("string").alias(device), at, "_n")
+    last_n = as_of(moves, total, [key], at, "_n", "_seen")
+    edge = F.struct(F.col(at).alias("t"), F.col("_n").alias("n"))
+    matched = as_of(last_n, marks.withColumn("_e", edge), [key, device], at, "_e", "_edge")
+    near = (F.col(at) - F.col("_edge.t") < window + 6) & (F.col("_seen") - F.col("_edge.n") < last)
+    when = F.when(F.col("state") == 0, F.col(at) - window / 2).otherwise(F.coalesce("since", F.when(near, F.col("_edge.t")), F.col(at) - window / 2))
+    return matched.select(key, device, at, "state", when.cast("double").alias("switched"))
+
+
+def unknown_load(ticks: DataFrame, persist: float = 8.0, least_w: float = 30.0, share: float = 0.15, key: str = "rid", at: str = "at") -> DataFrame:
+    """Runs of ticks (key, at, total, residual, settling) whose residual stays above max(``least_w``, ``share`` of the total).
+
+    Ticks while settling never count. A run is reported once it has lasted ``persist``: when it
+    began, was detected, and was cleared (null: still there), and its last residual.
+    """
+    over = (F.abs("residual") > F.greatest(F.lit(least_w), share * F.abs("total"))) & ~F.coalesce("settling", F.lit(False))
+    w = Window.partitionBy(key).orderBy(at)
+    marked = ticks.withColumn("_c", F.coalesce(over, F.lit(False))).withColumn("_next", F.lead(at).over(w))
+    marked = marked.withColumn("_new", (F.col("_c") & ~F.coalesce(F.lag("_c").over(w), F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    first = F.min(at).over(Window.partitionBy(key, "_run"))
+    runs = marked.where("_c").withColumn("_first", first).groupBy(key, "_run", "_first")
+    runs = runs.agg(F.min(F.when(F.col(at) - F.col("_first") >= persist, F.col(at))).alias("detected"), F.max(F.struct(at, "_next", "residual")).alias("_last"))
+    return runs.where("detected is not null").select(key, F.col("_first").alias("since"), "detected", F.col("_last._next").alias("cleared"), F.col("_last.residual").alias("typical_w"))
+
+
+def snapshot(states: DataFrame, key: str = "rid", device: str = "device", at: str = "at", ticks: int = 420) -> tuple[DataFrame, DataFrame]:
+    """(devices, history) of (key, device, at, state, watts): what is on at each meter's last tick and since when; the last ``ticks`` ticks.
+
+    A device is on since the tick after its last one off.
+    """
+    now = F.max(at).over(Window.partitionBy(key))
+    mine = Window.partitionBy(key, device)
+    off = F.coalesce(F.max(F.when(F.col("state") == 0, F.col(at))).over(mine), F.lit(-(2**62)))
+    rows = states.withColumns({"_now": now, "_off": off})
+    since = F.min(F.when(F.col(at) > F.col("_off"), F.col(at)))
+    devices = rows.groupBy(key, device).agg(F.max(F.struct(at, "state", "watts")).alias("_x"), since.alias("since"), F.max("_now").alias("_now"))
+    devices = devices.where((F.col(f"_x.{at}") == F.col("_now")) & (F.col("_x.state") == 1)).select(key, device, "since", "_x.watts")
+    recent = states.select(key, at).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where(F.col("_r") <= ticks)
+    return devices, states.join(recent.select(key, at), [key, at], "left_semi")
 
 
 def latest(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:

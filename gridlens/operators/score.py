@@ -45,8 +45,8 @@ def mean_errors(df: DataFrame, actual: str, predicted: str, gate: str, family: s
 
 def set_accuracy(df: DataFrame, expected: str, key: str = "rid", family: str = "family", pred: str = "pred", share: float = 0.15) -> DataFrame:
     """Detected families (on in at least ``share`` of the windows) against the expected array, per recording."""
-    per = df.groupBy(key, family).agg((F.avg(pred) >= share).alias("found"), F.first(expected).alias("e"))
-    got = per.groupBy(key).agg(F.collect_set(F.when(F.col("found"), F.col(family))).alias("d"), F.first("e").alias("e"))
+    per = df.groupBy(key, family).agg((F.avg(pred) >= share).alias("found"), F.max(expected).alias("e"))
+    got = per.groupBy(key).agg(F.collect_set(F.when(F.col("found"), F.col(family))).alias("d"), F.max("e").alias("e"))
     hit, d, e = F.size(F.array_intersect("d", "e")), F.size("d"), F.size("e")
     precision, recall = F.coalesce(_ratio(hit, d), F.lit(0.0)), F.coalesce(_ratio(hit, e), F.lit(0.0))
     f1 = F.coalesce(_ratio(2.0 * hit, d + e), F.lit(0.0))
@@ -86,3 +86,40 @@ def live_score(df: DataFrame, keys: list[str], p: str = "p", truth: str = "truth
         F.sum(t * d).alias("tp"), F.sum((1 - t) * d).alias("fp"), F.sum(t * (1 - d)).alias("fn"), F.sum((1 - t) * (1 - d)).alias("tn"),
         F.avg((t == d).cast("int")).alias("accuracy"), F.avg(F.abs(F.col("p") - F.col("g"))).alias("mae"),
     )
+
+
+def label_score(df: DataFrame, expected: str, on_w: float = 5.0, key: str = "rid", win: str = "win", family: str = "family", pred: str = "pred", instant: str = "instant") -> DataFrame:
+    """Predicted device sets against the label's, at ticks where the power now exceeds max(10, ``on_w``): counts, F1 in three digits, ticks scored.
+
+    ``expected`` is an array, the same for all rows of a recording; a tick's power is its largest ``instant``.
+    """
+    ticks = df.groupBy(key, win).agg(F.collect_set(F.when(F.col(pred) == 1, F.col(family))).alias("d"), F.max(expected).alias("e"), F.max(F.abs(instant)).alias("_w"))
+    ticks = ticks.where(F.col("_w") > max(10.0, on_w))
+    size = lambda c: F.sum(F.size(c))
+    out = ticks.groupBy(key).agg(size(F.array_intersect("d", "e")).alias("tp"), size(F.array_except("d", "e")).alias("fp"), size(F.array_except("e", "d")).alias("fn"), F.count("*").alias("n"))
+    hit = 2.0 * F.col("tp")
+    return out.withColumn("f1", F.round(hit / F.greatest(F.lit(1.0), hit + F.col("fp") + F.col("fn")), 3))
+
+
+def family_truth(contributions: DataFrame, recordings: DataFrame, families: str, keys: list[str], key: str = "scenario", family: str = "family", p: str = "p", state: str = "state") -> DataFrame:
+    """(keys, family, p, on): power summed by family, on where any device's state is ``on`` (its magnitude above 3 W where it has none).
+
+    Recordings without contributions get a row for each family of their label, power and state unknown.
+    """
+    on = F.coalesce(F.col(state) == "on", F.abs(p) > 3)
+    known = contributions.groupBy(*keys, family).agg(F.sum(p).alias(p), F.bool_or(on).alias("on"))
+    rest = recordings.join(contributions.select(key), key, "left_anti").select(key, F.explode(families).alias(family)).distinct()
+    return known.unionByName(rest, allowMissingColumns=True)
+
+
+def timeline(df: DataFrame, families: list[str], total: str = "total", key: str = "rid", win: str = "win", family: str = "family", prob: str = "prob", pred: str = "pred", p: str = "p") -> DataFrame:
+    """A row per window: total, residual (total less what is on), then on, probability and watts of every family.
+
+    Watts of a family that is off are 0; watts have one digit and probabilities three, half up on the decimal value.
+    """
+    watts = lambda c: F.round(c.cast("decimal(18,4)"), 1).cast("double")
+    on = F.max(pred)
+    per = df.groupBy(key, win, family).agg(on.alias("on"), F.max(prob).alias("prob"), (F.sum(p) * on).alias("w"), F.max(total).alias("_t"))
+    at = lambda f, c: F.max(F.when(F.col(family) == f, F.col(c)))
+    wide = [x for k, f in enumerate(families, start=1) for x in (F.coalesce(at(f, "on"), F.lit(0)).alias(f"on_{k}"), F.round(at(f, "prob").cast("decimal(18,6)"), 3).cast("double").alias(f"prob_{k}"), watts(F.coalesce(at(f, "w"), F.lit(0.0))).alias(f"w_{k}"))]
+    return per.groupBy(key, win).agg(watts(F.max("_t")).alias("total"), watts(F.max("_t") - F.sum("w")).alias("residual"), *wide)

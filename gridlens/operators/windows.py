@@ -56,12 +56,22 @@ def window_thd(measured: Column, energy: Column, p: Column, q: Column) -> Column
 
 
 def aggregate_features(windows: DataFrame, key: str = "rid", phases: bool = True) -> DataFrame:
-    """Means, spread and derived values of each tumbling window; missing results become 0."""
+    """The fourteen means, spreads and derived values of each tumbling window; missing results become 0.
+
+    A measured power factor (``pf``) and distortion (``thd``) count where there are such columns;
+    the hour comes from ``ts_us`` or a column ``hour`` (hours since the recording's start).
+    """
     p, q = F.avg("p"), F.avg("q")
+    has, none = set(windows.columns), F.lit(None).cast("double")
+    given = F.when(F.hypot("p", "q") > 1e-6, F.col("p") / F.hypot("p", "q")).otherwise(1.0)
+    if "hour" not in has and "ts_us" in has:
+        windows = windows.withColumn("hour", hours_since_start(F.col("ts_us"), key))
+        has.add("hour")
     aggs = {
         "p_mean": p, "p_std": F.stddev_pop("p"), "p_min": F.min("p"), "p_max": F.max("p"), "q_mean": q,
         **{f"p{k}_mean": F.avg(f"p{k}") if phases else F.lit(0.0) for k in (1, 2, 3)},
-        "pf_mean": F.avg(F.when(F.hypot("p", "q") > 1e-6, F.col("p") / F.hypot("p", "q")).otherwise(1.0)), "q_std": F.stddev_pop("q"),
+        "pf_mean": F.avg(F.coalesce("pf", given) if "pf" in has else given), "thd_mean": F.avg(F.col("thd") if "thd" in has else none),
+        "hour_mean": F.avg(F.col("hour") if "hour" in has else none), "q_std": F.stddev_pop("q"),
         "qp": q / (F.abs(p) + 1e-6), "s": F.hypot(p, q),
     }
     return windows.groupBy(key, "win").agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in aggs.items()])

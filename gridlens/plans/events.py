@@ -100,32 +100,58 @@ def j13_residual(spark, sf):
     return r.select("scenario", "sample", F.round("residual", 5).alias("residual"), F.round("explained", 5).alias("explained"))
 
 
-_MOVES = "moves AS (SELECT rid, i, s FROM (SELECT rid, i, (p > 50)::INT AS s, coalesce(lag((p > 50)::INT) OVER (PARTITION BY rid ORDER BY i), 0) AS b FROM readings) WHERE s <> b)"
+#: Ticks of a meter: each event type is a device, on above 50 W; every third on-state has a claim five samples old.
+_STATE = "st AS (SELECT rid, event_type AS device, i AS \"at\", (p > 50)::INT AS state, CASE WHEN p > 50 AND i % 3 = 0 THEN (i - 5)::DOUBLE END AS since, p AS watts FROM readings)"
+_STATE_EDGES = "ev AS (SELECT rid, event_type AS device, i AS \"at\" FROM readings WHERE p > 70 AND i % 2 = 0)"
 
 
-@query(f"""WITH {_EDGES}, {_MOVES}, m AS (SELECT rid, "at", max(dp) AS dp FROM edges GROUP BY rid, "at") SELECT moves.rid, moves.i AS "at", moves.s, round(m.dp, 5) AS edge_dp FROM moves ASOF LEFT JOIN m ON moves.rid = m.rid AND moves.i >= m."at" """)
+def _states(spark, sf):
+    r = readings(spark, sf)
+    on = F.col("p") > 50
+    return r.select("rid", F.col("event_type").alias("device"), F.col("i").alias("at"), on.cast("int").alias("state"), F.when(on & (F.col("i") % 3 == 0), (F.col("i") - 5).cast("double")).alias("since"), F.col("p").alias("watts"))
+
+
+@query(f"""WITH {_STATE}, {_STATE_EDGES}, mv AS (SELECT * FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY rid, device ORDER BY "at"), 0) AS b FROM st) WHERE state <> b),
+    num AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY "at", device) AS n FROM ev), seen AS (SELECT mv.rid, mv.device, mv."at", count(num.n) AS seen FROM mv LEFT JOIN num ON num.rid = mv.rid AND num."at" <= mv."at" GROUP BY ALL),
+    e AS (SELECT mv.rid, mv.device, mv."at", max(num."at") AS t, max(num.n) AS n FROM mv JOIN num ON num.rid = mv.rid AND num.device = mv.device AND num."at" <= mv."at" GROUP BY ALL)
+    SELECT mv.rid, mv.device, mv."at", mv.state, (CASE WHEN mv.state = 0 THEN mv."at" - 2.5 ELSE coalesce(mv.since, CASE WHEN mv."at" - e.t < 11 AND seen.seen - e.n < 12 THEN e.t END, mv."at" - 2.5) END)::DOUBLE AS switched
+    FROM mv LEFT JOIN seen USING (rid, device, "at") LEFT JOIN e USING (rid, device, "at")""")
 def j14_transitions(spark, sf):
-    """On and off transitions, each with the latest edge before it: an as-of join."""
-    moves = J.transitions(readings(spark, sf).select("rid", "i", (F.col("p") > 50).cast("int").alias("s")), "s", ["rid"], "i").withColumnRenamed("i", "at")
-    e = _edges(spark, sf).groupBy("rid", "at").agg(F.max("dp").alias("dp"))
-    return J.as_of(moves, e, ["rid"], "at", "dp", "edge_dp").select("rid", "at", "s", F.round("edge_dp", 5).alias("edge_dp"))
+    """On and off of every device: the claim's time, else a recent matching edge, else half a window back."""
+    s = _states(spark, sf)
+    found = readings(spark, sf).where("p > 70 and i % 2 = 0").select("rid", F.col("event_type").alias("device"), F.col("i").alias("at"))
+    return J.switch_times(s, found, 5.0)
 
 
-@query("""WITH a AS (SELECT rid, i, p > 40 AS c, coalesce(lag(p > 40) OVER (PARTITION BY rid ORDER BY i), false) AS b FROM readings), r AS (SELECT *, sum((c AND NOT b)::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM a)
-    SELECT rid, run::BIGINT AS run, min(i) AS start, max(i) AS "end", count(*) AS n FROM r WHERE c GROUP BY rid, run HAVING max(i) - min(i) >= 3""")
+@query("""WITH t AS (SELECT rid, i AS "at", p AS total, q AS residual, i % 11 = 0 AS settling FROM readings), c AS (SELECT *, abs(residual) > greatest(5, 0.15 * abs(total)) AND NOT settling AS c, lead("at") OVER w AS nx FROM t WINDOW w AS (PARTITION BY rid ORDER BY "at")),
+    r AS (SELECT *, sum((c AND NOT b)::INT) OVER (PARTITION BY rid ORDER BY "at") AS run FROM (SELECT *, coalesce(lag(c) OVER (PARTITION BY rid ORDER BY "at"), false) AS b FROM c)), f AS (SELECT *, min("at") OVER (PARTITION BY rid, run) AS f FROM r WHERE c)
+    SELECT rid, f AS since, min("at") FILTER ("at" - f >= 4) AS detected, max(struct_pack(a := "at", n := nx)).n AS cleared, arg_max(residual, "at") AS typical_w FROM f GROUP BY rid, run, f HAVING min("at") FILTER ("at" - f >= 4) IS NOT NULL""")
 def j15_unknown_load(spark, sf):
-    return J.islands(readings(spark, sf), F.col("p") > 40, ["rid"], "i", "i", 3)
+    """Residual above max(5 W, 15 % of the total) for four samples, but not while settling."""
+    t = readings(spark, sf).select("rid", F.col("i").alias("at"), F.col("p").alias("total"), F.col("q").alias("residual"), (F.col("i") % 11 == 0).alias("settling"))
+    return J.unknown_load(t, persist=4, least_w=5.0)
 
 
-@query("""SELECT rid, i, CASE WHEN f IS NULL OR i < f THEN 'lead' WHEN i > l THEN 'tail' ELSE 'run' END AS part, abs(p) < 5 AS quiet FROM
-    (SELECT *, min(CASE WHEN abs(p) > 40 THEN i END) OVER (PARTITION BY rid) AS f, max(CASE WHEN abs(p) > 40 THEN i END) OVER (PARTITION BY rid) AS l FROM readings)""")
+@query("""WITH x AS (SELECT rid, i, p, min((abs(p) > 40)::INT) OVER b = 1 AND count(*) OVER b = 2 AS on2, min((abs(p) < 30)::INT) OVER b = 1 AND count(*) OVER b = 2 AS off2, abs(p) < 30 AS q FROM readings WINDOW b AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+    y AS (SELECT *, coalesce(max(q::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS led FROM x),
+    f AS (SELECT *, min(CASE WHEN on2 AND led THEN i END) OVER (PARTITION BY rid) AS f FROM y), g AS (SELECT *, min(CASE WHEN off2 AND i > f THEN i END) OVER (PARTITION BY rid) AS t FROM f)
+    SELECT rid, i, CASE WHEN f IS NULL OR i < f THEN 'lead' WHEN i >= t THEN 'tail' ELSE 'run' END AS part, q AS quiet FROM g""")
 def j16_segments(spark, sf):
-    return J.segments(readings(spark, sf), on_w=40.0).select("rid", "i", "part", "quiet")
+    """A quiet sample, then two in a row above 40 W begin the run; two quiet ones in a row end it."""
+    return J.segments(readings(spark, sf), off_w=30.0, on_w=40.0, off_hold=1, on_hold=2, tail_hold=2).select("rid", "i", "part", "quiet")
 
 
-@query("SELECT rid, family, max(i) AS i, arg_max(p, i) AS p FROM (SELECT rid, event_type AS family, i, p FROM readings) GROUP BY rid, family")
+@query(f"""WITH {_STATE}, l AS (SELECT rid, max("at") AS now FROM st GROUP BY rid), o AS (SELECT rid, device, max(CASE WHEN state = 0 THEN "at" END) AS off, max("at") AS last, arg_max(state, "at") AS state, arg_max(watts, "at") AS watts FROM st GROUP BY rid, device)
+    SELECT o.rid, o.device, (SELECT min(st."at") FROM st WHERE st.rid = o.rid AND st.device = o.device AND st."at" > coalesce(o.off, -1)) AS since, o.watts FROM o JOIN l ON o.rid = l.rid AND o.last = l.now WHERE o.state = 1""")
 def j17_snapshot(spark, sf):
-    return J.latest(readings(spark, sf).withColumnRenamed("event_type", "family"), ["rid", "family"], "i", ["p"])
+    """Devices on at each meter's last tick, since when, and their watts."""
+    return J.snapshot(_states(spark, sf))[0]
+
+
+@query(f"""WITH {_STATE} SELECT rid, device, "at", state, watts FROM (SELECT *, dense_rank() OVER (PARTITION BY rid ORDER BY "at" DESC) AS r FROM st) WHERE r <= 20""")
+def j17_history(spark, sf):
+    """The last 20 ticks of every meter."""
+    return J.snapshot(_states(spark, sf), ticks=20)[1].select("rid", "device", "at", "state", "watts")
 
 
 @query("SELECT event_id, p FROM readings WHERE ts >= (SELECT max(ts) - INTERVAL 2 DAY FROM events) ORDER BY ts DESC, event_id DESC LIMIT 120")
@@ -139,25 +165,23 @@ def j18_recent_events(spark, sf):
 
 
 def _plan(spark, sf):
+    """(scenario, family) of a dozen scenarios, repaired until every family is in enough of them: a table of a few dozen rows."""
     names = [r[0] for r in readings(spark, sf).select("event_type").distinct().orderBy("event_type").collect()]
-    return I.plan(spark, names, 12, 2, 3, 7), names
+    by: dict[int, list[str]] = {}
+    for r in I.plan(spark, names, 12, 2, 3, 7).collect():
+        by.setdefault(r["scenario"], []).append(r["family"])
+    covered = I.cover({k: sorted(v) for k, v in by.items()}, names, 3)
+    return spark.createDataFrame([(k, f) for k, v in sorted(covered.items()) for f in v], "scenario long, family string")
 
 
 @query()
 def i3_i4_plan(spark, sf):
-    planned, names = _plan(spark, sf)
-    by: dict[int, list[str]] = {}
-    for r in planned.collect():  # a dozen scenarios
-        by.setdefault(r["scenario"], []).append(r["family"])
-    covered = I.cover({k: sorted(v) for k, v in by.items()}, names, 3)
-    rows = [(k, f) for k, v in sorted(covered.items()) for f in v]
     real = readings(spark, sf).groupBy(F.col("event_type").alias("family")).agg(F.count("*").alias("n_samples"))
-    return spark.createDataFrame(rows, "scenario long, family string").join(real, "family")
+    return _plan(spark, sf).join(real, "family")
 
 
 def _chosen(spark, sf):
-    planned, _ = _plan(spark, sf)
-    return I.choose(planned, I.pool(readings(spark, sf).withColumnRenamed("event_type", "family")), 7)
+    return I.choose(_plan(spark, sf), I.pool(readings(spark, sf).withColumnRenamed("event_type", "family")), 7)
 
 
 @query()

@@ -113,12 +113,14 @@ def e6_active(spark, sf):
     return E.state_features(_sliding(spark, sf), W, on_w=45.0).select("rid", "win", "active")
 
 
-_AGG = {"p_mean": "avg(p)", "p_std": "stddev_pop(p)", "p_min": "min(p)", "p_max": "max(p)", "q_mean": "avg(q)", "p1_mean": "avg(p1)", "p2_mean": "avg(p2)", "p3_mean": "avg(p3)", "pf_mean": "avg(CASE WHEN sqrt(p * p + q * q) > 1e-6 THEN p / sqrt(p * p + q * q) ELSE 1 END)", "q_std": "stddev_pop(q)", "qp": "avg(q) / (abs(avg(p)) + 1e-6)", "s": "sqrt(avg(p) * avg(p) + avg(q) * avg(q))"}
+_AGG = {"p_mean": "avg(p)", "p_std": "stddev_pop(p)", "p_min": "min(p)", "p_max": "max(p)", "q_mean": "avg(q)", "p1_mean": "avg(p1)", "p2_mean": "avg(p2)", "p3_mean": "avg(p3)", "pf_mean": "avg(CASE WHEN i % 4 = 0 THEN q / 100 WHEN sqrt(p * p + q * q) > 1e-6 THEN p / sqrt(p * p + q * q) ELSE 1 END)", "thd_mean": "coalesce(avg(CASE WHEN i % 3 <> 0 THEN p / 10 END), 0)", "hour_mean": "avg(hour)", "q_std": "stddev_pop(q)", "qp": "avg(q) / (abs(avg(p)) + 1e-6)", "s": "sqrt(avg(p) * avg(p) + avg(q) * avg(q))"}
 
 
-@query(f"WITH {_TUMBLE} SELECT rid, win, " + ", ".join(f"round({x}, 4) AS {n}" for n, x in _AGG.items()) + " FROM tumble GROUP BY rid, win")
+@query(f"WITH {_TUMBLE}, start AS (SELECT rid, min(ts_us) AS t0 FROM phases GROUP BY rid), timed AS (SELECT tumble.*, fmod((ts_us - t0) / 3.6e9, 24) AS hour FROM tumble JOIN start USING (rid)) SELECT rid, win, " + ", ".join(f"round({x}, 4) AS {n}" for n, x in _AGG.items()) + " FROM timed GROUP BY rid, win")
 def e7_tumbling_features(spark, sf):
-    a = E.aggregate_features(E.tumbling(phases(spark, sf), W))
+    """All fourteen columns, with a measured power factor on every fourth sample and a distortion that is missing on every third."""
+    measured = phases(spark, sf).withColumns({"pf": F.when(F.col("i") % 4 == 0, F.col("q") / 100), "thd": F.when(F.col("i") % 3 != 0, F.col("p") / 10), "hour": E.hours_since_start(F.col("ts_us"))})
+    a = E.aggregate_features(E.tumbling(measured, W))
     return a.select("rid", "win", *[F.round(n, 4).alias(n) for n in _AGG])
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from gridlens.operators import windows as E
 from gridlens.operators.score import macro_f1
 from gridlens.plans.fixtures import phases, readings, table
 from gridlens.plans.registry import query
+from gridlens.sources.store import shared_folder
 from gridlens.streaming import live
 
 FEATURES = ["p_mean", "p_std", "p_min", "p_max", "q_mean", "qp", "s"]
@@ -100,33 +98,31 @@ def k14_importance(spark, sf):
     return spark.createDataFrame(G.importance(m, FEATURES), "feature string, importance double")
 
 
-def _checkpoint() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     e = live.replay(spark, sf, schema, name="events.parquet")
     return e.select(F.col("user_id").alias("rid"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("p"), (F.regexp_extract("props", "-?[0-9]+", 0).cast("long") - 50).cast("double").alias("q"), "event_id")
 
 
-def _run(stream, mode: str):
-    name = "live_" + uuid.uuid4().hex
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _checkpoint()).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def _appended(stream, by=None):
+    """What the append sink has once all files are read, from the store."""
+    folder = shared_folder(stream.sparkSession, "live")
+    live.append(stream, f"{folder}/rows", f"{folder}/checkpoint", by).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 @query("SELECT rid, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(avg(p), 6) AS p_mean, max(p) AS p_max FROM readings GROUP BY ALL")
 def a14_j9_stream_windows(spark, sf):
-    """Replay as a stream into daily windows; complete output once all files are read."""
+    """Replay as a stream into daily windows; each batch replaces the result in the store."""
     w = _event_stream(spark, sf).groupBy("rid", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.avg("p").alias("p_mean"), F.max("p").alias("p_max"))
-    return _run(w, "complete").select("rid", F.col("w.start").alias("start"), "n", F.round("p_mean", 6).alias("p_mean"), "p_max")
+    return live.replaced(w, shared_folder(spark, "live")).select("rid", F.col("w.start").alias("start"), "n", F.round("p_mean", 6).alias("p_mean"), "p_max")
 
 
 @query("SELECT event_id, rid, p FROM readings WHERE p > 80")
 def a10_a11_append_stream(spark, sf):
-    """Append-only log of samples above 80 W."""
-    return _run(_event_stream(spark, sf).where("p > 80").select("event_id", "rid", "p"), "append")
+    """Append-only log of samples above 80 W, in a folder for each day."""
+    log = _event_stream(spark, sf).where("p > 80").select("event_id", "rid", "p", F.to_date("ts").alias("day"))
+    return _appended(log, ["day"]).select("event_id", "rid", "p")
 
 
 @query()

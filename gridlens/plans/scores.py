@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlens.functions.labels import families
 from gridlens.operators import models as G
 from gridlens.operators import score as S
 from gridlens.plans.fixtures import contributions, predictions, readings, table
@@ -41,14 +42,22 @@ def h4_mean_errors(spark, sf):
     return e.select("family", F.round("mae", 6).alias("mae"), F.round("gated_mae", 6).alias("gated_mae"))
 
 
-@query("""WITH d AS (SELECT rid, family, avg(pred) >= 0.45 AS found FROM predictions GROUP BY rid, family), e AS (SELECT list_sort(list(DISTINCT event_type))[1:2] AS e FROM events),
-    g AS (SELECT rid, coalesce(list(family ORDER BY family) FILTER (found), []) AS d, any_value(e.e) AS e FROM d, e GROUP BY rid), n AS (SELECT *, len(list_intersect(d, e)) AS h FROM g)
+#: A recording's label: the families of its first two samples, as mixed recordings are named.
+_LABELS = "labels AS (SELECT rid, string_agg(event_type || '_high', '__' ORDER BY i) AS label FROM readings WHERE i < 2 GROUP BY rid), expected AS (SELECT rid, list_distinct(list_transform(string_split(label, '__'), lambda x: regexp_replace(x, '_high$', ''))) AS e FROM labels)"
+
+
+def _expected(spark, sf):
+    first = readings(spark, sf).where("i < 2").select("rid", "i", F.concat("event_type", F.lit("_high")).alias("x"))
+    label = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]), "__")
+    return first.groupBy("rid").agg(label.alias("label")).select("rid", families(F.col("label")).alias("expected"))
+
+
+@query(f"""WITH {_LABELS}, d AS (SELECT rid, family, avg(pred) >= 0.15 AS found FROM predictions GROUP BY rid, family),
+    g AS (SELECT rid, coalesce(list(family ORDER BY family) FILTER (found), []) AS d, any_value(e) AS e FROM d JOIN expected USING (rid) GROUP BY rid), n AS (SELECT *, len(list_intersect(d, e)) AS h FROM g)
     SELECT rid, round(CASE WHEN len(d) > 0 THEN h / len(d) ELSE 0 END, 3) AS precision, round(CASE WHEN len(e) > 0 THEN h / len(e) ELSE 0 END, 3) AS recall, round(CASE WHEN len(d) + len(e) > 0 THEN 2.0 * h / (len(d) + len(e)) ELSE 0 END, 3) AS f1,
     array_to_string(list_filter(e, lambda x: NOT list_contains(d, x)), ',') AS missed, array_to_string(list_filter(d, lambda x: NOT list_contains(e, x)), ',') AS false_alarms FROM n""")
 def h5_set_accuracy(spark, sf):
-    names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    p = predictions(spark, sf).withColumn("expected", F.array(*map(F.lit, names)))
-    return S.set_accuracy(p, "expected", share=0.45)
+    return S.set_accuracy(predictions(spark, sf).join(_expected(spark, sf), "rid"), "expected")
 
 
 @query("SELECT family, round(sum(p) * 10 / 3.6e6, 8) AS energy_kwh, round(avg(pred), 6) AS fraction_on, round(avg(CASE WHEN pred = 1 THEN prob ELSE 1 - prob END), 6) AS confidence FROM predictions GROUP BY family")
@@ -94,20 +103,16 @@ def h12_painted(spark, sf):
     return r.join(b, ["rid", "win"]).select("rid", "i", "best", F.when(F.col("p_second") > 0.25, F.col("second")).alias("second"))
 
 
-def _watts(c):
-    """One digit, half up on the decimal value."""
-    return F.round(c.cast("decimal(18,4)"), 1).cast("double")
+_AT = ", ".join(f"coalesce(max(CASE WHEN family = v[{k}] THEN d END), 0) AS on_{k}, round(max(CASE WHEN family = v[{k}] THEN prob END)::DECIMAL(18, 6), 3)::DOUBLE AS prob_{k}, round(coalesce(max(CASE WHEN family = v[{k}] THEN w END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS w_{k}" for k in range(1, 6))
 
 
-@query("""WITH v AS (SELECT list_sort(list(DISTINCT event_type)) AS v FROM events) SELECT rid, win, round(sum(p)::DECIMAL(18, 4), 1)::DOUBLE AS total, round(max(CASE WHEN family = v[1] THEN prob END)::DECIMAL(18, 6), 3)::DOUBLE AS prob_1, round(coalesce(sum(CASE WHEN family = v[1] THEN p END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS p_1,
-    round(max(CASE WHEN family = v[2] THEN prob END)::DECIMAL(18, 6), 3)::DOUBLE AS prob_2, round(coalesce(sum(CASE WHEN family = v[2] THEN p END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS p_2 FROM predictions, v GROUP BY rid, win""")
+@query(f"""WITH v AS (SELECT list_sort(list(DISTINCT event_type)) AS v FROM events), totals AS (SELECT rid, win, sum(p) AS t FROM predictions GROUP BY rid, win),
+    per AS (SELECT rid, win, family, max(pred) AS d, max(prob) AS prob, sum(p) * max(pred) AS w FROM predictions GROUP BY rid, win, family)
+    SELECT rid, win, round(max(t)::DECIMAL(18, 4), 1)::DOUBLE AS total, round((max(t) - sum(w))::DECIMAL(18, 4), 1)::DOUBLE AS residual, {_AT} FROM per JOIN totals USING (rid, win), v GROUP BY rid, win""")
 def h13_timeline(spark, sf):
-    names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()]
     p = predictions(spark, sf)
-    wide = p.groupBy("rid", "win").pivot("family", names).agg(F.max("prob").alias("prob"), F.sum("p").alias("p"))
-    total = p.groupBy("rid", "win").agg(_watts(F.sum("p")).alias("total"))
-    cols = [c for k, n in enumerate(names, start=1) for c in (F.round(F.col(f"`{n}_prob`").cast("decimal(18,6)"), 3).cast("double").alias(f"prob_{k}"), _watts(F.coalesce(F.col(f"`{n}_p`"), F.lit(0.0))).alias(f"p_{k}"))]
-    return wide.join(total, ["rid", "win"]).select("rid", "win", "total", *cols)
+    return S.timeline(p.join(p.groupBy("rid", "win").agg(F.sum("p").alias("total")), ["rid", "win"]), names)
 
 
 _LIVE = "w AS (SELECT rid, win, family, (avg(truth) >= 0.5)::INT AS t, max(pred) AS d, avg(p) AS p, avg(p * pred) AS g FROM predictions GROUP BY rid, win, family)"
@@ -119,19 +124,25 @@ def h14_live_score(spark, sf):
     return s.withColumns({"accuracy": F.round("accuracy", 6), "mae": F.round("mae", 6)})
 
 
-@query("""WITH e AS (SELECT list_sort(list(DISTINCT event_type))[1:2] AS e FROM events), a AS (SELECT rid, win, count(*) FILTER (pred = 1 AND list_contains(e, family)) AS hit, count(*) FILTER (pred = 1) AS n FROM predictions, e WHERE abs(p) > 10 GROUP BY rid, win)
-    SELECT rid, sum(hit)::BIGINT AS hits, sum(n)::BIGINT AS found FROM a GROUP BY rid""")
+@query(f"""WITH {_LABELS}, t AS (SELECT rid, win, list(DISTINCT family) FILTER (pred = 1) AS d, max(abs(p)) AS w FROM predictions GROUP BY rid, win),
+    s AS (SELECT rid, coalesce(d, []) AS d, e FROM t JOIN expected USING (rid) WHERE w > 10),
+    n AS (SELECT rid, sum(len(list_intersect(d, e)))::BIGINT AS tp, sum(len(d) - len(list_intersect(d, e)))::BIGINT AS fp, sum(len(e) - len(list_intersect(d, e)))::BIGINT AS fn, count(*) AS n FROM s GROUP BY rid)
+    SELECT *, round(2.0 * tp / greatest(1, 2 * tp + fp + fn), 3) AS f1 FROM n""")
 def h15_label_score(spark, sf):
-    names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    p = predictions(spark, sf).where(F.abs("p") > 10)
-    w = p.groupBy("rid", "win").agg(F.count_if((F.col("pred") == 1) & F.col("family").isin(names)).alias("hit"), F.count_if(F.col("pred") == 1).alias("n"))
-    return w.groupBy("rid").agg(F.sum("hit").alias("hits"), F.sum("n").alias("found"))
+    return S.label_score(predictions(spark, sf).join(_expected(spark, sf), "rid"), "expected", instant="p")
+
+
+_STATES = "parts AS (SELECT scenario, sample, 'f' || (appliance % 3) AS family, p, CASE WHEN sample % 2 = 0 THEN CASE WHEN p > 20000 THEN 'on' ELSE 'off' END END AS state FROM contributions)"
 
 
-@query("SELECT scenario, sample, appliance % 3 AS family, round(sum(p), 2) AS p, bool_or(abs(p) > 20000) AS on_any FROM contributions GROUP BY scenario, sample, appliance % 3")
+@query(f"""WITH {_STATES} SELECT scenario, sample, family, round(sum(p), 2) AS p, bool_or(coalesce(state = 'on', abs(p) > 3)) AS "on" FROM parts GROUP BY scenario, sample, family
+    UNION ALL SELECT DISTINCT -1 - rid, NULL, unnest([event_type]), NULL, NULL FROM readings WHERE i < 2""")
 def h16_family_truth(spark, sf):
-    c = contributions(spark, sf).withColumn("family", F.col("appliance") % 3)
-    return c.groupBy("scenario", "sample", "family").agg(F.round(F.sum("p"), 2).alias("p"), F.bool_or(F.abs("p") > 20000).alias("on_any"))
+    """Scenarios have contributions; recordings (negative numbers here) have the families of their labels."""
+    state = F.when(F.col("sample") % 2 == 0, F.when(F.col("p") > 20000, "on").otherwise("off"))
+    c = contributions(spark, sf).select("scenario", "sample", F.concat(F.lit("f"), F.col("appliance") % 3).alias("family"), "p", state.alias("state"))
+    t = S.family_truth(c, _expected(spark, sf).withColumn("scenario", -1 - F.col("rid")), "expected", ["scenario", "sample"])
+    return t.withColumn("p", F.round("p", 2))
 
 
 @query("SELECT event_id, round(n / (k * c), 6) AS weight FROM (SELECT event_id, count(*) OVER () AS n, count(*) OVER (PARTITION BY event_type) AS c, (SELECT count(DISTINCT event_type) FROM events) AS k FROM events)")

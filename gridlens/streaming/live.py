@@ -25,6 +25,15 @@ def append(df: DataFrame, path: str, checkpoint: str, by: list[str] | None = Non
     return (writer.partitionBy(*by) if by else writer).start(path)
 
 
+def replaced(df: DataFrame, folder: str) -> DataFrame:
+    """The complete result of an aggregated stream once everything there is has been read: each batch is written whole to the store."""
+    store = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/batch-{batch}")
+    run = df.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(store).start()
+    run.awaitTermination()
+    last = max([p["batchId"] for p in run.recentProgress], default=0)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/batch-{last}")
+
+
 def windowed(df: DataFrame, size: str, slide: str | None, late: str, key: str = "rid", ts: str = "ts", p: str = "p") -> DataFrame:
     """Clock-time windows of power, with a watermark: later rows are dropped."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
