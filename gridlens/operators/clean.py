@@ -142,6 +142,14 @@ def eligible(df: DataFrame, mixed: Column, p: str = "p", key: str = KEY, least:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.max(F.abs(p)).alias("peak"), F.bool_or(mixed).alias("mixed")).where(f"not mixed and n >= {least}").select(key, "n", (F.coalesce("peak", F.lit(0.0)) < 1).alias("quiet"))
 
 
+def read_failures(df: DataFrame, p: str = "p", key: str = KEY, order: str = ORDER) -> DataFrame:
+    """At every sample: ``failures`` so far (missing readings) and ``in_a_row``, those since the last good one."""
+    w = by_sample(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.count_if(F.col(p).isNull()).over(w)
+    good = F.max(F.when(F.col(p).isNotNull(), total)).over(w)
+    return df.withColumns({"failures": total, "in_a_row": total - F.coalesce(good, F.lit(0))})
+
+
 def effective_rate(df: DataFrame, intervals: int = 50, ts_us: str = "ts_us", key: str = KEY, order: str = ORDER) -> DataFrame:
     """Samples a second over the last ``intervals`` steps, at every sample."""
     w = by_sample(key, order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
@@ -44,10 +45,11 @@ def cusum_events(df: DataFrame, threshold: float, drift: float, key: str = "rid"
     return df.select(key, order, p).groupBy(key).applyInPandas(run, f"{key} long, at long")
 
 
-def hart_edges(df: DataFrame, least_w: float = 40.0, key: str = "rid", order: str = "i", p: str = "p") -> DataFrame:
-    """Sample-to-sample steps of at least ``least_w``."""
-    step = F.col(p) - F.lag(p).over(by_sample(key, order))
-    return df.withColumn("dp", step).where(F.abs("dp") >= least_w).select(key, F.col(order).alias("at"), "dp")
+def hart_edges(df: DataFrame, least_w: float = 40.0, key: str | Sequence[str] = "rid", order: str = "i", p: str = "p") -> DataFrame:
+    """Sample-to-sample steps of at least ``least_w``; with several keys, of each channel by itself."""
+    keys = [key] if isinstance(key, str) else list(key)
+    step = F.col(p) - F.lag(p).over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("dp", step).where(F.abs("dp") >= least_w).select(*keys, F.col(order).alias("at"), "dp")
 
 
 def true_events(df: DataFrame, state: str, least_w: float = 50.0, key: str = "rid", order: str = "i", p: str = "p") -> DataFrame:
@@ -57,26 +59,76 @@ def true_events(df: DataFrame, state: str, least_w: float = 50.0, key: str = "ri
     return moved.where((F.col(state) != F.col("_s")) & (F.abs("dp") >= least_w)).select(key, F.col(order).alias("at"), "dp")
 
 
-def event_scores(found: DataFrame, true: DataFrame, within: int, key: str = "rid") -> DataFrame:
-    """Precision, recall, F1 and mean timing error of a one-to-one matching within ``within`` units.
+def matched_times(times: Sequence[tuple[int, bool]], within: float) -> list[tuple[int, int]]:
+    """(found, true) of a largest one-to-one matching of (time, is true) in order of time.
 
-    Interval join on equal time buckets; pairs that are each other's nearest are matched.
+    Each event takes the earliest waiting one of the other kind that is near enough. As all events
+    have the same tolerance, no other choice gives more pairs.
     """
-    size = 2 * within + 1
-    f = found.select(key, F.col("at").alias("f")).distinct().withColumn("_b", F.expr(f"f div {size}"))
-    t = true.select(key, F.col("at").alias("t")).distinct().withColumn("_b", F.explode(F.array_distinct(F.array(F.expr(f"(t - {within}) div {size}"), F.expr(f"(t + {within}) div {size}")))))
-    pairs = f.join(t, [key, "_b"]).where(F.abs(F.col("f") - F.col("t")) <= within).select(key, "f", "t", F.abs(F.col("f") - F.col("t")).alias("d"))
-    pairs = pairs.withColumns({"rf": F.row_number().over(Window.partitionBy(key, "f").orderBy("d", "t")), "rt": F.row_number().over(Window.partitionBy(key, "t").orderBy("d", "f"))}).where("rf = 1 and rt = 1")
-    hits = pairs.agg(F.count("*").alias("tp"), F.avg("d").alias("timing"))
-    counts = f.agg(F.count("*").alias("n_found")).join(t.select(key, "t").distinct().agg(F.count("*").alias("n_true")), F.lit(True)).join(hits, F.lit(True))  # one row each
+    waiting, kind, out = deque(), False, []
+    for t, true in times:
+        while waiting and t - waiting[0] > within:
+            waiting.popleft()
+        if waiting and kind != true:
+            w = waiting.popleft()
+            out.append((w, t) if true else (t, w))
+        else:
+            kind = true
+            waiting.append(t)
+    return out
+
+
+def matched_events(found: DataFrame, true: DataFrame, within: int, key: str = "rid") -> DataFrame:
+    """One-to-one pairs (key, f, t) at most ``within`` apart. Repeated events count once.
+
+    No pair crosses a gap longer than ``within``, so each run of events between such gaps is a group
+    of its own, however long the recording.
+    """
+    both = found.select(key, "at", F.lit(False).alias("true")).union(true.select(key, "at", F.lit(True))).where("at is not null").distinct()
+    w = Window.partitionBy(key).orderBy("at", "true")
+    new = F.coalesce(F.col("at") - F.lag("at").over(w) > within, F.lit(True)).cast("int")
+    runs = both.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "true"])
+        pairs = matched_times(list(zip(pdf["at"].tolist(), pdf["true"].tolist(), strict=True)), within)
+        return pd.DataFrame([(pdf[key].iloc[0], f, t) for f, t in pairs], columns=[key, "f", "t"])
+
+    # A run of one kind of events has no pair.
+    mixed = runs.withColumn("_kinds", F.size(F.collect_set("true").over(Window.partitionBy(key, "_run")))).where("_kinds = 2")
+    return mixed.select(key, "_run", "at", "true").groupBy(key, "_run").applyInPandas(run, f"{key} long, f long, t long")
+
+
+def event_scores(found: DataFrame, true: DataFrame, within: int, key: str = "rid") -> DataFrame:
+    """Precision, recall, F1 and mean timing error of a largest one-to-one matching within ``within`` units."""
+    hits = matched_events(found, true, within, key).agg(F.count("*").alias("tp"), F.avg(F.abs(F.col("f") - F.col("t"))).alias("timing"))
+    number = lambda df, n: df.select(key, "at").distinct().agg(F.count("*").alias(n))
+    counts = number(found, "n_found").join(number(true, "n_true"), F.lit(True)).join(hits, F.lit(True))  # one row each
     return counts.select("n_found", "n_true", "tp", (F.col("tp") / F.nullif("n_found", F.lit(0))).alias("precision"), (F.col("tp") / F.nullif("n_true", F.lit(0))).alias("recall"), (2 * F.col("tp") / F.nullif(F.col("n_found") + F.col("n_true"), F.lit(0))).alias("f1"), "timing")
 
 
-def paired_edges(found: DataFrame, key: str = "rid") -> DataFrame:
-    """Each on-edge with the next edge if that goes off: start, end and watts."""
-    w = Window.partitionBy(key).orderBy("at")
+def paired_edges(found: DataFrame, key: str | Sequence[str] = "rid") -> DataFrame:
+    """Each on-edge with the next edge if that goes off: start, end and watts.
+
+    With the device or the phase among the keys, edges of others in between change nothing.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy("at")
     nxt = found.withColumns({"end": F.lead("at").over(w), "_d": F.lead("dp").over(w)})
-    return nxt.where("dp > 0 and _d < 0").select(key, F.col("at").alias("start"), "end", "dp")
+    return nxt.where("dp > 0 and _d < 0").select(*keys, F.col("at").alias("start"), "end", "dp")
+
+
+def event_context(found: DataFrame, df: DataFrame, key: str = "rid", order: str = "i", ts: str = "ts") -> DataFrame:
+    """For every edge: hour, day of the week (Monday is 1), seconds since the edge before, and,
+    for an on-edge whose next edge goes off, the seconds that it stayed on."""
+    at = found.join(df.select(key, F.col(order).alias("at"), F.col(ts).alias("_ts")), [key, "at"])
+    w = Window.partitionBy(key).orderBy("at")
+    us = F.unix_micros("_ts")
+    off = (F.col("dp") > 0) & (F.lead("dp").over(w) < 0)
+    return at.withColumns({
+        "hour": F.hour("_ts"), "day": F.weekday("_ts") + 1,
+        "since_s": (us - F.lag(us).over(w)) / 1e6, "on_s": F.when(off, (F.lead(us).over(w) - us) / 1e6),
+    }).drop("_ts")
 
 
 def fingerprints(df: DataFrame, family: str = "family", on_w: float = 3.0) -> DataFrame:
@@ -133,7 +185,7 @@ def clustered(df: DataFrame, columns: Sequence[str], k: int, kind: str = "kmeans
     rows = VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip").transform(df)
     rows = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(rows).transform(rows).cache()
     make = {"kmeans": KMeans, "gmm": GaussianMixture, "bisecting": BisectingKMeans}[kind]
-    out = make(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(rows).transform(rows)
+    out = make(k=k, seed=seed, maxIter=20, featuresCol="_x", predictionCol="cluster").fit(rows).transform(rows)
     silhouette = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(out) if out.select("cluster").distinct().count() > 1 else 0.0
     return out.drop("_raw", "_x", "probability"), silhouette
 

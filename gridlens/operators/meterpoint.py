@@ -43,6 +43,13 @@ def meter_point(sums: DataFrame, voltage: float = 230.0) -> DataFrame:
     return second.withColumns({"pf_total": E.ratio_or_one(F.col("p_total"), F.col("s_total")), "cosphi_total": E.ratio_or_one(F.col("p_total"), F.hypot("p_total", "q_total"))})
 
 
+def summary(points: DataFrame, key: str = "scenario") -> DataFrame:
+    """Least, largest and mean total P and Q of each scenario; mean P, current and distortion by phase; mean neutral current."""
+    spread = {f"{c}_{n}": f(c) for c in ("p_total", "q_total") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))}
+    means = {f"{c}_mean": F.avg(c) for c in (*[f"{x}{k}" for x in ("p", "i", "thd") for k in PHASES], "i_n") if c in points.columns}
+    return points.groupBy(key).agg(*[c.alias(n) for n, c in (spread | means).items()])
+
+
 def signed_stack(parts: DataFrame, keys: list[str], order: str, p: str = "p") -> DataFrame:
     """Running sums of the positive and of the negative parts, in the order of the devices."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -55,6 +62,8 @@ def duty(parts: DataFrame, keys: list[str], on_w: float = 3.0, p: str = "p") ->
     return parts.groupBy(*keys).agg((100 * F.avg(on.cast("int"))).alias("on_percent"), F.percentile(F.when(on, F.abs(p)), F.lit(0.5)).alias("median_on"), F.max(F.abs(p)).alias("peak"))
 
 
-def manifest(parts: DataFrame, key: str = "scenario") -> DataFrame:
-    """Families, sample count and peak magnitude of each scenario."""
-    return parts.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(F.col("appliance").cast("string"))), ",").alias("families"), F.count("*").alias("n_samples"), F.round(F.max(F.abs("p")), 1).alias("p_peak"))
+def manifest(parts: DataFrame, key: str = "scenario", family: str = "appliance", sample: str = "sample", rate: float = 1.0) -> DataFrame:
+    """Families, samples, seconds (at ``rate`` samples a second) and largest magnitude of the total of each scenario."""
+    totals = parts.groupBy(key, sample).agg(F.sum("p").alias("_p"), F.collect_set(F.col(family).cast("string")).alias("_f"))
+    m = totals.groupBy(key).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_f")))), ",").alias("families"), F.count("*").alias("n_samples"), F.round(F.max(F.abs("_p")).cast("decimal(18, 4)"), 1).cast("double").alias("p_peak"))
+    return m.withColumn("duration_s", F.col("n_samples") / rate)

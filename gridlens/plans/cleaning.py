@@ -110,6 +110,12 @@ def b15_plausible_percent(spark, sf):
     return dirty(spark, sf).groupBy("rid").agg(F.bool_and(ok).alias("enabled"), F.count_if(ok).alias("n_good"))
 
 
+@query("""WITH f AS (SELECT rid, i, c, count(*) FILTER (c IS NULL) OVER w AS failures FROM gappy WINDOW w AS (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING))
+    SELECT rid, i, failures, failures - coalesce(max(CASE WHEN c IS NOT NULL THEN failures END) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS in_a_row FROM f""")
+def b16_read_failures(spark, sf):
+    return clean.read_failures(dirty(spark, sf).withColumn("v", E.finite(F.col("v"))), "v").select("rid", "i", "failures", "in_a_row")
+
+
 @query("""SELECT rid, i, round(1e12 / avg(step) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS rate
     FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY rid ORDER BY i) AS step FROM readings)""")
 def b16_effective_rate(spark, sf):

@@ -102,10 +102,13 @@ def c12_signed_stack(spark, sf):
     return _rounded(M.signed_stack(d, ["scenario"], "appliance"), ["scenario", "appliance"], ["above", "below"], 2)
 
 
-@query(f"WITH {_POINT} SELECT scenario, " + ", ".join(f"round({f}({c}), {4 if c == 'i_n' else 6}) AS {c}_{f}" for c in ("p_total", "q_total", "i_n") for f in ("min", "max", "avg")) + " FROM point GROUP BY scenario")
+_C13 = [f"{n}({c}) AS {c}_{m}" for c in ("p_total", "q_total") for n, m in (("min", "min"), ("max", "max"), ("avg", "mean"))] + [f"avg({c}) AS {c}_mean" for c in ("p1", "p2", "p3", "i1", "i2", "i3", "i_n")]
+
+
+@query(f"WITH {_POINT}, s AS (SELECT scenario, {', '.join(_C13)} FROM point GROUP BY scenario) SELECT scenario, " + ", ".join(f"round({c.rsplit(' ', 1)[1]}, 4) AS {c.rsplit(' ', 1)[1]}" for c in _C13) + " FROM s")
 def c13_summary(spark, sf):
-    m = M.meter_point(_sums(spark, sf))
-    return m.groupBy("scenario").agg(*[F.round(g(c), 4 if c == "i_n" else 6).alias(f"{c}_{n}") for c in ("p_total", "q_total", "i_n") for n, g in (("min", F.min), ("max", F.max), ("avg", F.avg))])
+    s = M.summary(M.meter_point(_sums(spark, sf)))
+    return s.select("scenario", *[F.round(c, 4).alias(c) for c in s.columns if c != "scenario"])
 
 
 @query("SELECT family, round(100 * avg((abs(p) > 50)::INT), 6) AS on_percent, round(median(CASE WHEN abs(p) > 50 THEN abs(p) END), 6) AS median_on, max(abs(p)) AS peak FROM predictions GROUP BY family")

@@ -9,7 +9,7 @@ from gridlens.operators import events as J
 from gridlens.operators import explore as X
 from gridlens.operators import scenarios as I
 from gridlens.operators.clean import by_sample
-from gridlens.plans.fixtures import contributions, predictions, readings
+from gridlens.plans.fixtures import contributions, phases, predictions, readings, spectra
 from gridlens.plans.registry import query
 
 SIDE, SPAN = 2, 6
@@ -242,20 +242,46 @@ def k3_true_events(spark, sf):
     return _true(spark, sf).select("rid", "at", F.round("dp", 6).alias("dp"))
 
 
-@query(f"""WITH {_TRUE}, f AS (SELECT rid, i AS f FROM (SELECT rid, i, p - lag(p) OVER (PARTITION BY rid ORDER BY i) AS dp FROM readings) WHERE abs(dp) >= 40), pr AS (SELECT f.rid, f, "at" AS t, abs(f - "at") AS d FROM f JOIN true_ev t ON f.rid = t.rid AND abs(f - "at") <= 1),
-    m AS (SELECT *, row_number() OVER (PARTITION BY rid, f ORDER BY d, t) AS rf, row_number() OVER (PARTITION BY rid, t ORDER BY d, f) AS rt FROM pr), h AS (SELECT count(*) AS tp, avg(d) AS timing FROM m WHERE rf = 1 AND rt = 1), a AS (SELECT count(*) AS n FROM f), b AS (SELECT count(*) AS n FROM true_ev)
-    SELECT a.n AS n_found, b.n AS n_true, tp, round(tp / a.n, 6) AS precision, round(tp / b.n, 6) AS recall, round(2 * tp / (a.n + b.n), 6) AS f1, round(timing, 6) AS timing FROM a, b, h""")
+#: Events in order of time; those that wait for one of the other kind are carried along.
+_WALK = """ev AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY "at", kind) AS n FROM (SELECT rid, i AS "at", 0 AS kind FROM hart UNION ALL SELECT rid, "at", 1 FROM true_ev)),
+    walk AS (SELECT DISTINCT rid, 0::BIGINT AS n, []::BIGINT[] AS q, 0 AS k, NULL::BIGINT AS d FROM ev UNION ALL
+    SELECT rid, n, CASE WHEN len(live) > 0 AND k <> kind THEN live[2:] ELSE list_append(live, "at") END, CASE WHEN len(live) > 0 AND k <> kind THEN k ELSE kind END, CASE WHEN len(live) > 0 AND k <> kind THEN "at" - live[1] END
+    FROM (SELECT ev.rid, ev.n, ev."at", ev.kind, walk.k, list_filter(walk.q, lambda x: ev."at" - x <= 1) AS live FROM walk JOIN ev ON ev.rid = walk.rid AND ev.n = walk.n + 1))"""
+_HART = "hart AS (SELECT * FROM (SELECT rid, i, p - lag(p) OVER (PARTITION BY rid ORDER BY i) AS dp, ts FROM readings) WHERE abs(dp) >= 40)"
+
+
+@query(f"""WITH RECURSIVE {_TRUE}, {_HART}, {_WALK}
+    SELECT n_found, n_true, tp, round(tp / n_found, 6) AS precision, round(tp / n_true, 6) AS recall, round(2 * tp / (n_found + n_true), 6) AS f1, round(timing, 6) AS timing
+    FROM (SELECT count(d) AS tp, avg(d) AS timing FROM walk), (SELECT count(*) AS n_found FROM hart), (SELECT count(*) AS n_true FROM true_ev)""")
 def k4_event_scores(spark, sf):
     s = X.event_scores(X.hart_edges(readings(spark, sf)), _true(spark, sf), 1)
     return s.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "timing")})
 
 
-@query("""WITH e AS (SELECT rid, i AS t, dp FROM (SELECT rid, i, p - lag(p) OVER (PARTITION BY rid ORDER BY i) AS dp FROM readings) WHERE abs(dp) >= 40)
-    SELECT rid, t AS start, n AS "end", round(dp, 6) AS dp FROM (SELECT *, lead(t) OVER w AS n, lead(dp) OVER w AS nd FROM e WINDOW w AS (PARTITION BY rid ORDER BY t)) WHERE dp > 0 AND nd < 0""")
+@query(f"""WITH {_HART} SELECT rid, t AS start, n AS "end", round(dp, 6) AS dp FROM (SELECT rid, i AS t, dp, lead(i) OVER w AS n, lead(dp) OVER w AS nd FROM hart WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE dp > 0 AND nd < 0""")
 def k5_paired_edges(spark, sf):
     return X.paired_edges(X.hart_edges(readings(spark, sf))).select("rid", "start", "end", F.round("dp", 6).alias("dp"))
 
 
+@query("""WITH ch AS (SELECT rid, 'p' || k AS phase, i, CASE k WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS v FROM phases, range(1, 4) r(k)),
+    e AS (SELECT * FROM (SELECT rid, phase, i, v - lag(v) OVER (PARTITION BY rid, phase ORDER BY i) AS dp FROM ch) WHERE abs(dp) >= 12.3457)
+    SELECT rid, phase, i AS start, n AS "end", round(dp, 6) AS dp FROM (SELECT *, lead(i) OVER w AS n, lead(dp) OVER w AS nd FROM e WINDOW w AS (PARTITION BY rid, phase ORDER BY i)) WHERE dp > 0 AND nd < 0""")
+def k5_phase_pairs(spark, sf):
+    """Edges of every phase by itself, each on-edge with the next edge of its phase."""
+    long = phases(spark, sf).select("rid", "i", "p1", "p2", "p3").unpivot(["rid", "i"], ["p1", "p2", "p3"], "phase", "v")
+    found = X.hart_edges(long, 12.3457, ["rid", "phase"], p="v")
+    return X.paired_edges(found, ["rid", "phase"]).select("rid", "phase", "start", "end", F.round("dp", 6).alias("dp"))
+
+
+@query(f"""WITH {_EDGES}, d AS (SELECT *, sqrt(power(sign * dp - kp, 2) + power(sign * dq - kq, 2)) / greatest(20.0, 0.35 * sqrt(kp * kp + kq * kq)) AS d FROM (SELECT *, CASE WHEN dp < 0 THEN -1 ELSE 1 END AS sign FROM edges), {_KNOWN}),
+    b AS (SELECT *, row_number() OVER (PARTITION BY rid, i ORDER BY d, family) AS r FROM d), g AS (SELECT rid, family, "at", max(struct_pack(m := abs(dp), s := dp)).s AS dp FROM b WHERE r = 1 AND abs(dp) >= 8 AND d < 1 AND round(1 - d, 2) >= 0.25 GROUP BY ALL)
+    SELECT rid, family, "at" AS start, n AS "end", round(dp, 5) AS dp FROM (SELECT *, lead("at") OVER w AS n, lead(dp) OVER w AS nd FROM g WINDOW w AS (PARTITION BY rid, family ORDER BY "at")) WHERE dp > 0 AND nd < 0""")
+def k5_device_pairs(spark, sf):
+    """Matched edges, each on-edge with the next edge of its device; of edges at one sample the largest."""
+    found = J.match(_edges(spark, sf), KNOWN).where("family is not null").groupBy("rid", "family", "at").agg(F.max(F.struct(F.abs("dp").alias("m"), F.col("dp").alias("s")))["s"].alias("dp"))
+    return X.paired_edges(found, ["rid", "family"]).select("rid", "family", "start", "end", F.round("dp", 5).alias("dp"))
+
+
 @query("SELECT family, count(*) AS n, round(median(p), 6) AS p_med, round(median(q), 6) AS q_med, round(stddev_pop(p), 5) AS p_std FROM (SELECT event_type AS family, p, q FROM readings WHERE abs(p) > 3) GROUP BY family")
 def k6_fingerprints(spark, sf):
     f = X.fingerprints(readings(spark, sf).withColumnRenamed("event_type", "family"))
@@ -270,10 +296,11 @@ def k7_transients(spark, sf):
     return t.select("rid", "at", "peak", F.round("steady", 6).alias("steady"), "rise", F.round("spread", 5).alias("spread"), F.round("inrush", 8).alias("inrush"))
 
 
-@query("SELECT rid, i, hour(ts) AS hour, isodow(ts) AS day, round((ts_us - lag(ts_us) OVER (PARTITION BY rid ORDER BY i)) / 1e6, 3) AS since_s FROM readings")
+@query(f"""WITH {_HART} SELECT rid, i AS "at", round(dp, 6) AS dp, hour(ts) AS hour, isodow(ts) AS day, round((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 3) AS since_s,
+    CASE WHEN dp > 0 AND lead(dp) OVER w < 0 THEN round((lead(epoch_us(ts)) OVER w - epoch_us(ts)) / 1e6, 3) END AS on_s FROM hart WINDOW w AS (PARTITION BY rid ORDER BY i)""")
 def k8_context(spark, sf):
-    since = (F.col("ts_us") - F.lag("ts_us").over(by_sample())) / 1e6
-    return readings(spark, sf).select("rid", "i", F.hour("ts").alias("hour"), (F.weekday("ts") + 1).alias("day"), F.round(since, 3).alias("since_s"))
+    r = readings(spark, sf)
+    return X.event_context(X.hart_edges(r), r).withColumns({"dp": F.round("dp", 6), "since_s": F.round("since_s", 3), "on_s": F.round("on_s", 3)})
 
 
 @query("SELECT hour(ts) AS hour, count(*) AS n, round(avg(q), 6) AS p_mean, round(avg((q < 0)::INT), 6) AS share_negative FROM readings GROUP BY hour(ts)")
@@ -296,10 +323,37 @@ def k9_cluster_scores(spark, sf):
     return s.select(*[F.round(c, 6).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness")])
 
 
+def _clusters(spark, sf, kind):
+    rows, _ = X.clustered(readings(spark, sf).select("rid", "i", "p", "q"), ["p", "q"], 4, kind)
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("p").alias("p_mean"), F.avg("q").alias("q_mean"))
+
+
 @query()
 def k9_clusters(spark, sf):
-    rows, _ = X.clustered(readings(spark, sf).select("rid", "i", "p", "q"), ["p", "q"], 4)
-    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("p").alias("p_mean"), F.avg("q").alias("q_mean"))
+    return _clusters(spark, sf, "kmeans")
+
+
+@query()
+def k9_mixtures(spark, sf):
+    return _clusters(spark, sf, "gmm")
+
+
+@query()
+def k9_bisecting(spark, sf):
+    return _clusters(spark, sf, "bisecting")
+
+
+@query()
+def k9_cluster_quality(spark, sf):
+    """Each kind of clustering over the spectra, held against the labels that they come with."""
+    s = spectra(spark, sf)
+    orders = s.select("label", *[(F.get("ang", F.lit(k)) / 3.0).alias(f"h{k + 2}") for k in range(39)])
+    out = None
+    for kind in ("kmeans", "gmm", "bisecting"):
+        rows, silhouette = X.clustered(orders, orders.columns[1:], 10, kind)
+        one = X.contingency_scores(rows, "label", "cluster").select(F.lit(kind).alias("kind"), "ari", "nmi", "homogeneity", "completeness", F.lit(silhouette).alias("silhouette"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()

@@ -40,8 +40,9 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not views:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {views}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
     return f"WITH {views} {body}"
 
 

@@ -46,10 +46,10 @@ def a6_exclude(spark, sf):
     return ingest.excluded(named, F.col("name"), "test_%").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT scenario, string_agg(DISTINCT appliance::VARCHAR, ',' ORDER BY appliance::VARCHAR) AS families, count(*) AS n_samples, round(max(abs(p)), 1) AS p_peak
-    FROM contributions GROUP BY scenario""")
+@query("""SELECT scenario, string_agg(DISTINCT appliance::VARCHAR, ',' ORDER BY appliance::VARCHAR) AS families, count(DISTINCT sample) AS n_samples, count(DISTINCT sample) / 2.0 AS duration_s, any_value(peak) AS p_peak
+    FROM contributions JOIN (SELECT scenario, round(max(abs(p))::DECIMAL(18, 4), 1)::DOUBLE AS peak FROM (SELECT scenario, sample, sum(p) AS p FROM contributions GROUP BY ALL) GROUP BY scenario) USING (scenario) GROUP BY scenario""")
 def a13_manifest(spark, sf):
-    return meterpoint.manifest(contributions(spark, sf))
+    return meterpoint.manifest(contributions(spark, sf), rate=2.0)
 
 
 @query("SELECT rid, i, k FROM (SELECT rid, i, greatest(1, ceil(count(*) OVER (PARTITION BY rid) / 20.0))::BIGINT AS k FROM readings) WHERE i % k = 0")

@@ -19,6 +19,26 @@ def replay(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder)
 
 
+def looped(df: DataFrame, times: int, ts: str = "ts") -> DataFrame:
+    """A stored recording ``times`` over, each round starting one mean step after the end of the one before."""
+    us = F.unix_micros(ts)
+    b = df.agg(F.min(us).alias("a"), F.max(us).alias("b"), F.countDistinct(ts).alias("n")).first()  # one row
+    span = 0 if b["n"] in (0, None) else (b["b"] - b["a"]) + (b["b"] - b["a"]) // max(b["n"] - 1, 1)
+    rounds = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return rounds.withColumn(ts, F.timestamp_micros(us + F.col("round") * F.lit(span)))
+
+
+def paced(df: DataFrame, folder: str, batch_s: float, ts: str = "ts", speed: float = 1.0) -> str:
+    """Write a recording as files of ``batch_s * speed`` recorded seconds each, for ``replay`` at one file a trigger.
+
+    With a trigger every ``batch_s`` seconds the feed runs at ``speed`` times its recorded rate. Files are taken in
+    the order of their numbers, which is the order of their times.
+    """
+    part = F.floor(F.unix_micros(ts) / F.lit(1e6 * batch_s * speed)).cast("long")
+    df.withColumn("_part", part).repartitionByRange("_part").write.mode("overwrite").partitionBy("_part").parquet(folder)
+    return folder
+
+
 def append(df: DataFrame, path: str, checkpoint: str, by: list[str] | None = None) -> StreamingQuery:
     """Write everything there is, then stop; files appear whole or not at all, so a crash loses no written batch."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
