@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.operators.clean import by_sample
+from gridlens.sources.store import shared_folder
 
 
 def cusum(df: DataFrame, target: float, drift: float, key: str = "rid", order: str = "i", p: str = "p") -> DataFrame:
@@ -183,7 +184,11 @@ def contingency_scores(df: DataFrame, label: str, cluster: str) -> DataFrame:
 def clustered(df: DataFrame, columns: Sequence[str], k: int, kind: str = "kmeans", seed: int = 3) -> tuple[DataFrame, float]:
     """Rows with ``cluster`` by standardised columns, and the silhouette."""
     rows = VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip").transform(df)
-    rows = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(rows).transform(rows).cache()
+    # Bisecting starts from the centre moved by a share of its own length: at a centre of zero it would never split.
+    scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=kind != "bisecting")
+    folder = shared_folder(df.sparkSession, "clusters")
+    scale.fit(rows).transform(rows).write.parquet(folder)  # read once in each pass of the fit
+    rows = df.sparkSession.read.parquet(folder)
     make = {"kmeans": KMeans, "gmm": GaussianMixture, "bisecting": BisectingKMeans}[kind]
     out = make(k=k, seed=seed, maxIter=20, featuresCol="_x", predictionCol="cluster").fit(rows).transform(rows)
     silhouette = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(out) if out.select("cluster").distinct().count() > 1 else 0.0
