@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPercep
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,19 @@ class Families:
         data.unpersist()
         return Families(models)
 
+    def save(self, folder: str, spark: SparkSession) -> None:
+        """A folder for each family's model; families of one label as a table of constants."""
+        fitted = {f: m for f, m in self.models.items() if not isinstance(m, float)}
+        for f, m in fitted.items():
+            m.write().overwrite().save(f"{folder}/{f}")
+        rows = [(f, None if f in fitted else m) for f, m in self.models.items()]
+        spark.createDataFrame(rows, "family string, constant double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/families")
+
+    @staticmethod
+    def load(folder: str, spark: SparkSession) -> Families:
+        rows = spark.read.parquet(f"{folder}/families").collect()
+        return Families({r["family"]: PipelineModel.load(f"{folder}/{r['family']}") if r["constant"] is None else r["constant"] for r in rows})
+
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         """``<out>_<family>``: probability of presence, or power."""
         drop = None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridlens.operators.meterpoint import PHASES, harmonic_sums, manifest, meter_point, phase_sums
+
 
 def chance(seed: int, *keys: Column) -> Column:
     """A repeatable number in [0, 1) from a seed and keys."""
@@ -75,12 +77,56 @@ def schedule(chosen: DataFrame, n: int, rate: float, seed: int, family: str = "f
 
 
 def masked(samples: DataFrame, blocks: DataFrame, bucket: int = 64, family: str = "family", on_w: float = 3.0) -> DataFrame:
-    """Samples with P and Q set to 0 outside on blocks, and their state. Range join on equal sample buckets."""
-    spread = blocks.where("on").withColumn("_b", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(end - 1) div {bucket}")))).select("scenario", family, "_b", "start", "end")
-    rows = samples.withColumn("_b", F.expr(f"sample div {bucket}"))
-    joined = rows.join(spread, ["scenario", family, "_b"], "left").withColumn("_on", F.coalesce((F.col("sample") >= F.col("start")) & (F.col("sample") < F.col("end")), F.lit(False)))
-    plain = [c for c in samples.columns if c not in ("p", "q")]
-    one = joined.groupBy(*plain).agg(F.max(F.struct("_on", "p", "q")).alias("_x"))
-    on = F.col("_x._on")
-    out = one.select(*plain, F.when(on, F.col("_x.p")).otherwise(0.0).alias("p"), F.when(on, F.col("_x.q")).otherwise(0.0).alias("q"))
-    return out.withColumn("state", F.when(F.abs("p") > on_w, "on").otherwise("off"))
+    """Samples with P, Q and spectrum (``mag``, if there) set to 0 outside on blocks, and their state.
+
+    Range join on equal sample buckets; a device's blocks don't overlap, so no sample is repeated.
+    """
+    on = blocks.where("on and end > start").select(F.col("scenario").alias("_s"), F.col(family).alias("_f"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    on = on.withColumn("_b", F.explode(F.sequence(F.expr(f"_start div {bucket}"), F.expr(f"(_end - 1) div {bucket}"))))
+    inside = (F.col("scenario") == F.col("_s")) & (F.col(family) == F.col("_f")) & (F.expr(f"sample div {bucket}") == F.col("_b")) & (F.col("sample") >= F.col("_start")) & (F.col("sample") < F.col("_end"))
+    out = samples.join(on, inside, "left").withColumn("_on", F.col("_s").isNotNull())
+    zeroed = {c: F.when(F.col("_on"), F.col(c)).otherwise(0.0) for c in ("p", "q")}
+    if "mag" in samples.columns:
+        zeroed["mag"] = F.when(F.col("_on"), F.col("mag")).otherwise(F.transform("mag", lambda x: F.lit(0.0)))
+    return out.withColumns(zeroed).select(*samples.columns, F.when(F.abs("p") > on_w, "on").otherwise("off").alias("state"))
+
+
+def phase_spectra(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Spectra at the meter point by phase: ``h1`` to ``h3`` (magnitudes) and ``a1`` to ``a3`` (angles); a three-phase device puts a third into each."""
+    spread = parts.withColumn("_phase", F.explode(F.when(F.col("phase") == 0, F.array(*map(F.lit, PHASES))).otherwise(F.array(F.col("phase").cast("int")))))
+    spread = spread.withColumn("mag", F.when(F.col("phase") == 0, F.transform("mag", lambda x: x / 3)).otherwise(F.col("mag")))
+    sums = harmonic_sums(spread, [*keys, "_phase"])
+    return sums.groupBy(*keys).pivot("_phase", list(PHASES)).agg(F.first("mag").alias("h"), F.first("ang").alias("a")).withColumnsRenamed({f"{k}_{c}": f"{c}{k}" for k in PHASES for c in "ha"})
+
+
+def points(parts: DataFrame) -> DataFrame:
+    """The 34 quantities of every sample of a scenario from its devices' contributions, with spectra by phase if they have any."""
+    keys = ["scenario", "sample"]
+    sums = phase_sums(parts, keys)
+    if "mag" in parts.columns:
+        sums = sums.join(phase_spectra(parts, keys), keys)
+        # A phase without a device has no spectrum.
+        sums = sums.withColumns({f"{c}{k}": F.coalesce(f"{c}{k}", F.array().cast("array<double>")) for k in PHASES for c in "ha"})
+    return meter_point(sums)
+
+
+def write_scenarios(parts: DataFrame, folder: str, rate: float, tier: str = "train", seed: int = 0) -> None:
+    """Scenarios as tables below ``folder``: ``contributions`` (the truth), ``readings``, ``recordings`` and ``manifest``.
+
+    Readings and contributions have a folder for each scenario. Contributions are written first and
+    reread, so every other table follows from what was stored; the manifest comes last.
+    """
+    spark = parts.sparkSession
+    by = lambda df, name: df.repartition("scenario").write.mode("overwrite").partitionBy("scenario").parquet(f"{folder}/{name}")
+    by(parts, "contributions")
+    stored = spark.read.schema(parts.schema).parquet(f"{folder}/contributions")
+    by(points(stored), "readings")
+    about = manifest(stored, family="family", rate=rate)
+    size = F.size(F.split("families", ","))
+    about.select("scenario", size.alias("n_appliances"), "n_samples", "duration_s", F.lit(rate).alias("rate"), F.lit(tier).alias("tier"), F.lit(seed).alias("seed")).write.mode("overwrite").parquet(f"{folder}/recordings")
+    about.write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def read_scenarios(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of ``write_scenarios`` by name."""
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("readings", "contributions", "recordings")} | {"manifest": spark.read.json(f"{folder}/manifest")}

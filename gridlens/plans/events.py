@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from gridlens.operators import events as J
 from gridlens.operators import explore as X
+from gridlens.operators import meterpoint as M
 from gridlens.operators import scenarios as I
 from gridlens.operators.clean import by_sample
 from gridlens.plans.fixtures import contributions, phases, predictions, readings, spectra
 from gridlens.plans.registry import query
+from gridlens.sources.store import shared_folder
 
 SIDE, SPAN = 2, 6
 _EDGES = f"""x AS (SELECT *, abs(p - lag(p) OVER (PARTITION BY rid ORDER BY i)) AS jump, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM readings),
@@ -202,15 +204,31 @@ def i7_schedule(spark, sf):
     return I.schedule(_chosen(spark, sf), 600, 1.0, 7)
 
 
+def scenario_parts(spark, sf, n: int = 600):
+    """Chosen recordings looped, masked by their schedules, on a phase and with a spectrum of their family."""
+    chosen = _chosen(spark, sf)
+    t = I.tiled(chosen, readings(spark, sf).select("rid", "i", "p", "q"), n).select("scenario", "family", "sample", "p", "q")
+    families = t.select("family").distinct().withColumn("vec_id", F.pmod(F.xxhash64("family"), F.lit(100)))
+    voices = families.join(spectra(spark, sf).select("vec_id", "mag", "ang"), "vec_id").select("family", (F.col("vec_id") % 4).alias("phase"), "mag", "ang")
+    return I.masked(t.join(voices, "family"), I.schedule(chosen, n, 1.0, 7))
+
+
 @query()
 def i8_i9_mixed(spark, sf):
     """Chosen recordings looped, masked by their schedules, and added up per sample."""
-    chosen = _chosen(spark, sf)
-    t = I.tiled(chosen, readings(spark, sf).select("rid", "i", "p", "q"), 600).select("scenario", "family", "sample", "p", "q")
-    m = I.masked(t, I.schedule(chosen, 600, 1.0, 7))
+    m = scenario_parts(spark, sf).drop("mag", "ang")
     return m.groupBy("scenario", "sample").agg(F.sum("p").alias("p_total"), F.sum("q").alias("q_total"), F.count_if(F.col("state") == "on").alias("n_on"))
 
 
+@query()
+def a9_i9_scenarios(spark, sf):
+    """Scenarios with spectra and truth written to the store, and what the stored tables say of each."""
+    folder = shared_folder(spark, "scenarios")
+    I.write_scenarios(scenario_parts(spark, sf), folder, 1.0, seed=7)
+    t = I.read_scenarios(spark, folder)
+    return M.summary(t["readings"]).join(t["recordings"], "scenario").join(t["manifest"].select("scenario", "families", "p_peak"), "scenario")
+
+
 # Exploration ----------------------------------------------------------------------------------
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from gridlens.operators import models as G
 from gridlens.operators import windows as E
+from gridlens.operators.registry import ModelRegistry
+from gridlens.operators.retrain import retrain
 from gridlens.operators.score import macro_f1
+from gridlens.plans.events import scenario_parts
 from gridlens.plans.fixtures import phases, readings, table
 from gridlens.plans.registry import query
 from gridlens.sources.store import shared_folder
@@ -142,3 +145,11 @@ def k16_two_stage(spark, sf):
     columns = ["peak", "steady", "rise", "spread"]
     m = G.identify(t, columns, trees=10)
     return m.transform(t).select("rid", "at", "family", "prediction")
+
+
+@query()
+def g16_retrain(spark, sf):
+    """Scenarios of the recordings, models of all families trained on them and held-out scores after a reload."""
+    folder = shared_folder(spark, "retrain")
+    names = [r[0] for r in readings(spark, sf).select("event_type").distinct().orderBy("event_type").collect()]
+    return retrain(scenario_parts(spark, sf), ModelRegistry(spark, f"{folder}/models"), f"{folder}/scenarios", names, 10, trees=20)
