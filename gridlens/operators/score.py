@@ -123,3 +123,19 @@ def timeline(df: DataFrame, families: list[str], total: str = "total", key: str
     at = lambda f, c: F.max(F.when(F.col(family) == f, F.col(c)))
     wide = [x for k, f in enumerate(families, start=1) for x in (F.coalesce(at(f, "on"), F.lit(0)).alias(f"on_{k}"), F.round(at(f, "prob").cast("decimal(18,6)"), 3).cast("double").alias(f"prob_{k}"), watts(F.coalesce(at(f, "w"), F.lit(0.0))).alias(f"w_{k}"))]
     return per.groupBy(key, win).agg(watts(F.max("_t")).alias("total"), watts(F.max("_t") - F.sum("w")).alias("residual"), *wide)
+
+
+def mix_summary(windows: DataFrame, window_s: float, key: str = "rid", win: str = "win", family: str = "family") -> tuple[DataFrame, DataFrame]:
+    """(by family, by recording) of (key, win, family, on, prob, watts, total), where ``watts`` is gated by ``on``.
+
+    By family: share of the recording's windows on, energy. By recording: mean confidence of the
+    decisions, share of the power explained, mean absolute residual.
+    """
+    count = windows.groupBy(key).agg(F.countDistinct(win).alias("_n"))
+    by = windows.groupBy(key, family).agg(F.sum("on").alias("_on"), (F.sum("watts") * window_s / 3.6e6).alias("energy_kwh"))
+    by = by.join(count, key).select(key, family, (F.col("_on") / F.col("_n")).alias("fraction_on"), "energy_kwh")
+    sure = F.when(F.col("on") == 1, F.col("prob")).otherwise(1 - F.col("prob"))
+    per = windows.groupBy(key, win).agg(F.max("total").alias("_t"), F.sum("watts").alias("_w"), F.sum(sure).alias("_c"), F.count(sure).alias("_k"))
+    gap = F.abs(F.col("_t") - F.col("_w"))
+    whole = per.groupBy(key).agg((F.sum("_c") / F.sum("_k")).alias("confidence"), (1 - F.sum(gap) / F.greatest(F.sum(F.abs("_t")), F.lit(1e-9))).alias("explained"), F.avg(gap).alias("residual_w"))
+    return by, whole

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridlens.operators import models as G
 from gridlens.operators import windows as E
-from gridlens.operators.registry import ModelRegistry
-from gridlens.operators.retrain import retrain
+from gridlens.operators.registry import Mix, ModelRegistry
+from gridlens.operators.retrain import fit_mix, retrain
 from gridlens.operators.score import macro_f1
 from gridlens.plans.events import scenario_parts
 from gridlens.plans.fixtures import phases, readings, table
@@ -153,3 +153,39 @@ def g16_retrain(spark, sf):
     folder = shared_folder(spark, "retrain")
     names = [r[0] for r in readings(spark, sf).select("event_type").distinct().orderBy("event_type").collect()]
     return retrain(scenario_parts(spark, sf), ModelRegistry(spark, f"{folder}/models"), f"{folder}/scenarios", names, 10, trees=20)
+
+
+_STATS = {"p_mean": "avg(p)", "p_std": "stddev_pop(p)", "p_min": "min(p)", "p_max": "max(p)", "q_mean": "avg(q)", "p1_mean": "avg(p1)", "p2_mean": "avg(p2)", "p3_mean": "avg(p3)",
+    "pf_mean": "avg(CASE WHEN sqrt(p * p + q * q) > 1e-6 THEN p / sqrt(p * p + q * q) ELSE 1 END)", "thd_mean": "0.0", "hour_mean": "0.0", "q_std": "stddev_pop(q)", "qp": "avg(q) / (abs(avg(p)) + 1e-6)", "s": "sqrt(avg(p) ** 2 + avg(q) ** 2)"}
+
+
+def _phased(rows):
+    return rows.select("rid", "ts", "p", "q", *[(share * F.col("p")).alias(f"p{k}") for k, share in ((1, 0.5), (2, 0.3), (3, 0.2))])
+
+
+@query(f"""WITH b AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) AS start FROM phases) SELECT rid, start, {", ".join(f"round({e}, 4) AS {n}" for n, e in _STATS.items())}
+    FROM b GROUP BY rid, start HAVING start + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def j9_stream_features(spark, sf):
+    """Window features of a stream, appended to the store as the watermark passes each window."""
+    f = _appended(live.window_features(_phased(_event_stream(spark, sf)), "6 hours", "1 hour"))
+    return f.select("rid", "start", *[F.round(c, 4).alias(c) for c in _STATS])
+
+
+@query()
+def j9_live_states(spark, sf):
+    """Stream, window features, presence and power models, append sink; then states of all devices from the stored windows.
+
+    Fitted on the windows of recordings with even numbers.
+    """
+    r = readings(spark, sf)
+    names = [x[0] for x in r.select("event_type").distinct().orderBy("event_type").collect()]
+    start = F.window("ts", "6 hours")["start"].alias("start")
+    kind = lambda f: F.col("event_type") == f
+    truth = r.groupBy("rid", start).agg(*[F.max(kind(f).cast("int")).alias(f) for f in names], *[(F.sum(F.when(kind(f), F.col("p")).otherwise(0.0)) / F.count("*")).alias(f"power of {f}") for f in names])
+    # The same features in a batch: a watermark changes nothing there.
+    known = live.window_features(_phased(r), "6 hours", "1 hour").where("rid % 2 = 0").join(truth, ["rid", "start"])
+    fitted = fit_mix(known, names, trees=5)
+    mix = Mix(fitted["presence"], fitted["power"], FEATURES, names, "mix")
+    scored = mix.predict(live.window_features(_phased(_event_stream(spark, sf)), "6 hours", "1 hour"))
+    columns = ["rid", "start", "p_mean", *[f"{x}_{f}" for f in names for x in ("presence", "power")]]
+    return live.device_states(_appended(scored.select(*columns)), names)

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from gridlens.operators.events import EDGE_W, SETTLED_SHARE, SETTLED_W, Claims, edges
+from gridlens.operators.events import EDGE_W, SETTLED_SHARE, SETTLED_W, Claims, edges, hysteresis, merge, residual
+from gridlens.operators.windows import aggregate_features, smoothed
 
 
 def replay(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1, name: str = "*") -> DataFrame:
@@ -60,6 +61,27 @@ def windowed(df: DataFrame, size: str, slide: str | None, late: str, key: str =
     return df.withWatermark(ts, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), F.avg(p).alias("p_mean"), F.max(p).alias("p_max"), F.stddev_pop(p).alias("p_std")).select(key, F.col("w.start").alias("start"), "n", "p_mean", "p_max", "p_std")
 
 
+def window_features(df: DataFrame, size: str, late: str, key: str = "rid", ts: str = "ts") -> DataFrame:
+    """The features of ``windows.aggregate_features`` over clock-time windows of a stream, each when the watermark has passed it: (key, start, features)."""
+    windows = df.withWatermark(ts, late).withColumn("win", F.window(ts, size))
+    f = aggregate_features(windows, key, phases="p1" in df.columns)
+    return f.select(key, F.col("win.start").alias("start"), *[c for c in f.columns if c not in (key, "win")])
+
+
+def device_states(scored: DataFrame, families: list[str], key: str = "rid", at: str = "start", total: str = "p_mean") -> DataFrame:
+    """From the scored windows of ``Mix.predict`` to device states: (key, at, device, prob, state, watts, total, residual, explained).
+
+    Median of three probabilities, on and off by hysteresis, model watts scaled into the total; no claims.
+    """
+    one = lambda f: F.struct(F.lit(f).alias("device"), F.col(f"presence_{f}").alias("_p"), F.col(f"power_{f}").alias("_w"))
+    long = scored.select(key, at, F.col(total).alias("total"), F.explode(F.array(*map(one, families))).alias("_x")).select(key, at, "total", "_x.*")
+    smooth = long.withColumn("prob", smoothed(F.col("_p"), [key, "device"], at))
+    on = smooth.withColumn("state", hysteresis(F.col("prob"), Window.partitionBy(key, "device").orderBy(at)))
+    on = on.withColumns({"_claim": F.lit(None).cast("double"), "_held": F.lit(False), "_model": F.col("_w") * F.col("state")})
+    merged = merge(on, [key, at], "total", "_claim", "_model", "_held")
+    return merged.join(residual(merged, [key, at], "total", "watts").drop("total"), [key, at]).select(key, at, "device", "prob", "state", "watts", "total", "residual", "explained")
+
+
 def settled_step(p: np.ndarray, q: np.ndarray, side: int) -> tuple[int, float, float, float] | None:
     """(place of the jump, dP, dQ, P after) of one full span, by the rules of ``events.edges``."""
     p0, p1 = np.median(p[:side]), np.median(p[-side:])
