@@ -82,8 +82,8 @@ def matched_times(times: Sequence[tuple[int, bool]], within: float) -> list[tupl
 def matched_events(found: DataFrame, true: DataFrame, within: int, key: str = "rid") -> DataFrame:
     """One-to-one pairs (key, f, t) at most ``within`` apart. Repeated events count once.
 
-    No pair crosses a gap longer than ``within``, so each run of events between such gaps is a group
-    of its own, however long the recording.
+    No pair crosses a gap longer than ``within``, so a recording is cut at such gaps: a group is a
+    thousand runs of events between them, however long the recording.
     """
     both = found.select(key, "at", F.lit(False).alias("true")).union(true.select(key, "at", F.lit(True))).where("at is not null").distinct()
     w = Window.partitionBy(key).orderBy("at", "true")
@@ -97,7 +97,7 @@ def matched_events(found: DataFrame, true: DataFrame, within: int, key: str = "r
 
     # A run of one kind of events has no pair.
     mixed = runs.withColumn("_kinds", F.size(F.collect_set("true").over(Window.partitionBy(key, "_run")))).where("_kinds = 2")
-    return mixed.select(key, "_run", "at", "true").groupBy(key, "_run").applyInPandas(run, f"{key} long, f long, t long")
+    return mixed.select(key, F.expr("_run div 1000").alias("_part"), "at", "true").groupBy(key, "_part").applyInPandas(run, f"{key} long, f long, t long")
 
 
 def event_scores(found: DataFrame, true: DataFrame, within: int, key: str = "rid") -> DataFrame:
