@@ -33,9 +33,16 @@ def j1_edges(spark, sf):
     return _edges(spark, sf).select("rid", "i", "at", *[F.round(c, 5).alias(c) for c in ("dp", "dq", "p_after")])
 
 
-@query()
+#: Edges of a recording in order, one step each: those that follow the last accepted one by 3.
+_DEBOUNCED = f"""{_EDGES}, num AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY "at", i) AS n FROM edges),
+    step AS (SELECT rid, n, "at" AS last, true AS ok FROM num WHERE n = 1 UNION ALL
+    SELECT num.rid, num.n, CASE WHEN num."at" - step.last >= 3 THEN num."at" ELSE step.last END, num."at" - step.last >= 3 FROM step JOIN num ON num.rid = step.rid AND num.n = step.n + 1),
+    kept AS (SELECT num.* FROM num JOIN step USING (rid, n) WHERE step.ok)"""
+
+
+@query(f"WITH RECURSIVE {_DEBOUNCED} SELECT rid, i, \"at\", round(dp, 5) AS dp, round(dq, 5) AS dq, round(p_after, 5) AS p_after FROM kept")
 def j2_debounced_edges(spark, sf):
-    return J.debounce(_edges(spark, sf), 3)
+    return J.debounce(_edges(spark, sf), 3).select("rid", "i", "at", *[F.round(c, 5).alias(c) for c in ("dp", "dq", "p_after")])
 
 
 @query("SELECT rid, family, round(median(p), 6) AS p_sig, round(median(q), 6) AS q_sig FROM (SELECT rid, event_type AS family, p, q FROM readings WHERE abs(p) > 3) GROUP BY rid, family HAVING count(*) >= 5")
@@ -54,17 +61,44 @@ def j4_matched_edges(spark, sf):
     return J.match(_edges(spark, sf), KNOWN).select("rid", "i", F.round("dp", 5).alias("dp"), "family", "confidence")
 
 
-@query()
+def _claims_sql(known: str, edges: str) -> str:
+    """Claims of every recording, one edge a step: ``on`` holds the claims in the order in which they came."""
+    return f"""d AS (SELECT *, sqrt(power(sign * dp - kp, 2) + power(sign * dq - kq, 2)) / greatest(20.0, 0.35 * sqrt(kp * kp + kq * kq)) AS d FROM (SELECT *, CASE WHEN dp < 0 THEN -1 ELSE 1 END AS sign FROM {edges}), {known}),
+    b AS (SELECT *, abs(dp) >= 8 AND d < 1 AND round(1 - d, 2) >= 0.25 AS good, round(1 - d, 2) AS c FROM (SELECT *, row_number() OVER (PARTITION BY rid, i ORDER BY d, family) AS r FROM d) WHERE r = 1),
+    m AS (SELECT rid, "at", dp, p_after, CASE WHEN good THEN family END AS f, CASE WHEN good THEN c END AS c, row_number() OVER (PARTITION BY rid ORDER BY "at", dp) AS k FROM b),
+    walk AS (SELECT DISTINCT rid, 0::BIGINT AS k, NULL::BIGINT AS "at", NULL::DOUBLE AS dp, NULL::VARCHAR AS device, []::STRUCT(f VARCHAR, w DOUBLE, c DOUBLE, t BIGINT)[] AS held, 0::BIGINT AS drops, []::VARCHAR[] AS dropped FROM m UNION ALL
+    SELECT rid, k, "at", dp, device, list_filter(claimed, lambda x: NOT list_contains(old[:drops], x.f)), drops, old[:drops] FROM (
+        SELECT *, coalesce(list_min(list_filter(range(0, len(old) + 1), lambda j: total - gone[j + 1] <= p_after + greatest(30, 0.1 * (total - gone[j + 1])))), len(old)) AS drops FROM (
+        SELECT *, list_transform(range(0, len(old) + 1), lambda j: coalesce(list_sum(list_transform(list_filter(claimed, lambda x: list_contains(old[:j], x.f)), lambda x: x.w)), 0)) AS gone FROM (
+        SELECT *, coalesce(list_sum(list_transform(claimed, lambda x: x.w)), 0) AS total, list_transform(list_sort(list_filter(list_transform(claimed, lambda x, n: struct_pack(c := x.c, n := n, f := x.f, t := x.t)), lambda x: "at" - x.t >= 6)), lambda x: x.f) AS old FROM (
+        SELECT *, CASE WHEN device IS NULL THEN held WHEN dp <= 0 THEN list_filter(held, lambda x: x.f <> device)
+            WHEN list_contains(list_transform(held, lambda x: x.f), device) THEN list_transform(held, lambda x: CASE WHEN x.f = device THEN struct_pack(f := device, w := abs(dp), c := c, t := "at") ELSE x END)
+            ELSE list_append(held, struct_pack(f := device, w := abs(dp), c := c, t := "at")) END AS claimed FROM (
+        SELECT m.*, walk.held, CASE WHEN m.dp > 0 THEN CASE WHEN m.c >= 0.3 THEN m.f END WHEN list_contains(list_transform(walk.held, lambda x: x.f), m.f) THEN m.f
+            ELSE list_min(list_filter(list_transform(walk.held, lambda x, n: struct_pack(e := abs(abs(m.dp) - x.w) / greatest(x.w, 20.0), n := n, f := x.f)), lambda x: x.e < 0.35)).f END AS device
+        FROM walk JOIN m ON m.rid = walk.rid AND m.k = walk.k + 1))))))
+    SELECT rid, "at", CASE WHEN dp > 0 THEN 'on' ELSE 'off' END AS kind, device, round(abs(dp), 5) AS watts FROM walk WHERE device IS NOT NULL UNION ALL SELECT rid, "at", 'dropped', unnest(dropped), 0.0 FROM walk"""
+
+
+def _rounded_claims(matched):
+    return J.claims(matched).select("rid", "at", "kind", "device", F.round("watts", 5).alias("watts"))
+
+
+@query(f"WITH RECURSIVE {_DEBOUNCED}, {_claims_sql(_KNOWN, 'kept')}")
 def j5_j6_j7_claims(spark, sf):
-    return J.claims(J.match(J.debounce(_edges(spark, sf), 3), KNOWN))
+    return _rounded_claims(J.match(J.debounce(_edges(spark, sf), 3), KNOWN))
 
 
-@query()
+_OTHERS = [(f, 1.1 * p, q) for f, p, q in KNOWN]
+_OTHERS_SQL = "(VALUES " + ", ".join(f"('{f}', {p!r}::DOUBLE, {q!r}::DOUBLE)" for f, p, q in _OTHERS) + ") k(family, kp, kq)"
+
+
+@query(f"""WITH RECURSIVE {_DEBOUNCED}, late AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY rid ORDER BY "at" DESC, i DESC) AS back FROM kept) WHERE back <= 600), {_claims_sql(_OTHERS_SQL, 'late')}""")
 def j8_rebuilt_claims(spark, sf):
     """The last 600 edges of every recording, matched against other signatures and replayed."""
     last = Window.partitionBy("rid").orderBy(F.desc("at"), F.desc("i"))
     recent = J.debounce(_edges(spark, sf), 3).withColumn("_r", F.row_number().over(last)).where("_r <= 600").drop("_r")
-    return J.claims(J.match(recent, [(f, 1.1 * p, q) for f, p, q in KNOWN]))
+    return _rounded_claims(J.match(recent, _OTHERS))
 
 
 @query("SELECT rid, i, quantile_cont(least(1.0, p / 100), 0.5) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prob FROM readings")
@@ -243,7 +277,10 @@ def k2_cusum(spark, sf):
     return X.cusum(readings(spark, sf), 50.0, 5.0).select("rid", "i", F.round("cusum_up", 4).alias("up"), F.round("cusum_down", 4).alias("down"))
 
 
-@query()
+@query("""WITH RECURSIVE walk AS (SELECT rid, i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, p AS level, false AS hit FROM readings WHERE i = 0 UNION ALL
+    SELECT rid, i, CASE WHEN hit THEN 0.0 ELSE u END, CASE WHEN hit THEN 0.0 ELSE d END, CASE WHEN hit THEN p ELSE level END, hit FROM (SELECT *, u > 120 OR d > 120 AS hit FROM (
+    SELECT r.rid, r.i, r.p, walk.level, greatest(0.0, walk.up + r.p - walk.level - 5) AS u, greatest(0.0, walk.down + walk.level - r.p - 5) AS d FROM walk JOIN readings r ON r.rid = walk.rid AND r.i = walk.i + 1)))
+    SELECT rid, i AS "at" FROM walk WHERE hit""")
 def k2_cusum_events(spark, sf):
     return X.cusum_events(readings(spark, sf), 120.0, 5.0)
 
