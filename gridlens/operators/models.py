@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridlens.functions.draws import chance
+
 
 def grouped_split(df: DataFrame, group: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(train, test) with whole groups on one side: groups whose hash falls into the share are the test.
@@ -20,7 +22,7 @@ def grouped_split(df: DataFrame, group: str, share: float, seed: int) -> tuple[D
     No order over all groups is needed. The group with the smallest hash is always in the test,
     and, of more than one, the group with the largest never is.
     """
-    groups = df.select(group).distinct().withColumn("_h", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    groups = df.select(group).distinct().withColumn("_h", chance(seed, group))
     ends = groups.agg(F.min(F.struct("_h", group)).alias("low"), F.max(F.struct("_h", group)).alias("high")).first()  # one row
     low, high = (ends["low"] or [None, None])[1], (ends["high"] or [None, None])[1]
     held = groups.where((F.col(group) == F.lit(low)) | ((F.col("_h") < share) & (F.col(group) != F.lit(high)))).select(group)
@@ -33,7 +35,7 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], share: floa
     A label's share of test rows is exact where it has at most ``1 / share`` rows (one, or none of
     a single row); no task gathers a label's rows.
     """
-    hashed = df.withColumn("_h", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    hashed = df.withColumn("_h", chance(seed, *keys))
     few = hashed.groupBy(label).agg(F.count("*").alias("_n"), F.min("_h").alias("_low"))
     ranked = hashed.join(few, label).withColumn("_r", F.when(F.col("_n") * share <= 1, F.when((F.col("_n") > 1) & (F.col("_h") == F.col("_low")), 0.0).otherwise(1.0)).otherwise(F.col("_h"))).drop("_h", "_n", "_low")
     return ranked.where(F.col("_r") >= share).drop("_r"), ranked.where(F.col("_r") < share).drop("_r")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridlens.functions.draws import chance
 from gridlens.operators.meterpoint import PHASES, harmonic_sums, manifest, meter_point, phase_sums
 
 
-def chance(seed: int, *keys: Column) -> Column:
-    """A repeatable number in [0, 1) from a seed and keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
-
-
 def pool(recordings: DataFrame, family: str = "family", key: str = "rid") -> DataFrame:
     """Recordings of each family, in order."""
     return recordings.groupBy(family).agg(F.sort_array(F.collect_set(key)).alias("recordings"))

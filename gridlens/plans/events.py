@@ -11,7 +11,7 @@ from gridlens.operators import meterpoint as M
 from gridlens.operators import scenarios as I
 from gridlens.operators.clean import by_sample
 from gridlens.plans.fixtures import contributions, phases, predictions, readings, spectra
-from gridlens.plans.registry import query
+from gridlens.plans.registry import query, sql_chance
 from gridlens.sources.store import shared_folder
 
 SIDE, SPAN = 2, 6
@@ -210,7 +210,24 @@ def _plan(spark, sf):
     return spark.createDataFrame([(k, f) for k, v in sorted(covered.items()) for f in v], "scenario long, family string")
 
 
-@query()
+#: The same plan, its repair one change a step: the first family in too few scenarios goes into the shortest scenario without it.
+_PLAN = f"""names AS (SELECT list_sort(list(DISTINCT event_type)) AS names FROM readings),
+    drawn AS (SELECT s AS scenario, f AS family, 2 + floor({sql_chance(7, 's')} * 2) AS size, row_number() OVER (PARTITION BY s ORDER BY {sql_chance(8, 's', 'f')}, f) AS r FROM range(12) a(s), (SELECT DISTINCT event_type AS f FROM readings)),
+    repair AS (SELECT 0 AS n, (SELECT list(struct_pack(k := scenario, fs := fs) ORDER BY scenario) FROM (SELECT scenario, list(family) AS fs FROM drawn WHERE r <= size GROUP BY scenario)) AS v, names FROM names UNION ALL
+    SELECT n + 1, list_transform(v, lambda s: CASE WHEN s.k <> k THEN s ELSE struct_pack(k := s.k, fs := list_append(CASE WHEN len(s.fs) < 3 THEN s.fs ELSE list_filter(s.fs, lambda x: x <> d) END, f)) END), names FROM (
+        SELECT *, list_max(list_transform(list_filter(v, lambda s: s.k = k)[1].fs, lambda x: struct_pack(c := len(list_filter(v, lambda s: list_contains(s.fs, x))), x := x))).x AS d FROM (
+        SELECT *, list_min(list_transform(list_filter(v, lambda s: NOT list_contains(s.fs, f)), lambda s: struct_pack(l := len(s.fs), k := s.k))).k AS k FROM (
+        SELECT *, list_min(list_filter(names, lambda x: len(list_filter(v, lambda s: list_contains(s.fs, x))) < 4)) AS f FROM repair WHERE n < 40) WHERE f IS NOT NULL))),
+    planned AS (SELECT x.k AS scenario, unnest(x.fs) AS family FROM (SELECT unnest(v) AS x FROM repair ORDER BY n DESC LIMIT 12))"""
+_CHOSEN = f"""{_PLAN}, pools AS (SELECT event_type AS family, list_sort(list(DISTINCT rid)) AS rids FROM readings GROUP BY event_type),
+    chosen AS (SELECT scenario, family, rids[1 + floor({sql_chance(7, 'scenario', 'family')} * len(rids))::BIGINT] AS rid FROM planned JOIN pools USING (family))"""
+_BLOCKS = f"""{_CHOSEN}, blocks AS (SELECT *, CASE WHEN "on" THEN floor(30 + 90 * {sql_chance(8, 'scenario', 'family', 'block')}) ELSE floor(15 + 75 * {sql_chance(9, 'scenario', 'family', 'block')}) END::BIGINT AS length FROM (
+        SELECT scenario, family, block, (block % 2 = 0) = ({sql_chance(7, 'scenario', 'family')} < 0.6) AS "on" FROM chosen, range(43) b(block))),
+    cut AS (SELECT * FROM (SELECT *, sum(length) OVER (PARTITION BY scenario, family ORDER BY block) - length AS start FROM blocks) WHERE start < 600),
+    schedule AS (SELECT scenario, family, start::BIGINT AS start, CASE WHEN forced THEN least(start + length, 45) ELSE start + length END::BIGINT AS "end", "on" OR forced AS "on" FROM (SELECT *, NOT bool_or("on") OVER (PARTITION BY scenario, family) AND block = 0 AS forced FROM cut))"""
+
+
+@query(f"WITH RECURSIVE {_PLAN} SELECT scenario, family, n_samples FROM planned JOIN (SELECT event_type AS family, count(*) AS n_samples FROM readings GROUP BY event_type) USING (family)")
 def i3_i4_plan(spark, sf):
     real = readings(spark, sf).groupBy(F.col("event_type").alias("family")).agg(F.count("*").alias("n_samples"))
     return _plan(spark, sf).join(real, "family")
@@ -220,7 +237,7 @@ def _chosen(spark, sf):
     return I.choose(_plan(spark, sf), I.pool(readings(spark, sf).withColumnRenamed("event_type", "family")), 7)
 
 
-@query()
+@query(f"WITH RECURSIVE {_CHOSEN} SELECT * FROM chosen")
 def i5_variant(spark, sf):
     return _chosen(spark, sf)
 
@@ -233,7 +250,7 @@ def i6_looped(spark, sf):
     return I.tiled(chosen, r, 120).select("rid", F.col("sample").cast("long").alias("sample"), "p")
 
 
-@query()
+@query(f'WITH RECURSIVE {_BLOCKS} SELECT scenario, family, start, "end", "on" FROM schedule')
 def i7_schedule(spark, sf):
     return I.schedule(_chosen(spark, sf), 600, 1.0, 7)
 
@@ -247,11 +264,14 @@ def scenario_parts(spark, sf, n: int = 600):
     return I.masked(t.join(voices, "family"), I.schedule(chosen, n, 1.0, 7))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BLOCKS}, n AS (SELECT rid, count(*) AS n FROM readings GROUP BY rid),
+    x AS (SELECT scenario, family, sample, p, q FROM (SELECT *, unnest(range(600)) AS sample FROM chosen JOIN n USING (rid)) s JOIN readings r ON r.rid = s.rid AND r.i = s.sample % s.n),
+    y AS (SELECT x.*, s.start IS NOT NULL AS active FROM x LEFT JOIN schedule s ON s.scenario = x.scenario AND s.family = x.family AND s."on" AND x.sample >= s.start AND x.sample < s."end")
+    SELECT scenario, sample, round(sum(CASE WHEN active THEN p ELSE 0 END), 6) AS p_total, round(sum(CASE WHEN active THEN q ELSE 0 END), 6) AS q_total, count(*) FILTER (active AND abs(p) > 3) AS n_on FROM y GROUP BY scenario, sample""")
 def i8_i9_mixed(spark, sf):
     """Chosen recordings looped, masked by their schedules, and added up per sample."""
     m = scenario_parts(spark, sf).drop("mag", "ang")
-    return m.groupBy("scenario", "sample").agg(F.sum("p").alias("p_total"), F.sum("q").alias("q_total"), F.count_if(F.col("state") == "on").alias("n_on"))
+    return m.groupBy("scenario", "sample").agg(F.round(F.sum("p"), 6).alias("p_total"), F.round(F.sum("q"), 6).alias("q_total"), F.count_if(F.col("state") == "on").alias("n_on"))
 
 
 @query()

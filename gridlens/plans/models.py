@@ -12,7 +12,7 @@ from gridlens.operators.retrain import fit_mix, retrain
 from gridlens.operators.score import macro_f1
 from gridlens.plans.events import scenario_parts
 from gridlens.plans.fixtures import phases, readings, table
-from gridlens.plans.registry import query
+from gridlens.plans.registry import query, sql_chance
 from gridlens.sources.store import shared_folder
 from gridlens.streaming import live
 
@@ -77,13 +77,20 @@ def g6_neural(spark, sf):
     return G.neural_presence(s, "sequence", "on", 10, iterations=15).transform(G.as_vectors(s, "sequence")).select("rid", "win", "on", vector_to_array("probability")[1].alias("p_on"))
 
 
-@query()
+#: Windows of five samples, their families, and which recordings are the test.
+_WINDOWS = "f AS (SELECT rid, i // 5 AS win, avg(p) AS m FROM readings GROUP BY ALL HAVING count(*) = 5)"
+
+
+@query(f"""WITH {_WINDOWS}, h AS (SELECT rid, {sql_chance(5, 'rid')} AS h FROM (SELECT DISTINCT rid FROM f))
+    SELECT rid, CASE WHEN rid = (SELECT rid FROM h ORDER BY h, rid LIMIT 1) OR h < 0.3 AND rid <> (SELECT rid FROM h ORDER BY h DESC, rid DESC LIMIT 1) THEN 'test' ELSE 'train' END AS part FROM h""")
 def g7_grouped_split(spark, sf):
     train, test = _split(spark, sf)
     return train.select("rid").distinct().withColumn("part", F.lit("train")).union(test.select("rid").distinct().withColumn("part", F.lit("test")))
 
 
-@query()
+@query(f"""WITH {_WINDOWS}, h AS (SELECT CASE WHEN m > 60 THEN 'boiler' WHEN m > 40 THEN 'lamp' ELSE 'fan' END AS family, rid, win, {sql_chance(5, 'rid', 'win')} AS h FROM f),
+    n AS (SELECT *, count(*) OVER (PARTITION BY family) AS n, min(h) OVER (PARTITION BY family) AS low FROM h)
+    SELECT family, rid, win, CASE WHEN CASE WHEN n * 0.25 <= 1 THEN n > 1 AND h = low ELSE h < 0.25 END THEN 'test' ELSE 'train' END AS part FROM n""")
 def g8_stratified_split(spark, sf):
     train, test = G.stratified_split(_features(spark, sf), "family", ["rid", "win"], 0.25, 5)
     return train.select("family", "rid", "win", F.lit("train").alias("part")).union(test.select("family", "rid", "win", F.lit("test").alias("part")))

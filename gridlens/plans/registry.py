@@ -25,6 +25,11 @@ VIEWS = {
 }
 
 
+def sql_chance(seed: int, *keys: str) -> str:
+    """``functions.draws.chance`` in DuckDB's SQL."""
+    return f"(('0x' || md5(concat_ws('|', '{seed}', {', '.join(keys)}))[:12])::BIGINT / {1 << 48}::DOUBLE)"
+
+
 def with_views(body: str) -> str:
     """``body`` after the views that it names, and those that these name."""
     need: list[str] = []
