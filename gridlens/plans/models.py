@@ -1,4 +1,4 @@
-"""Queries of trained models and streams. Small forests: the point is the plan, not the score."""
+"""Queries of trained models and streams. Forests are small; scores are of held-out scenarios."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gridlens.operators import models as G
+from gridlens.operators import scenarios as I
 from gridlens.operators import windows as E
 from gridlens.operators.registry import Mix, ModelRegistry
-from gridlens.operators.retrain import fit_mix, retrain
+from gridlens.operators.retrain import FEATURES as MIX_FEATURES
+from gridlens.operators.retrain import fit_mix, retrain, scenario_windows
 from gridlens.operators.score import macro_f1
 from gridlens.plans.events import scenario_parts
 from gridlens.plans.fixtures import phases, readings, table
@@ -17,64 +19,98 @@ from gridlens.sources.store import shared_folder
 from gridlens.streaming import live
 
 FEATURES = ["p_mean", "p_std", "p_min", "p_max", "q_mean", "qp", "s"]
+WINDOW = 10
 
 
 def _features(spark, sf):
     f = E.aggregate_features(E.tumbling(phases(spark, sf), 5))
-    kind = F.when(F.col("p_mean") > 60, "boiler").when(F.col("p_mean") > 40, "lamp").otherwise("fan")
-    return f.withColumn("family", kind).withColumns({"fan": (F.col("p_min") < 15).cast("int"), "lamp": (F.col("p_max") > 80).cast("int"), "p_fan": F.col("p_mean") * 0.4})
+    return f.withColumn("family", F.when(F.col("p_mean") > 60, "boiler").when(F.col("p_mean") > 40, "lamp").otherwise("fan"))
 
 
-def _split(spark, sf):
-    return G.grouped_split(_features(spark, sf), "rid", 0.3, 5)
+def _names(spark, sf):
+    """The families: a handful."""
+    return [r[0] for r in readings(spark, sf).select("event_type").distinct().orderBy("event_type").collect()]
+
+
+def _windows(spark, sf, alone: bool = False):
+    """(train, test) by scenario: windows at the meter point of the composed scenarios, with what each family truly drew.
+
+    ``alone``: each device metered by itself, its active windows with the ``family``. No label is
+    made of a feature: the truth is of the devices, the features are of their sum.
+    """
+    folder = shared_folder(spark, "windows")
+    parts = scenario_parts(spark, sf)
+    if alone:
+        parts = parts.withColumn("scenario", F.concat_ws("/", "scenario", "family"))
+    parts.write.mode("overwrite").parquet(f"{folder}/parts")
+    stored = spark.read.schema(parts.schema).parquet(f"{folder}/parts")
+    rows = scenario_windows(I.points(stored), stored, _names(spark, sf), WINDOW)
+    if alone:
+        rows = rows.withColumns({"family": F.substring_index("scenario", "/", -1), "scenario": F.substring_index("scenario", "/", 1).cast("long")}).where(F.abs("p_mean") > 5)
+    rows.write.mode("overwrite").parquet(f"{folder}/windows")
+    return G.grouped_split(spark.read.schema(rows.schema).parquet(f"{folder}/windows"), "scenario", 0.3, 5)
+
+
+def _by_family(scored, names, values):
+    """(scenario, win, family, values...) from a column of each value and family."""
+    one = lambda f: F.struct(F.lit(f).alias("family"), *[F.col(f"`{c.format(f)}`").cast("double").alias(v) for v, c in values.items()])
+    return scored.select("scenario", "win", F.explode(F.array(*map(one, names))).alias("_r")).select("scenario", "win", "_r.*")
 
 
 @query()
 def g1_identify(spark, sf):
-    train, test = _split(spark, sf)
-    m = G.identify(train, FEATURES, trees=20)
-    names = G.families_of(m)
-    scored = G.best_two(m.transform(test), names, F.abs("p_mean") > 5)
-    return scored.select("rid", "win", "family", "best", "p_best", "second", "p_second")
+    """Which device a window shows, of scenarios that the model has not seen."""
+    train, test = _windows(spark, sf, alone=True)
+    m = G.identify(train, MIX_FEATURES, trees=20)
+    scored = G.best_two(m.transform(test), G.families_of(m), F.abs("p_mean") > 5)
+    return scored.select("scenario", "win", "family", "best", "p_best", "second", "p_second")
 
 
 @query()
 def g1_identify_score(spark, sf):
-    train, test = _split(spark, sf)
-    m = G.identify(train, FEATURES, trees=20)
-    return macro_f1(G.best_two(m.transform(test), G.families_of(m), F.lit(True)), "family", "best")
+    return macro_f1(g1_identify(spark, sf), "family", "best")
+
+
+def _power(spark, sf, kind):
+    train, test = _windows(spark, sf)
+    names = _names(spark, sf)
+    scored = G.Families.fit(train, MIX_FEATURES, [f"power of {f}" for f in names], "power", trees=20, kind=kind).predict(test, "model")
+    return _by_family(scored, names, {"truth_w": "power of {}", "model_w": "model_power of {}"})
 
 
 @query()
 def g2_disaggregate(spark, sf):
-    train, test = _split(spark, sf)
-    return G.Families.fit(train, FEATURES, ["p_fan"], "power", trees=10).predict(test, "power").select("rid", "win", "p_fan", "power_p_fan")
+    return _power(spark, sf, "forest")
 
 
 @query()
 def g3_g11_presence(spark, sf):
-    train, test = _split(spark, sf)
-    return G.Families.fit(train, FEATURES, ["fan", "lamp"], "presence", trees=10).predict(test, "presence").select("rid", "win", "presence_fan", "presence_lamp")
+    train, test = _windows(spark, sf)
+    names = _names(spark, sf)
+    return _by_family(G.Families.fit(train, MIX_FEATURES, names, "presence", trees=20).predict(test, "presence"), names, {"truth": "{}", "presence": "presence_{}"})
 
 
 @query()
 def g4_mix(spark, sf):
-    train, test = _split(spark, sf)
-    a = G.Families.fit(train, FEATURES, ["fan"], "presence", trees=10).predict(test, "presence")
-    b = G.Families.fit(train.withColumn("fan", F.col("p_fan")), FEATURES, ["fan"], "power", trees=10).predict(a, "power")
-    return G.gated(b, ["fan"]).select("rid", "win", "presence_fan", "power_fan", "gated_fan")
+    """Presence and power of all families from one pair of models, power only where presence says so."""
+    train, test = _windows(spark, sf)
+    names = _names(spark, sf)
+    fitted = fit_mix(train, names, trees=10)
+    scored = G.gated(fitted["power"].predict(fitted["presence"].predict(test, "presence"), "power"), names)
+    return _by_family(scored, names, {"truth_w": "power of {}", "presence": "presence_{}", "power": "power_{}", "gated": "gated_{}"})
 
 
 @query()
 def g5_boosted(spark, sf):
-    train, test = _split(spark, sf)
-    return G.Families.fit(train, FEATURES, ["p_fan"], "power", trees=50, kind="boosted").predict(test, "power").select("rid", "win", "p_fan", "power_p_fan")
+    return _power(spark, sf, "boosted")
 
 
 @query()
 def g6_neural(spark, sf):
+    """A rule of the third sample, learnt from raw samples, on windows of held-out recordings."""
     s = E.sequences(E.tumbling(phases(spark, sf), 5), ["p", "q"]).withColumn("on", (F.element_at("sequence", 3) > 50).cast("double"))
-    return G.neural_presence(s, "sequence", "on", 10, iterations=15).transform(G.as_vectors(s, "sequence")).select("rid", "win", "on", vector_to_array("probability")[1].alias("p_on"))
+    train, test = G.grouped_split(s, "rid", 0.3, 5)
+    return G.neural_presence(train, "sequence", "on", 10, iterations=15).transform(G.as_vectors(test, "sequence")).select("rid", "win", "on", vector_to_array("probability")[1].alias("p_on"))
 
 
 #: Windows of five samples, their families, and which recordings are the test.
@@ -84,7 +120,7 @@ _WINDOWS = "f AS (SELECT rid, i // 5 AS win, avg(p) AS m FROM readings GROUP BY
 @query(f"""WITH {_WINDOWS}, h AS (SELECT rid, {sql_chance(5, 'rid')} AS h FROM (SELECT DISTINCT rid FROM f))
     SELECT rid, CASE WHEN rid = (SELECT rid FROM h ORDER BY h, rid LIMIT 1) OR h < 0.3 AND rid <> (SELECT rid FROM h ORDER BY h DESC, rid DESC LIMIT 1) THEN 'test' ELSE 'train' END AS part FROM h""")
 def g7_grouped_split(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = G.grouped_split(_features(spark, sf), "rid", 0.3, 5)
     return train.select("rid").distinct().withColumn("part", F.lit("train")).union(test.select("rid").distinct().withColumn("part", F.lit("test")))
 
 
@@ -98,14 +134,15 @@ def g8_stratified_split(spark, sf):
 
 @query()
 def k15_linear_svm(spark, sf):
-    train, test = _split(spark, sf)
-    return G.identify(train, FEATURES, kind="svm").transform(test).select("rid", "win", "family", "prediction")
+    train, test = _windows(spark, sf, alone=True)
+    return G.identify(train, MIX_FEATURES, kind="svm").transform(test).select("scenario", "win", "family", "prediction")
 
 
 @query()
 def k14_importance(spark, sf):
-    m = G.identify(_features(spark, sf), FEATURES, trees=20)
-    return spark.createDataFrame(G.importance(m, FEATURES), "feature string, importance double")
+    train, _ = _windows(spark, sf, alone=True)
+    m = G.identify(train, MIX_FEATURES, trees=20)
+    return spark.createDataFrame(G.importance(m, MIX_FEATURES), "feature string, importance double")
 
 
 def _event_stream(spark, sf):
@@ -137,9 +174,9 @@ def a10_a11_append_stream(spark, sf):
 
 @query()
 def j9_window_predictions(spark, sf):
-    """Window features of held-out recordings scored by a model of the others."""
-    train, test = _split(spark, sf)
-    return G.identify(train, FEATURES, trees=10).transform(test).select("rid", "win", "prediction")
+    """Windows of held-out scenarios scored by a small model of the others."""
+    train, test = _windows(spark, sf, alone=True)
+    return G.identify(train, MIX_FEATURES, trees=10).transform(test).select("scenario", "win", "family", "prediction")
 
 
 @query()
@@ -158,7 +195,7 @@ def k16_two_stage(spark, sf):
 def g16_retrain(spark, sf):
     """Scenarios of the recordings, models of all families trained on them and held-out scores after a reload."""
     folder = shared_folder(spark, "retrain")
-    names = [r[0] for r in readings(spark, sf).select("event_type").distinct().orderBy("event_type").collect()]
+    names = _names(spark, sf)
     return retrain(scenario_parts(spark, sf), ModelRegistry(spark, f"{folder}/models"), f"{folder}/scenarios", names, 10, trees=20)
 
 
@@ -189,7 +226,7 @@ def j9_live_states(spark, sf):
     Fitted on the windows of recordings with even numbers.
     """
     r = readings(spark, sf)
-    names = [x[0] for x in r.select("event_type").distinct().orderBy("event_type").collect()]
+    names = _names(spark, sf)
     start = F.window("ts", "6 hours")["start"].alias("start")
     kind = lambda f: F.col("event_type") == f
     truth = r.groupBy("rid", start).agg(*[F.max(kind(f).cast("int")).alias(f) for f in names], *[(F.sum(F.when(kind(f), F.col("p")).otherwise(0.0)) / F.count("*")).alias(f"power of {f}") for f in names])

@@ -4,6 +4,8 @@ from compare import assert_same, connect
 from gridlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Held-out scores that a model must reach; of five families a guess has 0.2.
+LEAST = {"g1_identify_score": ("macro_f1", 0.5)}
 
 
 @pytest.fixture(scope="module")
@@ -19,4 +21,8 @@ def test_same_as_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
-    assert df.columns and (df.count() > 0 or name.startswith(("j5", "j8", "k2")))
+    if name in LEAST:
+        column, least = LEAST[name]
+        assert df.first()[column] > least
+    else:
+        assert df.columns and df.count() > 0
