@@ -67,9 +67,8 @@ def _mapped(path: str) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=OPEN_FILES)
-def get(folder: str, name: str) -> list[np.ndarray]:
-    """The file's arrays as read-only memory maps. A store that can't be mapped is copied to the worker first; the copy goes with the map."""
+def load(folder: str, name: str) -> list[np.ndarray]:
+    """The file's arrays as read-only memory maps, for files that a task reads once. A store that can't be mapped is copied to the worker first; the copy goes with the map."""
     local = _local(folder)
     if local is not None:
         return _mapped(f"{local}/{name}")
@@ -80,3 +79,9 @@ def get(folder: str, name: str) -> list[np.ndarray]:
         shutil.copyfileobj(f, out)
         out.flush()
         return _mapped(out.name)
+
+
+@lru_cache(maxsize=OPEN_FILES)
+def get(folder: str, name: str) -> list[np.ndarray]:
+    """As ``load``, for files that a worker asks again and again."""
+    return load(folder, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridlens.llm import decontaminate, html_extract, kneser_ney, line_dedup, mixing, near_dup, quality_fm, quality_rules, quotes, sharding
+from gridlens.llm import decontaminate, hard_negatives, html_extract, kneser_ney, line_dedup, mixing, near_dup, quality_fm, quality_rules, quotes, sharding, suffix_dedup, token_alignment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,18 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.corpus_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(_table(spark, sf_dir, "documents"))
+
+
+def op12_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op13_hilbert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_quote_threads": op2_quote_threads,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Query] = {
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_raked_mixture": op9_raked_mixture,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_pair_alignment": op11_pair_alignment,
+    "op12_column_suffixes": op12_column_suffixes,
+    "op13_hilbert_zones": op13_hilbert_zones,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -75,4 +90,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op2_quote_threads": quotes.SQL,
     "op7_threshold_rules": quality_rules.sql(),
+    "op12_column_suffixes": suffix_dedup.SQL,
+    "op13_hilbert_zones": hard_negatives.SQL,
 }
