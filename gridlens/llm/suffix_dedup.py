@@ -13,7 +13,7 @@ the collection's Burrows-Wheeler transform, at the place that the symbol's rank
 both neighbours follow from the least value between two equal symbols. Suffixes that stand together with common
 prefixes of ``length`` or more begin with the same string, of which the earliest start stays.
 
-Texts lie in pieces of some megabytes, which are written once. A pass over a piece sends sorted hashes to their ranges
+Texts lie in pieces of a megabyte or so, which are written once. A pass over a piece sends sorted hashes to their ranges
 of the hash space; the answers go back to a file for each piece, in the order in which it asked. So no pass shuffles
 texts, a task reads its own answers only, and a piece or a range that is lost is computed again alone.
 """
@@ -37,7 +37,7 @@ from gridlens.llm.shared import Scratch
 _U = np.uint64
 #: Bytes of a fingerprint, of a piece, starts worked through at a time, snippets from which a fingerprint is no longer used,
 #: fingerprints of a range, snippets of a collection.
-GRAM, PIECE, STRETCH, CROWD, RANGE, COLLECTION = 50, 1 << 22, (1 << 20) - 1024, 4096, 500_000, 20_000
+GRAM, PIECE, STRETCH, CROWD, RANGE, COLLECTION = 50, 1 << 20, (1 << 18) - 1024, 2048, 250_000, 1_000
 
 
 # Column-wise construction.
@@ -46,59 +46,56 @@ GRAM, PIECE, STRETCH, CROWD, RANGE, COLLECTION = 50, 1 << 22, (1 << 20) - 1024,
 def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(transform, common prefixes with the suffix before, document, start) of all suffixes of a collection, in order.
 
-    A document ends with a mark that is less than all symbols; marks are ordered as the documents. Symbols are 1 to
-    256, marks and the places before a document's first symbol 0.
+    A document ends with a mark that is less than all symbols; marks are ordered as the documents. Symbols are the
+    collection's bytes numbered from 1 in order; marks and the places before a document's first symbol are 0.
     """
     n = len(texts)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     most = int(lengths.max(initial=0))
-    # Column k holds the symbol k places before the end; documents of unequal lengths have run out at 0.
-    columns = np.zeros((most + 1, n), dtype=np.uint16)
+    used = np.unique(np.frombuffer(b"".join(texts), np.uint8))
+    number = np.zeros(256, dtype=np.uint8 if len(used) < 256 else np.uint16)
+    number[used] = np.arange(1, len(used) + 1)
+    # Column k holds the symbol k places before the end; documents that have run out hold 0.
+    columns = np.zeros((most + 1, n), dtype=number.dtype)
     for d, t in enumerate(texts):
-        columns[: len(t), d] = np.frombuffer(t, np.uint8)[::-1].astype(np.uint16) + 1
+        columns[: len(t), d] = number[np.frombuffer(t, np.uint8)[::-1]]
     # Round 0: the suffixes that are marks alone. What stands before them is the last symbol.
     bwt, lcp = columns[0].copy(), np.zeros(n, dtype=np.int32)
-    doc, start = np.arange(n, dtype=np.int32), lengths.astype(np.int32)
-    place = np.arange(n)  # of each live document's latest suffix
-    live = np.arange(n)
+    suffix = np.arange(n, dtype=np.int32 if (most + 1) * n < 2**31 else np.int64)  # column * n + document
+    numbers = np.arange(int(lengths.sum()) + n, dtype=np.int32 if lengths.sum() + n < 2**31 else np.int64)
+    place, live = np.arange(n), np.arange(n)  # of each document's latest suffix
     for k in range(1, most + 1):
         going = lengths[live] >= k
         live, place = live[going], place[going]
-        by = np.argsort(place, kind="stable")
-        live, place = live[by], place[by]
         symbol = columns[k - 1, live]
         # A stable sort of the transform ranks every symbol among its equals; marks stand first and stay where they are.
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), dtype=np.int64)
-        rank[order] = np.arange(len(bwt))
-        counts = np.bincount(bwt, minlength=258)
-        ended = counts[0]
+        rank = np.empty(len(bwt), dtype=numbers.dtype)
+        rank[order] = numbers[: len(bwt)]
+        here = rank[place].astype(np.int64)
         # The new suffixes' places among all suffixes there will be: first the n marks, then every symbol's.
-        new = n + rank[place] - ended
-        # Common prefixes: with the next equal symbol before, one more than the least value between the two.
-        before = order[np.maximum(rank[place] - 1, 0)]
-        pair = (rank[place] > 0) & (bwt[before] == symbol)
+        new = here + (n - np.count_nonzero(bwt == 0))
+        # Common prefixes: with the next equal symbol on a side, one more than the least value between the two.
+        before, after = order[np.maximum(here - 1, 0)], order[np.minimum(here + 1, len(order) - 1)]
+        pair = (here > 0) & (bwt[before] == symbol)
         common = np.zeros(len(live), dtype=np.int32)
         common[pair] = 1 + _least(lcp, before[pair] + 1, place[pair] + 1)
-        after = order[np.minimum(rank[place] + 1, len(order) - 1)]
-        next_pair = (rank[place] + 1 < len(order)) & (bwt[after] == symbol)
+        pair = (here + 1 < len(order)) & (bwt[after] == symbol)
         following = np.zeros(len(live), dtype=np.int32)
-        following[next_pair] = 1 + _least(lcp, place[next_pair] + 1, after[next_pair] + 1)
-        fresh = columns[k, live]
+        following[pair] = 1 + _least(lcp, place[pair] + 1, after[pair] + 1)
         total = len(bwt) + len(new)
         old = np.ones(total, dtype=bool)
         old[new] = False
-        out_bwt, out_lcp, out_doc, out_start = (np.empty(total, dtype=x.dtype) for x in (bwt, lcp, doc, start))
-        for out, x in ((out_bwt, bwt), (out_lcp, lcp), (out_doc, doc), (out_start, start)):
-            out[old] = x
-        out_bwt[new], out_lcp[new], out_doc[new], out_start[new] = fresh, common, live, lengths[live] - k
-        # Who stands behind a new suffix has it as its neighbour now; a new one there has its own value already.
-        behind = new + 1
-        inside = behind < total
-        settle = inside & old[np.minimum(behind, total - 1)]
+        out_bwt, out_lcp, out_suffix = (np.empty(total, dtype=x.dtype) for x in (bwt, lcp, suffix))
+        out_bwt[old], out_lcp[old], out_suffix[old] = bwt, lcp, suffix
+        out_bwt[new], out_lcp[new], out_suffix[new] = columns[k, live], common, live + k * n
+        # An old suffix that comes to stand behind a new one has it as its neighbour now; a new one has its own value.
+        behind = np.minimum(new + 1, total - 1)
+        settle = (new + 1 < total) & old[behind]
         out_lcp[behind[settle]] = following[settle]
-        bwt, lcp, doc, start, place = out_bwt, out_lcp, out_doc, out_start, new
-    return bwt, lcp, doc, start
+        bwt, lcp, suffix, place = out_bwt, out_lcp, out_suffix, new
+    column, doc = np.divmod(suffix, max(1, n))
+    return bwt, lcp, doc, lengths[doc] - column
 
 
 def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -315,7 +312,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Earlier means in a document of a smaller id, or before in the same document; all strings are judged on the input.
     Null and empty texts have no bytes. Ids that are null come after all others; rows that share an id are
     ordered by their texts, so of repeated rows one, the first, keeps its text and the others are later copies.
-    Texts count as their UTF-8 bytes and are worked through in stretches of a megabyte, a long one is a piece of its
+    Texts count as their UTF-8 bytes and are worked through in stretches of a quarter of a megabyte, a long one is a piece of its
     own and takes about 30 bytes a byte. An empty table gives an empty result. Other columns are not looked at,
     whatever their names. ``keep_bytes`` adds the bytes left and the removed spans (start and end, in bytes).
     Strings under one fingerprint are told apart by a second 64-bit hash of all their bytes before they are compared.
