@@ -13,7 +13,7 @@ the collection's Burrows-Wheeler transform, at the place that the symbol's rank
 both neighbours follow from the least value between two equal symbols. Suffixes that stand together with common
 prefixes of ``length`` or more begin with the same string, of which the earliest start stays.
 
-Texts lie in pieces of a megabyte or so, which are written once. A pass over a piece sends sorted hashes to their ranges
+Texts lie in files of a megabyte or so, the pieces, which are written once. A pass over a piece sends sorted hashes to their ranges
 of the hash space; the answers go back to a file for each piece, in the order in which it asked. So no pass shuffles
 texts, a task reads its own answers only, and a piece or a range that is lost is computed again alone.
 """
@@ -36,8 +36,8 @@ from gridlens.llm.shared import Scratch
 
 _U = np.uint64
 #: Bytes of a fingerprint, of a piece, starts worked through at a time, snippets from which a fingerprint is no longer used,
-#: fingerprints of a range, snippets of a collection.
-GRAM, PIECE, STRETCH, CROWD, RANGE, COLLECTION = 50, 1 << 20, (1 << 18) - 1024, 2048, 250_000, 1_000
+#: fingerprints of a range, snippets of a collection, pieces of a task.
+GRAM, PIECE, STRETCH, CROWD, RANGE, COLLECTION, DEALT = 50, 1 << 20, (1 << 18) - 1024, 2048, 250_000, 1_000, 8
 
 
 # Column-wise construction.
@@ -188,7 +188,7 @@ def _unrolled(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 # Exchanges between pieces and ranges of the hash space.
 
-_PIECE, _ASKED, _ANSWER = "piece long, size long, rows array<long>, ids array<long>, texts array<binary>", "bucket int, piece long, data binary", "piece long, bucket int, data binary"
+_ASKED, _ANSWER = "bucket int, piece long, data binary", "piece long, bucket int, data binary"
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,24 +257,31 @@ def _first_of(keys: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Piece:
-    """Texts of a row of the table of pieces, one after the other."""
+    """Texts of one file of the shared store, one after the other."""
 
-    def __init__(self, row: dict):
-        self.number, self.rows, self.ids = row["piece"], np.array(row["rows"], dtype=np.int64), row["ids"]
-        self.bounds = np.cumsum([0, *map(len, row["texts"])])
-        self.data = np.frombuffer(b"".join(row["texts"]), dtype=np.uint8)
+    def __init__(self, folder: str, number: int):
+        rows, ids, known, bounds, packed = mapped.load(folder, f"piece-{number}")
+        self.number, self.rows, self.bounds = number, rows.view(np.int64), bounds.astype(np.int64)
+        self.ids = pa.array(ids.view(np.int64), mask=known == 0)
+        size = int(self.bounds[-1])
+        self.data = np.frombuffer(pa.decompress(packed.tobytes(), decompressed_size=size, codec="zstd"), np.uint8) if size else np.zeros(0, np.uint8)
 
     def row_at(self, at: np.ndarray) -> np.ndarray:
         return self.rows[np.searchsorted(self.bounds, at, "right") - 1]
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield Piece({n: batch.column(n)[k].as_py() for n in ("piece", "rows", "ids", "texts")})
+def _put_piece(folder: str, number: int, held: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
+    held.sort(key=lambda r: r[0])
+    data = b"".join(r[2] for r in held)
+    bounds = np.cumsum([0, *(len(r[2]) for r in held)])
+    ids = np.array([r[1] or 0 for r in held], dtype=np.int64)
+    packed = np.frombuffer(pa.compress(data, codec="zstd", asbytes=True), np.uint8) if data else np.zeros(0, np.uint8)
+    mapped.put(folder, f"piece-{number}", np.array([r[0] for r in held], dtype=np.int64).view(_U), ids.view(_U), np.array([r[1] is not None for r in held], dtype=np.uint8), mapped.narrow(bounds), packed)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(data)], pa.int64())], names=["piece", "size"])
 
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def _pieces(docs: DataFrame, folder: str, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Write the files of pieces; (piece, size)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         rows = rows.withColumn("row", F.col("doc_id"))
@@ -283,24 +290,17 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, total = TaskContext.get().partitionId() << 32, [], 0
-
-        def piece() -> pa.RecordBatch:
-            held.sort(key=lambda r: r[0])
-            columns = [[number], [total], *([[r[k] for r in held]] for k in range(3))]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["piece", "size", "rows", "ids", "texts"])
-
         for batch in batches:
             for r in zip(*(batch.column(c) for c in ("row", "doc_id", "text")), strict=True):
                 held.append(tuple(x.as_py() for x in r))
                 total += len(held[-1][2])
                 if total >= size:
-                    yield piece()
+                    yield _put_piece(folder, number, held)
                     number, held, total = number + 1, [], 0
         if held:
-            yield piece()
+            yield _put_piece(folder, number, held)
 
-    return rows.mapInArrow(cut, _PIECE)
+    return rows.mapInArrow(cut, "piece long, size long")
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -318,9 +318,16 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Strings under one fingerprint are told apart by a second 64-bit hash of all their bytes before they are compared.
     """
     scratch = scratch or Scratch(docs.sparkSession, "suffix-dedup")
-    folder = scratch.path("answers")
-    pieces = scratch.write(_pieces(docs, id_col, text_col, piece), "pieces")
-    total = pieces.select(F.sum("size")).first()[0] or 0
+    folder = scratch.path("files")
+    pieces = scratch.write(_pieces(docs, folder, id_col, text_col, piece), "pieces")
+    n_pieces, total = pieces.select(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    pieces = pieces.repartition(max(1, -(-n_pieces // DEALT)), "piece")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
+        for batch in batches:
+            for number in batch.column("piece").to_pylist():
+                yield Piece(folder, number)
+
     bits = max(1, int(np.ceil(np.log2(max(2, 2 * total / (length - gram + 2) / RANGE)))))
 
     def send_back(asked: DataFrame, answer, stage: str) -> DataFrame:  # noqa: ANN001
@@ -333,7 +340,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return scratch.write(asked.groupBy("bucket").applyInArrow(answer, _ANSWER).groupBy("piece").applyInArrow(store, "piece long, open long"), stage)
 
     def ask_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _each(batches):
+        for p in each(batches):
             _, _, keys, content = snippets(p.data, p.bounds, length, gram)
             first, number = _first_of(keys, content)
             distinct, of = np.unique(keys[first], return_inverse=True)
@@ -343,7 +350,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     send_back(pieces.mapInArrow(ask_prints, _ASKED), lambda t: _count(t, crowd), "prints")
 
     def ask_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _each(batches):
+        for p in each(batches):
             low, high, keys, content = snippets(p.data, p.bounds, length, gram)
             if len(keys):
                 distinct, of = np.unique(keys, return_inverse=True)
@@ -374,7 +381,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["print", "row", "at", "piece", "text"]
-        for p in _each(batches):
+        for p in each(batches):
             low, high, answer, leads = settled(p.number)
             at = np.flatnonzero((answer == DIFFER) & (leads == 1))
             if not len(at):
@@ -406,7 +413,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     names = [f.split()[0] for f in _OUT.split(", ")] + ["kept", "spans"] * keep_bytes
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _each(batches):
+        for p in each(batches):
             low, high, answer, leads = settled(p.number)
             gone = (answer == LATER) | (leads == 0)
             turns = np.zeros(len(p.data) + 1, dtype=np.int32)
@@ -425,12 +432,12 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             kept = p.data[~removed].tobytes()
             cuts = p.bounds - before[p.bounds]
             left = [kept[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            columns = [pa.array(p.ids, pa.int64()), *(pa.array(np.diff(x).astype(np.int64)) for x in (p.bounds, before[p.bounds], spans[p.bounds])), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+            columns = [p.ids, *(pa.array(np.diff(x).astype(np.int64)) for x in (p.bounds, before[p.bounds], spans[p.bounds])), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
             if keep_bytes:
                 first = np.flatnonzero(edge)
                 last = np.flatnonzero(removed & np.append(edge[1:] | ~removed[1:], True)) + 1 if len(removed) else first
                 of = np.searchsorted(p.bounds, first, "right") - 1
-                pairs = [[] for _ in p.ids]
+                pairs = [[] for _ in range(len(p.ids))]
                 for d, i, j in zip(of, first - p.bounds[of], last - p.bounds[of], strict=True):
                     pairs[d].append([int(i), int(j)])
                 columns += [pa.array(left, pa.binary()), pa.array(pairs, pa.list_(pa.list_(pa.int64())))]
