@@ -19,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +35,10 @@ from gridlens.llm.kneser_ney import pack, unpack
 from gridlens.llm.shared import Scratch
 
 _U = np.uint64
-#: Where the vocabulary files lie on every worker, shards of pairs, children of a node in the trees, units and pairs that a worker holds.
-VOCABULARIES, SHARDS, FAN_IN, UNITS, HELD = "/opt/tokenizers", 64, 16, 300_000, 2_000_000
-
-
-class Growing:
-    """An array that grows by doubling."""
-
-    def __init__(self, dtype: type):
-        self.data, self.size = np.zeros(1024, dtype), 0
-
-    def extend(self, values: list | np.ndarray) -> None:
-        end = self.size + len(values)
-        if end > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(max(end, len(self.data)), self.data.dtype)])
-        self.data[self.size : end] = values
-        self.size = end
+#: Where the vocabulary files lie on every worker, shards of pairs, children of a node in the trees, pairs that a worker holds, bytes of text aligned at a time.
+VOCABULARIES, SHARDS, FAN_IN, HELD, SLICE = "/opt/tokenizers", 64, 16, 1_000_000, 1 << 21
+#: Fixed: the byte-level tokenizer's own pattern of words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,7 +49,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers and the bytes of their tokens."""
+    """Both tokenizers, and the bytes of their tokens one after the other."""
 
     def __init__(self, folder: str):
         import sentencepiece
@@ -72,87 +61,156 @@ class Tokenizers:
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.a_bytes = {i: bytes(alphabet[c] for c in s) if all(c in alphabet for c in s) else s.encode() for s, i in vocabulary.items()}
+        by_id = {i: bytes(alphabet[c] for c in s) if all(c in alphabet for c in s) else s.encode() for s, i in vocabulary.items()}
+        self.a_bytes = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.fast_a = self._ranks(folder)
+        # For the groups as text: every id with each mark that can follow it.
+        n = max(len(self.a_bytes), len(self.b_bytes))
+        self.named = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(n)], pa.large_string())
+        self.n_named = n
+
+    def _ranks(self, folder: str):  # noqa: ANN202
+        """The same byte-level vocabulary in the library that is faster on long strings."""
+        import base64
+
+        import tiktoken
+
+        with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, how many each unit has, B ids, how many each unit has); a unit begins with a blank, which the piece model puts there by itself."""
+        lengths, n = np.diff(offsets), len(offsets) - 1
+        first, last = offsets[:-1], offsets[1:] - 1
+        # Units that begin and end as those inside a text do are encoded in one go and cut at their ends.
+        plain = (lengths > 1) & _GRAPHIC[data[last]] & _FOLLOWS[data[np.minimum(first + 1, last)]]
+        ids = np.array(self.fast_a(data[np.repeat(plain, lengths)].tobytes().decode()), dtype=np.int64)
+        cuts = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum(lengths[plain]), "right")
+        n_a = np.zeros(n, dtype=np.int64)
+        n_a[plain] = np.diff(cuts, prepend=0)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            parts = [self.fast_a(data[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in odd]
+            where = np.concatenate([[0], cuts])[np.searchsorted(np.flatnonzero(plain), odd)]
+            n_a[odd] = [len(x) for x in parts]
+            ids = np.insert(ids, np.repeat(where, n_a[odd]), np.array([i for x in parts for i in x], dtype=np.int64))
+        rest = np.ones(len(data), dtype=bool)
+        rest[first] = False
+        texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer((offsets - np.arange(n + 1)).astype(np.int64)), pa.py_buffer(data[rest]))
+        found = self.b.encode(texts.to_pylist(), num_threads=1)
+        n_b = np.fromiter(map(len, found), np.int64, n)
+        return ids, n_a, np.fromiter(chain.from_iterable(found), np.int64, int(n_b.sum())), n_b
+
+    @cached_property
+    def a_sizes(self) -> np.ndarray:
+        return np.array([len(x) for x in self.a_bytes], dtype=np.int64)
+
+    @cached_property
+    def b_sizes(self) -> np.ndarray:
+        return np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+
+    @cached_property
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all A tokens and where each begins; the same for B."""
+        return tuple(x for tokens, sizes in ((self.a_bytes, self.a_sizes), (self.b_bytes, self.b_sizes)) for x in (np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes))  # type: ignore[return-value]
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each unit, which begins with a blank; the piece model puts the first blank before a text by itself."""
-        found = self.a.encode_batch(units, add_special_tokens=False)
-        return zip((x.ids for x in found), self.b.encode([u[1:] for u in units], num_threads=1), strict=True)
-
-
-def align(a: list[int], b: list[int], a_bytes: dict[int, bytes], b_bytes: list[bytes]) -> tuple[list[int], list[tuple[list[int], list[int]]]]:
-    """Links of overlapping tokens of the same bytes as a << 32 | b, and the groups between places where tokens of both end."""
-    links: list[int] = []
-    groups: list[tuple[list[int], list[int]]] = []
-    i = j = end_a = end_b = 0
-    while i < len(a):
-        ga, gb = [a[i]], [b[j]]
-        end_a, end_b, i, j = end_a + len(a_bytes[a[i]]), end_b + len(b_bytes[b[j]]), i + 1, j + 1
-        links.append(ga[-1] << 32 | gb[-1])
-        while end_a != end_b:  # the token that ends first makes room for the next one of its side
-            if end_a < end_b:
-                ga.append(a[i])
-                end_a, i = end_a + len(a_bytes[a[i]]), i + 1
-            else:
-                gb.append(b[j])
-                end_b, j = end_b + len(b_bytes[b[j]]), j + 1
-            links.append(ga[-1] << 32 | gb[-1])
-        groups.append((ga, gb))
-    return links, groups
-
-
-class Units:
-    """Units met by this worker: their tokens, links and groups, and for the second pass the sums over their links."""
 
-    def __init__(self, folder: str):
-        self.tokenizers = Tokenizers(folder)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.text: list[bytes] = []
-        self.counts = [Growing(np.int32) for _ in range(3)]  # tokens of A, of B, groups
-        self.links, self.link_end, self.sound = Growing(np.uint64), Growing(np.int64), Growing(np.bool_)
-        self.sums, self.looked_up = [Growing(np.int64), Growing(np.int64)], 0  # best links, counts
-
-    def numbers(self, units: list[bytes]) -> np.ndarray:
-        """The numbers of distinct units, of which unknown ones are encoded first."""
-        if len(self.index) + len(units) > UNITS:
-            self.clear()
-        get = self.index.get
-        new = [u for u in units if get(u) is None]
-        if new:
-            t = self.tokenizers
-            for raw, (a, b) in zip(new, t.encode([u.decode("utf-8", "replace") for u in new]), strict=True):
-                self.index[raw] = len(self.index)
-                sound = b"".join([t.a_bytes[x] for x in a]) == raw == b"".join([t.b_bytes[x] for x in b])
-                links, groups = align(a, b, t.a_bytes, t.b_bytes) if sound else ([], [])
-                self.text.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]).encode())
-                for held, n in zip(self.counts, (len(a), len(b), len(groups)), strict=True):
-                    held.extend([n])
-                self.links.extend(np.array(links, dtype=np.uint64))
-                self.link_end.extend([self.links.size])
-                self.sound.extend([sound])
-        return np.array([self.index[u] for u in units], dtype=np.int64)
-
-    def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(links one after the other, how many each unit has)."""
-        ends = self.link_end.data[numbers]
-        starts = np.where(numbers > 0, self.link_end.data[np.maximum(numbers - 1, 0)], 0)
-        n = ends - starts
-        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.links.data[at], n
+@lru_cache(maxsize=1)
+def tokenizers(folder: str) -> Tokenizers:
+    return Tokenizers(folder)
 
 
-@lru_cache(maxsize=1)
-def _units(folder: str, model: str) -> Units:
-    """One set of units for a worker; another model begins a new one, as its sums differ."""
-    return Units(folder)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; quick where there are few sorted runs."""
+    x = np.sort(x, kind="stable")
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of each row, one after the other."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _gives_back(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, flat: np.ndarray, begins: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which units have the bytes of their tokens."""
+    unit = np.repeat(np.arange(len(n)), n)
+    same = np.bincount(unit, weights=sizes[ids], minlength=len(n)).astype(np.int64) == lengths
+    keep = same[unit]
+    bytes_ = flat[_spread(begins[ids[keep]], sizes[ids[keep]])]
+    ends = np.cumsum(lengths)
+    mine = data[_spread((ends - lengths)[same], lengths[same])]
+    wrong = np.unique(np.repeat(np.flatnonzero(same), lengths[same])[bytes_ != mine])
+    same[wrong] = False
+    return same
+
+
+class Aligned:
+    """The units of some texts: which each text has, and for each distinct one its tokens, links and groups under both tokenizers.
+
+    A link is A id << 32 | B id. Every stretch between two neighbouring token ends, of either tokenizer, lies in one
+    token of each, and two tokens that overlap share one such stretch: so the stretches are the links. A group ends where
+    both tokenizers have an end.
+    """
+
+    def __init__(self, t: Tokenizers, texts: pa.Array):
+        kinds, self.back, self.bounds = cut(texts)
+        data, offsets = K.raw_bytes(kinds)
+        lengths = np.diff(offsets)
+        a, n_a, b, n_b = t.encode(data, offsets)
+        flat_a, begins_a, flat_b, begins_b = t.flat
+        self.sound = _gives_back(a, n_a, t.a_sizes, flat_a, begins_a, data, lengths) & _gives_back(b, n_b, t.b_sizes, flat_b, begins_b, data, lengths)
+        a, b = a[np.repeat(self.sound, n_a)], b[np.repeat(self.sound, n_b)]
+        self.n_a, self.n_b = n_a * self.sound, n_b * self.sound
+        ends_a, ends_b = np.cumsum(t.a_sizes[a]), np.cumsum(t.b_sizes[b])
+        ends = _distinct(np.concatenate([ends_a, ends_b]))
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        self.links = (a[at_a].astype(_U) << _U(32)) | b[at_b].astype(_U)
+        group_end = (ends_a[at_a] == ends) & (ends_b[at_b] == ends)
+        last = np.cumsum(lengths * self.sound)
+        link_cuts = np.searchsorted(ends, last, "right")
+        self.n_links = np.diff(link_cuts, prepend=0)
+        groups = np.concatenate([[0], np.cumsum(group_end)])
+        self.n_groups = np.diff(groups[link_cuts], prepend=0)
+        self._parts = (a, b, ends_a, ends_b, ends[group_end])
+        empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
+        bad = np.concatenate([[0], np.cumsum(~self.sound[self.back])])
+        #: Texts that have tokens: not empty, and both tokenizers give their bytes back.
+        self.has_tokens = (bad[self.bounds[1:]] == bad[self.bounds[:-1]]) & ~empty
+
+    def by_text(self, per_unit: np.ndarray) -> np.ndarray:
+        """Sums over the units of each text; 0 for texts without tokens."""
+        sums = np.concatenate([[0], np.cumsum(per_unit[self.back], dtype=np.int64)])
+        return np.where(self.has_tokens, sums[self.bounds[1:]] - sums[self.bounds[:-1]], 0)
+
+    def by_unit(self, per_link: np.ndarray) -> np.ndarray:
+        sums, cuts = np.concatenate([[0], np.cumsum(per_link, dtype=np.int64)]), np.cumsum(self.n_links)
+        return sums[cuts] - sums[cuts - self.n_links]
+
+    def groups(self, t: Tokenizers) -> list[bytes]:
+        """The groups of each text as a1,a2|b1;a3|b2,b3."""
+        a, b, ends_a, ends_b, ends = self._parts
+        of_a, of_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        n = len(ends)
+        before_a, before_b = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]) for x in (of_a, of_b))
+        out = np.empty(len(a) + len(b), dtype=np.int64)
+        # Within a group all A ids come first. Marks: 0 between ids, 1 after the last A id, 2 after the group.
+        mark_a, mark_b = (of_a != np.append(of_a[1:], n)).astype(np.int64), 2 * (of_b != np.append(of_b[1:], n)).astype(np.int64)
+        out[np.arange(len(a)) + before_b[of_a]] = a + t.n_named * mark_a
+        out[np.arange(len(b)) + before_a[of_b + 1]] = b + t.n_named * mark_b
+        named = t.named.take(pa.array(out))
+        cuts = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
+        offsets = np.frombuffer(named.buffers()[1], np.int64)[named.offset : named.offset + len(named) + 1][cuts]
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), named.buffers()[2]])
+        parts = units.take(pa.array(self.back))
+        data, offsets = K.raw_bytes(parts) if len(parts) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        whole, cuts = data.tobytes(), offsets[self.bounds]
+        return [whole[i : j - 1] if has else b"" for i, j, has in zip(cuts[:-1].tolist(), cuts[1:].tolist(), self.has_tokens.tolist(), strict=True)]
 
 
 _GRAPHIC = np.zeros(256, dtype=bool)
@@ -166,30 +224,24 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     data, offsets = K.raw_bytes(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
     inner = np.flatnonzero((data[1:-1] == 0x20) & _GRAPHIC[data[:-2]] & _FOLLOWS[data[2:]]) + 1 if len(data) > 2 else np.zeros(0, np.int64)
-    starts = np.union1d(inner, offsets)  # every text has a byte at least
+    starts = _distinct(np.concatenate([inner, offsets]))  # every text has a byte at least
     kinds = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
     return kinds.dictionary, kinds.indices.to_numpy(), np.searchsorted(starts, offsets)
 
 
-def sound_texts(units: Units, numbers: np.ndarray, back: np.ndarray, bounds: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """Texts that have tokens: not empty, and both tokenizers give their bytes back."""
-    bad = np.concatenate([[0], np.cumsum(~units.sound.data[numbers][back])])
-    empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
-    return (bad[bounds[1:]] == bad[bounds[:-1]]) & ~empty
-
-
-def pair_counts(units: Units, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def pair_counts(t: Tokenizers, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct pairs of some texts, and how many of the texts hold each."""
-    kinds, back, bounds = cut(texts)
-    numbers = units.numbers(kinds.to_pylist())
-    sound = sound_texts(units, numbers, back, bounds, texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    seen = np.unique(doc[sound[doc]] * np.int64(len(numbers)) + back[sound[doc]])
-    of, unit = np.divmod(seen, max(1, len(numbers)))
-    links, n = units.links_of(numbers[unit])
-    pairs, place = np.unique(links, return_inverse=True)
-    per_doc = np.unique(np.repeat(of, n) * np.int64(max(1, len(pairs))) + place)
-    return pairs, np.bincount(per_doc % max(1, len(pairs)), minlength=len(pairs)) if len(pairs) else np.zeros(0, np.int64)
+    found = Aligned(t, texts)
+    doc = np.repeat(np.arange(len(texts)), np.diff(found.bounds))
+    held = found.has_tokens[doc]
+    seen = _distinct(doc[held] * np.int64(len(found.n_links)) + found.back[held])
+    of, unit = np.divmod(seen, max(1, len(found.n_links)))
+    n = found.n_links[unit]
+    pairs, place = np.unique(found.links, return_inverse=True)
+    place = place[_spread((np.cumsum(found.n_links) - found.n_links)[unit], n)]
+    per_doc = _distinct(np.repeat(of, n) * np.int64(max(1, len(pairs))) + place)
+    counts = np.bincount(per_doc % max(1, len(pairs)), minlength=len(pairs))
+    return pairs[counts > 0], counts[counts > 0]
 
 
 # Minimal perfect hash.
@@ -272,7 +324,7 @@ def count_pairs(docs: DataFrame, scratch: Scratch, text_col: str, vocabularies:
     folder = scratch.path("model")
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, part = _units(vocabularies, folder), TaskContext.get().partitionId()
+        t, part = tokenizers(vocabularies), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -286,8 +338,8 @@ def count_pairs(docs: DataFrame, scratch: Scratch, text_col: str, vocabularies:
                 yield from _row(int(k), part, pack(keys[shard == k].astype(np.int64), counts[shard == k])).to_batches()
 
         for batch in batches:
-            for piece in K.slices(batch, limit=1 << 21):
-                held.append(pair_counts(units, piece.column("text")))
+            for piece in K.slices(batch, limit=SLICE):
+                held.append(pair_counts(t, piece.column("text")))
                 if sum(len(k) for k, _ in held) > HELD:
                     held[:] = [merged()]
                     if len(held[0][0]) > HELD // 2:
@@ -368,33 +420,17 @@ def token_alignment(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     names = [f.split()[0] for f in _OUT.split(", ")] + ["groups"] * keep_groups
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _units(vocabularies, folder)
+        t = tokenizers(vocabularies)
         for batch in batches:
-            for piece in K.slices(batch, limit=1 << 21):
-                texts = piece.column("text")
-                kinds, back, bounds = cut(texts)
-                numbers = units.numbers(kinds.to_pylist())
-                sound = sound_texts(units, numbers, back, bounds, texts)
-                if units.sums[0].size < len(units.text):
-                    fresh = np.arange(units.sums[0].size, len(units.text))
-                    links, n = units.links_of(fresh)
-                    distinct, place = np.unique(links, return_inverse=True)
-                    counts, best = look_up(folder, shards, distinct)
-                    of = np.repeat(np.arange(len(fresh)), n)
-                    for held, x in zip(units.sums, (best.astype(np.int64), counts), strict=True):
-                        total = np.zeros(len(fresh), np.int64)
-                        np.add.at(total, of, x[place])
-                        held.extend(total)
-                seen = numbers[back]
-                a, b, groups = (c.data[seen] for c in units.counts)
-                links = np.diff(units.link_end.data[: units.link_end.size], prepend=0)[seen]
-                best, counts = (c.data[seen] for c in units.sums)
-                columns = [piece.column("doc_id")]
-                columns += [pa.array(np.where(sound, np.add.reduceat(x, bounds[:-1], dtype=np.int64), 0)) for x in (a, b, groups, links, best, counts)]
-                held = [b";".join([units.text[k] for k in seen[i:j].tolist()]) if good else b"" for i, j, good in zip(bounds[:-1].tolist(), bounds[1:].tolist(), sound.tolist(), strict=True)]
-                columns.append(pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in held], pa.string()))
+            for piece in K.slices(batch, limit=SLICE):
+                found = Aligned(t, piece.column("text"))
+                distinct, place = np.unique(found.links, return_inverse=True)
+                counts, best = look_up(folder, shards, distinct)
+                groups = found.groups(t)
+                sums = [found.by_text(x) for x in (found.n_a, found.n_b, found.n_groups, found.n_links, found.by_unit(best[place]), found.by_unit(counts[place]))]
+                columns = [piece.column("doc_id"), *map(pa.array, sums), pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in groups], pa.string())]
                 if keep_groups:
-                    columns.append(pa.array([x.decode() for x in held], pa.string()))
+                    columns.append(pa.array([x.decode() for x in groups], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
