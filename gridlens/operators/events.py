@@ -111,34 +111,55 @@ class Claims:
             self.held[family] = t + self.hold
         return name
 
-    def reconcile(self, t: float, power: float) -> list[str]:
-        """Forget past holds; drop the least certain claims of 6 s or older while all claims exceed the power."""
+    def guard(self, t: float, power: float) -> list[str]:
+        """At a tick: forget past holds, and drop claims while all of them together exceed the settled power.
+
+        Of the claims that are 6 s or older, in order of confidence (the older one first on a tie), the shortest run
+        goes that leaves no more than the power and max(30 W, a tenth of what is left).
+        """
         self.held = {f: until for f, until in self.held.items() if until > t}
+        old = sorted((f for f, (_, _, since) in self.on.items() if t - since >= 6), key=lambda f: self.on[f][1])
+        left = sum(w for w, _, _ in self.on.values())
         dropped = []
-        while True:
-            claimed = sum(w for w, _, _ in self.on.values())
-            old = {f: c for f, (_, c, since) in self.on.items() if t - since >= 6}
-            if not old or claimed <= power + max(30.0, 0.1 * claimed):
-                return dropped
-            dropped.append(min(old, key=old.get))
-            del self.on[dropped[-1]]
+        for f in old:
+            if left <= power + max(30.0, 0.1 * left):
+                break
+            dropped.append(f)
+            left -= self.on[f][0]
+        for f in dropped:
+            del self.on[f]
+        return dropped
+
+
+def ticks(df: DataFrame, stride: int, side: int, key: str = "rid", order: str = "i") -> DataFrame:
+    """(key, order, p_now): the settled power, median of the last ``side`` samples, at every ``stride``-th sample."""
+    w = by_sample(key, order).rowsBetween(-(side - 1), 0)
+    return df.select(key, order, F.percentile("p", F.lit(0.5)).over(w).alias("p_now")).where(F.col(order) % stride == 0)
 
 
-def claims(matched: DataFrame, key: str = "rid", at: str = "at") -> DataFrame:
-    """Switch events of every recording: replay of its matched edges in order."""
+def claims(matched: DataFrame, at_ticks: DataFrame, rate: float = 1.0, key: str = "rid", at: str = "at", order: str = "i") -> DataFrame:
+    """Switch events of every recording: its matched edges in order, guarded at its ticks, so a missed off-edge needs no further edge.
+
+    Edges and ticks are numbered by sample; ages and holds are seconds at ``rate`` samples a second. A tick follows
+    the edges that were seen by then (``order``). A drop is a row with the tick's sample.
+    """
+    edge = matched.select(key, F.col(order).alias("seen"), F.lit(0).alias("tick"), at, "dp", "p_after", "family", "confidence")
+    tick = at_ticks.select(key, F.col(order).alias("seen"), F.lit(1).alias("tick"), F.col(order).alias(at), F.lit(None).cast("double").alias("dp"), F.col("p_now").alias("p_after"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("confidence"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = Claims(), []
-        for r in pdf.sort_values([at, "dp"], kind="stable").itertuples():
+        for r in pdf.sort_values(["seen", "tick", at, "dp"], kind="stable").itertuples():
+            t = getattr(r, at) / rate
+            if r.tick:
+                rows += [(getattr(r, key), getattr(r, at), "dropped", f, 0.0) for f in state.guard(t, r.p_after)]
+                continue
             family = r.family if isinstance(r.family, str) else None
-            name = state.edge(float(getattr(r, at)), r.dp, family, r.confidence if family else None)
-            dropped = state.reconcile(float(getattr(r, at)), r.p_after)
+            name = state.edge(t, r.dp, family, r.confidence if family else None)
             if name:
                 rows.append((getattr(r, key), getattr(r, at), "on" if r.dp > 0 else "off", name, abs(r.dp)))
-            rows += [(getattr(r, key), getattr(r, at), "dropped", f, 0.0) for f in dropped]
         return pd.DataFrame(rows, columns=[key, at, "kind", "device", "watts"])
 
-    return matched.groupBy(key).applyInPandas(run, f"{key} long, {at} long, kind string, device string, watts double")
+    return edge.unionByName(tick).groupBy(key).applyInPandas(run, f"{key} long, {at} long, kind string, device string, watts double")
 
 
 def hysteresis(prob: Column, w, high: float = 0.55, low: float = 0.45) -> Column:

@@ -61,32 +61,46 @@ def j4_matched_edges(spark, sf):
     return J.match(_edges(spark, sf), KNOWN).select("rid", "i", F.round("dp", 5).alias("dp"), "family", "confidence")
 
 
-def _claims_sql(known: str, edges: str) -> str:
-    """Claims of every recording, one edge a step: ``on`` holds the claims in the order in which they came."""
+#: Samples between ticks, and the samples of which a tick takes the median, at one and at five samples a second.
+STRIDE, RATES = 2, {1: 3, 5: 13}
+
+
+def _claims_sql(known: str, edges: str, rate: int = 1) -> str:
+    """Claims of every recording, one edge or tick a step: ``held`` holds the claims in the order in which they came."""
     return f"""d AS (SELECT *, sqrt(power(sign * dp - kp, 2) + power(sign * dq - kq, 2)) / greatest(20.0, 0.35 * sqrt(kp * kp + kq * kq)) AS d FROM (SELECT *, CASE WHEN dp < 0 THEN -1 ELSE 1 END AS sign FROM {edges}), {known}),
     b AS (SELECT *, abs(dp) >= 8 AND d < 1 AND round(1 - d, 2) >= 0.25 AS good, round(1 - d, 2) AS c FROM (SELECT *, row_number() OVER (PARTITION BY rid, i ORDER BY d, family) AS r FROM d) WHERE r = 1),
-    m AS (SELECT rid, "at", dp, p_after, CASE WHEN good THEN family END AS f, CASE WHEN good THEN c END AS c, row_number() OVER (PARTITION BY rid ORDER BY "at", dp) AS k FROM b),
+    tk AS (SELECT * FROM (SELECT rid, i, quantile_cont(p, 0.5) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {RATES[rate] - 1} PRECEDING AND CURRENT ROW) AS p_now FROM readings) WHERE i % {STRIDE * rate} = 0),
+    m AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY seen, tick, "at", dp) AS k FROM (
+        SELECT rid, i AS seen, 0 AS tick, "at", dp, p_after, CASE WHEN good THEN family END AS f, CASE WHEN good THEN c END AS c FROM b UNION ALL SELECT rid, i, 1, i, NULL, p_now, NULL, NULL FROM tk)),
     walk AS (SELECT DISTINCT rid, 0::BIGINT AS k, NULL::BIGINT AS "at", NULL::DOUBLE AS dp, NULL::VARCHAR AS device, []::STRUCT(f VARCHAR, w DOUBLE, c DOUBLE, t BIGINT)[] AS held, 0::BIGINT AS drops, []::VARCHAR[] AS dropped FROM m UNION ALL
     SELECT rid, k, "at", dp, device, list_filter(claimed, lambda x: NOT list_contains(old[:drops], x.f)), drops, old[:drops] FROM (
-        SELECT *, coalesce(list_min(list_filter(range(0, len(old) + 1), lambda j: total - gone[j + 1] <= p_after + greatest(30, 0.1 * (total - gone[j + 1])))), len(old)) AS drops FROM (
+        SELECT *, CASE WHEN tick = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(0, len(old) + 1), lambda j: total - gone[j + 1] <= p_after + greatest(30, 0.1 * (total - gone[j + 1])))), len(old)) END AS drops FROM (
         SELECT *, list_transform(range(0, len(old) + 1), lambda j: coalesce(list_sum(list_transform(list_filter(claimed, lambda x: list_contains(old[:j], x.f)), lambda x: x.w)), 0)) AS gone FROM (
-        SELECT *, coalesce(list_sum(list_transform(claimed, lambda x: x.w)), 0) AS total, list_transform(list_sort(list_filter(list_transform(claimed, lambda x, n: struct_pack(c := x.c, n := n, f := x.f, t := x.t)), lambda x: "at" - x.t >= 6)), lambda x: x.f) AS old FROM (
+        SELECT *, coalesce(list_sum(list_transform(claimed, lambda x: x.w)), 0) AS total, list_transform(list_sort(list_filter(list_transform(claimed, lambda x, n: struct_pack(c := x.c, n := n, f := x.f, t := x.t)), lambda x: "at" - x.t >= {6 * rate})), lambda x: x.f) AS old FROM (
         SELECT *, CASE WHEN device IS NULL THEN held WHEN dp <= 0 THEN list_filter(held, lambda x: x.f <> device)
             WHEN list_contains(list_transform(held, lambda x: x.f), device) THEN list_transform(held, lambda x: CASE WHEN x.f = device THEN struct_pack(f := device, w := abs(dp), c := c, t := "at") ELSE x END)
             ELSE list_append(held, struct_pack(f := device, w := abs(dp), c := c, t := "at")) END AS claimed FROM (
-        SELECT m.*, walk.held, CASE WHEN m.dp > 0 THEN CASE WHEN m.c >= 0.3 THEN m.f END WHEN list_contains(list_transform(walk.held, lambda x: x.f), m.f) THEN m.f
+        SELECT m.*, walk.held, CASE WHEN m.tick = 1 THEN NULL WHEN m.dp > 0 THEN CASE WHEN m.c >= 0.3 THEN m.f END WHEN list_contains(list_transform(walk.held, lambda x: x.f), m.f) THEN m.f
             ELSE list_min(list_filter(list_transform(walk.held, lambda x, n: struct_pack(e := abs(abs(m.dp) - x.w) / greatest(x.w, 20.0), n := n, f := x.f)), lambda x: x.e < 0.35)).f END AS device
         FROM walk JOIN m ON m.rid = walk.rid AND m.k = walk.k + 1))))))
     SELECT rid, "at", CASE WHEN dp > 0 THEN 'on' ELSE 'off' END AS kind, device, round(abs(dp), 5) AS watts FROM walk WHERE device IS NOT NULL UNION ALL SELECT rid, "at", 'dropped', unnest(dropped), 0.0 FROM walk"""
 
 
-def _rounded_claims(matched):
-    return J.claims(matched).select("rid", "at", "kind", "device", F.round("watts", 5).alias("watts"))
+def _rounded_claims(spark, sf, matched, rate=1):
+    found = J.claims(matched, J.ticks(readings(spark, sf), STRIDE * rate, RATES[rate]), rate)
+    return found.select("rid", "at", "kind", "device", F.round("watts", 5).alias("watts"))
 
 
 @query(f"WITH RECURSIVE {_DEBOUNCED}, {_claims_sql(_KNOWN, 'kept')}")
 def j5_j6_j7_claims(spark, sf):
-    return _rounded_claims(J.match(J.debounce(_edges(spark, sf), 3), KNOWN))
+    """Claims by edges, dropped at ticks of two seconds when the settled power can't hold them; one sample a second."""
+    return _rounded_claims(spark, sf, J.match(J.debounce(_edges(spark, sf), 3), KNOWN))
+
+
+@query(f"WITH RECURSIVE {_DEBOUNCED}, {_claims_sql(_KNOWN, 'kept', 5)}")
+def j7_claims_5hz(spark, sf):
+    """The same samples as five a second: ages count in seconds, so 30 samples make a claim old."""
+    return _rounded_claims(spark, sf, J.match(J.debounce(_edges(spark, sf), 3), KNOWN), 5)
 
 
 _OTHERS = [(f, 1.1 * p, q) for f, p, q in KNOWN]
@@ -98,7 +112,7 @@ def j8_rebuilt_claims(spark, sf):
     """The last 600 edges of every recording, matched against other signatures and replayed."""
     last = Window.partitionBy("rid").orderBy(F.desc("at"), F.desc("i"))
     recent = J.debounce(_edges(spark, sf), 3).withColumn("_r", F.row_number().over(last)).where("_r <= 600").drop("_r")
-    return _rounded_claims(J.match(recent, _OTHERS))
+    return _rounded_claims(spark, sf, J.match(recent, _OTHERS))
 
 
 @query("SELECT rid, i, quantile_cont(least(1.0, p / 100), 0.5) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prob FROM readings")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from gridlens.operators import follow
 from gridlens.operators import models as G
 from gridlens.operators import scenarios as I
 from gridlens.operators import windows as E
@@ -199,6 +200,51 @@ def g16_retrain(spark, sf):
     return retrain(scenario_parts(spark, sf), ModelRegistry(spark, f"{folder}/models"), f"{folder}/scenarios", names, 10, trees=20)
 
 
+def _loop_inputs(spark, sf):
+    """Samples, one a second, and what a rule of thumb says of each window of two: probability and watts of its event type."""
+    r = readings(spark, sf)
+    t = F.col("i").cast("double").alias("t")
+    said = r.where("i % 2 = 0").select("rid", t, F.col("event_type").alias("device"), F.least(F.lit(1.0), F.col("p") / 80).alias("prob"), (0.7 * F.col("p")).alias("watts"))
+    return follow.inputs(r.select("rid", t, "p", "q"), said)
+
+
+_LOOP = ("rid", "t", "kind", "device", "on", "source", "since")
+
+
+def _loop_rules():
+    from gridlens.plans.events import KNOWN
+
+    return follow.Rules(signatures=tuple(KNOWN), side=2.0, span=6.0, least_w=15.0, persist=4.0)
+
+
+def _rounded_loop(out):
+    return out.select(*_LOOP, *[F.round(c, 6).alias(c) for c in ("watts", "total", "residual", "explained")])
+
+
+@query()
+def j9_j17_follow(spark, sf):
+    """Edges, claims guarded at ticks, model states, merge, residual, transitions and unknown loads of every meter, from the stored table."""
+    return _rounded_loop(follow.follow(_loop_inputs(spark, sf), _loop_rules()))
+
+
+@query()
+def j9_j17_live_loop(spark, sf):
+    """The same from a stream of five files, in one keyed state; a last row of no meter moves the watermark past all."""
+    folder = shared_folder(spark, "loop")
+    rows = _loop_inputs(spark, sf)
+    rows.select("*", F.least(F.lit(4), F.floor(F.col("t") / 20)).alias("part")).repartitionByRange(5, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{folder}/in")
+    spark.createDataFrame([(-1, 1e7, 1, None, 0.0, 0.0)], follow.INPUT).coalesce(1).write.parquet(f"{folder}/in/part=9")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = live.live_loop(live.replay(spark, f"{folder}/in", rows.schema), _loop_rules())
+        live.append(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return _rounded_loop(spark.read.schema(stream.schema).parquet(f"{folder}/out").where("rid >= 0"))
+
+
 _STATS = {"p_mean": "avg(p)", "p_std": "stddev_pop(p)", "p_min": "min(p)", "p_max": "max(p)", "q_mean": "avg(q)", "p1_mean": "avg(p1)", "p2_mean": "avg(p2)", "p3_mean": "avg(p3)",
     "pf_mean": "avg(CASE WHEN sqrt(p * p + q * q) > 1e-6 THEN p / sqrt(p * p + q * q) ELSE 1 END)", "thd_mean": "0.0", "hour_mean": "0.0", "q_std": "stddev_pop(q)", "qp": "avg(q) / (abs(avg(p)) + 1e-6)", "s": "sqrt(avg(p) ** 2 + avg(q) ** 2)"}
 

@@ -1,8 +1,10 @@
-"""Following a live feed: file sources, append sinks, windows, and keyed state for edges and claims."""
+"""Following a live feed: file sources, append sinks, windows, and one keyed state that follows a meter."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from gridlens.operators.events import EDGE_W, SETTLED_SHARE, SETTLED_W, Claims, edges, hysteresis, merge, residual
+from gridlens.operators.events import hysteresis, merge, residual
+from gridlens.operators.follow import SCHEMA, Follower, Meter, Rules, frame, sound
 from gridlens.operators.windows import aggregate_features, smoothed
 
 
@@ -82,87 +85,78 @@ def device_states(scored: DataFrame, families: list[str], key: str = "rid", at:
     return merged.join(residual(merged, [key, at], "total", "watts").drop("total"), [key, at]).select(key, at, "device", "prob", "state", "watts", "total", "residual", "explained")
 
 
-def settled_step(p: np.ndarray, q: np.ndarray, side: int) -> tuple[int, float, float, float] | None:
-    """(place of the jump, dP, dQ, P after) of one full span, by the rules of ``events.edges``."""
-    p0, p1 = np.median(p[:side]), np.median(p[-side:])
-    dp, dq = p1 - p0, np.median(q[-side:]) - np.median(q[:side])
-    if abs(dp) < EDGE_W and abs(dq) < 2 * EDGE_W:
-        return None
-    if np.std(p[:side]) > max(SETTLED_W, SETTLED_SHARE * abs(p0)) or np.std(p[-side:]) > max(SETTLED_W, SETTLED_SHARE * abs(p1)):
-        return None
-    jump = np.abs(np.diff(p))[side : len(p) - side - 1]
-    return side + (int(np.argmax(jump)) if len(jump) else 0), float(dp), float(dq), float(p1)
+class Loop(StatefulProcessor):
+    """``follow`` on a stream: rows wait in state until the watermark has passed them and are then applied in order.
 
-
-class EdgeTracker(StatefulProcessor):
-    """Edges, debounced, and the claims they make: one meter's buffer, last edge and claims as state.
-
-    Rows of a batch are taken in sample order; a row at or before the last one seen is late and dropped.
+    A timer at the latest waiting row brings the meter up to date when no further row comes. State that other queries
+    may read: ``devices`` (what is on, its watts, since when) and ``history`` (the last ticks).
     """
 
-    def __init__(self, side: int, span: int, gap: int, known: list[tuple[str, float, float]]):
-        self.side, self.span, self.gap, self.known = side, span, gap, known
+    def __init__(self, rules: Rules, ticks: int = 420):
+        self.rules, self.ticks = rules, ticks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("meter", "i array<long>, p array<double>, q array<double>, last long, on map<string,array<double>>, held map<string,double>")
+        self.handle = handle
+        self.meter = handle.getValueState("meter", "meter string")
+        self.waiting = handle.getListState("waiting", "t double, side int, device string, a double, b double")
+        self.devices = handle.getMapState("devices", "device string", "on int, watts double, since double")
+        self.history = handle.getListState("history", "t double, total double, residual double")
 
-    def _match(self, dp: float, dq: float) -> tuple[str | None, float | None]:
-        sign = -1.0 if dp < 0 else 1.0
-        found = [(float(np.hypot(sign * dp - p, sign * dq - q) / max(20.0, 0.35 * np.hypot(p, q))), f) for f, p, q in self.known]
-        d, family = min(found, default=(2.0, None))
-        confidence = round(1 - d, 2)
-        return (family, confidence) if abs(dp) >= EDGE_W and d < 1 and confidence >= 0.25 else (None, None)
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.meter.update((initialState["meter"].iloc[0],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        i, p, q, last, on, held = ([], [], [], -(10**15), {}, {})
-        if self.state.exists():
-            i, p, q, last, on, held = self.state.get()
-        i, p, q = list(i), list(p), list(q)
-        claims = Claims()
-        claims.on = {f: tuple(v) for f, v in dict(on).items()}
-        claims.held = dict(held)
-        batch = pd.concat(list(rows)).sort_values("i", kind="stable")
-        out = []
-        for r in batch.itertuples():
-            if i and r.i <= i[-1]:
-                continue
-            i, p, q = [*i, int(r.i)][-self.span :], [*p, float(r.p)][-self.span :], [*q, float(r.q)][-self.span :]
-            if len(i) < self.span:
-                continue
-            step = settled_step(np.array(p), np.array(q), self.side)
-            if step is None:
-                continue
-            at = i[step[0]]
-            if at - last < self.gap:
-                continue
-            last = at
-            family, confidence = self._match(step[1], step[2])
-            device = claims.edge(float(at), step[1], family, confidence)
-            claims.reconcile(float(at), step[3])
-            out.append((key[0], at, step[1], step[2], step[3], family, confidence, device))
-        self.state.update((i, p, q, last, {f: list(v) for f, v in claims.on.items()}, claims.held))
-        yield pd.DataFrame(out, columns=["rid", "at", "dp", "dq", "p_after", "family", "confidence", "device"])
+        fresh = pd.concat(list(rows))
+        fresh = fresh.astype({"t": "float64", "a": "float64", "b": "float64"}).astype(object)
+        fresh = fresh.where(fresh.notna(), None)
+        self.waiting.appendList(list(fresh[["t", "side", "device", "a", "b"]].itertuples(index=False, name=None)))
+        yield self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, rid: int, watermark_ms: int) -> pd.DataFrame:
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["t", "side", "device", "a", "b"])
+        ready = np.floor(held["t"].astype("float64") * 1000) <= watermark_ms
+        later = held[~ready]
+        self.waiting.clear()
+        if len(later):
+            self.waiting.put(list(later.itertuples(index=False, name=None)))
+            self.handle.registerTimer(int(np.ceil(later["t"].astype("float64").max() * 1000)))
+        meter = Meter(**json.loads(self.meter.get()[0])) if self.meter.exists() else Meter()
+        follower = Follower(rid, self.rules, meter)
+        out = frame(follower.rows(sound(held[ready]).itertuples(index=False, name=None)))
+        if ready.any():
+            self.meter.update((json.dumps(asdict(follower.state())),))
+            for device, (on, watts, since) in follower.m.devices.items():
+                self.devices.updateValue((device,), (on, watts, since))
+            at = out[out["kind"] == "state"].drop_duplicates("t")
+            if len(at):
+                past = list(self.history.get()) if self.history.exists() else []
+                self.history.put([*past, *at[["t", "total", "residual"]].itertuples(index=False, name=None)][-self.ticks :])
+        return out
 
     def close(self) -> None:
         pass
 
 
-EDGE_SCHEMA = "rid long, at long, dp double, dq double, p_after double, family string, confidence double, device string"
-
-
-def live_edges(df: DataFrame, side: int, span: int, gap: int, known: list[tuple[str, float, float]]) -> DataFrame:
-    """Debounced edges and claims of a stream of (rid, i, p, q)."""
-    return df.select("rid", "i", "p", "q").groupBy("rid").transformWithStateInPandas(EdgeTracker(side, span, gap, known), EDGE_SCHEMA, "Append", "None")
+def live_loop(rows: DataFrame, rules: Rules, late: str = "10 seconds", initial: DataFrame | None = None) -> DataFrame:
+    """States at ticks and events of every meter from a stream of ``follow.inputs``; equal to ``follow`` over the rows that were not late.
 
+    ``initial`` (rid, meter), of ``follow.rebuilt``, is what a new query starts with. The state store must be RocksDB.
+    """
+    keyed = rows.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).withWatermark("ts", late)
+    start = initial.groupBy("rid") if initial is not None else None
+    return keyed.groupBy("rid").transformWithStateInPandas(Loop(rules), SCHEMA, "Append", "EventTime", start)
 
-def batch_edges(df: DataFrame, side: int, span: int, gap: int) -> DataFrame:
-    """The same edges from a stored table; equal to what the stream gives."""
-    from gridlens.operators.events import accept
 
-    found = edges(df, side, span)
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a stopped query left out because the watermark had passed them; of its progress, which Spark keeps for the last hundred batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        return pdf[accept(pdf["at"], gap)]
 
-    return found.groupBy("rid").applyInPandas(run, found.schema)
+def live_snapshot(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """(devices, history) as the state store of a live loop has them: what is on, its watts and since when; the last ticks."""
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    devices = read("devices").select("key.rid", F.col("user_map_key.device").alias("device"), "user_map_value.*").where("on = 1").drop("on")
+    return devices, read("history").select("key.rid", "list_element.*")
