@@ -239,17 +239,21 @@ def segments(df: DataFrame, off_w: float = 5.0, on_w: float = 8.0, off_hold: int
     return df.withColumn("part", part).withColumn("quiet", F.abs("p") < off_w).drop("_b", "_q", "_first", "_tail")
 
 
-def switch_times(df: DataFrame, found: DataFrame, window: float, key: str = "rid", device: str = "device", at: str = "at", last: int = 12) -> DataFrame:
+def switch_times(df: DataFrame, found: DataFrame, window: float, key: str = "rid", device: str = "device", at: str = "at", last: int = 12, others: DataFrame | None = None) -> DataFrame:
     """On and off events of (key, device, at, state, claimed since): when each switched.
 
     On: the claim's time; else the latest matching on-edge within ``window`` + 6 before, if it is
     among the meter's last ``last`` events; else half a window before. Off: half a window before.
-    ``found`` holds on-edges (key, device, at). As-of by one union and one window.
+    ``found`` holds on-edges (key, device, at), ``others`` (key, at) all further events, which count among the last
+    as well. As-of by one union and one window.
     """
     moves = transitions(df, "state", [key, device], at).select(key, device, at, "state", "since")
-    marks = found.select(key, device, at).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(at, device)))
-    total = marks.select(key, F.lit(None).cast("string").alias(device), at, "_n")
-    last_n = as_of(moves, total, [key], at, "_n", "_seen")
+    log = found.select(key, device, at, F.lit(1).alias("_mine"))
+    if others is not None:
+        log = others.select(key, F.lit(None).cast("string").alias(device), at, F.lit(0).alias("_mine")).unionByName(log)
+    log = log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(at, "_mine", device)))
+    last_n = as_of(moves, log.select(key, F.lit(None).cast("string").alias(device), at, "_n"), [key], at, "_n", "_seen")
+    marks = log.where("_mine = 1").drop("_mine")
     edge = F.struct(F.col(at).alias("t"), F.col("_n").alias("n"))
     matched = as_of(last_n, marks.withColumn("_e", edge), [key, device], at, "_e", "_edge")
     near = (F.col(at) - F.col("_edge.t") < window + 6) & (F.col("_seen") - F.col("_edge.n") < last)

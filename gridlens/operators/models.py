@@ -45,7 +45,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     """n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     totals = counts.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))
-    return df.join(F.broadcast(counts.join(totals, F.lit(True))), label).withColumn(out, F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
+    return df.join(counts.join(totals, F.lit(True)), label).withColumn(out, F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
 
 
 def _prepared(columns: Sequence[str]) -> list:
@@ -63,7 +63,7 @@ def identify(df: DataFrame, columns: Sequence[str], label: str = "family", trees
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
     model = {
         "forest": lambda: RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed),
-        "boosted": lambda: OneVsRest(classifier=GBTClassifier(maxIter=max(1, trees // 10), stepSize=0.05, seed=seed)),
+        "boosted": lambda: OneVsRest(classifier=GBTClassifier(maxIter=max(1, trees // 10), stepSize=0.05, seed=seed), weightCol="weight"),
         "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=10)),
     }[kind]()
     return Pipeline(stages=[*_prepared(columns), index, model]).fit(weighted)

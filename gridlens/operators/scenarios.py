@@ -21,13 +21,13 @@ def plan(spark: SparkSession, families: list[str], n: int, low: int, high: int,
     return base.withColumn("x", F.explode(F.slice(ranked, 1, F.least("size", F.lit(len(families)))))).select("scenario", F.col("x.family").alias("family"))
 
 
-def cover(plans: dict[int, list[str]], families: list[str], high: int, least: int = 4) -> dict[int, list[str]]:
+def cover(plans: dict[int, list[str]], families: list[str], high: int, least: int = 4, elsewhere: dict[str, int] | None = None) -> dict[int, list[str]]:
     """Repair plans until every family is in ``least`` scenarios (or all, if fewer): append where there is
-    room, else replace a scenario's most frequent member that can spare it. A plan has hundreds of rows."""
-    plans = {k: list(v) for k, v in plans.items()}
-    goal = min(least, len(plans))
+    room, else replace a scenario's most frequent member that can spare it. ``elsewhere``: scenarios not among the plans."""
+    plans, elsewhere = {k: list(v) for k, v in plans.items()}, elsewhere or {}
+    goal = min(least, len(plans) + sum(elsewhere.values()))
     for _ in range(len(families) * max(1, goal) * 2):
-        count = {f: sum(f in v for v in plans.values()) for f in families}
+        count = {f: elsewhere.get(f, 0) + sum(f in v for v in plans.values()) for f in families}
         short = [f for f in sorted(families) if count[f] < goal]
         if not short:
             break
@@ -43,11 +43,28 @@ def cover(plans: dict[int, list[str]], families: list[str], high: int, least: in
     return plans
 
 
+def covered(planned: DataFrame, families: list[str], n: int, high: int, least: int = 4) -> DataFrame:
+    """The plan with every family in ``least`` of its ``n`` scenarios, changed only if one is short.
+
+    Each change goes to the shortest scenario (then the first) without the family, so the shortest few hold all
+    that can change: these alone, ``least`` for each pair of families, are repaired, whatever the size of the plan.
+    """
+    counts = {r["family"]: r["count"] for r in planned.groupBy("family").count().collect()}
+    if all(counts.get(f, 0) >= min(least, n) for f in families):
+        return planned
+    sized = planned.groupBy("scenario").agg(F.sort_array(F.collect_list("family")).alias("fs"))
+    few = {r["scenario"]: list(r["fs"]) for r in sized.orderBy(F.size("fs"), "scenario").limit(least * len(families) ** 2 + 1).collect()}
+    inside = {f: sum(f in v for v in few.values()) for f in families}
+    repaired = cover(few, families, high, least, {f: counts.get(f, 0) - inside[f] for f in families})
+    rows = planned.sparkSession.createDataFrame([(k, f) for k, v in sorted(repaired.items()) for f in v], "scenario long, family string")
+    return planned.where(~F.col("scenario").isin(list(few))).unionByName(rows)
+
+
 def choose(planned: DataFrame, pools: DataFrame, seed: int, family: str = "family") -> DataFrame:
-    """One recording for each planned family, by hash."""
-    joined = planned.join(pools, family)
-    n = F.size("recordings")
-    return joined.withColumn("rid", F.get("recordings", F.floor(chance(seed, F.col("scenario"), F.col(family)) * n).cast("int"))).drop("recordings")
+    """One recording for each planned family: in turn, in an order of scenarios by hash, so that all take part once there are uses enough."""
+    turn = F.row_number().over(Window.partitionBy(family).orderBy(chance(seed, F.col("scenario"), F.col(family)), "scenario")) - 1
+    joined = planned.withColumn("_use", turn).join(pools, family)
+    return joined.withColumn("rid", F.get("recordings", (F.col("_use") % F.size("recordings")).cast("int"))).drop("recordings", "_use")
 
 
 def tiled(chosen: DataFrame, samples: DataFrame, n: int, key: str = "rid", order: str = "i") -> DataFrame:

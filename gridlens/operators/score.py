@@ -112,8 +112,8 @@ def family_truth(contributions: DataFrame, recordings: DataFrame, families: str,
     return known.unionByName(rest, allowMissingColumns=True)
 
 
-def timeline(df: DataFrame, families: list[str], total: str = "total", key: str = "rid", win: str = "win", family: str = "family", prob: str = "prob", pred: str = "pred", p: str = "p") -> DataFrame:
-    """A row per window: total, residual (total less what is on), then on, probability and watts of every family.
+def timeline(df: DataFrame, families: list[str], total: str = "total", key: str = "rid", win: str = "win", family: str = "family", prob: str = "prob", pred: str = "pred", p: str = "p", window_s: float = 10.0) -> DataFrame:
+    """A row per window: the hour since the recording's start at which it begins, total, residual (total less what is on), then on, probability and watts of every family.
 
     Watts of a family that is off are 0; watts have one digit and probabilities three, half up on the decimal value.
     """
@@ -122,7 +122,7 @@ def timeline(df: DataFrame, families: list[str], total: str = "total", key: str
     per = df.groupBy(key, win, family).agg(on.alias("on"), F.max(prob).alias("prob"), (F.sum(p) * on).alias("w"), F.max(total).alias("_t"))
     at = lambda f, c: F.max(F.when(F.col(family) == f, F.col(c)))
     wide = [x for k, f in enumerate(families, start=1) for x in (F.coalesce(at(f, "on"), F.lit(0)).alias(f"on_{k}"), F.round(at(f, "prob").cast("decimal(18,6)"), 3).cast("double").alias(f"prob_{k}"), watts(F.coalesce(at(f, "w"), F.lit(0.0))).alias(f"w_{k}"))]
-    return per.groupBy(key, win).agg(watts(F.max("_t")).alias("total"), watts(F.max("_t") - F.sum("w")).alias("residual"), *wide)
+    return per.groupBy(key, win).agg((F.col(win) * window_s / 3600).alias("hour"), watts(F.max("_t")).alias("total"), watts(F.max("_t") - F.sum("w")).alias("residual"), *wide)
 
 
 def mix_summary(windows: DataFrame, window_s: float, key: str = "rid", win: str = "win", family: str = "family") -> tuple[DataFrame, DataFrame]:
@@ -139,3 +139,16 @@ def mix_summary(windows: DataFrame, window_s: float, key: str = "rid", win: str
     gap = F.abs(F.col("_t") - F.col("_w"))
     whole = per.groupBy(key).agg((F.sum("_c") / F.sum("_k")).alias("confidence"), (1 - F.sum(gap) / F.greatest(F.sum(F.abs("_t")), F.lit(1e-9))).alias("explained"), F.avg(gap).alias("residual_w"))
     return by, whole
+
+
+def painted(samples: DataFrame, windows: DataFrame, stride: int, length: int, key: str = "rid", order: str = "i", win: str = "win") -> DataFrame:
+    """Every sample with the columns of the window over it; where windows overlap the one that begins last wins.
+
+    Window k covers ``length`` samples from k * ``stride`` on. An interval join by equal stretches of ``stride``
+    samples: a window is dealt to the few it reaches into. Samples under no window are left out.
+    """
+    values = [c for c in windows.columns if c not in (key, win)]
+    reach = windows.withColumn("_b", F.explode(F.sequence(F.col(win), F.col(win) + (length - 1) // stride)))
+    over = samples.withColumn("_b", F.floor(F.col(order) / stride)).join(reach, [key, "_b"]).where(F.col(order) < F.col(win) * stride + length)
+    last = over.groupBy(key, order).agg(F.max_by(F.struct(*values), win).alias("_x"))
+    return last.select(key, order, *[F.col(f"_x.{c}").alias(c) for c in values])

@@ -152,7 +152,7 @@ def j13_residual(spark, sf):
 
 #: Ticks of a meter: each event type is a device, on above 50 W; every third on-state has a claim five samples old.
 _STATE = "st AS (SELECT rid, event_type AS device, i AS \"at\", (p > 50)::INT AS state, CASE WHEN p > 50 AND i % 3 = 0 THEN (i - 5)::DOUBLE END AS since, p AS watts FROM readings)"
-_STATE_EDGES = "ev AS (SELECT rid, event_type AS device, i AS \"at\" FROM readings WHERE p > 70 AND i % 2 = 0)"
+_STATE_EDGES = "ev AS (SELECT rid, event_type AS device, i AS \"at\", 1 AS mine FROM readings WHERE p > 70 AND i % 2 = 0 UNION ALL SELECT rid, NULL, i, 0 FROM readings WHERE p < 20)"
 
 
 def _states(spark, sf):
@@ -162,7 +162,7 @@ def _states(spark, sf):
 
 
 @query(f"""WITH {_STATE}, {_STATE_EDGES}, mv AS (SELECT * FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY rid, device ORDER BY "at"), 0) AS b FROM st) WHERE state <> b),
-    num AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY "at", device) AS n FROM ev), seen AS (SELECT mv.rid, mv.device, mv."at", count(num.n) AS seen FROM mv LEFT JOIN num ON num.rid = mv.rid AND num."at" <= mv."at" GROUP BY ALL),
+    num AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY "at", mine, device NULLS FIRST) AS n FROM ev), seen AS (SELECT mv.rid, mv.device, mv."at", count(num.n) AS seen FROM mv LEFT JOIN num ON num.rid = mv.rid AND num."at" <= mv."at" GROUP BY ALL),
     e AS (SELECT mv.rid, mv.device, mv."at", max(num."at") AS t, max(num.n) AS n FROM mv JOIN num ON num.rid = mv.rid AND num.device = mv.device AND num."at" <= mv."at" GROUP BY ALL)
     SELECT mv.rid, mv.device, mv."at", mv.state, (CASE WHEN mv.state = 0 THEN mv."at" - 2.5 ELSE coalesce(mv.since, CASE WHEN mv."at" - e.t < 11 AND seen.seen - e.n < 12 THEN e.t END, mv."at" - 2.5) END)::DOUBLE AS switched
     FROM mv LEFT JOIN seen USING (rid, device, "at") LEFT JOIN e USING (rid, device, "at")""")
@@ -170,7 +170,8 @@ def j14_transitions(spark, sf):
     """On and off of every device: the claim's time, else a recent matching edge, else half a window back."""
     s = _states(spark, sf)
     found = readings(spark, sf).where("p > 70 and i % 2 = 0").select("rid", F.col("event_type").alias("device"), F.col("i").alias("at"))
-    return J.switch_times(s, found, 5.0)
+    others = readings(spark, sf).where("p < 20").select("rid", F.col("i").alias("at"))
+    return J.switch_times(s, found, 5.0, others=others)
 
 
 @query("""WITH t AS (SELECT rid, i AS "at", p AS total, q AS residual, i % 11 = 0 AS settling FROM readings), c AS (SELECT *, abs(residual) > greatest(5, 0.15 * abs(total)) AND NOT settling AS c, lead("at") OVER w AS nx FROM t WINDOW w AS (PARTITION BY rid ORDER BY "at")),
@@ -215,26 +216,25 @@ def j18_recent_events(spark, sf):
 
 
 def _plan(spark, sf):
-    """(scenario, family) of a dozen scenarios, repaired until every family is in enough of them: a table of a few dozen rows."""
-    names = [r[0] for r in readings(spark, sf).select("event_type").distinct().orderBy("event_type").collect()]
-    by: dict[int, list[str]] = {}
-    for r in I.plan(spark, names, 12, 2, 3, 7).collect():
-        by.setdefault(r["scenario"], []).append(r["family"])
-    covered = I.cover({k: sorted(v) for k, v in by.items()}, names, 3)
-    return spark.createDataFrame([(k, f) for k, v in sorted(covered.items()) for f in v], "scenario long, family string")
+    """(scenario, family): two scenarios for each recording, repaired until every family is in enough of them."""
+    r = readings(spark, sf)
+    names = [x[0] for x in r.select("event_type").distinct().orderBy("event_type").collect()]
+    n = max(12, 2 * r.select("rid").distinct().count())
+    return I.covered(I.plan(spark, names, n, 2, 3, 7), names, n, 3)
 
 
 #: The same plan, its repair one change a step: the first family in too few scenarios goes into the shortest scenario without it.
 _PLAN = f"""names AS (SELECT list_sort(list(DISTINCT event_type)) AS names FROM readings),
-    drawn AS (SELECT s AS scenario, f AS family, 2 + floor({sql_chance(7, 's')} * 2) AS size, row_number() OVER (PARTITION BY s ORDER BY {sql_chance(8, 's', 'f')}, f) AS r FROM range(12) a(s), (SELECT DISTINCT event_type AS f FROM readings)),
+    drawn AS (SELECT s AS scenario, f AS family, 2 + floor({sql_chance(7, 's')} * 2) AS size, row_number() OVER (PARTITION BY s ORDER BY {sql_chance(8, 's', 'f')}, f) AS r FROM (SELECT unnest(range(greatest(12, (SELECT 2 * count(DISTINCT rid) FROM readings)))) AS s), (SELECT DISTINCT event_type AS f FROM readings)),
     repair AS (SELECT 0 AS n, (SELECT list(struct_pack(k := scenario, fs := fs) ORDER BY scenario) FROM (SELECT scenario, list(family) AS fs FROM drawn WHERE r <= size GROUP BY scenario)) AS v, names FROM names UNION ALL
     SELECT n + 1, list_transform(v, lambda s: CASE WHEN s.k <> k THEN s ELSE struct_pack(k := s.k, fs := list_append(CASE WHEN len(s.fs) < 3 THEN s.fs ELSE list_filter(s.fs, lambda x: x <> d) END, f)) END), names FROM (
         SELECT *, list_max(list_transform(list_filter(v, lambda s: s.k = k)[1].fs, lambda x: struct_pack(c := len(list_filter(v, lambda s: list_contains(s.fs, x))), x := x))).x AS d FROM (
         SELECT *, list_min(list_transform(list_filter(v, lambda s: NOT list_contains(s.fs, f)), lambda s: struct_pack(l := len(s.fs), k := s.k))).k AS k FROM (
         SELECT *, list_min(list_filter(names, lambda x: len(list_filter(v, lambda s: list_contains(s.fs, x))) < 4)) AS f FROM repair WHERE n < 40) WHERE f IS NOT NULL))),
-    planned AS (SELECT x.k AS scenario, unnest(x.fs) AS family FROM (SELECT unnest(v) AS x FROM repair ORDER BY n DESC LIMIT 12))"""
+    planned AS (SELECT x.k AS scenario, unnest(x.fs) AS family FROM (SELECT unnest(v) AS x FROM repair WHERE n = (SELECT max(n) FROM repair)))"""
 _CHOSEN = f"""{_PLAN}, pools AS (SELECT event_type AS family, list_sort(list(DISTINCT rid)) AS rids FROM readings GROUP BY event_type),
-    chosen AS (SELECT scenario, family, rids[1 + floor({sql_chance(7, 'scenario', 'family')} * len(rids))::BIGINT] AS rid FROM planned JOIN pools USING (family))"""
+    uses AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {sql_chance(7, 'scenario', 'family')}, scenario) - 1 AS use FROM planned),
+    chosen AS (SELECT scenario, family, rids[1 + use % len(rids)] AS rid FROM uses JOIN pools USING (family))"""
 _BLOCKS = f"""{_CHOSEN}, blocks AS (SELECT *, CASE WHEN "on" THEN floor(30 + 90 * {sql_chance(8, 'scenario', 'family', 'block')}) ELSE floor(15 + 75 * {sql_chance(9, 'scenario', 'family', 'block')}) END::BIGINT AS length FROM (
         SELECT scenario, family, block, (block % 2 = 0) = ({sql_chance(7, 'scenario', 'family')} < 0.6) AS "on" FROM chosen, range(43) b(block))),
     cut AS (SELECT * FROM (SELECT *, sum(length) OVER (PARTITION BY scenario, family ORDER BY block) - length AS start FROM blocks) WHERE start < 600),

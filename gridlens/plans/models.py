@@ -106,6 +106,15 @@ def g5_boosted(spark, sf):
     return _power(spark, sf, "boosted")
 
 
+@query()
+def g5_identify(spark, sf):
+    """Boosted trees, one against the rest, name the device of windows of held-out scenarios."""
+    train, test = _windows(spark, sf, alone=True)
+    m = G.identify(train, MIX_FEATURES, trees=30, kind="boosted")
+    names = F.array(*map(F.lit, G.families_of(m)))
+    return macro_f1(m.transform(test).withColumn("best", F.get(names, F.col("prediction").cast("int"))), "family", "best")
+
+
 @query()
 def g6_neural(spark, sf):
     """A rule of the third sample, learnt from raw samples, on windows of held-out recordings."""
@@ -231,14 +240,16 @@ def j9_j17_follow(spark, sf):
 def j9_j17_live_loop(spark, sf):
     """The same from a stream of five files, in one keyed state; a last row of no meter moves the watermark past all."""
     folder = shared_folder(spark, "loop")
-    rows = _loop_inputs(spark, sf)
-    rows.select("*", F.least(F.lit(4), F.floor(F.col("t") / 20)).alias("part")).repartitionByRange(5, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{folder}/in")
-    spark.createDataFrame([(-1, 1e7, 1, None, 0.0, 0.0)], follow.INPUT).coalesce(1).write.parquet(f"{folder}/in/part=9")
+    _loop_inputs(spark, sf).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    for k in range(5):  # one after the other: a stream takes files in the order in which they came
+        rows.where(F.least(F.lit(4), F.floor(F.col("t") / 20)) == k).write.mode("append").parquet(f"{folder}/in")
+    spark.createDataFrame([(-1, 1e7, 1, None, 0.0, 0.0)], follow.INPUT).write.mode("append").parquet(f"{folder}/in")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = live.live_loop(live.replay(spark, f"{folder}/in", rows.schema), _loop_rules())
+        stream = live.live_loop(live.replay(spark, f"{folder}/in", rows.schema, files_per_trigger=8), _loop_rules())
         live.append(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(key, before)

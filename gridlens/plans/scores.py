@@ -100,9 +100,16 @@ def h11_top_families(spark, sf):
 
 @query(f"WITH {_BEST} SELECT r.rid, i, f[1] AS best, CASE WHEN x[2] > 0.25 THEN f[2] END AS second FROM readings r JOIN best b ON r.rid = b.rid AND r.i // 5 = b.win")
 def h12_painted(spark, sf):
-    r = readings(spark, sf).select("rid", "i", F.expr("i div 5").alias("win"))
-    b = _best(spark, sf)
-    return r.join(b, ["rid", "win"]).select("rid", "i", "best", F.when(F.col("p_second") > 0.25, F.col("second")).alias("second"))
+    b = _best(spark, sf).select("rid", "win", "best", F.when(F.col("p_second") > 0.25, F.col("second")).alias("second"))
+    return S.painted(readings(spark, sf).select("rid", "i"), b, 5, 5)
+
+
+@query(f"""WITH {_BEST}, o AS (SELECT r.rid, i, f[1] AS best, CASE WHEN x[2] > 0.25 THEN f[2] END AS second, row_number() OVER (PARTITION BY r.rid, i ORDER BY b.win DESC) AS n
+    FROM readings r JOIN best b ON r.rid = b.rid AND r.i >= 5 * b.win AND r.i < 5 * b.win + 12 WHERE b.win % 3 <> 1) SELECT rid, i, best, second FROM o WHERE n = 1""")
+def h12_overlapping(spark, sf):
+    """Windows of twelve samples every five, a third of them inactive: of those over a sample the last to begin."""
+    b = _best(spark, sf).where("win % 3 <> 1").select("rid", "win", "best", F.when(F.col("p_second") > 0.25, F.col("second")).alias("second"))
+    return S.painted(readings(spark, sf).select("rid", "i"), b, 5, 12)
 
 
 _AT = ", ".join(f"coalesce(max(CASE WHEN family = v[{k}] THEN d END), 0) AS on_{k}, round(max(CASE WHEN family = v[{k}] THEN prob END)::DECIMAL(18, 6), 3)::DOUBLE AS prob_{k}, round(coalesce(max(CASE WHEN family = v[{k}] THEN w END), 0)::DECIMAL(18, 4), 1)::DOUBLE AS w_{k}" for k in range(1, 6))
@@ -110,11 +117,11 @@ _AT = ", ".join(f"coalesce(max(CASE WHEN family = v[{k}] THEN d END), 0) AS on_{
 
 @query(f"""WITH v AS (SELECT list_sort(list(DISTINCT event_type)) AS v FROM events), totals AS (SELECT rid, win, sum(p) AS t FROM predictions GROUP BY rid, win),
     per AS (SELECT rid, win, family, max(pred) AS d, max(prob) AS prob, sum(p) * max(pred) AS w FROM predictions GROUP BY rid, win, family)
-    SELECT rid, win, round(max(t)::DECIMAL(18, 4), 1)::DOUBLE AS total, round((max(t) - sum(w))::DECIMAL(18, 4), 1)::DOUBLE AS residual, {_AT} FROM per JOIN totals USING (rid, win), v GROUP BY rid, win""")
+    SELECT rid, win, round(win * 10 / 3600.0, 9) AS hour, round(max(t)::DECIMAL(18, 4), 1)::DOUBLE AS total, round((max(t) - sum(w))::DECIMAL(18, 4), 1)::DOUBLE AS residual, {_AT} FROM per JOIN totals USING (rid, win), v GROUP BY rid, win""")
 def h13_timeline(spark, sf):
     names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()]
     p = predictions(spark, sf)
-    return S.timeline(p.join(p.groupBy("rid", "win").agg(F.sum("p").alias("total")), ["rid", "win"]), names)
+    return S.timeline(p.join(p.groupBy("rid", "win").agg(F.sum("p").alias("total")), ["rid", "win"]), names).withColumn("hour", F.round("hour", 9))
 
 
 _LIVE = "w AS (SELECT rid, win, family, (avg(truth) >= 0.5)::INT AS t, max(pred) AS d, avg(p) AS p, avg(p * pred) AS g FROM predictions GROUP BY rid, win, family)"
@@ -152,10 +159,14 @@ def g9_balanced_weights(spark, sf):
     return G.balanced_weights(table(spark, sf, "events"), "event_type").select("event_id", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT rid, win, family, p * pred AS gated FROM predictions")
+@query("SELECT rid, win, family, round(sum(p) * (max(prob) >= 0.5)::INT, 6) AS gated FROM predictions GROUP BY rid, win, family")
 def g12_gated_power(spark, sf):
-    p = predictions(spark, sf)
-    return p.select("rid", "win", "family", (F.col("p") * F.col("pred")).alias("gated"))
+    """Watts of every family of a window, and none where its presence is below one half."""
+    names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    wide = predictions(spark, sf).groupBy("rid", "win").pivot("family", names).agg(F.max("prob").alias("presence"), F.sum("p").alias("power"))
+    wide = wide.select("rid", "win", *[F.col(f"{f}_{c}").alias(f"{c}_{f}") for f in names for c in ("presence", "power")])
+    long = G.gated(wide, names).unpivot(["rid", "win"], [f"gated_{f}" for f in names], "family", "gated").where("gated is not null")
+    return long.select("rid", "win", F.substring("family", 7, 1000).alias("family"), F.round("gated", 6).alias("gated"))
 
 
 @query("SELECT family, round(abs(sum(p + q) - sum(p)) / abs(sum(p)), 6) AS sae, round(sum(q * q) / sum(p * p), 6) AS nde, round(2 * sum(least(p, p + q)) / (sum(p) + sum(p + q)), 6) AS energy_f1 FROM predictions GROUP BY family")
