@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens.functions.labels import family as family_of
+from gridlens.functions.labels import is_mixed
 from gridlens.operators.clean import by_sample
 
 EDGE_W, SETTLED_W, SETTLED_SHARE = 8.0, 6.0, 0.05
@@ -82,6 +84,39 @@ def match(found: DataFrame, known: list[tuple[str, float, float]], least: float
     return out.withColumns({"family": F.when(good, F.col("_b.family")), "confidence": F.when(good, F.col("confidence"))}).drop("_b")
 
 
+def pure_signatures(df: DataFrame, key: str = "rid", label: str = "label", on_w: float = 3.0, least: int = 25) -> DataFrame:
+    """(signature, family, p_sig, q_sig): one for each recording of a single device type; recordings with a mixed label have none."""
+    alone = df.where(F.col(label).isNotNull() & ~is_mixed(F.col(label))).withColumn("family", family_of(F.col(label)))
+    return signatures(alone, key, "family", on_w, least).withColumnRenamed(key, "signature")
+
+
+def match_table(found: DataFrame, known: DataFrame, least: float = 0.25, cell: float = 20.0, ratio: float = 1.5, keys: tuple[str, ...] = ("rid", "i")) -> DataFrame:
+    """``match`` against a table of signatures (signature, family, p_sig, q_sig) of any size: nearest neighbours by grid cells.
+
+    A signature is reached within max(20, 0.35 of its size), so signatures are dealt to levels by that reach, each level
+    ``ratio`` times the one before, and a level's grid has cells of its largest reach. An edge can only match
+    signatures in its own cell and the eight around it, of every level there is. The edge is dealt to its cells,
+    nine for each level, and meets only what lies there: an equi-join by level and cell. Of equally near signatures the
+    first by family, then number, counts. Edges without a match keep nulls.
+    """
+    reach = F.greatest(F.lit(20.0), 0.35 * F.hypot("p_sig", "q_sig"))
+    level = F.greatest(F.lit(0), F.ceil(F.log(reach / cell) / F.log(F.lit(ratio)))).cast("int")
+    size = lambda lv: cell * F.pow(F.lit(ratio), lv)
+    at = known.where("p_sig is not null and q_sig is not null").withColumn("_lv", level)
+    at = at.select("signature", "family", "p_sig", "q_sig", "_lv", F.floor(F.col("p_sig") / size(F.col("_lv"))).alias("_x"), F.floor(F.col("q_sig") / size(F.col("_lv"))).alias("_y"))
+    levels = [r["_lv"] for r in at.select("_lv").distinct().collect()]  # a few dozen: reach grows by half from one to the next
+    sign = F.when(F.col("dp") < 0, -1.0).otherwise(1.0)
+    edges_ = found.where(F.abs("dp") >= EDGE_W).select(*keys, (sign * F.col("dp")).alias("_p"), (sign * F.col("dq")).alias("_q"))
+    around = [F.struct(F.lit(lv).alias("_lv"), (F.floor(F.col("_p") / (cell * ratio**lv)) + a).alias("_x"), (F.floor(F.col("_q") / (cell * ratio**lv)) + b).alias("_y")) for lv in levels for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    if not around:
+        return found.withColumns({"family": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    dealt = edges_.withColumn("_c", F.explode(F.array(*around))).select(*keys, "_p", "_q", "_c.*")
+    near = dealt.join(at, ["_lv", "_x", "_y"]).withColumn("_d", distance(F.col("_p"), F.col("_q"), F.col("p_sig"), F.col("q_sig"))).where("_d < 1")
+    best = near.groupBy(*keys).agg(F.min(F.struct("_d", "family", "signature")).alias("_b"))
+    best = best.select(*keys, F.col("_b.family").alias("family"), F.round(1 - F.col("_b._d"), 2).alias("confidence")).where(F.col("confidence") >= least)
+    return found.join(best, list(keys), "left")
+
+
 class Claims:
     """Which devices are claimed to be on, by edges: the sequential rules of one meter."""
 

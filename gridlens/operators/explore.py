@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.operators.clean import by_sample
+from gridlens.operators.features import derivative
 from gridlens.sources.store import shared_folder
 
 
@@ -53,6 +54,15 @@ def hart_edges(df: DataFrame, least_w: float = 40.0, key: str | Sequence[str] =
     return df.withColumn("dp", step).where(F.abs("dp") >= least_w).select(*keys, F.col(order).alias("at"), "dp")
 
 
+def central_edges(df: DataFrame, least_w: float = 40.0, key: str = "rid", order: str = "i", p: str = "p") -> DataFrame:
+    """Samples at which the power's central difference is at least ``least_w``: one row for each run of them, at its steepest sample (the first on ties)."""
+    w = by_sample(key, order)
+    steep = df.withColumn("dp", derivative(F.col(p), w)).withColumn("_s", F.abs("dp") >= least_w)
+    fresh = (F.col("_s") & ~F.coalesce(F.lag("_s").over(w), F.lit(False))) | (F.signum("dp") != F.signum(F.lag("dp").over(w)))
+    runs = steep.withColumn("_run", F.sum(fresh.cast("int")).over(w)).where("_s")
+    return runs.groupBy(key, "_run").agg(F.max(F.struct(F.abs("dp").alias("a"), (-F.col(order)).alias("o"), "dp")).alias("_x")).select(key, (-F.col("_x.o")).alias("at"), F.col("_x.dp").alias("dp"))
+
+
 def true_events(df: DataFrame, state: str, least_w: float = 50.0, key: str = "rid", order: str = "i", p: str = "p") -> DataFrame:
     """Changes of state with a step of at least ``least_w``."""
     w = by_sample(key, order)

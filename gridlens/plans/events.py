@@ -65,6 +65,33 @@ def j4_matched_edges(spark, sf):
 STRIDE, RATES = 2, {1: 3, 5: 13}
 
 
+def _labelled(spark, sf):
+    """Readings with their recording's label: the first event type, or the first two for every fourth recording."""
+    r = readings(spark, sf)
+    at = lambda k: F.max(F.when(F.col("i") == k, F.concat("event_type", F.lit("_high"))))
+    mixed = F.when(F.col("rid") % 4 == 0, F.concat(at(0), F.lit("__"), at(1))).otherwise(at(0))
+    return r.join(r.where("i < 2").groupBy("rid").agg(mixed.alias("label")), "rid")
+
+
+_SIGNATURES = """sg AS (SELECT r.rid AS signature, f.event_type AS family, median(r.p) AS p_sig, median(r.q) AS q_sig FROM readings r JOIN readings f ON f.rid = r.rid AND f.i = 0 WHERE abs(r.p) > 3 AND r.rid % 4 <> 0 GROUP BY ALL HAVING count(*) >= 25)"""
+
+
+@query(f"WITH {_SIGNATURES} SELECT signature, family, round(p_sig, 6) AS p_sig, round(q_sig, 6) AS q_sig FROM sg")
+def j3_pure_signatures(spark, sf):
+    """Median P and Q of the recordings of a single device, 25 samples on at least; mixed labels have none."""
+    s = J.pure_signatures(_labelled(spark, sf))
+    return s.select("signature", "family", F.round("p_sig", 6).alias("p_sig"), F.round("q_sig", 6).alias("q_sig"))
+
+
+@query(f"""WITH {_EDGES}, {_SIGNATURES}, d AS (SELECT e.rid, e.i, dp, sg.*, sqrt(power(CASE WHEN dp < 0 THEN -dp ELSE dp END - p_sig, 2) + power(CASE WHEN dp < 0 THEN -dq ELSE dq END - q_sig, 2)) / greatest(20.0, 0.35 * sqrt(p_sig * p_sig + q_sig * q_sig)) AS d FROM edges e, sg WHERE abs(dp) >= 8),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid, i ORDER BY d, family, signature) AS r FROM d WHERE d < 1) WHERE r = 1 AND round(1 - d, 2) >= 0.25)
+    SELECT edges.rid, edges.i, round(edges.dp, 5) AS dp, b.family, round(1 - b.d, 2) AS confidence FROM edges LEFT JOIN b USING (rid, i)""")
+def j4_nearest_signatures(spark, sf):
+    """Every edge against the signatures of all recordings, by grid cells of the (P, Q) plane."""
+    known = J.pure_signatures(_labelled(spark, sf))
+    return J.match_table(_edges(spark, sf), known).select("rid", "i", F.round("dp", 5).alias("dp"), "family", "confidence")
+
+
 def _claims_sql(known: str, edges: str, rate: int = 1) -> str:
     """Claims of every recording, one edge or tick a step: ``held`` holds the claims in the order in which they came."""
     return f"""d AS (SELECT *, sqrt(power(sign * dp - kp, 2) + power(sign * dq - kq, 2)) / greatest(20.0, 0.35 * sqrt(kp * kp + kq * kq)) AS d FROM (SELECT *, CASE WHEN dp < 0 THEN -1 ELSE 1 END AS sign FROM {edges}), {known}),
@@ -305,6 +332,15 @@ def k1_hart_edges(spark, sf):
     return X.hart_edges(readings(spark, sf)).select("rid", "at", F.round("dp", 6).alias("dp"))
 
 
+@query("""WITH g AS (SELECT rid, i, CASE WHEN lag(p) OVER w IS NULL THEN lead(p) OVER w - p WHEN lead(p) OVER w IS NULL THEN p - lag(p) OVER w ELSE (lead(p) OVER w - lag(p) OVER w) / 2 END AS dp FROM readings WINDOW w AS (PARTITION BY rid ORDER BY i)),
+    s AS (SELECT *, abs(dp) >= 20 AS s, lag(abs(dp) >= 20) OVER w AS b, lag(dp) OVER w AS before FROM g WINDOW w AS (PARTITION BY rid ORDER BY i)),
+    r AS (SELECT *, sum(CASE WHEN (s AND NOT coalesce(b, false)) OR sign(dp) <> sign(before) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM s),
+    x AS (SELECT rid, run, max(struct_pack(a := abs(dp), o := -i, d := dp)) AS x FROM r WHERE s GROUP BY rid, run) SELECT rid, -(x.o) AS "at", round(x.d, 6) AS dp FROM x""")
+def k1_central_edges(spark, sf):
+    """Steep stretches of the central difference, each at its steepest sample."""
+    return X.central_edges(readings(spark, sf), 20.0).select("rid", "at", F.round("dp", 6).alias("dp"))
+
+
 @query("""WITH c AS (SELECT rid, i, sum(p - 50 - 5) OVER w AS u, sum(p - 50 + 5) OVER w AS d FROM readings WINDOW w AS (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING))
     SELECT rid, i, round(u - least(0, min(u) OVER w), 4) AS up, round(greatest(0, max(d) OVER w) - d, 4) AS down FROM c WINDOW w AS (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING)""")
 def k2_cusum(spark, sf):
