@@ -186,6 +186,13 @@ def test_the_parent_is_the_message_that_holds_most_of_a_quote(spark):
     assert got[7]["parent_turn"] == 5 and got[7]["n_passages"] == got[7]["n_linked"] == 1
 
 
+def test_a_quote_comes_from_a_message_before_it(spark):
+    said = "the plan is to meet at noon by the old bridge then"
+    rows = [(1, 1, "a", said), (1, 3, "b", f"So: {said}\n{said}"), (1, 5, "c", f"> {said}\nYes."), (1, 9, "d", said), (1, 12_000, "e", f"> {said}\nStill."), (1, 12_001, "f", said)]
+    got = {r["turn"]: r for r in quotes.quote_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[5]["parent_turn"] == 3 and got[12_000]["parent_turn"] == 9 and got[1]["parent_turn"] is None
+
+
 def _x64(data, seed=42):
     v = xxhash.xxh64_intdigest(data, seed)
     return v - 2**64 if v >= 2**63 else v
@@ -512,3 +519,38 @@ def test_tables_rake_as_the_driver_does(documents, monkeypatch):
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
     got = mixing.mix(documents, share=0.5).toPandas().set_index("doc_id").mix_chance
     assert np.allclose(got.sort_index(), want.sort_index(), atol=1e-6)
+
+
+STORY = "".join(f"<p>{'The story of the town is long and it has been told by many of those who lived in it for years. ' * 3}{k}</p>" for k in range(4))
+
+
+@pytest.mark.parametrize("name", ["main-content sidebar-right", "content-sidebar", "two-column-sidebar-layout", "ad-free", "related-work", "social-science", "article-share-enabled", "search-engine-guide", "theme-menu-light", "notice-board"])
+def test_a_word_in_a_name_loses_no_article(name):
+    want = html_extract.main_text(f"<div>{STORY}</div>")
+    assert len(want) > 1000 and html_extract.main_text(f'<div class="{name}">{STORY}</div>') == want
+    beside = f'<div class="{name}"><p>Short and plain.</p></div>'
+    assert html_extract.main_text(f"<div>{STORY}</div>{beside}") in (want, want + "\n\nShort and plain.")
+
+
+def test_names_that_mean_the_same_in_any_company():
+    want = html_extract.main_text(f"<article>{STORY}</article>")
+    for name in ("comments", "user-comments", "sidebar", "cookie-box", "newsletter-signup", "sponsored-story"):
+        assert html_extract.main_text(f'<article>{STORY}</article><div class="{name}">{STORY}</div>') == want
+
+
+def test_stray_quotes_and_unclosed_elements():
+    import time
+
+    want = html_extract.main_text(f"<div>{STORY}</div>")
+    assert html_extract.main_text(f'<div class="a"">{STORY}</div>') == want
+    assert html_extract.main_text(f"<div title=Don't id=x>{STORY}</div>") == want
+    assert html_extract.main_text(f'<div title="a > b">{STORY}</div>') == want
+    began = time.time()
+    assert html_extract.main_text("<svg>" * 100_000 + STORY) == want
+    html_extract.main_text("<div>x" * 50_000 + STORY)
+    assert time.time() - began < 20
+
+
+def test_plain_prose_beside_an_article_stays():
+    more = "And so the people of the town went back to the river in the morning, as they had done for all of their lives, and sat there with the old man who knew the way to the sea."
+    assert html_extract.main_text(f"<article>{STORY}</article><div><p>{more}</p></div>").endswith(more)
