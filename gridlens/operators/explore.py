@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -167,6 +168,46 @@ def autocorrelation(df: DataFrame, lags: Sequence[int], key: str = "rid", order:
     return df.select(F.col(p).alias("_p"), *[F.lag(p, k).over(w).alias(f"_l{k}") for k in lags]).agg(*[F.corr("_p", f"_l{k}").alias(f"lag_{k}") for k in lags])
 
 
+def periods(df: DataFrame, chunk: int = 4096, key: str = "rid", order: str = "i", p: str = "p") -> DataFrame:
+    """(key, period, strength): the dominant period of each recording in samples, from the power spectra of its chunks added up.
+
+    Each chunk of ``chunk`` samples less its mean, missing samples as zero, is padded to twice its length; the inverse
+    transform of the summed power spectra is the sum of the chunks' autocorrelations. The period is the lag of its
+    highest value, of lags beyond the first negative one and up to half a chunk; null where there is none, or no power.
+    Chunks are tasks of their own, so a recording of any length is many; a sum has ``chunk`` + 1 numbers.
+    """
+    rows = df.select(key, F.floor(F.col(order) / chunk).alias("_c"), (F.col(order) % chunk).cast("int").alias("_o"), F.col(p).cast("double").alias("_p"))
+    packed = rows.groupBy(key, "_c").agg(F.collect_list(F.struct("_o", "_p")).alias("_s"))
+
+    @F.pandas_udf("array<double>")
+    def spectrum(at: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for o, v in zip(at, values, strict=True):
+            v, x = np.asarray(v, dtype=float), np.zeros(2 * chunk)
+            known = np.isfinite(v)
+            if known.any():
+                x[np.asarray(o)[known]] = v[known] - v[known].mean()
+            out.append((np.abs(np.fft.rfft(x)) ** 2).tolist())
+        return pd.Series(out)
+
+    @F.pandas_udf("struct<period:long,strength:double>")
+    def peak(power: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in power:
+            r = np.fft.irfft(np.asarray(v, dtype=float))[: chunk // 2 + 1]
+            below = np.flatnonzero(r < 0)
+            if r[0] <= 1e-9 or not len(below) or r[below[0] :].max() <= 0:
+                out.append((None, None))
+                continue
+            k = int(below[0] + np.argmax(r[below[0] :]))
+            out.append((k, float(r[k] / r[0])))
+        return pd.DataFrame(out, columns=["period", "strength"]).astype({"period": "Int64"})
+
+    spectra = packed.select(key, F.posexplode(spectrum(F.col("_s._o"), F.col("_s._p"))).alias("_k", "_v")).groupBy(key, "_k").agg(F.sum("_v").alias("_v"))
+    whole = spectra.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("_p"))
+    return whole.select(key, peak("_p").alias("_x")).select(key, "_x.*")
+
+
 def energy_errors(df: DataFrame, family: str = "family", actual: str = "p", predicted: str = "e") -> DataFrame:
     """Signal aggregate error, normalised error and energy F1 per family."""
     y, x = F.col(actual), F.col(predicted)
@@ -213,3 +254,37 @@ def principal_plane(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(rows).transform(rows)
     out = PCA(k=2, inputCol="_x", outputCol="_pc").fit(rows).transform(rows).withColumn("_a", vector_to_array("_pc"))
     return out.withColumns({"x": F.col("_a")[0], "y": F.col("_a")[1]}).drop("_raw", "_x", "_pc", "_a")
+
+
+def ward_merges(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Cluster of each weighted point after merging, pair by pair, those whose union adds least to the squared distances, down to ``k``."""
+    centres, weights, of = centres.astype(float).copy(), weights.astype(float).copy(), np.arange(len(centres))
+    live = list(range(len(centres)))
+    while len(live) > k:
+        c, w = centres[live], weights[live]
+        cost = (w[:, None] * w[None, :] / (w[:, None] + w[None, :])) * ((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+        cost[np.tril_indices(len(live))] = np.inf
+        i, j = (live[x] for x in np.unravel_index(np.argmin(cost), cost.shape))
+        centres[i] = (weights[i] * centres[i] + weights[j] * centres[j]) / (weights[i] + weights[j])
+        weights[i] += weights[j]
+        of[of == j] = i
+        live.remove(j)
+    return np.searchsorted(live, of)
+
+
+def agglomerated(df: DataFrame, columns: Sequence[str], k: int, micro: int = 64, seed: int = 3) -> DataFrame:
+    """Rows with ``cluster`` by Ward merging: k-means makes ``micro`` small clusters of all rows, their weighted centres are merged to ``k``.
+
+    The driver sees the small clusters only. Rows with a null are left out; columns are standardised.
+    """
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip").transform(df)
+    folder = shared_folder(df.sparkSession, "ward")
+    StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(rows).transform(rows).write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder)
+    fitted = KMeans(k=micro, seed=seed, maxIter=20, featuresCol="_x", predictionCol="_m").fit(rows)
+    small = fitted.transform(rows)
+    sizes = {r["_m"]: r["count"] for r in small.groupBy("_m").count().collect()}  # at most ``micro`` rows
+    used = sorted(sizes)
+    of = ward_merges(np.array([fitted.clusterCenters()[m] for m in used]), np.array([sizes[m] for m in used]), k)
+    cluster = F.element_at(F.create_map(*[F.lit(x) for m, c in zip(used, of.tolist(), strict=True) for x in (m, c)]), F.col("_m"))
+    return small.withColumn("cluster", cluster).drop("_raw", "_x", "_m")

@@ -440,6 +440,23 @@ def k12_autocorrelation(spark, sf):
     return a.select(F.round("lag_1", 8).alias("lag_1"), F.round("lag_5", 8).alias("lag_5"))
 
 
+@query("""WITH x AS (SELECT rid, i // 32 AS c, i % 32 AS o, p - avg(p) OVER (PARTITION BY rid, i // 32) AS v FROM readings),
+    r AS (SELECT a.rid, b.o - a.o AS lag, sum(a.v * b.v) AS r FROM x a JOIN x b ON a.rid = b.rid AND a.c = b.c AND b.o - a.o BETWEEN 0 AND 16 GROUP BY ALL),
+    f AS (SELECT *, min(CASE WHEN r < 0 THEN lag END) OVER (PARTITION BY rid) AS first, max(CASE WHEN lag = 0 THEN r END) OVER (PARTITION BY rid) AS whole FROM r),
+    b AS (SELECT rid, max(whole) AS whole, max(struct_pack(r := r, lag := -lag)) FILTER (lag >= first) AS x FROM f GROUP BY rid)
+    SELECT rid, CASE WHEN x.r > 0 THEN -(x.lag) END AS period, CASE WHEN x.r > 0 THEN round(x.r / whole, 6) END AS strength FROM b""")
+def k12_periods(spark, sf):
+    """Dominant period of every recording, of lags up to half a chunk of 32 samples."""
+    return X.periods(readings(spark, sf), 32).select("rid", "period", F.round("strength", 6).alias("strength"))
+
+
+@query()
+def k9_agglomerative(spark, sf):
+    """Ward merging of 64 small clusters over all samples, four left."""
+    rows = X.agglomerated(readings(spark, sf).select("rid", "i", "p", "q"), ["p", "q"], 4)
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("p").alias("p_mean"), F.avg("q").alias("q_mean"))
+
+
 @query("""WITH n AS (SELECT family AS l, pred AS c, count(*)::DOUBLE AS n FROM predictions GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY l) AS a, sum(n) OVER (PARTITION BY c) AS b, sum(n) OVER () AS t FROM n),
     s AS (SELECT sum(n / t * ln(n * t / (a * b))) AS mi, sum(-n / t * ln(a / t)) AS hl, sum(-n / t * ln(b / t)) AS hc, sum(n * (n - 1) / 2) AS i, sum((a - 1) / 2 * n) AS a2, sum((b - 1) / 2 * n) AS b2, max(t) AS t FROM t)
     SELECT round((i - a2 * b2 / (t * (t - 1) / 2)) / ((a2 + b2) / 2 - a2 * b2 / (t * (t - 1) / 2)), 6) AS ari, round(mi / ((hl + hc) / 2), 6) AS nmi, round(mi / hl, 6) AS homogeneity, round(mi / hc, 6) AS completeness FROM s""")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from gridlens.operators import follow
 from gridlens.operators import models as G
+from gridlens.operators import network
 from gridlens.operators import scenarios as I
 from gridlens.operators import windows as E
+from gridlens.operators.meterpoint import phase_sums
 from gridlens.operators.registry import Mix, ModelRegistry
 from gridlens.operators.retrain import FEATURES as MIX_FEATURES
 from gridlens.operators.retrain import fit_mix, retrain, scenario_windows
@@ -123,6 +125,31 @@ def g6_neural(spark, sf):
     return G.neural_presence(train, "sequence", "on", 10, iterations=15).transform(G.as_vectors(test, "sequence")).select("rid", "win", "on", vector_to_array("probability")[1].alias("p_on"))
 
 
+def _sequence_windows(spark, sf):
+    """(train, test) by scenario: raw samples of windows at the meter point, with what each family truly drew."""
+    folder = shared_folder(spark, "sequences")
+    parts = scenario_parts(spark, sf).drop("mag", "ang")
+    parts.write.parquet(f"{folder}/parts")
+    stored = spark.read.schema(parts.schema).parquet(f"{folder}/parts")
+    total = phase_sums(stored, ["scenario", "sample"]).withColumnRenamed("sample", "i")
+    sequences = E.sequences(E.tumbling(total, WINDOW, "scenario"), ["p1", "p2", "p3"], "scenario")
+    names = _names(spark, sf)
+    truth = E.family_power(stored.select("scenario", F.expr(f"sample div {WINDOW}").alias("win"), F.col("family").alias("appliance"), "family", "p"), names, ["scenario", "win"])
+    wide = truth.groupBy("scenario", "win").pivot("family", names).agg(F.first("present").alias("on"), F.first("power").alias("w"))
+    wide = wide.withColumnsRenamed({f"{f}_on": f for f in names} | {f"{f}_w": f"power of {f}" for f in names})
+    sequences.join(wide, ["scenario", "win"]).write.parquet(f"{folder}/rows")
+    return G.grouped_split(spark.read.parquet(f"{folder}/rows"), "scenario", 0.3, 5)
+
+
+@query()
+def g6_network(spark, sf):
+    """Presence and watts of all families from raw samples by one network, on windows of scenarios it has not seen."""
+    train, test = _sequence_windows(spark, sf)
+    names = _names(spark, sf)
+    fitted = network.fit(train, names, "scenario", steps=60)
+    return _by_family(fitted.predict(test), names, {"truth": "{}", "truth_w": "power of {}", "presence": "presence_{}", "power": "power_{}"})
+
+
 #: Windows of five samples, their families, and which recordings are the test.
 _WINDOWS = "f AS (SELECT rid, i // 5 AS win, avg(p) AS m FROM readings GROUP BY ALL HAVING count(*) = 5)"
 
