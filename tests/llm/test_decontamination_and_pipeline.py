@@ -75,7 +75,7 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 
 def test_registered():
-    assert sum(name.startswith("op") for name in queries.QUERIES) == 10 and set(queries.SQL) < set(queries.QUERIES)
+    assert sum(name.startswith("op") for name in queries.QUERIES) == 13 and set(queries.SQL) < set(queries.QUERIES)
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):
