@@ -10,21 +10,14 @@ from pyspark.sql import functions as F
 from gridlens.functions.electrical import finite
 
 KEY, ORDER = "rid", "i"
+#: Samples of a chunk: what a task sorts and scans at a time, of however long a recording.
+CHUNK = 65_536
 
 
 def by_sample(key: str = KEY, order: str = ORDER) -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
-def _before(key: str, order: str) -> WindowSpec:
-    return by_sample(key, order).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _after(key: str, order: str) -> WindowSpec:
-    """All later rows, walked from the last one back: a frame that only grows costs one step a row, one that shrinks all of them."""
-    return Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def with_halo(df: DataFrame, halo: int, size: int, order: str = ORDER) -> DataFrame:
     """Rows with ``chunk``, and copies of rows within ``halo`` of a chunk's edge in the chunk beside it (``extra``).
 
@@ -38,6 +31,23 @@ def with_halo(df: DataFrame, halo: int, size: int, order: str = ORDER) -> DataFr
     return df.withColumn("chunk", F.explode(near)).withColumn("extra", F.col("chunk") != own)
 
 
+def carried(df: DataFrame, value: Column, out: str, keys: Sequence[str] = (KEY,), order: str = ORDER, ahead: bool = False, size: int = CHUNK) -> DataFrame:
+    """``out``: the last value that isn't null at or before each row (``ahead``: the first at or after it), however far away.
+
+    A scan in two levels: each chunk of ``size`` samples by itself, and one row a chunk for what it hands on, so that a
+    long recording is many tasks' work and only its chunks' summaries are one.
+    """
+    place = F.desc if ahead else F.asc
+    rows = df.withColumns({"_chunk": F.floor(F.col(order) / size), "_v": value})
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(place(order)).rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.min_by if ahead else F.max_by
+    ends = rows.groupBy(*keys, "_chunk").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_end"))
+    outer = Window.partitionBy(*keys).orderBy(place("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_chunk", F.last("_end", True).over(outer).alias("_carry"))
+    both = rows.withColumn("_in", F.last("_v", True).over(inner)).join(ends, [*keys, "_chunk"])
+    return both.withColumn(out, F.coalesce("_in", "_carry")).drop("_chunk", "_v", "_in", "_carry")
+
+
 def validate(df: DataFrame, key: str = KEY, order: str = ORDER, ts_us: str = "ts_us") -> DataFrame:
     """Per recording: samples, steps that don't go forward, and the verdict (two samples, all forward)."""
     step = F.col(ts_us) - F.lag(ts_us).over(by_sample(key, order))
@@ -63,18 +73,21 @@ def to_missing(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in channels})
 
 
-def impute_short_gaps(df: DataFrame, channel: str, out: str = "filled", max_gap: int = 5, key: str = KEY, order: str = ORDER) -> DataFrame:
+def impute_short_gaps(df: DataFrame, channel: str, out: str = "filled", max_gap: int = 5, key: str = KEY, order: str = ORDER, size: int = CHUNK) -> DataFrame:
     """Linear interpolation by sample number in runs of at most ``max_gap`` missing samples with values on both sides.
 
-    Adds ``out`` and ``gap`` (0: present, 1: filled, 2: left missing).
+    Adds ``out`` and ``gap`` (0: present, 1: filled, 2: left missing). Chunks of ``size`` samples see ``max_gap`` + 1
+    samples of their neighbours, which is as far as a short gap's ends can be.
     """
-    back, ahead = _before(key, order), _after(key, order)
+    chunk = Window.partitionBy(key, "chunk")
+    back, ahead = chunk.orderBy(order).rowsBetween(Window.unboundedPreceding, 0), chunk.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     v, at = F.col(channel), F.when(F.col(channel).isNotNull(), F.col(order))
-    df = df.withColumns({"_v0": F.last(v, True).over(back), "_i0": F.last(at, True).over(back), "_v1": F.last(v, True).over(ahead), "_i1": F.last(at, True).over(ahead)})
+    df = with_halo(df, max_gap + 1, size, order)
+    df = df.withColumns({"_v0": F.last(v, True).over(back), "_i0": F.last(at, True).over(back), "_v1": F.last(v, True).over(ahead), "_i1": F.last(at, True).over(ahead)}).where("not extra")
     short = v.isNull() & (F.col("_i1") - F.col("_i0") - 1 <= max_gap)
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(order) - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
     gap = F.when(v.isNotNull(), 0).when(F.coalesce(short, F.lit(False)), 1).otherwise(2)
-    return df.withColumns({out: F.when(v.isNotNull(), v).when(short, line), "gap": gap}).drop("_v0", "_i0", "_v1", "_i1")
+    return df.withColumns({out: F.when(v.isNotNull(), v).when(short, line), "gap": gap}).drop("_v0", "_i0", "_v1", "_i1", "chunk", "extra")
 
 
 def clip(c: Column, low: float, high: float) -> Column:
@@ -112,13 +125,13 @@ def quality_report(df: DataFrame, channel: str, low: float, high: float, max_gap
     )
 
 
-def estimated_times(df: DataFrame, good: Column, step_us: int, ts_us: str = "ts_us", key: str = KEY, order: str = ORDER) -> DataFrame:
+def estimated_times(df: DataFrame, good: Column, step_us: int, ts_us: str = "ts_us", key: str = KEY, order: str = ORDER, size: int = CHUNK) -> DataFrame:
     """Time of a failed poll: the nearest earlier good one plus whole steps, else the nearest later one minus them."""
-    back, ahead = _before(key, order), _after(key, order)
-    t, at = F.when(good, F.col(ts_us)), F.when(good, F.col(order))
-    before = F.last(t, True).over(back) + (F.col(order) - F.last(at, True).over(back)) * step_us
-    after = F.last(t, True).over(ahead) - (F.last(at, True).over(ahead) - F.col(order)) * step_us
-    return df.withColumn("ts_est_us", F.coalesce(before, after))
+    known = F.when(good, F.struct(F.col(ts_us).alias("t"), F.col(order).alias("i")))
+    near = carried(carried(df, known, "_back", [key], order, size=size), known, "_ahead", [key], order, ahead=True, size=size)
+    before = F.col("_back.t") + (F.col(order) - F.col("_back.i")) * step_us
+    after = F.col("_ahead.t") - (F.col("_ahead.i") - F.col(order)) * step_us
+    return near.withColumn("ts_est_us", F.coalesce(before, after)).drop("_back", "_ahead")
 
 
 def misaligned(traces: DataFrame, scenario: str, measures: Sequence[str]) -> DataFrame:

@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from gridlens.functions.labels import family as family_of
 from gridlens.functions.labels import is_mixed
-from gridlens.operators.clean import by_sample
+from gridlens.operators.clean import CHUNK, by_sample, carried, with_halo
 
 EDGE_W, SETTLED_W, SETTLED_SHARE = 8.0, 6.0, 0.05
 
 
-def edges(df: DataFrame, side: int, span: int, key: str = "rid", order: str = "i", least_w: float = EDGE_W) -> DataFrame:
+def edges(df: DataFrame, side: int, span: int, key: str = "rid", order: str = "i", least_w: float = EDGE_W, size: int = CHUNK) -> DataFrame:
     """Settled steps: medians of the first and last ``side`` of ``span`` samples, at the sample before the largest jump between them.
 
-    Evaluated at every sample that ends a whole span; both sides must be settled.
+    Evaluated at every sample that ends a whole span; both sides must be settled. Chunks of ``size`` samples see a span
+    of the one before, so a long recording is many tasks' work.
     """
-    w = by_sample(key, order)
+    df, w = with_halo(df, span + 1, size, order), Window.partitionBy(key, "chunk").orderBy(order)
     last, first = w.rowsBetween(-(side - 1), 0), w.rowsBetween(-(span - 1), -(span - side))
     half = lambda c, f: F.percentile(F.col(c), F.lit(0.5)).over(f)
     jump = F.abs(F.col("p") - F.lag("p").over(w))
@@ -36,7 +37,7 @@ def edges(df: DataFrame, side: int, span: int, key: str = "rid", order: str = "i
     out = out.withColumns({"dp": F.col("p1") - F.col("p0"), "dq": F.col("q1") - F.col("q0")})
     settled = lambda s, p: F.col(s) <= F.greatest(F.lit(SETTLED_W), SETTLED_SHARE * F.abs(p))
     step = (F.abs("dp") >= least_w) | (F.abs("dq") >= 2 * least_w)
-    return out.where((F.col("n") == span) & step & settled("s0", "p0") & settled("s1", "p1")).select(key, order, "at", "dp", "dq", F.col("p1").alias("p_after"))
+    return out.where(~F.col("extra") & (F.col("n") == span) & step & settled("s0", "p0") & settled("s1", "p1")).select(key, order, "at", "dp", "dq", F.col("p1").alias("p_after"))
 
 
 def accept(times: Iterable[float], gap: float) -> list[bool]:
@@ -203,6 +204,12 @@ def hysteresis(prob: Column, w, high: float = 0.55, low: float = 0.45) -> Column
     return F.coalesce(F.last(decisive, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
 
 
+def device_on(df: DataFrame, prob: Column, keys: list[str], order: str, high: float = 0.55, low: float = 0.45, size: int = CHUNK) -> DataFrame:
+    """``hysteresis`` as column ``state`` of a long table: the last decisive value is carried from chunk to chunk."""
+    decisive = F.when(prob >= high, 1).when(prob < low, 0)
+    return carried(df, decisive, "state", keys, order, size=size).withColumn("state", F.coalesce("state", F.lit(0)))
+
+
 def merge(df: DataFrame, keys: list[str], total: str, claimed: str, modelled: str, held: str) -> DataFrame:
     """Claims win; held-off devices are off; model watts are scaled down into what claims leave, never up."""
     w = Window.partitionBy(*keys)

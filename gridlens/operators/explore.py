@@ -93,22 +93,21 @@ def matched_times(times: Sequence[tuple[int, bool]], within: float) -> list[tupl
 def matched_events(found: DataFrame, true: DataFrame, within: int, key: str = "rid") -> DataFrame:
     """One-to-one pairs (key, f, t) at most ``within`` apart. Repeated events count once.
 
-    No pair crosses a gap longer than ``within``, so a recording is cut at such gaps: a group is a
-    thousand runs of events between them, however long the recording.
+    No pair crosses a gap longer than ``within``, so a recording is cut at such gaps: each run of events between
+    them is a row of its own, and many are matched in one batch.
     """
     both = found.select(key, "at", F.lit(False).alias("true")).union(true.select(key, "at", F.lit(True))).where("at is not null").distinct()
     w = Window.partitionBy(key).orderBy("at", "true")
     new = F.coalesce(F.col("at") - F.lag("at").over(w) > within, F.lit(True)).cast("int")
-    runs = both.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    runs = both.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).groupBy(key, "_run")
+    # A run of one kind of events has no pair.
+    packed = runs.agg(F.array_sort(F.collect_list(F.struct("at", "true"))).alias("_e"), F.bool_or("true").alias("_some"), F.bool_and("true").alias("_all")).where("_some and not _all")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "true"])
-        pairs = matched_times(list(zip(pdf["at"].tolist(), pdf["true"].tolist(), strict=True)), within)
-        return pd.DataFrame([(pdf[key].iloc[0], f, t) for f, t in pairs], columns=[key, "f", "t"])
+    @F.pandas_udf("array<struct<f:long,t:long>>")
+    def pairs(at: pd.Series, true: pd.Series) -> pd.Series:
+        return pd.Series([[{"f": f, "t": t} for f, t in matched_times(list(zip(a.tolist(), b.tolist(), strict=True)), within)] for a, b in zip(at, true, strict=True)])
 
-    # A run of one kind of events has no pair.
-    mixed = runs.withColumn("_kinds", F.size(F.collect_set("true").over(Window.partitionBy(key, "_run")))).where("_kinds = 2")
-    return mixed.select(key, F.expr("_run div 1000").alias("_part"), "at", "true").groupBy(key, "_part").applyInPandas(run, f"{key} long, f long, t long")
+    return packed.select(key, F.inline(pairs(F.col("_e.at"), F.col("_e.true"))))
 
 
 def event_scores(found: DataFrame, true: DataFrame, within: int, key: str = "rid") -> DataFrame:

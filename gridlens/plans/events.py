@@ -9,7 +9,6 @@ from gridlens.operators import events as J
 from gridlens.operators import explore as X
 from gridlens.operators import meterpoint as M
 from gridlens.operators import scenarios as I
-from gridlens.operators.clean import by_sample
 from gridlens.plans.fixtures import contributions, phases, predictions, readings, spectra
 from gridlens.plans.registry import query, sql_chance
 from gridlens.sources.store import shared_folder
@@ -151,7 +150,7 @@ def j10_smoothed(spark, sf):
 
 @query("""SELECT rid, i, coalesce(last_value(CASE WHEN p >= 55 THEN 1 WHEN p < 45 THEN 0 END IGNORE NULLS) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS state FROM readings""")
 def j11_hysteresis(spark, sf):
-    return readings(spark, sf).select("rid", "i", J.hysteresis(F.col("p") / 100, by_sample()).alias("state"))
+    return J.device_on(readings(spark, sf), F.col("p") / 100, ["rid"], "i").select("rid", "i", "state")
 
 
 _TICKS = """t AS (SELECT scenario, sample, appliance, sum(p) AS p FROM contributions GROUP BY ALL), u AS (SELECT scenario, sample, appliance, CASE WHEN appliance = 1 THEN p / 2 END AS claimed, p AS modelled, appliance = 2 AS held, 0.6 * sum(p) OVER (PARTITION BY scenario, sample) AS total FROM t),

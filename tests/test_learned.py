@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlens.operators import events, explore, network, score
+from gridlens.operators import clean, events, explore, network, score
 
 
 def scenario_rows(seed, n=120, windows=12):
@@ -109,3 +109,23 @@ def test_painting_equals_a_loop(spark, stride):
     samples = spark.createDataFrame([(1, i) for i in range(40)], "rid long, i long")
     got = score.painted(samples, spark.createDataFrame(windows, "rid long, win long, best string"), stride, length)
     assert {r["i"]: r["best"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("size", [7, 64])
+def test_chunks_change_nothing(spark, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for rid in (1, 2):
+        level = np.repeat(rng.choice([0.0, 40, 100, 500], 40), 8)
+        for i, v in enumerate(level + rng.normal(0, 0.5, len(level))):
+            rows.append((rid, i, None if rng.random() < 0.3 or 90 < i < 140 else float(v), float(v), float(v / 10), 1_000_000 * i))
+    df = spark.createDataFrame(rows, "rid long, i long, c double, p double, q double, ts_us long")
+    good = F.col("i") % 29 == 11
+    cases = [
+        lambda n: clean.impute_short_gaps(df, "c", max_gap=3, size=n), lambda n: clean.estimated_times(df, good, 900_000, size=n),
+        lambda n: events.edges(df, 3, 8, size=n), lambda n: events.device_on(df, F.col("c") / 500, ["rid"], "i", size=n),
+    ]
+    for case in cases:
+        whole, parts = case(100_000), case(size)
+        rows_of = lambda d, c=whole.columns: sorted(repr(tuple(r)) for r in d.select(*c).collect())
+        assert rows_of(parts) == rows_of(whole) and whole.count() > 5
