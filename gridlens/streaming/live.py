@@ -144,6 +144,7 @@ def live_loop(rows: DataFrame, rules: Rules, late: str = "10 seconds", initial:
     """States at ticks and events of every meter from a stream of ``follow.inputs``; equal to ``follow`` over the rows that were not late.
 
     ``initial`` (rid, meter), of ``follow.rebuilt``, is what a new query starts with. The state store must be RocksDB.
+    Times are seconds after the epoch: a stream's first watermark is the epoch itself, so rows at it or before are late.
     """
     keyed = rows.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).withWatermark("ts", late)
     start = initial.groupBy("rid") if initial is not None else None
