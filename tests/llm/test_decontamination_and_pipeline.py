@@ -2,7 +2,10 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from gridlens.llm import decontaminate, queries
+from gridlens.llm import kernels as K
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -12,6 +15,85 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0d]+", (text or "").lower())
 
 
+def _items(benchmark):
+    rows = benchmark.collect()
+    return decontaminate.read_items([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
+def _planted(spark, docs, items, shares, seed):
+    """Documents with each item at each share of words replaced at random, answers too; the wanted pairs of each share."""
+    rng, rows, want = random.Random(seed), [], {x: set() for x in shares}
+    vocab = [t for r in docs.orderBy("doc_id").limit(200).collect() for t in words(r["text"])]
+    for item in items.collect():
+        for share in shares:
+            doc = 10**9 + len(rows)
+            changed = [rng.choice(vocab) if rng.random() < share else x for x in words(item["text"])]
+            rows.append((doc, " ".join([*rng.choices(vocab, k=rng.randrange(60, 140)), *changed, *rng.choices(vocab, k=100)])))
+            want[share].add((doc, item["item_id"]))
+    return docs.union(spark.createDataFrame(rows, docs.schema)), want
+
+
+def _pairs(df):
+    return {(r["doc_id"], r["item_id"]) for r in df.collect()}
+
+
+def test_the_latent_search_finds_what_words_alone_miss(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    both, want = _planted(spark, docs, items, (0.2, 0.3), 5)
+    got, without = _pairs(decontaminate.contaminated(both, items)), _pairs(decontaminate.contaminated(both, items, latent=1.1))
+    assert all(len(want[x] & got) >= 0.9 * len(want[x]) for x in want)
+    assert without < got and len(want[0.3] & without) < 0.6 * len(want[0.3])
+    # Nothing but the planted documents comes in by it, and each of them for its own item alone.
+    assert {p for p in got - without} <= want[0.2] | want[0.3]
+
+
+def test_many_files_of_items_give_what_one_gives(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(400), spark.read.parquet(f"{SF}/benchmark.parquet")
+    both, _ = _planted(spark, docs, items, (0.1,), 6)
+    rows = lambda df: sorted((r["doc_id"], r["item_id"], r["common_words"], r["coverage"], r["answer_coverage"], round(r["cosine"], 3)) for r in df.collect())
+    one = rows(decontaminate.contaminated(both, items))
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 7)
+    assert one and one == rows(decontaminate.contaminated(both, items.union(items)))
+
+
+def test_latent_hits_equal_a_direct_search():
+    rng = np.random.default_rng(2)
+    vocab = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(rng.choice(vocab, n))
+    bodies = [text(40), "", text(3), text(90)]
+    items = decontaminate.read_items([1, 2, 3], [text(12), text(25), bodies[3][:150]])
+    space = decontaminate.Space(rng.normal(size=(decontaminate.TERMS, 16)).astype(np.float32), np.ones(decontaminate.TERMS))
+    index = decontaminate.item_index(items, space, 0.6)
+    w = K.words(pa.array(bodies), latin=True)
+    for product in (1, 1 << 19):
+        decontaminate.PRODUCT, kept = product, decontaminate.PRODUCT
+        got = decontaminate.latent_hits(w, index, index.windows(), space.project, 0.3, 0.4)
+        decontaminate.PRODUCT = kept
+        want = {}
+        for d in range(len(bodies)):
+            hashes = w.hashes[w.bounds[d] : w.bounds[d + 1]]
+            terms = (hashes >> np.uint64(52)).astype(int)
+            for begin in range(0, len(terms), decontaminate.HOP):
+                for k, item in enumerate(items):
+                    v = space.project[terms[begin : begin + index.scale[k]]].sum(axis=0)
+                    for at, u in zip(index.offsets[k], index.vectors[k], strict=True):
+                        cos, first, n = float(u @ v / np.linalg.norm(v)), begin - at, len(item.words)
+                        around = int(index.around[k])
+                        near = terms[max(first - around, 0) : first + n + around]
+                        if cos >= 0.3 and sum(bool(index.member[k, t]) for t in near) >= 0.4 * n:
+                            want[d, k, first] = max(want.get((d, k, first), -1), cos)
+        assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[x] - want[x]) < 1e-4 for x in want)
+
+
+def test_a_long_text_is_searched_whole(spark):
+    item = " ".join(f"term{k}" for k in range(40))
+    filler = " ".join(f"word{k % 997}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, filler + " " + item), (None, item), (2, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item), (None, item), (6, item)], "item_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["item_id"], r["coverage"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(-1, 5, 1.0), (-1, 6, 1.0), (1, 5, 1.0), (1, 6, 1.0)]
+
+
 def test_subsequence():
     assert decontaminate.common_subsequence([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 3
     assert decontaminate.common_subsequence([1, 1, 2], [1, 2, 1]) == 2 and decontaminate.common_subsequence([5], []) == 0
@@ -41,7 +123,7 @@ def test_paraphrases_at_the_least_coverage_are_found(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
     rng, rows, want = random.Random(3), [], set()
     vocab = [t for r in docs.orderBy("doc_id").limit(200).collect() for t in words(r["text"])]
-    for item in decontaminate.read_items(items, "item_id", "text"):
+    for item in _items(items):
         text = words(items.where(F.col("item_id") == item.item_id).first()["text"])
         for share in (0.62, 0.66, 0.7, 0.74, 0.78):
             # Words before the answer are replaced, so the rule of coverage and answer holds.
