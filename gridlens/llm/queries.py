@@ -21,7 +21,7 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.quote_threads(_table(spark, sf_dir, "conversations"))
+    return quotes.in_reply_order(quotes.quote_threads(_table(spark, sf_dir, "conversations")))
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

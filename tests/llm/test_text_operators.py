@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gridlens.llm import html_extract, kneser_ney, line_dedup, mixing, near_dup, quality_fm, quality_rules, quotes, sharding
+from gridlens.llm.shared import Scratch
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,7 +138,7 @@ def test_quotes(spark):
     by = {(r["conv_id"], r["turn"]): r for r in got}
     assert len(got) == len(rows)
     assert by[1, 1]["parent_turn"] == 0 and by[1, 1]["text"] == "Fine." and by[1, 1]["n_passages"] == 1
-    assert by[1, 2]["parent_turn"] == 1 and by[1, 2]["depth"] == 2 and by[1, 2]["reply_path"] == "/".join(f"{k:019}" for k in (0, 1, 2)) and by[1, 2]["max_level"] == 2
+    assert by[1, 2]["parent_turn"] == 1 and by[1, 2]["depth"] == 2 and [by[1, k]["position"] for k in range(4)] == [0, 1, 2, 0] and [by[1, k]["root_turn"] for k in range(4)] == [0, 0, 0, 3] and by[1, 2]["max_level"] == 2
     assert by[1, 2]["n_linked"] == 2 and by[1, 2]["n_quoted_lines"] == 3 and by[1, 2]["text"] == "Good!"
     assert by[1, 3]["parent_turn"] is None and by[1, 3]["depth"] == 0
     assert by[2, 0]["text"] is None and by[2, 1]["text"] == "" and by[3, 5]["n_linked"] == 0 and by[None, 0]["n_linked"] == 0
@@ -179,6 +180,42 @@ def test_quotes_of_the_given_conversations(spark, tmp_path):
     assert_same(quotes.quote_threads(df), con, quotes.SQL)
 
 
+def brute_order(parents):
+    """(conv, turn): root, depth, position, by walking every thread with a stack."""
+    children, out = {}, {}
+    for (conv, turn), up in sorted(parents.items()):
+        children.setdefault((conv, up), []).append(turn)
+    for conv, root in sorted(set(children) - set(parents)):
+        stack, position = [(root, 0)], 0
+        while stack:
+            turn, depth = stack.pop()
+            out[conv, turn] = root, depth, position
+            position += 1
+            stack += [(k, depth + 1) for k in reversed(children.get((conv, turn), []))]
+    return out
+
+
+def test_reply_order_equals_a_walk_of_every_thread(spark):
+    """Random threads, turns far apart, a message with 9,000 replies and a chain of 20,000."""
+    rng = np.random.default_rng(4)
+    parents = {(c, 5000 * k): 5000 * int(rng.integers(0, k)) for c in range(6) for k in range(1, 40) if rng.random() < 0.8}
+    parents |= {(7, k): 0 for k in range(1, 9001)} | {(8, k): k - 1 for k in range(1, 20_000)}
+    df = spark.createDataFrame([(c, t, up) for (c, t), up in parents.items()], "conv_id long, turn long, parent_turn long")
+    scratch = Scratch(spark, "order")
+    got = quotes.reply_order(df, scratch).collect()
+    assert {(r["conv_id"], r["turn"]): (r["root_turn"], r["depth"], r["position"]) for r in got} == brute_order(parents)
+    assert all(parents.get((r["conv_id"], r["turn"])) == r["parent_turn"] for r in got)
+    assert quotes.reply_order(df.limit(0), scratch).count() == 0
+
+
+def test_conversations_in_reply_order(spark):
+    said = [f"the plan number {k} is to meet at noon by the old bridge then" for k in range(4)]
+    rows = [(1, 0, "a", said[0]), (1, 1, "b", said[1]), (1, 2, "c", f"> {said[0]}\n{said[2]}"), (1, 3, "d", f"> {said[1]}\nYes."), (1, 4, "e", f"> {said[0]}\nNo."), (1, 5, "f", f"> {said[2]}\nWhy?"), (None, 6, "g", "x"), (2, None, "h", None)]
+    got = quotes.in_reply_order(quotes.quote_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r["conv_id"], r["turn"]) for r in got] == [(None, 6), (1, 0), (1, 2), (1, 5), (1, 4), (1, 1), (1, 3), (2, None)]
+    assert [r["text"] for r in got][1:5] == [said[0], said[2], "Why?", "No."]
+
+
 def test_the_parent_is_the_message_that_holds_most_of_a_quote(spark):
     greeting, b, c = "hello dear all of you in the group today and tomorrow", "the plan is to meet at noon by the old bridge then", "and bring a coat because the evening will be cold outside"
     rows = [(1, 1, "a", f"{greeting}\n{b}"), (1, 5, "b", f"{greeting}\n{b}\n{c}"), (1, 7, "c", "> " + " ".join((greeting, b, c)) + "\nYes.")]
