@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridlens.operators.clean import by_sample
 from gridlens.operators.features import derivative
+from gridlens.operators.meterpoint import phase_sums
 from gridlens.sources.store import shared_folder
 
 
@@ -156,6 +157,23 @@ def transients(df: DataFrame, found: DataFrame, span: int, key: str = "rid", ord
     return out.withColumn("inrush", F.when(F.abs("steady") > 1e-6, F.col("peak") / F.col("steady")))
 
 
+def device_edges(parts: DataFrame, span: int, least_w: float = 40.0, key: str = "scenario", order: str = "sample", device: str = "family") -> DataFrame:
+    """Rising edges of a meter's total: what the total shows of each, and the device that switched.
+
+    Shown: the steps of the phases and of the reactive power, peak, steady power, samples to the peak, spread, inrush.
+    ``device`` is the truth, from the devices' own power: whose power rose most at that sample, the first by name on ties.
+    """
+    total = phase_sums(parts, [key, order])
+    phases = ["p1", "p2", "p3"]
+    w = by_sample(key, order)
+    total = total.withColumn("p", sum(F.col(c) for c in phases)).withColumn("_q", sum(F.col(c) for c in ("q1", "q2", "q3")))
+    steps = total.select(key, F.col(order).alias("at"), *[(F.col(c) - F.lag(c).over(w)).alias(f"d{c}") for c in phases], (F.col("_q") - F.lag("_q").over(w)).alias("dq"))
+    shown = transients(total, hart_edges(total, least_w, key, order), span, key, order).join(steps, [key, "at"])
+    own = parts.select(key, device, order, (F.col("p") - F.lag("p").over(Window.partitionBy(key, device).orderBy(order))).alias("_step"))
+    who = own.where("_step > 0").groupBy(key, F.col(order).alias("at")).agg(F.min(F.struct(-F.col("_step"), F.col(device))).alias("_who"))
+    return shown.join(who.select(key, "at", F.col(f"_who.{device}").alias(device)), [key, "at"])
+
+
 def diurnal(df: DataFrame, ts: str = "ts", p: str = "p") -> DataFrame:
     """Mean power and share of negative samples by hour of the day."""
     return df.groupBy(F.hour(ts).alias("hour")).agg(F.count("*").alias("n"), F.avg(p).alias("p_mean"), F.avg((F.col(p) < 0).cast("int")).alias("share_negative"))

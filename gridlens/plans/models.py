@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from gridlens.operators import explore as X
 from gridlens.operators import follow
 from gridlens.operators import models as G
 from gridlens.operators import network
@@ -117,14 +118,6 @@ def g5_identify(spark, sf):
     return macro_f1(m.transform(test).withColumn("best", F.get(names, F.col("prediction").cast("int"))), "family", "best")
 
 
-@query()
-def g6_neural(spark, sf):
-    """A rule of the third sample, learnt from raw samples, on windows of held-out recordings."""
-    s = E.sequences(E.tumbling(phases(spark, sf), 5), ["p", "q"]).withColumn("on", (F.element_at("sequence", 3) > 50).cast("double"))
-    train, test = G.grouped_split(s, "rid", 0.3, 5)
-    return G.neural_presence(train, "sequence", "on", 10, iterations=15).transform(G.as_vectors(test, "sequence")).select("rid", "win", "on", vector_to_array("probability")[1].alias("p_on"))
-
-
 def _sequence_windows(spark, sf):
     """(train, test) by scenario: raw samples of windows at the meter point, with what each family truly drew."""
     folder = shared_folder(spark, "sequences")
@@ -141,6 +134,16 @@ def _sequence_windows(spark, sf):
     return G.grouped_split(spark.read.parquet(f"{folder}/rows"), "scenario", 0.3, 5)
 
 
+@query()
+def g6_neural(spark, sf):
+    """Whether the first family is on, learnt from raw samples, on windows of scenarios that the network has not seen."""
+    train, test = _sequence_windows(spark, sf)
+    family = _names(spark, sf)[0]
+    known = train.select("sequence", F.col(family).cast("double").alias("on"))
+    scored = G.neural_presence(known, "sequence", "on", 3 * WINDOW, iterations=15).transform(G.as_vectors(test, "sequence"))
+    return scored.select("scenario", "win", F.col(family).cast("double").alias("on"), vector_to_array("probability")[1].alias("p_on"))
+
+
 @query()
 def g6_network(spark, sf):
     """Presence and watts of all families from raw samples by one network, on windows of scenarios it has not seen."""
@@ -216,16 +219,25 @@ def j9_window_predictions(spark, sf):
     return G.identify(train, MIX_FEATURES, trees=10).transform(test).select("scenario", "win", "family", "prediction")
 
 
+def _named_edges(spark, sf):
+    """Edges of held-out scenarios: edges of the meter's total, and which device a small forest takes each for."""
+    folder = shared_folder(spark, "edges")
+    scenario_parts(spark, sf).drop("mag", "ang").write.parquet(f"{folder}/parts")
+    X.device_edges(spark.read.parquet(f"{folder}/parts"), 5).write.parquet(f"{folder}/edges")
+    train, test = G.grouped_split(spark.read.parquet(f"{folder}/edges"), "scenario", 0.3, 5)
+    m = G.identify(train, ["dp1", "dp2", "dp3", "dq", "peak", "steady", "rise", "spread"], trees=20)
+    return m.transform(test).withColumn("best", F.get(F.array(*map(F.lit, G.families_of(m))), F.col("prediction").cast("int")))
+
+
 @query()
 def k16_two_stage(spark, sf):
-    """Edges, features around them, and a classifier of the edges of held-out recordings."""
-    from gridlens.operators import explore as X
+    """Edges of the meter's total, then a classifier of them: which device switched, in scenarios it has not seen."""
+    return _named_edges(spark, sf).select("scenario", "at", "family", "best")
 
-    r = readings(spark, sf)
-    t = X.transients(r, X.hart_edges(r), 5).withColumn("family", F.when(F.col("inrush") > 1.5, "motor").otherwise("heater"))
-    columns = ["peak", "steady", "rise", "spread"]
-    train, test = G.grouped_split(t, "rid", 0.3, 5)
-    return G.identify(train, columns, trees=10).transform(test).select("rid", "at", "family", "prediction")
+
+@query()
+def k16_score(spark, sf):
+    return macro_f1(k16_two_stage(spark, sf), "family", "best")
 
 
 @query()

@@ -94,6 +94,18 @@ def test_nearest_signatures_equal_a_loop(spark):
     assert {r["family"] for r in events.match_table(edges, table.limit(0)).collect()} == {None}
 
 
+def test_edges_are_named_after_the_device_that_rose_most(spark):
+    rows = []
+    for k in range(40):
+        rows += [("lamp", 1, 100.0 * (k >= 10), 0.0), ("pump", 2, 300.0 * (k >= 20) + 200.0 * (k == 20), 50.0 * (k >= 20)), ("oven", 0, 90.0 * (k >= 30), 0.0), ("fan", 3, 20.0 * (k < 30), 0.0)]
+    df = spark.createDataFrame([(7, n // 4, *r) for n, r in enumerate(rows)], "scenario long, sample long, family string, phase int, p double, q double")
+    got = {r["at"]: r for r in explore.device_edges(df, 5).collect()}
+    assert {at: r["family"] for at, r in got.items()} == {10: "lamp", 20: "pump", 30: "oven"}
+    assert (got[10]["dp1"], got[10]["dp2"], got[20]["dp2"], got[20]["dq"], got[30]["dp1"], got[30]["dp3"]) == (100.0, 0.0, 500.0, 50.0, 30.0, 10.0)
+    assert got[20]["peak"] == 620.0 and got[20]["steady"] == 420.0 and got[20]["rise"] == 0
+    assert explore.device_edges(df.limit(0), 5).count() == 0
+
+
 def test_mixed_labels_have_no_signature(spark):
     rows = [(rid, i, 100.0 + rid, 5.0, label) for rid, label in ((1, "Lamp_high_20260101_120000"), (2, "lamp__fan"), (3, None)) for i in range(30)]
     got = events.pure_signatures(spark.createDataFrame([*rows, *[(4, i, 50.0, 0.0, "fan") for i in range(10)]], "rid long, i long, p double, q double, label string")).collect()
