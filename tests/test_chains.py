@@ -142,3 +142,24 @@ def test_result_files(spark, tmp_path):
     ingest.write_results(w, by, whole, str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "predictions")).count() == 4
     assert len(spark.read.json(str(tmp_path / "summary")).first()["families"]) == 2
+
+
+def test_result_folders_lie_in_slices(spark, tmp_path):
+    w = spark.range(200).selectExpr("id AS rid", "0L AS win", "'a' AS family", "1 AS on", "0.9 AS prob", "1.0D AS watts", "1.0D AS total")
+    ingest.write_results(w, *score.mix_summary(w, 10.0), str(tmp_path))
+    slices = [p for p in (tmp_path / "predictions").iterdir() if p.is_dir()]
+    assert 1 < len(slices) <= ingest.SLICES and sum(len(list(p.glob("rid=*"))) for p in slices) == 200
+
+
+def test_results_round_half_up_on_the_decimal(spark, tmp_path):
+    """A mean gap of 39.70875 W, which sums of doubles put just below."""
+    from compare import assert_same, connect
+    from gridlens.plans import catalog
+
+    folder = "/root/testdata/sf0.1"
+    spark.read.parquet(f"{folder}/events.parquet").where("user_id = 5").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.QUERIES["a12_results"](spark, str(tmp_path))
+    assert {r["residual_w"] for r in got.collect()} == {39.7088}
+    assert_same(got, con, catalog.SQL["a12_results"])
