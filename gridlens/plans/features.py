@@ -124,7 +124,7 @@ def e7_tumbling_features(spark, sf):
     return a.select("rid", "win", *[F.round(n, 4).alias(n) for n in _AGG])
 
 
-@query(f"""WITH {_TUMBLE}, d AS (SELECT *, abs(lead(p) OVER (PARTITION BY rid, win ORDER BY pos) - p) AS d FROM tumble), j AS (SELECT rid, win, arg_max(pos, d - pos * 1e-12) AS j, count(*) FILTER (d > 10) AS steps FROM d WHERE d IS NOT NULL GROUP BY rid, win)
+@query(f"""WITH {_TUMBLE}, d AS (SELECT *, abs(lead(p) OVER (PARTITION BY rid, win ORDER BY pos) - p) AS d FROM tumble), j AS (SELECT rid, win, -(max(struct_pack(d := d, o := -pos)).o) AS j, count(*) FILTER (d > 10) AS steps FROM d WHERE d IS NOT NULL GROUP BY rid, win)
     SELECT rid, win, round(median(p) FILTER (pos > j AND pos <= j + 2) - median(p) FILTER (pos <= j AND pos > j - 2), 6) AS dp_step,
     round(median(q) FILTER (pos > j AND pos <= j + 2) - median(q) FILTER (pos <= j AND pos > j - 2), 6) AS dq_step, max(steps) AS n_steps FROM tumble JOIN j USING (rid, win) GROUP BY rid, win""")
 def e8_step_features(spark, sf):
