@@ -15,6 +15,8 @@ from gridlens.functions.labels import is_mixed
 from gridlens.operators.clean import CHUNK, by_sample, carried, with_halo
 
 EDGE_W, SETTLED_W, SETTLED_SHARE = 8.0, 6.0, 0.05
+#: Watts by which doubles may miss a limit that a step of whole hundredths just reaches.
+NOISE = 1e-9
 
 
 def edges(df: DataFrame, side: int, span: int, key: str = "rid", order: str = "i", least_w: float = EDGE_W, size: int = CHUNK) -> DataFrame:
@@ -35,8 +37,8 @@ def edges(df: DataFrame, side: int, span: int, key: str = "rid", order: str = "i
         "at": -F.max("_jump").over(w.rowsBetween(-(span - side - 2), -side))["o"],
     }).drop("_jump")
     out = out.withColumns({"dp": F.col("p1") - F.col("p0"), "dq": F.col("q1") - F.col("q0")})
-    settled = lambda s, p: F.col(s) <= F.greatest(F.lit(SETTLED_W), SETTLED_SHARE * F.abs(p))
-    step = (F.abs("dp") >= least_w) | (F.abs("dq") >= 2 * least_w)
+    settled = lambda s, p: F.col(s) <= F.greatest(F.lit(SETTLED_W), SETTLED_SHARE * F.abs(p)) + NOISE
+    step = (F.abs("dp") >= least_w - NOISE) | (F.abs("dq") >= 2 * least_w - NOISE)
     return out.where(~F.col("extra") & (F.col("n") == span) & step & settled("s0", "p0") & settled("s1", "p1")).select(key, order, "at", "dp", "dq", F.col("p1").alias("p_after"))
 
 
@@ -71,6 +73,11 @@ def distance(dp: Column, dq: Column, p: Column, q: Column) -> Column:
     return F.hypot(dp - p, dq - q) / F.greatest(F.lit(20.0), 0.35 * F.hypot(p, q))
 
 
+def decimal_digits(c: Column) -> Column:
+    """Nine decimal digits, which neither the order of nearly equal distances nor a half in rounding leaves to the doubles."""
+    return c.cast("decimal(18, 9)")
+
+
 def match(found: DataFrame, known: list[tuple[str, float, float]], least: float = 0.25) -> DataFrame:
     """Nearest signature of each edge (off-edges negated first), with confidence 1 - distance in two digits.
 
@@ -78,10 +85,10 @@ def match(found: DataFrame, known: list[tuple[str, float, float]], least: float
     without a join.
     """
     sign = F.when(F.col("dp") < 0, -1.0).otherwise(1.0)
-    options = [F.struct(distance(sign * F.col("dp"), sign * F.col("dq"), F.lit(float(p)), F.lit(float(q))).alias("d"), F.lit(f).alias("family")) for f, p, q in known]
-    best = F.array_min(F.array(*options)) if options else F.lit(None).cast("struct<d:double,family:string>")
-    out = found.withColumn("_b", best).withColumn("confidence", F.round(1 - F.col("_b.d"), 2))
-    good = (F.abs("dp") >= EDGE_W) & (F.col("_b.d") < 1) & (F.col("confidence") >= least)
+    options = [F.struct(decimal_digits(distance(sign * F.col("dp"), sign * F.col("dq"), F.lit(float(p)), F.lit(float(q)))).alias("d"), F.lit(f).alias("family")) for f, p, q in known]
+    best = F.array_min(F.array(*options)) if options else F.lit(None).cast("struct<d:decimal(18, 9),family:string>")
+    out = found.withColumn("_b", best).withColumn("confidence", F.round(1 - F.col("_b.d"), 2).cast("double"))
+    good = (F.abs("dp") >= EDGE_W - NOISE) & (F.col("_b.d") < 1) & (F.col("confidence") >= least)
     return out.withColumns({"family": F.when(good, F.col("_b.family")), "confidence": F.when(good, F.col("confidence"))}).drop("_b")
 
 
@@ -107,22 +114,22 @@ def match_table(found: DataFrame, known: DataFrame, least: float = 0.25, cell: f
     at = at.select("signature", "family", "p_sig", "q_sig", "_lv", F.floor(F.col("p_sig") / size(F.col("_lv"))).alias("_x"), F.floor(F.col("q_sig") / size(F.col("_lv"))).alias("_y"))
     levels = [r["_lv"] for r in at.select("_lv").distinct().collect()]  # a few dozen: reach grows by half from one to the next
     sign = F.when(F.col("dp") < 0, -1.0).otherwise(1.0)
-    edges_ = found.where(F.abs("dp") >= EDGE_W).select(*keys, (sign * F.col("dp")).alias("_p"), (sign * F.col("dq")).alias("_q"))
+    edges_ = found.where(F.abs("dp") >= EDGE_W - NOISE).select(*keys, (sign * F.col("dp")).alias("_p"), (sign * F.col("dq")).alias("_q"))
     around = [F.struct(F.lit(lv).alias("_lv"), (F.floor(F.col("_p") / (cell * ratio**lv)) + a).alias("_x"), (F.floor(F.col("_q") / (cell * ratio**lv)) + b).alias("_y")) for lv in levels for a in (-1, 0, 1) for b in (-1, 0, 1)]
     if not around:
         return found.withColumns({"family": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     dealt = edges_.withColumn("_c", F.explode(F.array(*around))).select(*keys, "_p", "_q", "_c.*")
-    near = dealt.join(at, ["_lv", "_x", "_y"]).withColumn("_d", distance(F.col("_p"), F.col("_q"), F.col("p_sig"), F.col("q_sig"))).where("_d < 1")
+    near = dealt.join(at, ["_lv", "_x", "_y"]).withColumn("_d", decimal_digits(distance(F.col("_p"), F.col("_q"), F.col("p_sig"), F.col("q_sig")))).where("_d < 1")
     best = near.groupBy(*keys).agg(F.min(F.struct("_d", "family", "signature")).alias("_b"))
-    best = best.select(*keys, F.col("_b.family").alias("family"), F.round(1 - F.col("_b._d"), 2).alias("confidence")).where(F.col("confidence") >= least)
+    best = best.select(*keys, F.col("_b.family").alias("family"), F.round(1 - F.col("_b._d"), 2).cast("double").alias("confidence")).where(F.col("confidence") >= least)
     return found.join(best, list(keys), "left")
 
 
 class Claims:
     """Which devices are claimed to be on, by edges: the sequential rules of one meter."""
 
-    def __init__(self, least: float = 0.30, hold: float = 15.0):
-        self.least, self.hold = least, hold
+    def __init__(self, least: float = 0.30, hold: float = 15.0, settle: float = 6.0):
+        self.least, self.hold, self.settle = least, hold, settle
         self.on: dict[str, tuple[float, float, float]] = {}  # family: watts, confidence, since
         self.held: dict[str, float] = {}  # family: until when it stays off
 
@@ -150,15 +157,15 @@ class Claims:
     def guard(self, t: float, power: float) -> list[str]:
         """At a tick: forget past holds, and drop claims while all of them together exceed the settled power.
 
-        Of the claims that are 6 s or older, in order of confidence (the older one first on a tie), the shortest run
+        Of the claims that are ``settle`` or older, in order of confidence (the older one first on a tie), the shortest run
         goes that leaves no more than the power and max(30 W, a tenth of what is left).
         """
         self.held = {f: until for f, until in self.held.items() if until > t}
-        old = sorted((f for f, (_, _, since) in self.on.items() if t - since >= 6), key=lambda f: self.on[f][1])
+        old = sorted((f for f, (_, _, since) in self.on.items() if t - since >= self.settle), key=lambda f: self.on[f][1])
         left = sum(w for w, _, _ in self.on.values())
         dropped = []
         for f in old:
-            if left <= power + max(30.0, 0.1 * left):
+            if left <= power + max(30.0, 0.1 * left) + NOISE:
                 break
             dropped.append(f)
             left -= self.on[f][0]
@@ -183,9 +190,9 @@ def claims(matched: DataFrame, at_ticks: DataFrame, rate: float = 1.0, key: str
     tick = at_ticks.select(key, F.col(order).alias("seen"), F.lit(1).alias("tick"), F.col(order).alias(at), F.lit(None).cast("double").alias("dp"), F.col("p_now").alias("p_after"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("confidence"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Claims(), []
+        state, rows = Claims(hold=15 * rate, settle=6 * rate), []  # in samples: seconds of a fifth don't add up in doubles
         for r in pdf.sort_values(["seen", "tick", at, "dp"], kind="stable").itertuples():
-            t = getattr(r, at) / rate
+            t = getattr(r, at)
             if r.tick:
                 rows += [(getattr(r, key), getattr(r, at), "dropped", f, 0.0) for f in state.guard(t, r.p_after)]
                 continue

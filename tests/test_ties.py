@@ -35,3 +35,24 @@ def test_missed_families_are_in_order(both):
     pairs = [("signup", "error"), ("error", "signup"), ("purchase", "error"), ("error", "purchase"), ("view", "click"), ("click", "view")]
     rows = both("h5_set_accuracy", [[(10, 50, a) for a in two] + [(90, 50, "other")] * 30 for two in pairs])
     assert all(r["missed"].split(",") == sorted(r["missed"].split(",")) for r in rows)
+
+
+def test_steps_of_just_the_least_power_are_edges(both):
+    """Steps of 8 W and spreads of 6 W, which doubles miss by their noise, and five samples a second."""
+    levels = [(a, round(a + 8.0, 2)) for a in (20.1, 33.3, 40.07, 57.29)]
+    recordings = [[(a, 50, "x")] * 4 + [(b, 50, "x")] * 4 for a, b in levels] + [[(a, 50, "x"), (round(a + 12, 2), 50, "x")] * 2 + [(a + 80, 50, "x")] * 4 for a in (1.1, 3.3, 7.07, 10.29)]
+    assert {r["rid"] for r in both("j1_edges", recordings)} == set(range(8))
+
+
+def test_confidence_rounds_half_up_on_the_decimal(both):
+    """A lamp of 40 W, 0 var, met at 40 W and so many tenths: its distance ends in a 5."""
+    both("j4_matched_edges", [[(0, 50, "x")] * 4 + [(40 + k / 10, 50, "x")] * 4 for k in range(-99, 100, 2)])
+
+
+def test_claims_of_five_samples_a_second_age_by_samples():
+    from gridlens.operators.events import Claims
+
+    assert 41 / 5 - 11 / 5 < 6
+    c = Claims(hold=75, settle=30)
+    c.edge(11, 100.0, "a", 0.9)
+    assert c.guard(41, 0.0) == ["a"]
