@@ -163,3 +163,29 @@ def test_results_round_half_up_on_the_decimal(spark, tmp_path):
     got = catalog.QUERIES["a12_results"](spark, str(tmp_path))
     assert {r["residual_w"] for r in got.collect()} == {39.7088}
     assert_same(got, con, catalog.SQL["a12_results"])
+
+
+def test_spectra_by_name_equal_spectra_by_row(spark, tmp_path):
+    """A spectrum is added up once for each set of devices, and no stored row carries one."""
+    p = parts(spark)
+    voices = p.where("state = 'on'").groupBy(F.col("family").alias("voice")).agg(F.first("mag").alias("mag"), F.first("ang").alias("ang"))
+    named = p.select("scenario", "family", "sample", "p", "q", "phase", F.col("family").alias("voice"), (F.col("state") == "on").alias("lit"), "state")
+    plain = lambda df: [[r[c] for c in ("sample", "h1", "a1", "h2", "thd1", "thd3", "i_n", "p_total")] for r in df.orderBy("sample").collect()]
+    want, got = plain(scenarios.points(p)), plain(scenarios.points(named, voices))
+    assert len(want) == len(got) == 20
+    for a, b in zip(want, got, strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert x == pytest.approx(y)
+    scenarios.write_scenarios(named, str(tmp_path), 2.0, voices=voices)
+    stored = spark.read.parquet(str(tmp_path / "readings"))
+    assert "h1" not in stored.columns and spark.read.parquet(str(tmp_path / "chords")).count() == 2
+    assert plain(scenarios.read_scenarios(spark, str(tmp_path))["readings"]) == got
+
+
+def test_no_planned_row_carries_its_pool(spark):
+    """Recordings in turn by an equi-join: the joined rows hold one recording, not all of the family."""
+    planned = spark.range(7).selectExpr("id AS scenario", "'a' AS family")
+    recordings = spark.range(3).selectExpr("id AS rid", "'a' AS family")
+    chosen = scenarios.choose(planned, scenarios.pool(recordings), 7)
+    assert sorted(r["count"] for r in chosen.groupBy("rid").count().collect()) == [2, 2, 3]
+    assert "get(recordings" not in chosen._jdf.queryExecution().optimizedPlan().toString()
