@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.labels import family as family_of
 from gridlens.functions.labels import is_mixed
 from gridlens.operators.clean import CHUNK, by_sample, carried, with_halo
+from gridlens.sources.store import shared_folder
 
 EDGE_W, SETTLED_W, SETTLED_SHARE = 8.0, 6.0, 0.05
 #: Watts by which doubles may miss a limit that a step of whole hundredths just reaches.
@@ -98,29 +99,70 @@ def pure_signatures(df: DataFrame, key: str = "rid", label: str = "label", on_w:
     return signatures(alone, key, "family", on_w, least).withColumnRenamed(key, "signature")
 
 
-def match_table(found: DataFrame, known: DataFrame, least: float = 0.25, cell: float = 20.0, ratio: float = 1.5, keys: tuple[str, ...] = ("rid", "i")) -> DataFrame:
-    """``match`` against a table of signatures (signature, family, p_sig, q_sig) of any size: nearest neighbours by grid cells.
+#: Sides of the cells of a tree of signatures, in watts, from the widest on; nodes that an edge is held against at first,
+#: signatures of one leaf (as one of them finds it, in the mean), and rows of a table that is sent to every task.
+CELLS, ROOTS, LEAF, SENT = [2.0**k for k in range(40, -21, -1)], 64, 8, 50_000
 
-    A signature is reached within max(20, 0.35 of its size), so signatures are dealt to levels by that reach, each level
-    ``ratio`` times the one before, and a level's grid has cells of its largest reach. An edge can only match
-    signatures in its own cell and the eight around it, of every level there is. The edge is dealt to its cells,
-    nine for each level, and meets only what lies there: an equi-join by level and cell. Of equally near signatures the
-    first by family, then number, counts. Edges without a match keep nulls.
+
+def _bounds(x: Column, y: Column, node) -> tuple[Column, Column]:  # noqa: ANN001
+    """Least and largest distance that an edge can have to a node's signatures, of their box and their least and largest reach."""
+    out = lambda v, low, high: F.greatest(low - v, v - high, F.lit(0.0))
+    far = lambda v, low, high: F.greatest(F.abs(v - low), F.abs(v - high))
+    p, q = (node("p0"), node("p1")), (node("q0"), node("q1"))
+    return F.hypot(out(x, *p), out(y, *q)) / node("r1"), F.hypot(far(x, *p), far(y, *q)) / node("r0")
+
+
+def met_signatures(found: DataFrame, known: DataFrame, least: float = 0.25, keys: tuple[str, ...] = ("rid", "i")) -> DataFrame | None:
+    """(keys, family, distance): each edge with the few signatures among which its nearest is, by a tree of cells; none without signatures.
+
+    A node of the tree is a square of the (P, Q) plane with the box and the reach of its signatures, and an edge goes down
+    from level to level: of the nodes under those that it has reached it keeps the ones that can hold its nearest
+    signature, as none of them is nearer than the farthest signature of another is. So it meets a few leaves' signatures,
+    however many there are; equal signatures of a family are one. Each level is an equi-join by the node above.
     """
-    reach = F.greatest(F.lit(20.0), 0.35 * F.hypot("p_sig", "q_sig"))
-    level = F.greatest(F.lit(0), F.ceil(F.log(reach / cell) / F.log(F.lit(ratio)))).cast("int")
-    size = lambda lv: cell * F.pow(F.lit(ratio), lv)
-    at = known.where("p_sig is not null and q_sig is not null").withColumn("_lv", level)
-    at = at.select("signature", "family", "p_sig", "q_sig", "_lv", F.floor(F.col("p_sig") / size(F.col("_lv"))).alias("_x"), F.floor(F.col("q_sig") / size(F.col("_lv"))).alias("_y"))
-    levels = [r["_lv"] for r in at.select("_lv").distinct().collect()]  # a few dozen: reach grows by half from one to the next
+    spark = found.sparkSession
+    folder = shared_folder(spark, "signatures")
+    known.where(F.abs("p_sig") + F.abs("q_sig") < float("inf")).select("family", "p_sig", "q_sig").distinct().withColumn("reach", F.greatest(F.lit(20.0), 0.35 * F.hypot("p_sig", "q_sig"))).write.parquet(folder)
+    points = spark.read.parquet(folder)
+    cell = lambda size: (F.floor(F.col("p_sig") / size).alias("_x"), F.floor(F.col("q_sig") / size).alias("_y"))
+    every = points.select("p_sig", "q_sig", F.posexplode(F.array(*map(F.lit, CELLS))).alias("_k", "_size"))
+    filled = every.groupBy("_k", *cell(F.col("_size"))).count().groupBy("_k").agg(F.count("*").alias("n"), F.sum(F.col("count") * F.col("count")).alias("n2"), F.sum("count").alias("all"))
+    levels = {r["_k"]: r for r in filled.collect()}  # a row for each size
+    if not levels:
+        return None
+    top = max((k for k, r in levels.items() if r["n"] <= ROOTS), default=0)
+    leaf = next((k for k in range(top, len(CELLS)) if levels[k]["n2"] <= LEAF * levels[k]["all"]), len(CELLS) - 1)
+
+    box = {"p0": F.min("p_sig"), "p1": F.max("p_sig"), "q0": F.min("q_sig"), "q1": F.max("q_sig"), "r0": F.min("reach"), "r1": F.max("reach")}
+    nodes = lambda k: points.groupBy(*cell(CELLS[k])).agg(*[c.alias(n) for n, c in box.items()])
+    sent = lambda df, n: F.broadcast(df) if n <= SENT else df
+    roots = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("_x", "_y", *box)]) for r in nodes(top).collect()])  # about ``ROOTS`` rows
+    x, y = F.col("_p"), F.col("_q")
+    # Distances count in nine digits, so what is farther by less may be as near.
+    reached = lambda low, best: (low <= best + 1e-8) & (low <= 1 - least + 0.01)
     sign = F.when(F.col("dp") < 0, -1.0).otherwise(1.0)
-    edges_ = found.where(F.abs("dp") >= EDGE_W - NOISE).select(*keys, (sign * F.col("dp")).alias("_p"), (sign * F.col("dq")).alias("_q"))
-    around = [F.struct(F.lit(lv).alias("_lv"), (F.floor(F.col("_p") / (cell * ratio**lv)) + a).alias("_x"), (F.floor(F.col("_q") / (cell * ratio**lv)) + b).alias("_y")) for lv in levels for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    if not around:
+    near = found.where(F.abs("dp") >= EDGE_W - NOISE).select(*keys, (sign * F.col("dp")).alias("_p"), (sign * F.col("dq")).alias("_q"))
+    near = near.withColumn("_best", F.array_min(F.transform(roots, lambda r: _bounds(x, y, r.getField)[1])))
+    near = near.select(*keys, "_p", "_q", F.explode(F.filter(roots, lambda r: reached(_bounds(x, y, r.getField)[0], F.col("_best")))).alias("_n")).select(*keys, "_p", "_q", "_n._x", "_n._y")
+    for k in range(top + 1, leaf + 1):
+        below = nodes(k).select("*", F.floor(F.col("_x") / 2).alias("_up_x"), F.floor(F.col("_y") / 2).alias("_up_y"))
+        low, high = _bounds(x, y, F.col)
+        near = near.withColumnsRenamed({"_x": "_up_x", "_y": "_up_y"}).join(sent(below, levels[k]["n"]), ["_up_x", "_up_y"]).select(*keys, "_p", "_q", "_x", "_y", low.alias("_low"), high.alias("_high"))
+        near = near.withColumn("_best", F.min("_high").over(Window.partitionBy(*keys))).where(reached(F.col("_low"), F.col("_best"))).select(*keys, "_p", "_q", "_x", "_y")
+    d = distance(x, y, F.col("p_sig"), F.col("q_sig"))
+    met = near.join(sent(points.select("*", *cell(CELLS[leaf])), levels[leaf]["all"]), ["_x", "_y"])
+    return met.select(*keys, "family", decimal_digits(F.when(d < 2, d)).alias("_d"))
+
+
+def match_table(found: DataFrame, known: DataFrame, least: float = 0.25, keys: tuple[str, ...] = ("rid", "i")) -> DataFrame:
+    """``match`` against a table of signatures (signature, family, p_sig, q_sig) of any size.
+
+    Of equally near signatures the first by family counts. Edges without a match keep nulls.
+    """
+    met = met_signatures(found, known, least, keys)
+    if met is None:
         return found.withColumns({"family": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
-    dealt = edges_.withColumn("_c", F.explode(F.array(*around))).select(*keys, "_p", "_q", "_c.*")
-    near = dealt.join(at, ["_lv", "_x", "_y"]).withColumn("_d", decimal_digits(distance(F.col("_p"), F.col("_q"), F.col("p_sig"), F.col("q_sig")))).where("_d < 1")
-    best = near.groupBy(*keys).agg(F.min(F.struct("_d", "family", "signature")).alias("_b"))
+    best = met.where("_d < 1").groupBy(*keys).agg(F.min(F.struct("_d", "family")).alias("_b"))
     best = best.select(*keys, F.col("_b.family").alias("family"), F.round(1 - F.col("_b._d"), 2).cast("double").alias("confidence")).where(F.col("confidence") >= least)
     return found.join(best, list(keys), "left")
 

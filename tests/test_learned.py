@@ -94,6 +94,20 @@ def test_nearest_signatures_equal_a_loop(spark):
     assert {r["family"] for r in events.match_table(edges, table.limit(0)).collect()} == {None}
 
 
+def test_an_edge_meets_few_of_many_signatures(spark):
+    """Signatures that crowd in one place: an edge meets a few leaves of them, and still its nearest, first by family on ties."""
+    rng = np.random.default_rng(8)
+    spots = np.concatenate([rng.normal(35, 4, (4000, 2)), np.repeat(rng.normal(35, 1e-3, (50, 2)), 20, axis=0)])
+    known = [(k, f"f{k % 7}", float(p), float(q)) for k, (p, q) in enumerate(spots)]
+    found = [(1, i, float(p), float(q)) for i, (p, q) in enumerate(np.concatenate([rng.normal(35, 5, (300, 2)), rng.uniform(20, 60, (100, 2)), spots[-100::20]]))]
+    table, edges = spark.createDataFrame(known, "signature long, family string, p_sig double, q_sig double"), spark.createDataFrame(found, "rid long, i long, dp double, dq double")
+    assert events.met_signatures(edges, table).count() < 60 * len(found)
+    got = {r["i"]: r["family"] for r in events.match_table(edges, table).collect()}
+    for _, i, dp, dq in found:
+        d = np.round(np.hypot(dp - spots[:, 0], dq - spots[:, 1]) / np.maximum(20.0, 0.35 * np.hypot(*spots.T)), 9)
+        assert got[i] == (min(f"f{k % 7}" for k in np.flatnonzero(d == d.min())) if d.min() <= 0.75 else None)
+
+
 def test_edges_are_named_after_the_device_that_rose_most(spark):
     rows = []
     for k in range(40):
