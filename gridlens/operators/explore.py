@@ -163,15 +163,23 @@ def device_edges(parts: DataFrame, span: int, least_w: float = 40.0, key: str =
     Shown: the steps of the phases and of the reactive power, peak, steady power, samples to the peak, spread, inrush.
     ``device`` is the truth, from the devices' own power: whose power rose most at that sample, the first by name on ties.
     """
-    total = phase_sums(parts, [key, order])
+    step = F.col("p") - F.lag("p").over(Window.partitionBy(key, device).orderBy(order))
+    who = F.min(F.when(F.col("_step") > 0, F.struct(-F.col("_step"), F.col(device)))).alias("_who")
+    total = phase_sums(parts.withColumn("_step", step), [key, order], who)
     phases = ["p1", "p2", "p3"]
     w = by_sample(key, order)
     total = total.withColumn("p", sum(F.col(c) for c in phases)).withColumn("_q", sum(F.col(c) for c in ("q1", "q2", "q3")))
-    steps = total.select(key, F.col(order).alias("at"), *[(F.col(c) - F.lag(c).over(w)).alias(f"d{c}") for c in phases], (F.col("_q") - F.lag("_q").over(w)).alias("dq"))
-    shown = transients(total, hart_edges(total, least_w, key, order), span, key, order).join(steps, [key, "at"])
-    own = parts.select(key, device, order, (F.col("p") - F.lag("p").over(Window.partitionBy(key, device).orderBy(order))).alias("_step"))
-    who = own.where("_step > 0").groupBy(key, F.col(order).alias("at")).agg(F.min(F.struct(-F.col("_step"), F.col(device))).alias("_who"))
-    return shown.join(who.select(key, "at", F.col(f"_who.{device}").alias(device)), [key, "at"])
+    # What follows an edge is among the next rows, so samples are neither joined nor moved.
+    moved = {f"d{c}": F.col(c) - F.lag(c).over(w) for c in ("p", *phases)} | {"dq": F.col("_q") - F.lag("_q").over(w)}
+    ahead = F.array(F.struct(order, "p"), *[F.lead(F.struct(order, "p"), k).over(w) for k in range(1, span)])
+    found = total.withColumns(moved | {"_ahead": ahead}).where((F.col("dp") >= least_w) & F.col("_who").isNotNull()).withColumn("at", F.col(order))
+    found = found.withColumn("_p", F.transform(F.filter("_ahead", lambda x: (x[order] < F.col("at") + span) & x["p"].isNotNull()), lambda x: x["p"]))
+    size, ranked = F.size("_p"), F.array_sort("_p")
+    mean = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) / size
+    steady = (F.get(ranked, F.floor((size - 1) / 2).cast("int")) + F.get(ranked, F.floor(size / 2).cast("int"))) / 2
+    spread = F.sqrt(F.aggregate("_p", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / size)
+    shown = found.withColumns({"_m": mean, "peak": F.array_max("_p"), "steady": steady}).withColumns({"rise": (F.array_position("_p", F.col("peak")) - 1).cast("long"), "spread": spread, "inrush": F.when(F.abs("steady") > 1e-6, F.col("peak") / F.col("steady"))})
+    return shown.select(key, "at", "peak", "steady", "rise", "spread", "inrush", *[f"d{c}" for c in phases], "dq", F.col(f"_who.{device}").alias(device))
 
 
 def diurnal(df: DataFrame, ts: str = "ts", p: str = "p") -> DataFrame:

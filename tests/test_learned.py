@@ -155,3 +155,30 @@ def test_chunks_change_nothing(spark, size):
         whole, parts = case(100_000), case(size)
         rows_of = lambda d, c=whole.columns: sorted(repr(tuple(r)) for r in d.select(*c).collect())
         assert rows_of(parts) == rows_of(whole) and whole.count() > 5
+
+
+def test_devices_played_equal_samples_masked(spark):
+    """Takes, a row for each device, give the same samples as looping and masking rows; what follows by scenario moves nothing again."""
+    from gridlens.operators import scenarios
+
+    samples = spark.createDataFrame([(rid, i, float(10 * rid + i % 7), float(i)) for rid, n in ((1, 7), (2, 150), (3, 60)) for i in range(n)], "rid long, i long, p double, q double")
+    chosen = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "a", 3), (1, "c", 2), (2, "c", 1)], "scenario long, family string, rid long")
+    blocks = scenarios.schedule(chosen, 120, 1.0, 7)
+    taken = scenarios.takes(chosen, samples, blocks, 120)
+    got, columns = scenarios.played(taken, 120, 5), ["scenario", "family", "sample", "p", "q", "state"]
+    assert taken.count() == 5
+    want = scenarios.masked(scenarios.tiled(chosen, samples, 120), blocks)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert {r["lit"] for r in got.where("p <> 0").collect()} == {True}
+    added = explore.device_edges(got.withColumn("phase", F.lit(1)), 5)
+    assert sum("Exchange hashpartitioning(scenario" in line for line in added._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()) <= 3
+    moved = [line for line in added._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "SortMergeJoin" in line and "sample" in line]
+    assert not moved
+    windows = scenarios.sequence_windows(got.withColumn("phase", F.lit(1)), ["a", "b", "c"], 10).collect()
+    assert len(windows) == 36 and {len(r["sequence"]) for r in windows} == {30}
+    own = {(r["scenario"], r["sample"] // 10, r["family"]): 0.0 for r in want.collect()}
+    for r in want.collect():
+        own[r["scenario"], r["sample"] // 10, r["family"]] += r["p"] / 10
+    for r in windows:
+        for f in "abc":
+            assert r[f"power of {f}"] == pytest.approx(own.get((r["scenario"], r["win"], f), 0.0)) and r[f] == (abs(r[f"power of {f}"]) > 5)
