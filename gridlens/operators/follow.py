@@ -8,6 +8,8 @@ rate enters nowhere but through them.
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -60,19 +62,50 @@ class Meter:
     unknown: list = field(default_factory=list)  # [since] while the residual is high, [since, True] once reported
 
 
-def settled_step(t: np.ndarray, p: np.ndarray, q: np.ndarray, side: float) -> tuple[float, float, float] | None:
+def total_of(x: list) -> float:
+    """Sum as NumPy adds a short array up, to the last digit: eight sums side by side from eight values on."""
+    n = len(x)
+    if n > 128:
+        return float(np.sum(np.array(x)))
+    if n < 8:  # one after the other; Python's own sum compensates
+        out = 0.0
+        for v in x:
+            out += v
+        return out
+    a, b, c, d, e, f, g, h = x[:8]
+    whole = n - n % 8
+    for k in range(8, whole, 8):
+        a, b, c, d = a + x[k], b + x[k + 1], c + x[k + 2], d + x[k + 3]
+        e, f, g, h = e + x[k + 4], f + x[k + 5], g + x[k + 6], h + x[k + 7]
+    out = ((a + b) + (c + d)) + ((e + f) + (g + h))
+    for k in range(whole, n):
+        out += x[k]
+    return out
+
+
+def middle(x: list) -> float:
+    s, n = sorted(x), len(x)
+    return s[n // 2] if n % 2 else (s[n // 2 - 1] + s[n // 2]) / 2
+
+
+def spread(x: list) -> float:
+    mean = total_of(x) / len(x)
+    return math.sqrt(total_of([(v - mean) * (v - mean) for v in x]) / len(x))
+
+
+def settled_step(t: list, p: list, q: list, side: float) -> tuple[float, float, float] | None:
     """(time of the jump, dP, dQ) of one span: medians of its first and last ``side`` seconds, both settled."""
-    head, tail = t < t[0] + side, t > t[-1] - side
-    p0, p1 = float(np.median(p[head])), float(np.median(p[tail]))
-    dp, dq = p1 - p0, float(np.median(q[tail]) - np.median(q[head]))
+    first = bisect_left(t, t[0] + side)
+    last = bisect_right(t, t[-1] - side)
+    p0, p1 = middle(p[:first]), middle(p[last:])
+    dp, dq = p1 - p0, middle(q[last:]) - middle(q[:first])
     if abs(dp) < EDGE_W and abs(dq) < 2 * EDGE_W:
         return None
-    if np.std(p[head]) > max(SETTLED_W, SETTLED_SHARE * abs(p0)) or np.std(p[tail]) > max(SETTLED_W, SETTLED_SHARE * abs(p1)):
+    if spread(p[:first]) > max(SETTLED_W, SETTLED_SHARE * abs(p0)) or spread(p[last:]) > max(SETTLED_W, SETTLED_SHARE * abs(p1)):
         return None
     # The jump leads to a sample after the first side and not after the first one of the last.
-    jump, first = np.abs(np.diff(p, prepend=p[0])), int(head.sum())
-    between = jump[first : max(first, int(np.argmax(tail))) + 1]
-    return float(t[first + int(np.argmax(between))]), dp, dq
+    between = [abs(p[k] - p[k - 1]) for k in range(first, min(max(first, last) + 1, len(p)))]
+    return t[first + between.index(max(between))], dp, dq
 
 
 class Follower:
@@ -114,18 +147,18 @@ class Follower:
         if t < m.next_tick:
             return
         m.next_tick += r.stride * (1 + (t - m.next_tick) // r.stride)
-        ts, ps, qs = (np.array(x) for x in (m.t, m.p, m.q))
-        near = ts > t - r.span
-        if ts[0] <= t - r.span + r.side and near.sum() >= 4:
-            step = settled_step(ts[near], ps[near], qs[near], r.side)
+        near = bisect_right(m.t, t - r.span)
+        if m.t[0] <= t - r.span + r.side and len(m.t) - near >= 4:
+            step = settled_step(m.t[near:], m.p[near:], m.q[near:], r.side)
             if step is not None and step[0] - m.last_edge >= r.gap:
                 at, dp, dq = step
                 m.last_edge = at
                 family, confidence = self._match(dp, dq)
                 yield self._event("edge_on" if dp > 0 else "edge_off", family, at, dp, confidence, None, dq)
                 self.claims.edge(at, dp, family, confidence)
-        instant = float(np.median(ps[ts > t - r.side]))
-        yield from self._tick(t, float(np.mean(ps[ts > t - r.window])), instant)
+        instant = middle(m.p[bisect_right(m.t, t - r.side) :])
+        last = m.p[bisect_right(m.t, t - r.window) :]
+        yield from self._tick(t, total_of(last) / len(last), instant)
 
     def _tick(self, t: float, total: float, instant: float) -> Iterator[Emitted]:
         m, r = self.m, self.rules
@@ -133,7 +166,7 @@ class Follower:
         for device in self.claims.guard(t, instant):
             yield self._event("claim_dropped", device, t, -watts_of[device], None, instant)
         claims, held = self.claims.on, self.claims.held
-        prob = {d: float(np.median(x)) for d, x in m.smooth.items()}
+        prob = {d: middle(x) for d, x in m.smooth.items()}
         on = {d: x >= (r.low if m.devices.get(d, [0])[0] else r.high) for d, x in prob.items()}
         watts = {d: m.model[d] if on[d] else 0.0 for d in prob}
         source = dict.fromkeys(prob, "model")

@@ -233,6 +233,8 @@ def g16_retrain(spark, sf):
     return retrain(scenario_parts(spark, sf), ModelRegistry(spark, f"{folder}/models"), f"{folder}/scenarios", names, 10, trees=20, voices=voices(spark, sf))
 
 
+#: Files of a slice of the loop's stream, which a batch takes: a batch for each slice, whatever the number of meters.
+SLICE_FILES = 16
 #: Seconds at which the loop's samples begin: a stream's first watermark is the epoch, and rows at it are late.
 EPOCH = 3600
 
@@ -268,20 +270,20 @@ def j9_j17_follow(spark, sf):
 def j9_j17_live_loop(spark, sf):
     """The same from a stream of five slices of time, in one keyed state; a last row of no meter moves the watermark past all.
 
-    A slice is many files and a batch may end within one, so rows may be two slices late.
+    A slice is ``SLICE_FILES`` files, fewer where meters are few, and a batch may end within one, so rows may be two slices late.
     """
     folder = shared_folder(spark, "loop")
     _loop_inputs(spark, sf).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     slice_s = int((rows.agg(F.max("t")).first()[0] or EPOCH) - EPOCH) // 5 + 1
     for k in range(5):  # one after the other: a stream takes files in the order in which they came
-        rows.where(F.floor((F.col("t") - EPOCH) / slice_s) == k).write.mode("append").parquet(f"{folder}/in")
+        rows.where(F.floor((F.col("t") - EPOCH) / slice_s) == k).repartition(SLICE_FILES, "rid").write.mode("append").parquet(f"{folder}/in")
     spark.createDataFrame([(-1, 1e7, 1, None, 0.0, 0.0)], follow.INPUT).write.mode("append").parquet(f"{folder}/in")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = live.live_loop(live.replay(spark, f"{folder}/in", rows.schema, files_per_trigger=8), _loop_rules(), late=f"{2 * slice_s} seconds")
+        stream = live.live_loop(live.replay(spark, f"{folder}/in", rows.schema, files_per_trigger=SLICE_FILES), _loop_rules(), late=f"{2 * slice_s} seconds")
         live.append(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(key, before)

@@ -153,3 +153,32 @@ def test_odd_rows(spark):
     rows = samples(1, 1, (30, 100, 0))
     odd = [*rows, *rows, (1, 1003.0, None, 0.0), (1, None, 5.0, 0.0)]
     assert key(follow.follow(table(spark, odd), RULES)) == key(follow.follow(table(spark, rows), RULES))
+
+
+def test_short_sums_are_numpys():
+    """Windows are added up without arrays, yet to the last digit as NumPy does; steps and spreads too."""
+    import numpy as np
+
+    from gridlens.operators.follow import middle, spread, total_of
+
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 40), 127, 128, 129, 1000]:
+        for _ in range(20):
+            x = rng.exponential(50, n)
+            assert total_of(x.tolist()) == np.sum(x) and middle(x.tolist()) == np.median(x) and spread(x.tolist()) == np.std(x)
+
+
+def test_a_batch_of_the_loop_is_a_slice(rocks):
+    """However many files the meters make, the query's stream has about a batch for each of its five slices."""
+    import glob
+
+    from gridlens.plans import models
+
+    seen = []
+    append = models.live.append
+    try:
+        models.live.append = lambda df, path, checkpoint: seen.append(checkpoint) or append(df, path, checkpoint)
+        models.j9_j17_live_loop(rocks, "/root/testdata/sf0.01").count()
+    finally:
+        models.live.append = append
+    assert len(glob.glob(f"{seen[0].removeprefix('file://')}/offsets/[0-9]*")) <= 8
