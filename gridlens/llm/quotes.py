@@ -4,8 +4,9 @@ A quoted line begins with one or more ``>`` (its level), as in mail. Runs of quo
 level are passages. A passage is normalised as a whole (case, punctuation and line ends go), so
 that wrapping it anew changes nothing, and hashed in windows of eight words; a shorter passage is
 one window. Windows are joined by hash and then by text to the windows of earlier messages' own
-text. The messages that hold a window first and last before the quote are candidates; all
-windows of the passage are counted in each, and the one that holds most is the passage's source.
+text. Of all messages before the quote the one that holds most of the passage's windows is its
+source, the latest of equal ones. The first and the last holder of each window are counted first; then
+those that can hold as much as the best of them, which the passage's rarest windows name.
 The source that a reply quotes most at level 1 is its parent. A message without a linked quote
 starts a thread. Within a thread a message comes before its replies, and these in the order of their turns.
 """
@@ -71,13 +72,39 @@ def quote_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     held = own.select("conv_id", F.col("turn").alias("source_turn"), F.explode(windows).alias("window")).distinct().withColumn("h", F.xxhash64("conv_id", "window"))
     held = scratch.write(held.join(quoted.select("conv_id", "h", "window").distinct(), ["conv_id", "h", "window"], "left_semi"), "held")
     near = quoted.join(_holders_before(quoted, held), ["conv_id", "h", "window", "turn"]).withColumn("source_turn", F.explode(F.array("low", "high")))
-    candidates = near.select("conv_id", "turn", "passage", "source_turn").distinct()
-    counted = quoted.join(candidates, ["conv_id", "turn", "passage"]).join(held, ["conv_id", "h", "window", "source_turn"])
-    counted = counted.groupBy("conv_id", "turn", "passage", "level", "source_turn").agg(F.count("*").alias("n"))
+    one = ["conv_id", "turn", "passage"]
+    ends = scratch.write(_counted(quoted, held, near.select(*one, "source_turn").distinct()), "ends")
+    further = _counted(quoted, held, _between(quoted, held, ends, near))
+    counted = ends.unionByName(further)
     best = counted.groupBy("conv_id", "turn", "passage", "level").agg(F.max(F.struct("n", "source_turn")).alias("x"))
     return scratch.write(best.select("conv_id", "turn", "passage", "level", "x.source_turn", "x.n"), "links")
 
 
+def _counted(quoted: DataFrame, held: DataFrame, candidates: DataFrame) -> DataFrame:
+    """How many windows of a passage each candidate holds."""
+    found = quoted.join(candidates, ["conv_id", "turn", "passage"]).join(held, ["conv_id", "h", "window", "source_turn"])
+    return found.groupBy("conv_id", "turn", "passage", "level", "source_turn").agg(F.count("*").alias("n"))
+
+
+def _between(quoted: DataFrame, held: DataFrame, ends: DataFrame, near: DataFrame) -> DataFrame:
+    """(conv_id, turn, passage, source_turn): all messages that may hold more of a passage than first and last holders do, or as much and later.
+
+    No message later than the earliest of a passage's last holders has all windows, so that one settles it, if it has.
+    Else, with ``n`` of a passage's windows in the best so far, whoever holds as many lacks the others at most: of any
+    one window more than these it holds one. The rarest so many name all candidates, so frequent windows name few.
+    """
+    one = ["conv_id", "turn", "passage"]
+    most = ends.groupBy(*one).agg(F.max(F.struct("n", "source_turn")).alias("_x"))
+    last = near.groupBy(*one, "h", "window").agg(F.max("source_turn").alias("_high")).groupBy(*one).agg(F.min("_high").alias("_high"))
+    sizes = quoted.groupBy(*one).agg(F.count("*").alias("_size"))
+    left = sizes.join(most, one).join(last, one).where("_x.n < _size or _x.source_turn < _high").select(*one, (F.col("_size") - F.col("_x.n") + 1).alias("_least"))
+    holders = held.groupBy("conv_id", "h", "window").agg(F.count("*").alias("_holders"))
+    asked = quoted.join(left, one).join(holders, ["conv_id", "h", "window"], "left")
+    rare = F.row_number().over(Window.partitionBy(*one).orderBy(F.coalesce("_holders", F.lit(0)), "h", "window"))
+    asked = asked.withColumn("_r", rare).where("_r <= _least").select(*one, "h", "window")
+    return asked.join(held, ["conv_id", "h", "window"]).where("source_turn < turn").select(*one, "source_turn").distinct()
+
+
 def _holders_before(quoted: DataFrame, held: DataFrame) -> DataFrame:
     """(conv_id, h, window, turn, low, high): the first and the last message before a quote that hold one of its windows.
 
@@ -145,7 +172,7 @@ def quote_threads(messages: DataFrame, *, conv: str = "conv_id", turn: str = "tu
     parents = by_source.groupBy("conv_id", "turn").agg(F.max_by("source_turn", F.struct("n", "source_turn")).alias("parent_turn"))
     counts = links.groupBy("conv_id", "turn").agg(F.count_distinct("passage").alias("n_linked"))
     facts = scratch.write(reply_order(parents, scratch).join(counts, ["conv_id", "turn"], "full"), "facts")
-    scratch.drop("quoted", "held", "links", "messages")
+    scratch.drop("quoted", "held", "ends", "links", "messages")
     level = F.transform(F.coalesce("lines", F.array()), lambda x: x["level"])
     return (
         rows.select("conv_id", "turn", "role", F.size(F.filter(level, lambda x: x > 0)).cast("long").alias("n_quoted_lines"), F.coalesce(F.array_max(level), F.lit(0)).cast("long").alias("max_level"), F.coalesce(F.size(_bounds(F.col("lines"))[0]), F.lit(0)).cast("long").alias("n_passages"), F.col("own").alias("text"))
@@ -184,8 +211,7 @@ held AS (SELECT DISTINCT conv_id, turn AS source_turn, win FROM (
 marked AS (SELECT *, sum((level <> above)::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) AS passage FROM flat),
 bodies AS (SELECT conv_id, turn, passage, level, {_SQL_WORDS.format("string_agg(body, ' ' ORDER BY i)")} AS w FROM marked WHERE level > 0 GROUP BY conv_id, turn, passage, level),
 quoted AS (SELECT conv_id, turn, passage, level, unnest({_SQL_WINDOWS.format("w")}) AS win FROM bodies),
-edge AS (SELECT q.conv_id, q.turn, q.passage, q.win, min(source_turn) AS low, max(source_turn) AS high FROM quoted q JOIN held h ON h.conv_id = q.conv_id AND h.win = q.win AND h.source_turn < q.turn GROUP BY ALL),
-cand AS (SELECT DISTINCT conv_id, turn, passage, unnest([low, high]) AS source_turn FROM edge),
+cand AS (SELECT DISTINCT q.conv_id, q.turn, q.passage, h.source_turn FROM quoted q JOIN held h ON h.conv_id = q.conv_id AND h.win = q.win AND h.source_turn < q.turn),
 counted AS (SELECT q.conv_id, q.turn, q.passage, q.level, c.source_turn, count(*) AS n FROM quoted q JOIN cand c USING (conv_id, turn, passage) JOIN held h ON h.conv_id = q.conv_id AND h.win = q.win AND h.source_turn = c.source_turn GROUP BY ALL),
 links AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY conv_id, turn, passage, level ORDER BY n DESC, source_turn DESC) = 1),
 parents AS (SELECT conv_id, turn, source_turn AS parent_turn FROM (SELECT conv_id, turn, source_turn, sum(n) AS n FROM links WHERE level = 1 GROUP BY ALL)

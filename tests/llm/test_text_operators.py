@@ -223,6 +223,27 @@ def test_the_parent_is_the_message_that_holds_most_of_a_quote(spark):
     assert got[7]["parent_turn"] == 5 and got[7]["n_passages"] == got[7]["n_linked"] == 1
 
 
+def test_the_source_may_be_neither_first_nor_last_holder(spark, tmp_path):
+    """A message between the first and the last holders of every window holds most; also at random, against DuckDB over all holders."""
+    from compare import assert_same
+
+    import duckdb
+
+    rng = np.random.default_rng(26)
+    parts = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(6)]
+    rows = [(1, t, "a", text) for t, text in enumerate((parts[0], parts[1], f"{parts[1]}\n{parts[0]}", parts[0], parts[1], f"> {parts[0]} {parts[1]}\nYes."))]
+    for t in range(60):
+        some = [parts[k] for k in rng.permutation(6)[: rng.integers(1, 5)]]
+        rows.append((2, t, "a", "\n".join(some) if t % 3 else f"> {' '.join(some)}\nNo {t}."))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = quotes.quote_threads(df)
+    assert next(r["parent_turn"] for r in got.collect() if (r["conv_id"], r["turn"]) == (1, 5)) == 2
+    assert_same(got, con, quotes.SQL)
+
+
 def test_a_quote_comes_from_a_message_before_it(spark):
     said = "the plan is to meet at noon by the old bridge then"
     rows = [(1, 1, "a", said), (1, 3, "b", f"So: {said}\n{said}"), (1, 5, "c", f"> {said}\nYes."), (1, 9, "d", said), (1, 12_000, "e", f"> {said}\nStill."), (1, 12_001, "f", said)]
