@@ -12,12 +12,25 @@ from gridlens.functions.electrical import finite
 KEY, ORDER = "rid", "i"
 #: Samples of a chunk: what a task sorts and scans at a time, of however long a recording.
 CHUNK = 65_536
+#: Rows of a task that groups by keys most of which are different: there a partial sum saves nothing and holds as many rows.
+TASK_ROWS = 500_000
+#: Up to so many partitions Spark's writer of a shuffle holds no rows in memory (bypassMergeThreshold); beyond, all rows of a split.
+FEW = 200
 
 
 def by_sample(key: str = KEY, order: str = ORDER) -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks of about ``TASK_ROWS`` rows each, for ``repartition``; of up to four times as many before they become more than ``FEW``.
+
+    So what a task holds is bounded, however large the table.
+    """
+    n = df.count()
+    return max(1, min(-(-n // TASK_ROWS), FEW), -(-n // (4 * TASK_ROWS)))
+
+
 def with_halo(df: DataFrame, halo: int, size: int, order: str = ORDER) -> DataFrame:
     """Rows with ``chunk``, and copies of rows within ``halo`` of a chunk's edge in the chunk beside it (``extra``).
 
@@ -134,9 +147,19 @@ def estimated_times(df: DataFrame, good: Column, step_us: int, ts_us: str = "ts_
     return near.withColumn("ts_est_us", F.coalesce(before, after)).drop("_back", "_ahead")
 
 
+def trace_spans(parts: DataFrame, scenario: str, trace: str, order: str, size: int = CHUNK) -> DataFrame:
+    """(scenario, trace, n, start): length and first sample of every trace. The result is dealt by scenario.
+
+    Samples are counted by chunk of a trace first, so that a long trace is many tasks' work.
+    """
+    n, chunk = tasks(parts), F.floor(F.col(order) / size)
+    counts = parts.select(scenario, trace, order, chunk.alias("_chunk")).repartition(n, scenario, trace, "_chunk").groupBy(scenario, trace, "_chunk").agg(F.count("*").alias("_n"), F.min(order).alias("_start"))
+    return counts.repartition(n, scenario).groupBy(scenario, trace).agg(F.sum("_n").alias("n"), F.min("_start").alias("start"))
+
+
 def misaligned(traces: DataFrame, scenario: str, measures: Sequence[str]) -> DataFrame:
-    """Scenarios whose traces differ in any of the measures (length, rate, anchor)."""
-    counts = traces.groupBy(scenario).agg(*[F.count_distinct(m).alias(f"n_{m}") for m in measures])
+    """Scenarios whose traces differ in any of the measures (length, rate, anchor). A scenario's traces, not its samples, meet in a set."""
+    counts = traces.groupBy(scenario).agg(*[F.size(F.collect_set(m)).cast("long").alias(f"n_{m}") for m in measures])
     differ = F.lit(False)
     for m in measures:
         differ = differ | (F.col(f"n_{m}") > 1)

@@ -80,7 +80,7 @@ def b10_estimated_times(spark, sf):
 @query("""SELECT scenario, count(DISTINCT n) AS n_n, count(DISTINCT start) AS n_start FROM (SELECT scenario, appliance, count(*) AS n, min(sample) AS start FROM contributions GROUP BY ALL)
     GROUP BY scenario HAVING count(DISTINCT n) > 1 OR count(DISTINCT start) > 1""")
 def b11_misaligned(spark, sf):
-    traces = contributions(spark, sf).groupBy("scenario", "appliance").agg(F.count("*").alias("n"), F.min("sample").alias("start"))
+    traces = clean.trace_spans(contributions(spark, sf), "scenario", "appliance", "sample")
     return clean.misaligned(traces, "scenario", ["n", "start"])
 
 
