@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import assert_same, connect
-from gridlens.operators import clean
+from gridlens.operators import clean, score
 from gridlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def dealt(df):
     return [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
 
 
-@pytest.mark.parametrize("name", ["b11_misaligned"])
+@pytest.mark.parametrize("name", ["b11_misaligned", "h16_family_truth"])
 def test_tasks_grow_with_the_rows(spark, monkeypatch, name):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     for of_a_task, few, want in ((500, 200, -(-rows // 500)), (500, 5, 5), (500, 2, -(-rows // 2000))):
@@ -33,3 +33,10 @@ def test_a_long_trace_is_counted_in_chunks(spark):
     spans = clean.trace_spans(long.union(short), "scenario", "trace", "sample", size=64)
     assert {tuple(r) for r in spans.collect()} == {(1, "a", 1000, 3), (1, "b", 1, 3), (1, "c", 1, None), (None, "d", 1, 5)}
     assert [tuple(r) for r in clean.misaligned(spans, "scenario", ["n", "start"]).collect()] == [(1, 2, 1)]
+
+
+def test_truth_of_odd_rows(spark):
+    c = spark.createDataFrame([(1, 0, "a", 2.0, "on"), (1, 0, "a", 1.0, None), (None, 0, "b", 5.0, None), (1, None, "b", None, "off")], "scenario long, sample long, family string, p double, state string")
+    r = spark.createDataFrame([(1, ["a"]), (7, ["a", "c", "a"]), (None, ["z"])], "scenario long, expected array<string>")
+    rows = {tuple(x) for x in score.family_truth(c, r, "expected", ["scenario", "sample"]).collect()}
+    assert rows == {(1, 0, "a", 3.0, True), (None, 0, "b", 5.0, True), (1, None, "b", None, False), (7, None, "a", None, None), (7, None, "c", None, None), (None, None, "z", None, None)}
