@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are runs of ``TILE`` words. Their TF-IDF matrix A (hashed to ``TERMS`` columns) is never
-stored: one pass over all documents counts frequencies, one pass over a bounded sample of
-passages (about ``SAMPLE``, by the hash of the id and the place) adds up B = A'(A Omega) for a random
-matrix Omega, a block of rows for each task, and B gives the leading singular vectors (the
-one-pass randomised form for A'A).
+stored: one pass over all documents counts frequencies, one more over all passages adds up
+B = A'(A Omega) for a random matrix Omega, a block of rows for each task, and B gives the leading
+singular vectors (the one-pass randomised form for A'A).
 
 Candidates come from two searches. The latent one projects every document to the whitened space,
 in windows that begin every ``HOP`` words, and compares all of them by cosine with windows of every
@@ -25,7 +24,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,9 @@ from gridlens.llm import mapped
 from gridlens.llm.shared import Scratch
 
 TERMS, RANK, SPARE = 4096, 128, 16
-TILE, SAMPLE = 24, 500_000
+TILE = 24
+#: Passages whose sums are made at a time, and rounds of words of one term before the rest is added up term by term.
+TILES, ROUNDS = 256, 24
 #: Words of a window.
 SCALES = (8, 16, 32)
 #: Words between the beginnings of windows in the latent search.
@@ -76,8 +76,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def inverse_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """log((tiles + 1) / (tiles with the term + 1)) of all terms, and the number of tiles."""
+def inverse_frequencies(texts: DataFrame) -> np.ndarray:
+    """log((tiles + 1) / (tiles with the term + 1)) of all terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, tiles = np.zeros(TERMS, dtype=np.int64), 0
@@ -93,17 +93,43 @@ def inverse_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     df = np.zeros(TERMS + 1, dtype=np.int64)
     for r in texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows
         df[r["term"]] = r["n"]
-    return np.log((df[TERMS] + 1.0) / (df[:TERMS] + 1.0)), int(df[TERMS])
+    return np.log((df[TERMS] + 1.0) / (df[:TERMS] + 1.0))
 
 
-def latent_space(texts: DataFrame, seed: int = 11) -> Space:
-    """Whitened projection onto the leading right singular vectors of the passages' TF-IDF matrix."""
-    idf, tiles = inverse_frequencies(texts)
-    width = RANK + SPARE
-    omega = np.random.Generator(np.random.PCG64(seed)).normal(size=(TERMS, width))
-    weighted = (idf[:, None] * omega).astype(np.float32)
-    rows = 64
-    share = min(1.0, SAMPLE / max(tiles, 1))
+def add_products(term: np.ndarray, tile: np.ndarray, n: int, weighted: np.ndarray, total: np.ndarray) -> None:
+    """Adds T'(T ``weighted``) to ``total`` for the counts T of terms in ``n`` tiles; words in order of their tiles.
+
+    Sums of tiles go by the words' places, those of terms by occurrence: a round adds one tile's sum to each term that has
+    so many words, so no row is met twice in a round.
+    """
+    if not len(term):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    grid = np.full((TILE, n), TERMS, dtype=np.int32)  # TERMS is no word and adds nothing
+    grid[np.arange(len(tile)) - begin[tile], tile] = term
+    padded = np.concatenate([weighted, np.zeros((1, weighted.shape[1]), dtype=weighted.dtype)])
+    y = np.zeros((n, weighted.shape[1]), dtype=weighted.dtype)
+    for low in range(0, n, TILES):
+        for place in grid[:, low : low + TILES]:
+            y[low : low + TILES] += padded[place]
+    order = np.argsort(term.astype(np.uint16), kind="stable")
+    ordered = term[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    size = np.diff(np.append(first, len(ordered)))
+    falling = np.argsort(-size, kind="stable")
+    first, size = first[falling], size[falling]
+    sums = np.zeros((len(first), weighted.shape[1]), dtype=weighted.dtype)
+    for k in range(min(ROUNDS, int(size[0]))):
+        m = int(np.searchsorted(-size, -k))  # terms of more than k words
+        sums[:m] += y[tile[order[first[:m] + k]]]
+    for j in range(int(np.searchsorted(-size, -ROUNDS))):
+        sums[j] += y[tile[order[first[j] + ROUNDS : first[j] + size[j]]]].sum(axis=0, dtype=float)
+    total[ordered[first]] += sums
+
+
+def passage_products(texts: DataFrame, weighted: np.ndarray) -> np.ndarray:
+    """T'(T ``weighted``) for the counts T of terms in all passages of all texts."""
+    width, rows = weighted.shape[1], 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TERMS, width))
@@ -111,21 +137,7 @@ def latent_space(texts: DataFrame, seed: int = 11) -> Space:
             for part in K.slices(batch):
                 w = K.words(part.column("text"), latin=True)
                 tile, n = _tiles(w)
-                term = _terms(w)
-                if share < 1:
-                    first = np.cumsum(-(-w.counts // TILE)) - -(-w.counts // TILE)
-                    owner = np.repeat(np.arange(part.num_rows), -(-w.counts // TILE))
-                    ids = pc.fill_null(part.column("id"), 0).to_numpy().astype(np.uint64)
-                    taken = K.mix(K.mix(ids + np.uint64(1))[owner] + (np.arange(n) - first[owner]).astype(np.uint64)) >> np.uint64(34) < int(share * (1 << 30))
-                    inside = taken[tile]
-                    tile, term = (np.cumsum(taken) - 1)[tile[inside]], term[inside]
-                if not len(term):
-                    continue
-                y = np.add.reduceat(weighted[term], np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])), axis=0)
-                order = np.argsort(term.astype(np.uint16), kind="stable")
-                sorted_terms = term[order]
-                first = np.flatnonzero(np.concatenate([[True], sorted_terms[1:] != sorted_terms[:-1]]))
-                total[sorted_terms[first]] += np.add.reduceat(y[tile[order]], first, axis=0)
+                add_products(_terms(w), tile, n, weighted, total)
         for k in range(TERMS // rows):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k * rows : (k + 1) * rows].tobytes()], pa.binary())], names=["block", "part"])
 
@@ -133,10 +145,18 @@ def latent_space(texts: DataFrame, seed: int = 11) -> Space:
         out = np.sum([np.frombuffer(x.as_buffer()) for x in table.column("part")], axis=0)
         return pa.table({"block": table.column("block")[:1], "part": pa.array([out.tobytes()], pa.binary())})
 
-    found = texts.mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect()
+    found = texts.select("text").mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect()
     b = np.zeros((TERMS, width))
     for r in found:  # TERMS / 64 rows
         b[r["block"] * rows : (r["block"] + 1) * rows] = np.frombuffer(r["part"]).reshape(rows, width)
+    return b
+
+
+def latent_space(texts: DataFrame, seed: int = 11) -> Space:
+    """Whitened projection onto the leading right singular vectors of the TF-IDF matrix of all passages."""
+    idf = inverse_frequencies(texts)
+    omega = np.random.Generator(np.random.PCG64(seed)).normal(size=(TERMS, RANK + SPARE))
+    b = passage_products(texts, (idf[:, None] * omega).astype(np.float32))
     b *= idf[:, None]
     # A'A is about B (Omega'B)^-1 B'; its leading eigenvectors are those of F F' with F = B C^-1/2.
     values, vectors = np.linalg.eigh((omega.T @ b + b.T @ omega) / 2)

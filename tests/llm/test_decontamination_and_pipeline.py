@@ -94,6 +94,27 @@ def test_a_long_text_is_searched_whole(spark):
     assert got == [(-1, 5, 1.0), (-1, 6, 1.0), (1, 5, 1.0), (1, 6, 1.0)]
 
 
+def test_the_latent_space_takes_all_passages(spark):
+    """Sums over 600,000 passages of a text each, more than a former sample held, and over random long texts."""
+    rng = np.random.default_rng(4)
+    weighted = rng.normal(size=(decontaminate.TERMS, 8)).astype(np.float32)
+    term = lambda x: (K.words(pa.array([x]), latin=True).hashes >> np.uint64(52)).astype(int)
+    many = spark.range(600_000).select(F.lit("one two").alias("text"))
+    want = np.zeros(weighted.shape)
+    for t in term("one two"):
+        want[t] += 600_000 * weighted[term("one two")].astype(float).sum(axis=0)
+    assert np.allclose(decontaminate.passage_products(many, weighted), want, rtol=1e-4)
+    texts = [None, "", "one", *[" ".join(f"w{k}" for k in rng.zipf(1.3, n) % 3000) for n in (23, 24, 25, 700, 9000)]]
+    want = np.zeros(weighted.shape)
+    for x in filter(None, texts):
+        terms = term(x)
+        for at in range(0, len(terms), decontaminate.TILE):
+            some = terms[at : at + decontaminate.TILE]
+            np.add.at(want, some, weighted[some].astype(float).sum(axis=0))
+    got = decontaminate.passage_products(spark.createDataFrame([(x,) for x in texts], "text string"), weighted)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3 * np.abs(want).max()) and (got != 0).any()
+
+
 def test_subsequence():
     assert decontaminate.common_subsequence([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 3
     assert decontaminate.common_subsequence([1, 1, 2], [1, 2, 1]) == 2 and decontaminate.common_subsequence([5], []) == 0
