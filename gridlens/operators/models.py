@@ -126,17 +126,23 @@ class Families:
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         """``<out>_<family>``: probability of presence, or power."""
-        drop = None
+        plain, ready = set(df.columns), None
         for f, m in self.models.items():
             if isinstance(m, float):
                 df = df.withColumn(f"{out}_{f}", F.lit(m))
+                plain.add(f"{out}_{f}")
                 continue
+            # Models that were fitted together prepare their features alike: once a row.
+            prepared, model = PipelineModel(m.stages[:-1]), m.stages[-1]
+            if (uids := [s.uid for s in prepared.stages]) != ready:
+                df = prepared.transform(df.drop(*[c for c in df.columns if ready and c not in plain]))
+                ready = uids
             before = set(df.columns)
-            scored = m.transform(df)
+            scored = model.transform(df)
             value = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
-            drop = [c for c in scored.columns if c not in before]
-            df = scored.withColumn(f"{out}_{f}", value).drop(*drop)
-        return df
+            df = scored.withColumn(f"{out}_{f}", value).drop(*[c for c in scored.columns if c not in before])
+            plain.add(f"{out}_{f}")
+        return df.drop(*[c for c in df.columns if ready and c not in plain])
 
 
 def gated(df: DataFrame, families: Sequence[str], threshold: float = 0.5) -> DataFrame:

@@ -323,7 +323,10 @@ def j9_live_states(spark, sf):
     truth = r.groupBy("rid", start).agg(*[F.max(kind(f).cast("int")).alias(f) for f in names], *[(F.sum(F.when(kind(f), F.col("p")).otherwise(0.0)) / F.count("*")).alias(f"power of {f}") for f in names])
     # The same features in a batch: a watermark changes nothing there.
     known = live.window_features(_phased(r), "6 hours", "1 hour").where("rid % 2 = 0").join(truth, ["rid", "start"])
-    fitted = fit_mix(known, names, trees=5)
+    # Stored once: a cache would keep as many pieces as a shuffle has, whatever they hold, and every pass of ten models runs over them.
+    folder = shared_folder(spark, "known")
+    known.write.parquet(folder)
+    fitted = fit_mix(spark.read.schema(known.schema).parquet(folder), names, trees=5)
     mix = Mix(fitted["presence"], fitted["power"], FEATURES, names, "mix")
     scored = mix.predict(live.window_features(_phased(_event_stream(spark, sf)), "6 hours", "1 hour"))
     columns = ["rid", "start", "p_mean", *[f"{x}_{f}" for f in names for x in ("presence", "power")]]
