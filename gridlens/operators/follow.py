@@ -248,10 +248,11 @@ def inputs(samples: DataFrame, predictions: DataFrame | None = None) -> DataFram
     return rows.unionByName(predictions.select("rid", F.col("t").cast("double").alias("t"), F.lit(0).alias("side"), "device", F.col("prob").cast("double").alias("a"), F.col("watts").cast("double").alias("b")))
 
 
-def sound(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows that can be applied, in order; samples of one time count once."""
-    pdf = pdf.dropna(subset=["t", "a", "b"]).sort_values(["t", "side", "device", "a", "b"], kind="stable")
-    return pdf[(pdf["side"] == 0) | ~pdf.duplicated(["t", "side"])]
+def sound(rows: Iterable[tuple]) -> list[tuple]:
+    """Rows (t, side, device, a, b) that can be applied, in order; samples of one time count once."""
+    known = [r for r in rows if not any(v is None or v != v for v in (r[0], r[3], r[4]))]
+    known.sort(key=lambda r: (r[0], r[1], r[2] is None, r[2] or "", r[3], r[4]))
+    return [r for before, r in zip([None, *known], known) if r[1] == 0 or before is None or before[:2] != r[:2]]
 
 
 def frame(rows: Iterable[Emitted]) -> pd.DataFrame:
@@ -266,7 +267,7 @@ def follow(rows: DataFrame, rules: Rules) -> DataFrame:
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = (sound(pdf)[c].tolist() for c in ("t", "side", "device", "a", "b"))
-        return frame(Follower(key[0], rules, Meter()).rows(zip(*columns, strict=True)))
+        columns = (pdf[c].tolist() for c in ("t", "side", "device", "a", "b"))
+        return frame(Follower(key[0], rules, Meter()).rows(sound(zip(*columns, strict=True))))
 
     return rows.select(*[c.split()[0] for c in INPUT.split(", ")]).groupBy("rid").applyInPandas(run, SCHEMA)

@@ -279,14 +279,18 @@ def j9_j17_live_loop(spark, sf):
     for k in range(5):  # one after the other: a stream takes files in the order in which they came
         rows.where(F.floor((F.col("t") - EPOCH) / slice_s) == k).repartition(SLICE_FILES, "rid").write.mode("append").parquet(f"{folder}/in")
     spark.createDataFrame([(-1, 1e7, 1, None, 0.0, 0.0)], follow.INPUT).write.mode("append").parquet(f"{folder}/in")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # A batch hands on the changes of its meters, not their whole state.
+    store = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.changelogCheckpointing.enabled": "true"}
+    keys = {f"spark.sql.streaming.stateStore.{k}": v for k, v in store.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         stream = live.live_loop(live.replay(spark, f"{folder}/in", rows.schema, files_per_trigger=SLICE_FILES), _loop_rules(), late=f"{2 * slice_s} seconds")
         live.append(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return _rounded_loop(spark.read.schema(stream.schema).parquet(f"{folder}/out").where("rid >= 0"))
 
 

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
-from dataclasses import asdict
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from gridlens.operators.events import hysteresis, merge, residual
-from gridlens.operators.follow import SCHEMA, Follower, Meter, Rules, frame, sound
+from gridlens.operators.follow import INPUT, SCHEMA, Follower, Meter, Rules, sound
 from gridlens.operators.windows import aggregate_features, smoothed
 
 
@@ -85,11 +83,16 @@ def device_states(scored: DataFrame, families: list[str], key: str = "rid", at:
     return merged.join(residual(merged, [key, at], "total", "watts").drop("total"), [key, at]).select(key, at, "device", "prob", "state", "watts", "total", "residual", "explained")
 
 
+#: What the loop keeps of a meter, and a row that it emits.
+STATE = "meter string, waiting string, history string, timer long"
+ROW = Row(*[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 class Loop(StatefulProcessor):
     """``follow`` on a stream: rows wait in state until the watermark has passed them and are then applied in order.
 
-    A timer at the latest waiting row brings the meter up to date when no further row comes. State that other queries
-    may read: ``devices`` (what is on, its watts, since when) and ``history`` (the last ticks).
+    A timer at the latest waiting row brings the meter up to date when no further row comes. A meter's state is one value,
+    so that a batch reads and writes it once: the meter, its waiting rows, the last ticks (as JSON) and its timer.
     """
 
     def __init__(self, rules: Rules, ticks: int = 420):
@@ -97,44 +100,37 @@ class Loop(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.meter = handle.getValueState("meter", "meter string")
-        self.waiting = handle.getListState("waiting", "t double, side int, device string, a double, b double")
-        self.devices = handle.getMapState("devices", "device string", "on int, watts double, since double")
-        self.history = handle.getListState("history", "t double, total double, residual double")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.meter.update((initialState["meter"].iloc[0],))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows))
-        fresh = fresh.astype({"t": "float64", "a": "float64", "b": "float64"}).astype(object)
-        fresh = fresh.where(fresh.notna(), None)
-        self.waiting.appendList(list(fresh[["t", "side", "device", "a", "b"]].itertuples(index=False, name=None)))
-        yield self._advance(key[0], timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key[0], timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, rid: int, watermark_ms: int) -> pd.DataFrame:
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["t", "side", "device", "a", "b"])
-        ready = np.floor(held["t"].astype("float64") * 1000) <= watermark_ms
-        later = held[~ready]
-        self.waiting.clear()
-        if len(later):
-            self.waiting.put(list(later.itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(np.ceil(later["t"].astype("float64").max() * 1000)))
-        meter = Meter(**json.loads(self.meter.get()[0])) if self.meter.exists() else Meter()
-        follower = Follower(rid, self.rules, meter)
-        out = frame(follower.rows(sound(held[ready]).itertuples(index=False, name=None)))
-        if ready.any():
-            self.meter.update((json.dumps(asdict(follower.state())),))
-            for device, (on, watts, since) in follower.m.devices.items():
-                self.devices.updateValue((device,), (on, watts, since))
-            at = out[out["kind"] == "state"].drop_duplicates("t")
-            if len(at):
-                past = list(self.history.get()) if self.history.exists() else []
-                self.history.put([*past, *at[["t", "total", "residual"]].itertuples(index=False, name=None)][-self.ticks :])
-        return out
+        self.state = handle.getValueState("state", STATE)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.state.update((initialState["meter"], "[]", "[]", None))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return self._advance(key[0], timerValues.getCurrentWatermarkInMs(), [r[1:6] for r in rows])  # columns of ``INPUT``
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._advance(key[0], timerValues.getCurrentWatermarkInMs(), [])
+
+    def _advance(self, rid: int, watermark_ms: int, fresh: list[tuple]) -> Iterator[Row]:
+        meter, waiting, history, timer = self.state.get() or ("{}", "[]", "[]", None)
+        ready, later = [], []
+        for r in sound([*map(tuple, json.loads(waiting)), *fresh]):
+            (ready if math.floor(r[0] * 1000) <= watermark_ms else later).append(r)
+        due = math.ceil(later[-1][0] * 1000) if later else None
+        if due != timer:
+            if timer is not None and (fresh or timer > watermark_ms):  # the one that called goes by itself
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        follower = Follower(rid, self.rules, Meter(**json.loads(meter)))
+        out = list(follower.rows(ready))
+        if ready:
+            meter = json.dumps(vars(follower.state()))
+        if past := {r[1]: (r[1], r[7], r[8]) for r in reversed(out) if r[2] == "state"}:  # the first state of a tick
+            history = json.dumps([*json.loads(history), *reversed(past.values())][-self.ticks :])
+        if ready or fresh or due != timer:
+            self.state.update((meter, json.dumps(later), history, due))
+        return (ROW(*r) for r in out)
 
     def close(self) -> None:
         pass
@@ -146,9 +142,10 @@ def live_loop(rows: DataFrame, rules: Rules, late: str = "10 seconds", initial:
     ``initial`` (rid, meter), of ``follow.rebuilt``, is what a new query starts with. The state store must be RocksDB.
     Times are seconds after the epoch: a stream's first watermark is the epoch itself, so rows at it or before are late.
     """
-    keyed = rows.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).withWatermark("ts", late)
+    columns = [c.split()[0] for c in INPUT.split(", ")]
+    keyed = rows.select(*columns, F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts")).withWatermark("ts", late)
     start = initial.groupBy("rid") if initial is not None else None
-    return keyed.groupBy("rid").transformWithStateInPandas(Loop(rules), SCHEMA, "Append", "EventTime", start)
+    return keyed.groupBy("rid").transformWithState(Loop(rules), SCHEMA, "Append", "EventTime", start)
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -158,6 +155,8 @@ def late_rows(query: StreamingQuery) -> int:
 
 def live_snapshot(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """(devices, history) as the state store of a live loop has them: what is on, its watts and since when; the last ticks."""
-    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-    devices = read("devices").select("key.rid", F.col("user_map_key.device").alias("device"), "user_map_value.*").where("on = 1").drop("on")
-    return devices, read("history").select("key.rid", "list_element.*")
+    state = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint).select("key.rid", "value.*")
+    devices = state.select("rid", F.explode(F.from_json("meter", "devices map<string, array<double>>")["devices"]).alias("device", "_x"))
+    ticks = state.select("rid", F.explode(F.from_json("history", "array<array<double>>")).alias("_x"))
+    at = lambda *names: [F.col("_x")[k].alias(n) for k, n in enumerate(names)]
+    return devices.select("rid", "device", *at("on", "watts", "since")).where("on = 1").drop("on"), ticks.select("rid", *at("t", "total", "residual"))

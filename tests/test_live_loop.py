@@ -182,3 +182,50 @@ def test_a_batch_of_the_loop_is_a_slice(rocks):
     finally:
         models.live.append = append
     assert len(glob.glob(f"{seen[0].removeprefix('file://')}/offsets/[0-9]*")) <= 8
+
+
+def test_a_batch_of_a_meter_reads_and_writes_its_state_once():
+    """However many rows wait, devices are on and ticks are kept: one read, one write, and at most one timer moved."""
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("timer")
+            self.timers.remove(at)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    loop, handle, out = live.Loop(RULES), Handle(), []
+    loop.init(handle)
+    rows = [(1, t, 1, None, p, q) for _, t, p, q in samples(1, 2, (20, 0, 0), (30, 500, 0), (30, 0, 0))]
+    for k in range(4):
+        del calls[:]
+        out += loop.handleInputRows((1,), iter([(*r, None) for r in rows[40 * k : 40 * k + 40]]), Times(1_000_000 + 20_000 * k))
+        assert (calls.count("get"), calls.count("update")) == (1, 1) and calls.count("timer") <= 2 and len(handle.timers) == 1
+    out += loop.handleExpiredTimer((1,), Times(5_000_000), None)
+    assert [tuple(r) for r in out] == list(follow.Follower(1, RULES, follow.Meter()).rows(follow.sound(r[1:] for r in rows)))
