@@ -1,5 +1,7 @@
 """Scenarios added up as arrays give what rows of samples give."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,26 @@ def test_query_windows_equal_those_of_rows(spark):
     assert got.keys() == want.keys() and len(got) > 1000
     for k, r in want.items():
         assert [got[k][c] for c in FEATURES] == pytest.approx([r[c] for c in FEATURES], abs=1e-6)
+
+
+def test_models_take_the_rounds_and_weights_of_their_method(spark, monkeypatch):
+    """The reference's rounds of boosting, however few trees a forest has; the linear machine weights its classes and runs until it converges."""
+    from gridlens.operators import models
+
+    seen = []
+
+    class Stages:
+        def __init__(self, stages):
+            seen.append(stages[-1])
+
+        def fit(self, df):
+            return None
+
+    monkeypatch.setattr(models, "Pipeline", Stages)
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, family string")
+    for kind, rounds in (("boosted", 400), ("svm", 100)):
+        models.identify(df, ["x"], trees=10, kind=kind)
+        assert (seen[-1].getWeightCol(), seen[-1].getClassifier().getMaxIter()) == ("weight", rounds)
+    assert inspect.signature(models.Families.fit).parameters["rounds"].default == 300
+    for query in (plans.g5_identify, plans._power):
+        assert "rounds" not in inspect.getsource(query).split('"""')[-1]
