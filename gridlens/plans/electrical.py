@@ -43,7 +43,7 @@ def c2_harmonic_sums(spark, sf):
 @query(f"WITH {_SPEC}, e AS (SELECT vec_id, sum(m * m) AS e FROM h GROUP BY vec_id) SELECT vec_id, round(sqrt((vec_id % 50 / 230.0) * (vec_id % 50 / 230.0) + e), 6) AS i_rms FROM e")
 def c3_rms_current(spark, sf):
     one = E.fundamental_current((F.col("vec_id") % 50).cast("double"), F.lit(0.0), F.lit(230.0))
-    return spectra(spark, sf).select("vec_id", F.round(E.rms_current(one, F.col("mag")), 6).alias("i_rms"))
+    return spectra(spark, sf).select("vec_id", F.round(E.rms_current(one, E.sum_of_squares(F.col("mag"))), 6).alias("i_rms"))
 
 
 @query(f"WITH {_POINT} SELECT scenario, sample, round(i_n, 4) AS i_n FROM point")
@@ -64,7 +64,7 @@ def c6_power_factors(spark, sf):
 
 @query(f"WITH {_SPEC} SELECT vec_id, round(CASE WHEN vec_id % 10 > 0.01 THEN 100 * sqrt(sum(m * m)) / (vec_id % 10) ELSE 0 END, 4) AS thd FROM h GROUP BY vec_id")
 def c7_thd(spark, sf):
-    return spectra(spark, sf).select("vec_id", F.round(E.thd_percent(F.col("mag"), (F.col("vec_id") % 10).cast("double")), 4).alias("thd"))
+    return spectra(spark, sf).select("vec_id", F.round(E.thd_percent(E.sum_of_squares(F.col("mag")), (F.col("vec_id") % 10).cast("double")), 4).alias("thd"))
 
 
 @query(f"WITH {_POINT} SELECT scenario, sample, round(p_total, 6) AS p_total, round(q_total, 6) AS q_total, round(s_total, 6) AS s_total FROM point")

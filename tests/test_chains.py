@@ -189,3 +189,17 @@ def test_no_planned_row_carries_its_pool(spark):
     chosen = scenarios.choose(planned, scenarios.pool(recordings), 7)
     assert sorted(r["count"] for r in chosen.groupBy("rid").count().collect()) == [2, 2, 3]
     assert "recordings" not in chosen._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+
+
+def test_stored_scenarios_share_files(spark, tmp_path):
+    """Files are as many as tasks and folders, however many scenarios there are, and a scenario's rows lie in one of them."""
+    p = parts(spark).drop("scenario").crossJoin(spark.range(300).select(F.col("id").alias("scenario")))
+    scenarios.write_scenarios(p, str(tmp_path), 2.0)
+    t = scenarios.read_scenarios(spark, str(tmp_path))
+    for name, rows in (("contributions", 12_000), ("readings", 6_000)):
+        assert t[name].count() == rows
+        files = list((tmp_path / name).rglob("part-*.parquet"))
+        assert len(files) <= 64 * 8 and all("scenario=" not in str(f) for f in files)
+    stored = spark.read.parquet(str(tmp_path / "readings")).select("scenario", F.input_file_name().alias("f")).groupBy("scenario").agg(F.countDistinct("f").alias("n"))
+    assert {r["n"] for r in stored.collect()} == {1} and t["manifest"].count() == 300
+    assert len(list((tmp_path / "readings").rglob("part-*.parquet"))) <= 64
