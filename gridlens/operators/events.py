@@ -55,13 +55,16 @@ def accept(times: Iterable[float], gap: float) -> list[bool]:
 
 
 def debounce(found: DataFrame, gap: float, key: str = "rid", at: str = "at") -> DataFrame:
-    """Sequential per recording; edges are few, so a recording's edges are one group."""
+    """Sequential per recording; edges are few, so a recording's edges are one row, and many recordings are one batch."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, *[c for c in pdf.columns if c != at]], kind="stable")
-        return pdf[accept(pdf[at], gap)]
+    @F.pandas_udf("array<boolean>")
+    def kept(times: pd.Series) -> pd.Series:
+        return times.map(lambda x: accept(x.tolist(), gap))
 
-    return found.groupBy(key).applyInPandas(run, found.schema)
+    rest = [c for c in found.columns if c not in (key, at)]
+    packed = found.where(F.col(at).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, *rest))).alias("_e"))
+    both = packed.select(key, F.explode(F.arrays_zip("_e", kept(F.col(f"_e.{at}")).alias("_k"))).alias("_x")).where("_x._k")
+    return both.select(key, "_x._e.*").select(*found.columns)
 
 
 def signatures(df: DataFrame, key: str = "rid", family: str = "family", on_w: float = 3.0, least: int = 25) -> DataFrame:
@@ -231,20 +234,24 @@ def claims(matched: DataFrame, at_ticks: DataFrame, rate: float = 1.0, key: str
     edge = matched.select(key, F.col(order).alias("seen"), F.lit(0).alias("tick"), at, "dp", "p_after", "family", "confidence")
     tick = at_ticks.select(key, F.col(order).alias("seen"), F.lit(1).alias("tick"), F.col(order).alias(at), F.lit(None).cast("double").alias("dp"), F.col("p_now").alias("p_after"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("confidence"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Claims(hold=15 * rate, settle=6 * rate), []  # in samples: seconds of a fifth don't add up in doubles
-        for r in pdf.sort_values(["seen", "tick", at, "dp"], kind="stable").itertuples():
-            t = getattr(r, at)
-            if r.tick:
-                rows += [(getattr(r, key), getattr(r, at), "dropped", f, 0.0) for f in state.guard(t, r.p_after)]
-                continue
-            family = r.family if isinstance(r.family, str) else None
-            name = state.edge(t, r.dp, family, r.confidence if family else None)
-            if name:
-                rows.append((getattr(r, key), getattr(r, at), "on" if r.dp > 0 else "off", name, abs(r.dp)))
-        return pd.DataFrame(rows, columns=[key, at, "kind", "device", "watts"])
-
-    return edge.unionByName(tick).groupBy(key).applyInPandas(run, f"{key} long, {at} long, kind string, device string, watts double")
+    # A recording is one row of arrays, and many recordings are one batch: no frame is made of each.
+    columns = ["tick", at, "dp", "p_after", "family", "confidence"]
+    packed = edge.unionByName(tick).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seen", "tick", at, "dp", "p_after", "family", "confidence"))).alias("_e"))
+
+    @F.pandas_udf(f"array<struct<{at}:long,kind:string,device:string,watts:double>>")
+    def switched(*arrays: pd.Series) -> pd.Series:
+        out = []
+        for recording in zip(*arrays, strict=True):
+            state, rows = Claims(hold=15 * rate, settle=6 * rate), []  # in samples: seconds of a fifth don't add up in doubles
+            for is_tick, t, dp, p_after, family, confidence in zip(*(x.tolist() for x in recording), strict=True):
+                if is_tick:
+                    rows += [(t, "dropped", f, 0.0) for f in state.guard(t, p_after)]
+                elif name := state.edge(t, dp, family, confidence if family else None):
+                    rows.append((t, "on" if dp > 0 else "off", name, abs(dp)))
+            out.append([dict(zip((at, "kind", "device", "watts"), r, strict=True)) for r in rows])
+        return pd.Series(out)
+
+    return packed.select(key, F.inline(switched(*[F.col(f"_e.{c}") for c in columns])))
 
 
 def hysteresis(prob: Column, w, high: float = 0.55, low: float = 0.45) -> Column:

@@ -106,3 +106,17 @@ def test_models_take_the_rounds_and_weights_of_their_method(spark, monkeypatch):
     assert inspect.signature(models.Families.fit).parameters["rounds"].default == 300
     for query in (plans.g5_identify, plans._power):
         assert "rounds" not in inspect.getsource(query).split('"""')[-1]
+
+
+def test_claims_make_no_group_of_each_recording(spark):
+    """Recordings are rows of arrays, many to a batch; none is a frame of its own."""
+    for name in ("j5_j6_j7_claims", "j7_claims_5hz", "j8_rebuilt_claims"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and "ArrowEvalPython" in plan, name
+
+
+def test_energies_are_of_chords(spark):
+    """No stored sample adds up a spectrum: its energies come with its chord."""
+    t, voices = taken(spark, 50)
+    plan = scenarios.points(scenarios.played(t, 50, 6), voices, spectra=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "aggregate(" not in plan.split("Join ")[0]
